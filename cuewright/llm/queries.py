@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, urlfilter
+from . import decontaminate, mixing, quality, secrets, urlfilter
 
 QUERIES = {
     "op4_url_filter": urlfilter.op4_url_filter,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_mixing": mixing.op6_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLE_SQL = {"op4_url_filter": urlfilter.OP4_SQL}
+ORACLE_SQL = {"op4_url_filter": urlfilter.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL}
