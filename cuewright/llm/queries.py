@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets, urlfilter
+from . import decontaminate, mixing, neardup, quality, secrets, urlfilter
 
 QUERIES = {
+    "op3_ngram_jaccard": neardup.op3_ngram_jaccard,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
