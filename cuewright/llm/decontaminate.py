@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, let, stored, table
 
 WINDOW = 10
 SLOP = 2
@@ -102,10 +102,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop
     found = seeds(build_index(docs), items, max_broadcast)
     aligned = found.join(items, "iid").groupBy("__k1", "__k2").agg(F.collect_list(F.struct("ids", "w", "n", "len", "diag")).alias("__seeds"))
     rest = tuple(c for c in extra if c not in ("doc_id", "text"))
-    whole = keyed(docs.select("doc_id", "text", *rest)).join(aligned, ["__k1", "__k2"], "left").withColumn("__w", tokens(F.col("text")))
+    whole = keyed(docs.select("doc_id", "text", *rest)).join(aligned, ["__k1", "__k2"], "left")
     none = F.array().cast("array<struct<ids:array<string>,starts:array<int>,len:int,near:boolean>>")
-    tried = F.when(F.col("__seeds").isNotNull(), F.transform("__seeds", lambda s: F.struct(s["ids"].alias("ids"), exact(F.col("__w"), s).alias("starts"), s["len"].alias("len"), near(F.col("__w"), s, slop).alias("near")))).otherwise(none)
-    done = whole.select("doc_id", *extra, F.size("__w").cast("long").alias("n_words"), tried.alias("__m"))
+    tried = lambda w: F.when(F.col("__seeds").isNotNull(), F.transform("__seeds", lambda s: F.struct(s["ids"].alias("ids"), exact(w, s).alias("starts"), s["len"].alias("len"), near(w, s, slop).alias("near")))).otherwise(none)
+    # one expression, so that a filter above can't move the words into the lambdas
+    both = let(tokens(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), tried(w).alias("m")))
+    done = whole.select("doc_id", *extra, both.alias("__b")).select("doc_id", *extra, "__b.n_words", F.col("__b.m").alias("__m"))
     ids = lambda keep: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("__m", keep), lambda m: m["ids"]))))
     hit = F.array_distinct(F.flatten(F.transform("__m", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(s, s + m["len"] - 1))))))
     return done.select("doc_id", *extra, "n_words", hit.alias("__at"), ids(lambda m: F.size(m["starts"]) > 0).alias("__ids"), ids(lambda m: m["near"]).alias("near_ids"))

@@ -2,7 +2,9 @@
 
 Tokens are summed by cell (source, lang, topic), the cells' weights are raked in
 turn to the target shares of source, of language and of topic, and each document
-is kept with a probability in proportion to its cell's weight. The uniform
+is kept with a probability in proportion to its cell's weight, up to 1. Where
+the proportion is over 1 the document's weight is it, else 1, so that kept tokens
+times weights meet the targets in expectation. The uniform
 number of a document comes from a digest of its id and text, so a rerun and
 another partitioning keep the same rows.
 
@@ -31,8 +33,8 @@ TOLERANCE = 1e-9
 MAX_CELLS = 200_000
 #: Target shares are the tokens' shares to this power, scaled to 1: small categories gain.
 TEMPERATURE = 0.5
-#: Expected kept share of tokens; less where a cell would need a chance over 1.
-RATE = 0.5
+#: Expected kept share of tokens.
+RATE = 0.75
 AXES = ("source", "lang", "topic")
 #: Pattern of each lexical topic, in the order they are tried.
 TOPICS = (("contact", "@[A-Za-z0-9.-]+\\.[a-z]{2}"), ("license", "[Ll]icen[cs]e|[Cc]opyright"), ("table", " \\| "))
@@ -81,10 +83,24 @@ def tempered(cells: dict[tuple, float], axis: int, temperature: float = TEMPERAT
     return {x: v**temperature for x, v in sums.items() if v > 0}
 
 
+def filled(lift: dict[tuple, float], cells: dict[tuple, float], rate: float) -> float:
+    """The factor at which chances of min(1, lift * factor) keep ``rate`` of the
+    tokens that have a lift."""
+    want = rate * math.fsum(cells[k] for k in lift)
+    whole, rest = 0.0, math.fsum(v * cells[k] for k, v in lift.items())
+    for k in sorted(lift, key=lambda k: (-lift[k], repr(k))):
+        factor = (want - whole) / rest if rest > 0 else 0.0
+        if factor * lift[k] <= 1:
+            return max(0.0, factor)
+        whole += cells[k]
+        rest -= lift[k] * cells[k]
+    return 1 / min(lift.values()) if lift else 0.0
+
+
 def mix(docs: DataFrame, *, targets: tuple[dict, ...] | None = None, topic: Column | None = None, rate: float = RATE, seed: str = "mix", max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` with n_tokens, topic, weight (tokens wanted for each token there
-    is, up to a common factor), keep_prob and kept. ``targets``: share wanted of
-    each source, lang and topic; by default tempered shares."""
+    """``docs`` with n_tokens, topic, weight (1, or how often a document that is
+    kept for certain should count), keep_prob and kept. ``targets``: share wanted
+    of each source, lang and topic; by default tempered shares."""
     topic = topic_of(F.col("text")) if topic is None else topic
     known = docs.drop("n_tokens", "topic", "weight", "keep_prob", "kept").withColumns({"topic": topic, "n_tokens": tokens_of(F.col("text"))})
     rows = known.groupBy(*AXES).agg(F.sum("n_tokens").alias("n")).limit(max_cells + 1).collect()
@@ -93,11 +109,9 @@ def mix(docs: DataFrame, *, targets: tuple[dict, ...] | None = None, topic: Colu
     cells = {tuple(r[:3]): float(r[3] or 0) for r in rows}
     wanted = rake(cells, targets or tuple(tempered(cells, axis) for axis in range(3)))
     lift = {k: v / cells[k] for k, v in wanted.items()}
-    total = math.fsum(cells.values())
-    # expected kept tokens are sum(tokens * lift) * scale = scale
-    scale = min(rate * total, 1 / max(lift.values())) if lift else 0.0
+    scale = filled(lift, cells, rate)
     spark = docs.sparkSession
-    made = spark.createDataFrame([(*k, lift[k] * total, min(1.0, lift[k] * scale)) for k in lift], "__a string, __b string, __c string, weight double, keep_prob double")
+    made = spark.createDataFrame([(*k, max(1.0, v * scale), min(1.0, v * scale)) for k, v in lift.items()], "__a string, __b string, __c string, weight double, keep_prob double")
     made = F.broadcast(made)  # at most max_cells rows
     joined = known.join(made, known.source.eqNullSafe(F.col("__a")) & known.lang.eqNullSafe(F.col("__b")) & known.topic.eqNullSafe(F.col("__c")), "left").drop("__a", "__b", "__c")
     digest = F.md5(F.concat_ws("\x00", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))

@@ -42,6 +42,10 @@ CHUNK = 1 << 20
 LEAST = -(1 << 63)
 
 
+#: Whether a text has a word; a cheap test that filters before the words are cut.
+WORDED_SQL = "coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
+
+
 def bands_rows(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band whose bands fit in ``max_hashes``."""
     for rows in range(max_hashes, 0, -1):
@@ -217,7 +221,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RE
     hub (the least key linked with it, perhaps by others) and links (rows that
     it's linked with, copies included)."""
     bands, rows = bands_rows(threshold, recall)
-    known = keyed(docs.select("doc_id", "text")).where("key is not null")
+    known = keyed(docs.select("doc_id", "text").where(WORDED_SQL))
     signed = known.select("did", "key", hashed(F.col("__w")).alias("h")).mapInArrow(signer(bands, rows, size), "did long, key binary, bands array<long>")
     nodes = stored(signed.groupBy("key").agg(F.min("did").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
     each = nodes.select("key", F.explode("bands").alias("band"))
@@ -227,7 +231,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RE
     sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     member = clusters.join(sizes, "comp").join(nodes.select(F.col("key").alias("node"), "rep", "n"), "node")
     member = member.select("comp", "parts", F.col("node").alias("key"), "rep", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
-    texts = keyed(docs.select("doc_id", "text")).where("key is not null").select(F.col("did").alias("rep"), "key", "__w")
+    texts = keyed(docs.select("doc_id", "text").where(WORDED_SQL)).select(F.col("did").alias("rep"), "key", "__w")
     texts = texts.join(member, ["rep", "key"]).select("comp", "parts", "block", "key", "n", hashed(F.col("__w")).alias("h"))
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h")
     checked = stored(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(verifier(threshold, size), "key binary, links long, hub binary"), "links")
@@ -250,8 +254,8 @@ def named(found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and n_links of each row."""
     found = stored(named(classes(docs, **options)), "classes").select("key", "links", F.col("head.rep").alias("head"))
-    rows = keyed(docs.select("doc_id", "text")).select("doc_id", "did", "key")
-    joined = rows.where("key is not null").join(found, "key").union(rows.where("key is null").select("key", "doc_id", "did", F.lit(0).cast("long"), F.col("did")))
+    rows = keyed(docs.select("doc_id", "text")).select("doc_id", "did", "key", "text")
+    joined = rows.where(WORDED_SQL).join(found, "key").drop("text").union(rows.where(f"not ({WORDED_SQL})").select("key", "doc_id", "did", F.lit(0).cast("long"), F.col("did")))
     return joined.select("doc_id", F.when(F.col("head") != LEAST, F.col("head")).alias("class_id"), F.col("links").alias("n_links"))
 
 
@@ -260,8 +264,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     found = stored(named(classes(docs, **options)), "classes")
     heads = found.where((F.col("rep") == F.col("head.rep")) & (F.col("key") == F.col("head.key"))).select(F.col("rep").alias("did"), "key")
     rows = keyed(docs).drop("__w")
-    once = rows.where("key is not null").join(heads, ["did", "key"]).dropDuplicates(["did", "key"]).select(*docs.columns)
-    return once.union(rows.where("key is null").select(*docs.columns))
+    once = rows.where(WORDED_SQL).join(heads, ["did", "key"]).dropDuplicates(["did", "key"]).select(*docs.columns)
+    return once.union(rows.where(f"not ({WORDED_SQL})").select(*docs.columns))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

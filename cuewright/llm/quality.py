@@ -4,8 +4,9 @@ raw corpus, beside plain repetition and length rules. DataFrame functions only.
 Features are hashed unigrams and bigrams of the words as they stand; counts of
 both multinomials are gathered over every document (only the trusted rows are a
 bounded sample). A document's score is the mean over its features of
-``log p_target(bucket) - log p_raw(bucket)`` in micro-nats, integers, so that
-the order of addition can't change a verdict.
+``log p_target(bucket) - log p_raw(bucket)``, both smoothed by PSEUDO counts a
+bucket, in integers of micro-nats, so that the order of addition can't change a
+verdict.
 
 Cases: null or empty text: no word, all counts 0, score 0, ``base_failed``.
 Null doc_id: kept as a row. Repeated rows: one result row each. Empty table:
@@ -26,7 +27,8 @@ BUCKETS = 1 << 16
 MAX_TARGET = 20_000
 #: Mean log ratio; between the labelled rows of good and of bad quality.
 MIN_SCORE = -0.12
-PSEUDO = 0.5
+PSEUDO = 5.0
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_score")
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 
@@ -90,34 +92,43 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_tar
         raw[at], good[at] = n, t
     if not sum(good):
         return [0] * buckets
-    of_raw, of_good = sum(raw) + PSEUDO * buckets, sum(good) + PSEUDO * buckets
-    # a bucket's own evidence, shrunk to no preference where the target has seen little
-    return [round(1e6 * math.log(((g + PSEUDO * buckets * (r + PSEUDO) / of_raw) / of_good) / ((r + PSEUDO) / of_raw))) for r, g in zip(raw, good, strict=True)]
+    # raw counts on the target's scale; PSEUDO on either side leaves rare buckets near 0
+    scale = sum(good) / sum(raw)
+    return [round(1e6 * math.log((g + PSEUDO) / (r * scale + PSEUDO))) for r, g in zip(raw, good, strict=True)]
+
+
+def measures(text: Column, ratio: Column, buckets: int, min_score: float, min_words: int, max_repeat_pct: int) -> Column:
+    """All counts and verdicts of a text in one struct: a filter on one of them
+    that Catalyst moves stays one expression, evaluated once a row."""
+    zero = F.lit(0).cast("long")
+
+    def judged(w: Column, l: Column, h: Column, g: Column, s: Column) -> Column:
+        of = lambda a, x: a + F.coalesce(F.get(ratio, bucket(x, buckets)), zero)
+        total = F.aggregate(bigrams(h), F.aggregate(h, zero, of), of)
+        counts = F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+            repeated(g, s).alias("n_repeat_words"),
+            (total / (F.greatest(F.lit(1), F.size(w) * 2 - 1) * 1e6)).alias("llr_score"),
+        )
+        return let(counts, verdict)
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < min_words) | (c["n_repeat_words"] * 100 > c["n_words"] * max_repeat_pct)
+        return F.struct(*[c[k].alias(k) for k in COUNTS], failed.alias("base_failed"), (~failed & (c["llr_score"] >= min_score)).alias("kept"))
+
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    by_window = lambda w, l, h: let(ngrams3(h), lambda g: let(sorted_windows(g), lambda s: judged(w, l, h, g, s)))
+    return let(words(text), lambda w: let(lines, lambda l: let(hashed(w), lambda h: by_window(w, l, h))))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, max_target: int = MAX_TARGET, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: its counts, llr_score, base_failed and kept."""
+    """One row a document: doc_id, ``extra`` and the fields of measures() in __m."""
     ratio = literal_array(weights(docs, trusted, buckets, max_target), "bigint")
     text = F.coalesce(F.col("text"), F.lit(""))
-    given = ["doc_id", *extra]
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    base = docs.select(*given, text.alias("__t"), words(text).alias("__w"), lines.alias("__l"))
-    base = base.select(
-        *given,
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        hashed(F.col("__w")).alias("__h"),
-    )
-    base = base.select("*", ngrams3(F.col("__h")).alias("__g")).select("*", sorted_windows(F.col("__g")).alias("__s"))
-    of = lambda a, x: a + F.coalesce(F.get(ratio, bucket(x, buckets)), F.lit(0).cast("long"))
-    total = F.aggregate(bigrams(F.col("__h")), F.aggregate("__h", F.lit(0).cast("long"), of), of)
-    counted = base.select(*given, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated(F.col("__g"), F.col("__s")).alias("n_repeat_words"), total.alias("__sum"))
-    n = F.greatest(F.lit(1), F.col("n_words") * 2 - 1)
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
-    scored = counted.withColumn("llr_score", F.col("__sum") / (n * 1e6)).withColumn("base_failed", failed)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= min_score)).drop("__sum")
+    return docs.select("doc_id", *extra, measures(text, ratio, buckets, min_score, min_words, max_repeat_pct).alias("__m"))
 
 
 def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +137,10 @@ def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), trusted_rows(spark, sf_dir))
+    return quality(table(spark, sf_dir, "documents"), trusted_rows(spark, sf_dir)).select("doc_id", "__m.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the columns of documents."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality(docs, trusted_rows(spark, sf_dir), extra=rest).where("kept").select(*docs.columns)
+    return quality(docs, trusted_rows(spark, sf_dir), extra=rest).where("__m.kept").select(*docs.columns)

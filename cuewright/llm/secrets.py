@@ -75,10 +75,9 @@ def spans_of(text: Column, pattern: str, kind: int, keep=lambda hit: F.lit(True)
 
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal law, by a rational approximation (error < 1e-7)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    q = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.greatest(F.lit(1e-15), F.when(z < 0, 1 - q).otherwise(q))
+    poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    q = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * let(1 / (1 + 0.2316419 * F.abs(z)), poly)
+    return let(q, lambda q: F.greatest(F.lit(1e-15), F.when(z < 0, 1 - q).otherwise(q)))
 
 
 def battery(token: Column) -> Column:
@@ -104,17 +103,17 @@ def battery(token: Column) -> Column:
         n, k, df, zero = s["n"], s["k"], s["k"] - 1, F.lit(0.0)
         z1 = (F.pow(F.greatest(s["chi"], zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         mu = 2 * s["u"] * (n - s["u"]) / n + 1
-        var = (mu - 1) * (mu - 2) / (n - 1)
-        z2 = F.when(var > 0, (s["r"] - mu) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(9.0)
+        z2 = let(mu, lambda m: let((m - 1) * (m - 2) / (n - 1), lambda v: F.when(v > 0, (s["r"] - m) / F.sqrt(F.greatest(v, F.lit(1e-9)))).otherwise(9.0)))
         spread = F.aggregate(s["x"], zero, lambda a, x: a + (x - s["m"]) * (x - s["m"]))
         along = F.aggregate(s["p"], zero, lambda a, p: a + (p["a"] - s["m"]) * (p["b"] - s["m"]))
-        z3 = F.when(spread > 0, (along / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(9.0)
-        p = [upper_tail(z1), F.least(F.lit(1.0), 2 * upper_tail(F.abs(z2))), F.least(F.lit(1.0), 2 * upper_tail(F.abs(z3)))]
-        half = -(F.log(p[0]) + F.log(p[1]) + F.log(p[2]))
-        p_random = F.exp(-half) * (1 + half + half * half / 2)
-        excess = k * F.when(k == 16, HEX_REPEAT).otherwise(TEXT_REPEAT) - 1
-        z = (df + (n - 1) * excess - s["chi"]) / F.sqrt(2 * df + 4 * n * excess)
-        return F.struct(p_random.alias("p_random"), upper_tail(z).alias("p_text"), n.cast("int").alias("n"))
+        z3 = let(spread, lambda v: F.when(v > 0, (along / F.greatest(v, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(9.0))
+        excess = F.when(k == 16, 16 * HEX_REPEAT - 1).otherwise(k * TEXT_REPEAT - 1)
+        z4 = let(excess, lambda e: (df + (n - 1) * e - s["chi"]) / F.sqrt(2 * df + 4 * n * e))
+        # upper tails of: chi-squared, both sides of runs, both sides of correlation, text
+        tails = F.transform(F.array(z1, F.abs(z2), F.abs(z3), z4), upper_tail)
+        logs = lambda q: F.log(F.get(q, F.lit(0))) + F.log(F.least(F.lit(1.0), 2 * F.get(q, F.lit(1)))) + F.log(F.least(F.lit(1.0), 2 * F.get(q, F.lit(2))))
+        fisher = lambda half: F.exp(-half) * (1 + half + half * half / 2)
+        return let(tails, lambda q: F.struct(let(-logs(q), fisher).alias("p_random"), F.get(q, F.lit(3)).alias("p_text"), n.cast("int").alias("n")))
 
     def chosen(base: Column) -> Column:
         first, *rest = ENCODINGS
@@ -137,7 +136,7 @@ def scanned(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8
     known = docs.select("doc_id", *extra, text.alias("__t"))
     known = known.select("*", F.array_sort(F.concat(spans_of(F.col("__t"), ASSIGN, 0, value), spans_of(F.col("__t"), ACCESS, 1), spans_of(F.col("__t"), HEX, 2))).alias("__base"), spans_of(F.col("__t"), CANDIDATE, 3, _mixed).alias("__all"))
-    free = F.filter("__all", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = let(F.col("__base"), lambda base: F.filter("__all", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     judged = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["token"].alias("token"), battery(c["token"]).alias("p")))
     return known.select("doc_id", *extra, "__t", "__base", F.when(F.size("__all") > 0, judged).alias("__cand"))
 
