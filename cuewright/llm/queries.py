@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, secrets, urlfilter
+from . import decontaminate, langid, mixing, neardup, quality, secrets, urlfilter, warc
 
 QUERIES = {
     "op3_ngram_jaccard": neardup.op3_ngram_jaccard,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
+    "op7_warc": warc.op7_warc,
+    "op8_language_id": langid.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLE_SQL = {"op4_url_filter": urlfilter.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL}
+ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op4_url_filter": urlfilter.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL}
