@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neardup, quality, secrets, urlfilter, warc
+from . import decontaminate, htmlmain, katz, langid, mixing, neardup, quality, secrets, urlfilter, warc
 
 QUERIES = {
+    "op1_katz_scores": katz.op1_katz_scores,
+    "op2_html_extraction": htmlmain.op2_html_extraction,
     "op3_ngram_jaccard": neardup.op3_ngram_jaccard,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
