@@ -1,0 +1 @@
+"""Timed text from ordered recognition data, as DataFrame functions."""
