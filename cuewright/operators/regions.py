@@ -50,16 +50,19 @@ def merged(boxes: list[tuple]) -> list[tuple]:
 def merge_boxes(boxes: DataFrame, key: list[str], times: int = 2) -> DataFrame:
     """(key, x, y, width, height): boxes of a line merged, ``times`` over. A
     frame's boxes are one group, as many as a frame shows."""
-    kinds = dict(boxes.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", region_idx int, x int, y int, width int, height int"
 
-    def of(values: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = list(rows[["x", "y", "width", "height"]].itertuples(index=False, name=None))
-        for _ in range(times):
-            found = merged(found)
-        return pd.DataFrame([(*values, i, *b) for i, b in enumerate(found)])
+    def of(frames: pd.Series) -> pd.Series:
+        out = []
+        for rows in frames:
+            found = [(b["x"], b["y"], b["width"], b["height"]) for b in rows]
+            for _ in range(times):
+                found = merged(found)
+            out.append([dict(zip(("x", "y", "width", "height"), b, strict=True)) for b in found])
+        return pd.Series(out, index=frames.index)
 
-    return boxes.groupBy(*key).applyInPandas(of, schema)
+    found = F.pandas_udf(of, "array<struct<x: int, y: int, width: int, height: int>>")
+    lists = boxes.groupBy(*key).agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("__b"))
+    return lists.select(*key, F.posexplode(found("__b")).alias("region_idx", "b")).select(*key, "region_idx", "b.*")
 
 
 def iou_pairs(boxes: DataFrame, key: list[str]) -> DataFrame:
@@ -72,15 +75,19 @@ def iou_pairs(boxes: DataFrame, key: list[str]) -> DataFrame:
 
 def assignments(costs: DataFrame, key: list[str]) -> DataFrame:
     """(key, src, dst, cost): one-to-one edges at the least total cost for each key."""
-    kinds = dict(costs.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", src int, dst int, cost int"
 
-    def of(values: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grid = rows.pivot_table(index="src", columns="dst", values="cost", aggfunc="min").sort_index().sort_index(axis=1)
-        found = assign(grid.to_numpy().astype(int).tolist())
-        return pd.DataFrame([(*values, grid.index[i], grid.columns[j], int(grid.iat[i, j])) for i, j in enumerate(found) if j >= 0], columns=[*key, "src", "dst", "cost"])
-
-    return costs.groupBy(*key).applyInPandas(of, schema)
+    def of(frames: pd.Series) -> pd.Series:
+        out = []
+        for rows in frames:
+            cost = {(r["src"], r["dst"]): r["cost"] for r in rows}
+            sources, targets = (sorted({k[i] for k in cost}) for i in (0, 1))
+            found = assign([[cost[a, b] for b in targets] for a in sources])
+            out.append([{"src": sources[i], "dst": targets[j], "cost": cost[sources[i], targets[j]]} for i, j in enumerate(found) if j >= 0])
+        return pd.Series(out, index=frames.index)
+
+    found = F.pandas_udf(of, "array<struct<src: int, dst: int, cost: int>>")
+    lists = costs.groupBy(*key).agg(F.collect_list(F.struct("src", "dst", "cost")).alias("__c"))
+    return lists.select(*key, F.explode(found("__c")).alias("e")).select(*key, "e.*")
 
 
 def unmatched(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

@@ -45,7 +45,6 @@ def match_lines(a: list[str], b: list[str], scale: float = 1000.0) -> list[int]:
     return assign([[int((np.float32(1) - _ratio(x, y)) * np.float32(scale)) for y in b] for x in a])
 
 
-@F.pandas_udf("boolean")
 def _lines_merge(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     out = []
     for x, y, t in zip(a, b, least, strict=True):
@@ -62,7 +61,7 @@ def mergeable(a: Column, b: Column, threshold: float = THRESHOLD, lines: bool =
     single = F.when(F.size(a) != F.size(b), False).when(F.size(a) == 0, True).otherwise(edit_ratio(F.get(a, F.lit(0)), F.get(b, F.lit(0))) >= least)
     if not lines:
         return F.coalesce(single, F.lit(False))
-    return F.coalesce(F.when((F.size(a) <= 1) | (F.size(b) <= 1), single).otherwise(_lines_merge(a, b, least)), F.lit(False))
+    return F.coalesce(F.when((F.size(a) <= 1) | (F.size(b) <= 1), single).otherwise(F.pandas_udf(_lines_merge, "boolean")(a, b, least)), F.lit(False))
 
 
 def islands(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) -> DataFrame:
