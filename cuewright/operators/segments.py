@@ -48,6 +48,9 @@ def match_lines(a: list[str], b: list[str], scale: float = 1000.0) -> list[int]:
 def _lines_merge(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     out = []
     for x, y, t in zip(a, b, least, strict=True):
+        if x is None or y is None:  # the first segment has none before it
+            out.append(False)
+            continue
         x, y = list(x), list(y)
         out.append(len(x) == len(y) and all(_ratio(x[i], y[j]) >= np.float32(t) for i, j in enumerate(match_lines(x, y))))
     return pd.Series(out, index=a.index)

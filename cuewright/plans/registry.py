@@ -350,7 +350,7 @@ def edit_ratio(spark, sf):
     return part.join(later, "p_partkey").select("p_partkey", F.round(T.edit_ratio(F.col("p_name"), F.col("b")).cast("double"), 5).alias("ratio"))
 
 
-IGNORED = "(select string_agg(chr(c), '') from (select unnest(range(case when l = 0 then 1 else l end, h + 1)) as c from (values " + ", ".join(f"({int(p.partition('-')[0], 16)}, {int(p.partition('-')[2] or p.partition('-')[0], 16)})" for p in T.IGNORED_RANGES.split()) + ") v(l, h)))"
+IGNORED = "(select string_agg(chr(c::int), '') from (select unnest(range(case when l = 0 then 1 else l end, h + 1)) as c from (values " + ", ".join(f"({int(p.partition('-')[0], 16)}, {int(p.partition('-')[2] or p.partition('-')[0], 16)})" for p in T.IGNORED_RANGES.split()) + ") v(l, h)))"
 
 
 @query(f"select doc_id, length(translate(text, {IGNORED}, '')) as n_significant, md5(translate(text, {IGNORED}, '')) as digest from documents")
@@ -388,9 +388,10 @@ def job_poll(spark, sf):
     return tables.poll(read(spark, sf, "events").where("event_type = 'signup'"), "event_id").select("event_id", "user_id")
 
 
-@query("select p_partkey, case upper(split_part(p_type, ' ', 1)) when 'STANDARD' then 'none' else 'none' end as codec from part")
+@query("with n as (select p_partkey, ['h264', 'hevc', 'vp8', 'mjpeg', 'other'][p_size % 5 + 1] as name from part) select p_partkey, case name when 'mjpeg' then 'JPEG' when 'other' then 'none' else upper(name) end as codec from n")
 def codec_lookup(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", tables.codec(F.split("p_type", " ")[0]).alias("codec"))
+    names = F.array(*map(F.lit, ["h264", "hevc", "vp8", "mjpeg", "other"]))
+    return read(spark, sf, "part").select("p_partkey", tables.codec(F.get(names, F.col("p_size") % 5)).alias("codec"))
 
 
 @query("with o as (select o_custkey % 4 as part, o_orderkey, o_orderkey % 1000 as ts from orders), e as (select part, max(ts) as e from o group by 1), m as (select part, coalesce(sum(e) over (order by part rows between unbounded preceding and 1 preceding), 0) as m from e) select o_orderkey, part, cast(ts + m as bigint) as ts from o join m using (part)")
