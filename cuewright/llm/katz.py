@@ -41,14 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table, words
+from .common import ascii_lower, release, stored, table, words
 from .langid import crc_mod
 
 MAX_R = 5
 #: Characters of text for each part.
-PART_CHARS = 16_000_000
-CHUNK_TOKENS = 1_500_000
+PART_CHARS = 11_000_000
+CHUNK_TOKENS = 1_000_000
 START, END = 0, 1
+MASK = (1 << 48) - 1
+UNIT = float(1 << 24)
 ROW = "part int, kind string, chunk long, data binary"
 
 
@@ -61,11 +63,20 @@ def unpacked(data: bytes) -> tuple:
 
 
 def split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit keys as differences modulo 2**48, which pack well where they are
+    sorted in runs."""
+    x = np.diff(x, prepend=np.int64(0)) & MASK
     return (x & 0xFFFFFFFF).astype(np.uint32), (x >> 32).astype(np.uint16)
 
 
 def join48(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.int64) | high.astype(np.int64) << 32
+    return np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 32) & MASK
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    """Sums of logarithms in units of 2**-24, which pack better than floats and
+    add up the same in any order."""
+    return np.rint(x * UNIT).astype(np.int64)
 
 
 def part_of(w: np.ndarray, parts: int) -> np.ndarray:
@@ -186,7 +197,7 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
         own -= np.where((w > 0) & (b[occurs] != END), log10(w), 0)
         there = np.flatnonzero(np.bincount(doc, minlength=n))
         made = [total(log10(w + 0.1)), total(own)], [total((w > 0).astype(float)), *[total((r == k).astype(float)) for k in range(1, MAX_R + 1)]]
-        out.append((p, "sums", chunk, packed(there, np.stack(made[0])[:, there], np.stack(made[1])[:, there].astype(np.int32))))
+        out.append((p, "sums", chunk, packed(there.astype(np.int32), fixed(np.stack(made[0])[:, there]), np.stack(made[1])[:, there].astype(np.int32))))
         lack = r == 0
         if lack.any():
             v, sort = a[occurs][lack], np.argsort(a[occurs][lack], kind="stable")
@@ -266,18 +277,19 @@ def backed_off(p: int, rows: pd.DataFrame, d: Discounts) -> list[tuple]:
         own = np.where(there, log10(a[at]) + log10(counts[at]), 0) + log10(d.low(w))
         n = int(doc.max()) + 1
         some = np.flatnonzero(np.bincount(doc, minlength=n))
-        out.append((p, "sums", chunk, packed(some, np.stack([np.zeros(n), np.bincount(doc, own, n)])[:, some], np.zeros((MAX_R + 1, len(some)), np.int32))))
+        out.append((p, "sums", chunk, packed(some.astype(np.int32), fixed(np.stack([np.zeros(n), np.bincount(doc, own, n)])[:, some]), np.zeros((MAX_R + 1, len(some)), np.int32))))
     return out
 
 
 def summed(rows: pd.DataFrame, d: Discounts) -> pd.DataFrame:
     """The result rows of a chunk."""
     ids, null, held, lengths = unpacked(rows[rows["kind"] == "documents"]["data"].iloc[0])
-    real, whole = np.zeros((2, len(ids))), np.zeros((MAX_R + 1, len(ids)), np.int64)
+    real, whole = np.zeros((2, len(ids)), np.int64), np.zeros((MAX_R + 1, len(ids)), np.int64)
     for data in rows[rows["kind"] == "sums"]["data"]:
         at, x, y = unpacked(data)
         real[:, at] += x
         whole[:, at] += y
+    real = real / UNIT
     score = real[1] + (log10(d.d2[1:])[:, None] * whole[1:]).sum(0)
     score -= log10(d.texts) if d.texts else 0  # the start mark, as every text's first context
     base = real[0] - lengths * np.log10(d.tokens + 0.1 * (d.words + 1))
@@ -304,6 +316,8 @@ def train_and_score(docs: DataFrame, held_out: Column, parts: int | None = None)
     chunks = hashed.mapInArrow(chunker(parts), ROW)
     model = chunks.groupBy("part").applyInPandas(grouped(lambda p, rows: merged(p, rows, parts)), ROW)
     model = stored(model, "katz-model")
+    del hashed, chunks
+    release(docs.sparkSession)
     d = Discounts([r["data"] for r in model.where("kind = 'counts'").collect()])  # a row of a few numbers for each part
     asked = model.where("kind in ('unigram-table', 'contexts', 'backoffs')")
     more = asked.groupBy("part").applyInPandas(grouped(lambda p, rows: backed_off(p, rows, d)), ROW)
