@@ -185,7 +185,7 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
         sums = sums.astype(np.int32) if sums.max() < 1 << 31 else sums
         out += dealt(parts, "contexts", -1, ctx[starts], sums)
     # sums of each document
-    start = 0
+    start, lacking = 0, []
     for chunk, x in chunks:
         entry = where[start : start + len(x[0])]
         start += len(x[0])
@@ -198,19 +198,24 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
         there = np.flatnonzero(np.bincount(doc, minlength=n))
         made = [total(log10(w + 0.1)), total(own)], [total((w > 0).astype(float)), *[total((r == k).astype(float)) for k in range(1, MAX_R + 1)]]
         out.append((p, "sums", chunk, packed(there.astype(np.int32), fixed(np.stack(made[0])[:, there]), np.stack(made[1])[:, there].astype(np.int32))))
-        lack = r == 0
-        if lack.any():
-            v, sort = a[occurs][lack], np.argsort(a[occurs][lack], kind="stable")
-            out += dealt(parts, "backoffs", chunk, v[sort], np.stack([doc[lack][sort], w[lack][sort]]))
+        if (lack := r == 0).any():
+            lacking.append((a[occurs][lack], np.full(lack.sum(), chunk), doc[lack], w[lack]))
+    if lacking:
+        v, *rest = (np.concatenate(x) for x in zip(*lacking, strict=True))
+        sort = np.lexsort((rest[0], v))
+        out += dealt(parts, "backoffs", -1, v[sort], np.stack(rest)[:, sort])
     return out
 
 
 def dealt(parts: int, kind: str, chunk: int, keys: np.ndarray, values: np.ndarray) -> list[tuple]:
-    """Columns of ``values`` by sorted key, sent to the keys' parts."""
+    """Columns of ``values`` by sorted key, sent to the keys' parts: a row for
+    each part that gets any, whatever the number of chunks."""
     part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
     out = []
-    for p in np.unique(part):
-        at = part == p
+    for p in np.flatnonzero(np.diff(cuts)):
+        at = order[cuts[p] : cuts[p + 1]]
         out.append((int(p), kind, chunk, packed(steps(keys[at]), values[:, at])))
     return out
 
@@ -269,15 +274,20 @@ def backed_off(p: int, rows: pd.DataFrame, d: Discounts) -> list[tuple]:
         at = np.searchsorted(words, np.cumsum(keys))
         sums[:, at] += values  # a part names a context once
     a = np.where(counts > 0, weights(sums, np.maximum(counts, 1), d), 1.0)
+    v = np.concatenate([np.cumsum(keys) for _, (keys, _) in wanted])
+    chunk, doc, w = np.concatenate([values for _, (_, values) in wanted], axis=1)
+    at = np.minimum(np.searchsorted(words, v), len(words) - 1)
+    there = (words[at] == v) & (counts[at] > 0)
+    own = np.where(there, log10(a[at]) + log10(counts[at]), 0) + log10(d.low(w))
+    order = np.lexsort((doc, chunk))
+    chunk, doc, own = chunk[order], doc[order], own[order]
+    new = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])])
+    total, chunk, doc = np.add.reduceat(own, new), chunk[new], doc[new]
+    cuts = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)]
     out = []
-    for chunk, (keys, (doc, w)) in wanted:
-        v = np.cumsum(keys)
-        at = np.minimum(np.searchsorted(words, v), len(words) - 1)
-        there = (words[at] == v) & (counts[at] > 0)
-        own = np.where(there, log10(a[at]) + log10(counts[at]), 0) + log10(d.low(w))
-        n = int(doc.max()) + 1
-        some = np.flatnonzero(np.bincount(doc, minlength=n))
-        out.append((p, "sums", chunk, packed(some.astype(np.int32), fixed(np.stack([np.zeros(n), np.bincount(doc, own, n)])[:, some]), np.zeros((MAX_R + 1, len(some)), np.int32))))
+    for lo, hi in zip(cuts, cuts[1:]):
+        sums = fixed(np.stack([np.zeros(hi - lo), total[lo:hi]]))
+        out.append((p, "sums", int(chunk[lo]), packed(doc[lo:hi].astype(np.int32), sums, np.zeros((MAX_R + 1, hi - lo), np.int32))))
     return out
 
 
