@@ -144,8 +144,9 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -
                     np.add.at(sums, ngrams(w, buckets), c)
                     scripts[script_of(w)] += c * len(w)
                 at = np.flatnonzero(sums)
-                yield pd.DataFrame({"lang": lang, "kind": "", "bucket": at, "n": sums[at]})
-                yield pd.DataFrame({"lang": lang, "kind": list(scripts), "bucket": -1, "n": list(scripts.values())})
+                made = [(lang, "", int(b), int(sums[b])) for b in at] + [(lang, k, -1, c) for k, c in scripts.items()]
+                if made:
+                    yield pd.DataFrame(made, columns=["lang", "kind", "bucket", "n"])
 
     got = sample.mapInPandas(counted, "lang string, kind string, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in got})
