@@ -30,6 +30,7 @@ table: empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -46,7 +47,7 @@ from .langid import crc_mod
 
 MAX_R = 5
 #: Characters of text for each part.
-PART_CHARS = 11_000_000
+PART_CHARS = 8_000_000
 CHUNK_TOKENS = 1_000_000
 START, END = 0, 1
 MASK = (1 << 48) - 1
@@ -62,6 +63,14 @@ def unpacked(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def trim() -> None:
+    """Gives a worker's freed memory back to the machine; else it is kept for the
+    next task, beside the executor's own."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """48-bit keys as differences modulo 2**48, which pack well where they are
     sorted in runs."""
@@ -138,10 +147,13 @@ def chunker(parts: int):
                 if held and n + len(h) > CHUNK_TOKENS:
                     yield from out()
                     chunk, held, n = chunk + 1, [], 0
+                    trim()
                 held.append((ids[i], flags[i], h.copy()))
                 n += len(h) + 1
         if held:
             yield from out()
+        del held
+        trim()
 
     return run
 
@@ -157,6 +169,7 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
     counts = np.concatenate([x[3] for _, x in chunks]).astype(np.int64)
     order = np.lexsort((first, second))
     b, a = second[order], first[order]
+    del second, first
     new_word = np.r_[True, b[1:] != b[:-1]]
     new = new_word | np.r_[True, a[1:] != a[:-1]]
     at = np.flatnonzero(new)
@@ -167,6 +180,7 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
     cw = np.add.reduceat(c, word_at)
     where = np.empty(len(order), np.int64)
     where[order] = np.cumsum(new) - 1
+    del counts, order, new, new_word
     # the model's tables
     seen, known = c > 0, cw > 0
     out.append((p, "unigram-table", -1, packed(steps(b[word_at][known]), cw[known])))
@@ -184,9 +198,12 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
         sums = np.stack(sums)
         sums = sums.astype(np.int32) if sums.max() < 1 << 31 else sums
         out += dealt(parts, "contexts", -1, ctx[starts], sums)
+    del by, ctx, r, low
     # sums of each document
     start, lacking = 0, []
-    for chunk, x in chunks:
+    chunks.reverse()
+    while chunks:
+        chunk, x = chunks.pop()
         entry = where[start : start + len(x[0])]
         start += len(x[0])
         occurs = np.repeat(entry, x[4])
@@ -311,7 +328,13 @@ def summed(rows: pd.DataFrame, d: Discounts) -> pd.DataFrame:
 def grouped(made):
     """For applyInPandas; ``made(part, rows)`` returns tuples of ROW."""
     columns = [x.split()[0] for x in ROW.split(", ")]
-    return lambda key, rows: pd.DataFrame(made(int(key[0]), rows), columns=columns)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(made(int(key[0]), rows), columns=columns)
+        trim()
+        return out
+
+    return run
 
 
 def train_and_score(docs: DataFrame, held_out: Column, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
