@@ -30,7 +30,6 @@ table: empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, release, stored, table, words
+from .common import ascii_lower, release, stored, table, trim, words
 from .langid import crc_mod
 
 MAX_R = 5
@@ -63,14 +62,6 @@ def unpacked(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def trim() -> None:
-    """Gives a worker's freed memory back to the machine; else it is kept for the
-    next task, beside the executor's own."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """48-bit keys as differences modulo 2**48, which pack well where they are
     sorted in runs."""

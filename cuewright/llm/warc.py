@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, table
+from .common import shared_path, stored, table, trim
 
 MIN_REVISIT = 0
 BLOCK_LINES = 1000
@@ -141,6 +141,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
                 page_id, first = (None if pd.isna(x) else int(x) for x in (page_id, first))
                 place = archive.write(record(page_id, url, html.encode("utf-8", "surrogatepass"), None if first == page_id else first))
                 done.append((page_id, url, url_key(url), *place))
+            del batch
+            trim()
         archive.close()  # before any capture is told of
         made = pd.DataFrame(done, columns=[x.split()[0] for x in CAPTURES.split(", ")])
         yield made.astype({"page_id": "Int64"})
@@ -211,6 +213,7 @@ def read_back(directory: DataFrame) -> DataFrame:
                     out.append((ids[0], told, digest, fields["WARC-Type"], ids[1]))
                 made = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                trim()
 
     spread = directory.select("file", "offset", "length").repartition(F.col("file"), F.col("offset"))
     return spread.mapInPandas(read, schema)
