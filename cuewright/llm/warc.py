@@ -37,6 +37,8 @@ from .common import shared_path, stored, table, trim
 MIN_REVISIT = 0
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 256 << 20
+#: Index blocks that a task reads back, at least.
+READ_BLOCKS = 16
 CAPTURES = "page_id long, url string, key string, file string, offset long, length long"
 DIRECTORY = "key string, file string, offset long, length long, n int"
 
@@ -215,7 +217,9 @@ def read_back(directory: DataFrame) -> DataFrame:
                 yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
                 trim()
 
-    spread = directory.select("file", "offset", "length").repartition(F.col("file"), F.col("offset"))
+    # by number: the directory is small, and joined partitions would be one task
+    parts = max(1, directory.count() // READ_BLOCKS)
+    spread = directory.select("file", "offset", "length").repartition(parts, "file", "offset")
     return spread.mapInPandas(read, schema)
 
 
