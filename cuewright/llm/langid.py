@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,6 +42,10 @@ OTHER_SCRIPT = -40.0
 SCRIPT_SHARE = 0.02
 #: Words in a run of Viterbi, and words whose scores a worker remembers.
 RUN_WORDS, CACHE_WORDS = 1_000_000, 400_000
+#: Words scored at once, times languages.
+SCORED = 1 << 14
+#: An odd number of 64 bits that mixes code points.
+HASH = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code point of each range, and its script.
 RANGES = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x30000, "other"))
@@ -53,14 +56,29 @@ def script_of(word: str) -> str:
     return RANGES[bisect.bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
-def ngrams(word: str, buckets: int = BUCKETS) -> list[int]:
-    w = f"^{word}$"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % buckets for n in ORDERS for i in range(len(w) - n + 1)]
+def grams(words: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order, the bucket of the n-gram at each place of the words with their
+    ends, ``buckets`` where a word has none, and each word's first place."""
+    text = "".join([f"^{w}$" for w in words])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    starts = np.r_[0, ends[:-1]]
+    left = np.repeat(ends, ends - starts) - np.arange(len(points))
+    for n in ORDERS:
+        h = np.full(len(points) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = h * HASH + points[k : len(points) - n + 1 + k]
+        found = np.full(len(points), buckets, np.int64)
+        found[: len(h)] = (h * HASH >> np.uint64(32)) % np.uint64(buckets)
+        found[left < n] = buckets
+        yield found, starts
 
 
 class Model:
     def __init__(self, langs: list[str], logs: np.ndarray, scripts: dict[str, set[str]]) -> None:
+        """``logs``: buckets by languages, and a last row of zeros."""
         self.langs, self.logs, self.scripts = langs, logs, scripts
+        self.fits = np.array([[script in scripts[x] for x in langs] for _, script in RANGES], bool).reshape(len(RANGES), len(langs))
         self.known: dict[str, int] = {}
         self.rows = np.empty((1024, len(langs)), np.float32)
 
@@ -70,22 +88,27 @@ class Model:
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
-    def score(self, word: str) -> np.ndarray:
-        out = self.logs[ngrams(word, len(self.logs))].sum(0)
-        script = script_of(word)
-        fits = np.array([script in self.scripts[x] for x in self.langs])
-        return np.where(fits, out, out.max() + OTHER_SCRIPT) if fits.any() else np.zeros(len(self.langs), np.float32)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Words by languages."""
+        out = sum(np.add.reduceat(self.logs[found], starts, axis=0) for found, starts in grams(words, len(self.logs) - 1))
+        first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+        fits = self.fits[np.searchsorted(_STARTS, first, side="right") - 1]
+        out = np.where(fits, out, out.max(1, keepdims=True) + OTHER_SCRIPT)
+        return np.where(fits.any(1, keepdims=True), out, 0)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Row of each word in ``rows``; forgets all before a run if it is full."""
         known = self.known
         got = list(map(known.get, words))
         if None in got:
-            for w in set(words).difference(known):
-                if len(known) == len(self.rows):
+            fresh = list(set(words).difference(known))
+            step = max(16, SCORED // len(self.langs))
+            for i in range(0, len(fresh), step):
+                some, n = fresh[i : i + step], len(known)
+                while n + len(some) > len(self.rows):
                     self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                self.rows[len(known)] = self.score(w)
-                known[w] = len(known)
+                self.rows[n : n + len(some)] = self.scores(some)
+                known.update(zip(some, range(n, n + len(some)), strict=True))
             got = list(map(known.__getitem__, words))
         return np.array(got, np.int32)
 
@@ -140,8 +163,13 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -
                 for text in texts:
                     words.update(LETTERS.findall(text.lower()))
                 sums, scripts = np.zeros(buckets, np.int64), Counter()
-                for w, c in words.items():
-                    np.add.at(sums, ngrams(w, buckets), c)
+                listed = list(words.items())
+                for i in range(0, len(listed), SCORED):
+                    some, counts = zip(*listed[i : i + SCORED], strict=True)
+                    for found, starts in grams(some, buckets):
+                        sizes = np.diff(np.r_[starts, len(found)])
+                        sums += np.bincount(found, np.repeat(counts, sizes), buckets + 1)[:buckets].astype(np.int64)
+                for w, c in listed:
                     scripts[script_of(w)] += c * len(w)
                 at = np.flatnonzero(sums)
                 made = [(lang, "", int(b), int(sums[b])) for b in at] + [(lang, k, -1, c) for k, c in scripts.items()]
@@ -159,7 +187,7 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -
         else:
             sums[r["bucket"], langs.index(r["lang"])] = r["n"]
     logs = np.log((sums + SMOOTHING) / (sums.sum(0) + SMOOTHING * buckets)).astype(np.float32)
-    return Model(langs, logs, {x: {s for s, c in letters[x].items() if c >= SCRIPT_SHARE * sum(letters[x].values())} for x in langs})
+    return Model(langs, np.r_[logs, np.zeros((1, len(langs)), np.float32)], {x: {s for s, c in letters[x].items() if c >= SCRIPT_SHARE * sum(letters[x].values())} for x in langs})
 
 
 def _runs(texts: list[str | None]) -> Iterator[list[tuple[int, list]]]:
