@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from cuewright.functions import geometry as G
 from cuewright.functions import pixels as P
 from cuewright.functions import text as T
-from cuewright.operators import ctc, frames, regions
+from cuewright import streaming
+from cuewright.operators import ctc, frames, models, regions
 from cuewright.operators import segments as S
 from cuewright.sources import flv, mp4, tables
 
@@ -35,10 +36,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
+def timed(rows: DataFrame) -> DataFrame:
     text = F.concat("event_type", F.lit(" "), F.regexp_extract("props", "([0-9]+)", 1))
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") - EPOCH
-    return S.with_end(read(spark, sf, "events").select(F.col("user_id").alias("video_id"), ms.alias("time_ms"), F.array(text).alias("texts")))
+    return rows.select(F.col("user_id").alias("video_id"), ms.alias("time_ms"), F.array(text).alias("texts"))
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return S.with_end(timed(read(spark, sf, "events")))
 
 
 def flat(segs: DataFrame) -> DataFrame:
@@ -238,7 +243,7 @@ def component_label(spark, sf):
 
 @query()
 def track_assignment(spark, sf):
-    b = boxes(spark, sf).where("region_idx < 6").select((F.col("l_orderkey") % 500).alias("video_id"), F.col("l_orderkey").alias("seq"), "region_idx", "box")
+    b = boxes(spark, sf).select((F.col("l_orderkey") % 500).alias("video_id"), F.col("l_orderkey").alias("seq"), "region_idx", "box")
     w = Window.partitionBy("video_id").orderBy("seq")
     b = b.withColumn("seq", F.dense_rank().over(w).cast("long"))
     costs = regions.iou_pairs(b, ["video_id"]).withColumn("cost", T.match_cost(F.col("iou")))
@@ -247,7 +252,7 @@ def track_assignment(spark, sf):
 
 @query()
 def track_ids(spark, sf):
-    b = boxes(spark, sf).where("region_idx < 6").select((F.col("l_orderkey") % 500).alias("video_id"), F.col("l_orderkey").alias("seq"), F.col("region_idx").cast("int").alias("region_idx"))
+    b = boxes(spark, sf).select((F.col("l_orderkey") % 500).alias("video_id"), F.col("l_orderkey").alias("seq"), F.col("region_idx").cast("int").alias("region_idx"))
     b = b.withColumn("seq", F.dense_rank().over(Window.partitionBy("video_id").orderBy("seq")).cast("long"))
     return regions.tracks(b, track_assignment(spark, sf), ["video_id"])
 
@@ -458,3 +463,107 @@ def image_kernels(spark, sf):
         return pd.DataFrame(out, columns=["rgb", "blurred", "region"])
 
     return read(spark, sf, "embeddings").select("vec_id", of("embedding").alias("k")).select("vec_id", "k.*")
+
+
+OPEN = SEGMENTS.replace("select v, t, x from e union all select v, max(t) + 60000, null from e group by v", "select v, t, x from e")
+
+
+@query("with " + OPEN + " " + FLAT + "s")
+def stream_segments(spark, sf):
+    """Segments that events close, from a stream of the files; without end events
+    each video's last one stays open."""
+    # a pattern: as a plain path, a single file would have to be a folder
+    source = streaming.file_stream(spark, f"{sf}/events.parque[t]", read(spark, sf, "events").schema, 1_000_000)
+    return flat(streaming.run_to_files(streaming.segments(timed(source))))
+
+
+@query("with " + BOXES + " select a.l_orderkey, a.region_idx as src, c.region_idx as dst, a.x <= c.x and c.x + c.w <= a.x + a.w and a.y <= c.y and c.y + c.h <= a.y + a.h as inside from b a join b c on a.l_orderkey = c.l_orderkey and a.region_idx <> c.region_idx")
+def box_contains(spark, sf):
+    b = boxes(spark, sf)
+    both = b.select("l_orderkey", F.col("region_idx").alias("src"), F.col("box").alias("a")).join(b.select("l_orderkey", F.col("region_idx").alias("dst"), F.col("box").alias("c")), "l_orderkey").where("src <> dst")
+    return both.select("l_orderkey", "src", "dst", G.contains(F.col("a"), F.col("c")).alias("inside"))
+
+
+@query("""with f as (select *, l_orderkey % 500 as v, dense_rank() over (partition by l_orderkey % 500 order by l_orderkey) as seq from (with """ + BOXES + """ select * from b)),
+p as (select a.v, a.seq, cast(a.region_idx as int) as src, cast(c.region_idx as int) as dst, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x) + 1) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y) + 1) as i, a.w * a.h + c.w * c.h as s from f a join f c on a.v = c.v and a.seq + 1 = c.seq),
+c as (select v, seq, src, dst, cast(trunc((1.0::float - cast(case when s - i <= 0 then case when i > 0 then 1.0::double else 0 end else least(1.0::double, i::double / (s - i)) end as float)) * 1000.0::float) as int) as cost from p),
+n as (select v, seq, max(src) + 1 as m, max(dst) + 1 as n from c group by 1, 2),
+d as (select v, seq, src, cast(1 << dst as int) as bit, 1 as k, cost from c union all select v, seq, cast(unnest(range(m)) as int), 0, 0, 0 from n where m > n),
+w as (with recursive r as (select v, seq, 0 as pos, 0 as mask, 0 as k, 0 as cost from n union all select r.v, r.seq, r.pos + 1, r.mask | d.bit, r.k + d.k, r.cost + d.cost from r join d on r.v = d.v and r.seq = d.seq and r.pos = d.src where r.mask & d.bit = 0) select * from r)
+select v as video_id, seq, cast(min(cost) as bigint) as cost from w join n using (v, seq) where pos = m and w.k = least(m, n) group by 1, 2""")
+def assignment_cost(spark, sf):
+    return track_assignment(spark, sf).groupBy("video_id", "seq").agg(F.sum("cost").alias("cost"))
+
+
+@query("with n as (select p_partkey, ['YUV420', 'YUV444', 'YUV420P10LE', 'YUV444P12LE'][p_size % 4 + 1] as code from part) select p_partkey, code, case when code like '%10LE' then 10 when code like '%12LE' then 12 else 8 end as bits, case when code like '%LE' then 2 else 1 end as bytes, case when code like '%444%' then 2 else 1 end as planes from n")
+def chroma_props(spark, sf):
+    code = F.get(F.array(*map(F.lit, ["YUV420", "YUV444", "YUV420P10LE", "YUV444P12LE"])), F.col("p_size") % 4)
+    return read(spark, sf, "part").select("p_partkey", code.alias("code")).select("*", P.chroma(F.col("code")).alias("c")).select("p_partkey", "code", "c.*")
+
+
+BYTES = "y as (select vec_id, list_transform(embedding, lambda e: greatest(0, least(255, cast(floor((cast(e as double) + 1) * 127.5) as int)))) as b from embeddings)"
+
+
+def images(spark, sf, kind, of):
+    """A pandas function of the bytes of each embedding as an 8 x 8 image."""
+
+    @F.pandas_udf(kind)
+    def found(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(np.clip(np.floor((np.asarray(v, float) + 1) * 127.5), 0, 255).astype(np.uint8)) for v in x], index=x.index)
+
+    return read(spark, sf, "embeddings").select("vec_id", found("embedding").alias("k")).select("vec_id", "k.*")
+
+
+@query("with " + BYTES + """, t as (select i, cast(trunc(i::float / 15::float * 7::float + 0.5::float) as int) as p from range(16) t(i)),
+s as (select vec_id, b[r.p * 8 + c.p + 1]::float as y, (b[r.p // 2 * 8 + c.p // 2 * 2 + 1] - 128)::float as u, (b[r.p // 2 * 8 + c.p // 2 * 2 + 2] - 128)::float as v from y, t r, t c)
+select vec_id, cast(sum(trunc(greatest(0::float, least(255::float, y + 1.402::float * v)))) as bigint) as r, cast(sum(trunc(greatest(0::float, least(255::float, y - 0.34414::float * u - 0.71414::float * v)))) as bigint) as g, cast(sum(trunc(greatest(0::float, least(255::float, y + 1.772::float * u)))) as bigint) as b from s group by 1""")
+def nv12_resample(spark, sf):
+    """Sums of the planes of small images, resampled to twice their size."""
+
+    def of(b):
+        return dict(zip("rgb", P.nv12_to_rgb(np.concatenate([b, b[:32]]), 8, 8, 16, 16, 32, 32).astype(int).sum((1, 2)), strict=True))
+
+    return images(spark, sf, "struct<r: long, g: long, b: long>", of)
+
+
+@query("with " + BYTES + """, h as (select vec_id, sum(b[(2 + i * 4 // 32) * 8 + 1 + j * 5 // 40 + 1] * ((i * 64 + j) % 97)) as s from y, range(32) r(i), range(40) c(j) group by 1),
+w as (select vec_id, sum(b[(2 + i * 4 // 26) * 8 + 1 + j * 5 // 32 + 1] * (((i + 3) * 32 + j) % 97)) as s from y, range(26) r(i), range(32) c(j) group by 1)
+select vec_id, cast(h.s as bigint) as high, cast(w.s as bigint) as wide from h join w using (vec_id)""")
+def region_resize(spark, sf):
+    """Weighted sums of a region that is filled on the right, and of one too wide."""
+
+    def of(b):
+        high, wide = (P.region(b.reshape(1, 8, 8), 1, 2, 5, 4, w).astype(int).ravel() for w in (64, 32))
+        return {"high": int((high * (np.arange(len(high)) % 97)).sum()), "wide": int((wide * (np.arange(len(wide)) % 97)).sum())}
+
+    return images(spark, sf, "struct<high: long, wide: long>", of)
+
+
+def strips(spark, sf, height, width):
+    return read(spark, sf, "embeddings").select("vec_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.slice("embedding", 1, 3 * height * width).alias("px"))
+
+
+@query("select vec_id, p as pos, round(greatest(embedding[i], embedding[i + 16], embedding[i + 32])::double, 6) as text, round(least(embedding[i], embedding[i + 16], embedding[i + 32])::double, 6) as link from embeddings, (select p, p // 2 * 8 + p % 2 * 2 + 1 as i from range(4) t(p))")
+def detector_stub(spark, sf):
+    """The detector's place, taken by the most and the least of the planes."""
+    found = models.detect(strips(spark, sf, 4, 4), ["vec_id"], lambda: lambda x: (x.max(1)[:, ::2, ::2], x.min(1)[:, ::2, ::2]))
+    each = found.select("vec_id", F.posexplode(F.arrays_zip("text", "link")).alias("pos", "s"))
+    return each.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("s.text").cast("double"), 6).alias("text"), F.round(F.col("s.link").cast("double"), 6).alias("link"))
+
+
+@query("with p as (select vec_id, s as step, k as symbol, embedding[k * 8 + s + 1] as e from embeddings, range(8) t(s), range(6) u(k)), r as (select *, row_number() over (partition by vec_id, step order by e desc, symbol) as rank from p) select vec_id, step, rank, symbol, round(e::double, 6) as prob from r where rank <= 5")
+def recogniser_stub(spark, sf):
+    """The recogniser's place: each column's values are the scores of its symbols."""
+
+    def load():
+        def of(x):
+            scores = x.reshape(len(x), 6, 8).transpose(0, 2, 1)
+            best = np.argsort(-scores, axis=2, kind="stable")[:, :, :5]
+            return np.take_along_axis(scores, best, 2), best
+
+        return of
+
+    found = models.recognise(strips(spark, sf, 2, 8), ["vec_id"], load)
+    steps = found.select("vec_id", F.posexplode(F.arrays_zip("probs", "symbols")).alias("step", "s"))
+    each = steps.select("vec_id", "step", F.posexplode(F.arrays_zip("s.probs", "s.symbols")).alias("rank", "r"))
+    return each.select("vec_id", F.col("step").cast("long").alias("step"), (F.col("rank") + 1).cast("long").alias("rank"), F.col("r.symbols").cast("long").alias("symbol"), F.round(F.col("r.probs").cast("double"), 6).alias("prob"))

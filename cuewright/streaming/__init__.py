@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +40,17 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """All that the source has now, written as Parquet below spark.checkpoint.dir
+    (a temporary folder where that is unset, as in tests) and read again."""
+    spark = stream.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuewright-")
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def per_minute(events: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Events a minute and their rate a second."""
     counts = events.withWatermark(ts, late).groupBy(F.window(ts, "1 minute")).agg(F.count("*").alias("frames"))

@@ -10,7 +10,7 @@ from cuewright import streaming
 from cuewright.functions import geometry as G
 from cuewright.functions import pixels as P
 from cuewright.functions import text as T
-from cuewright.operators import ctc, regions
+from cuewright.operators import ctc, models, regions
 from cuewright.operators import segments as S
 from cuewright.operators.assign import assign
 from cuewright.plans import registry
@@ -153,3 +153,21 @@ def test_symbol_tables(spark, tmp_path):
         tables.bigrams(spark, str(tmp_path / "c.txt")).collect()
     rows = spark.createDataFrame([(1, 0, "1080p", "x"), (1, 1, "360p", "y"), (2, 0, "720p", "z")], "v int, pos int, quality string, url string")
     assert {tuple(r) for r in tables.resolution(rows, "v").collect()} == {(1, "y"), (2, "z")}
+
+
+def test_models_in_batches_of_one_shape(spark):
+    rows = [(i, 2, 4 if i % 3 else 2, [float(i)] * (24 if i % 3 else 12)) for i in range(11)]
+    frames = spark.createDataFrame(rows, "id int, height int, width int, px array<float>").coalesce(1)
+
+    def load():
+        def of(x):
+            assert x.shape[:3] == (4, 3, 2)
+            return x[:, 0], x[:, 1] * 2
+
+        return of
+
+    got = {r.id: (r.text, r.link) for r in models.detect(frames, ["id"], load, 4).collect()}
+    assert got == {i: ([float(i)] * 2 * w, [2.0 * i] * 2 * w) for i, _, w, _ in rows}
+    best = models.recognise(frames, ["id"], lambda: lambda x: (x[:, 0], (x[:, 0] + 1).astype(int)), 16)
+    assert {r.id: r.symbols[0][0] for r in best.collect()} == {i: i + 1 for i in range(11)}
+    assert models.detect(frames.limit(0), ["id"], load, 4).collect() == []
