@@ -120,7 +120,7 @@ def cues(segs: DataFrame) -> DataFrame:
     """Numbered from 0 in each video; empty segments take no number."""
     w = Window.partitionBy("video_id").orderBy("start_ms", "end_ms")
     full = segs.where(F.size("texts") > 0)
-    return full.select("video_id", (F.row_number().over(w) - 1).alias("cue_id"), time_string(F.col("start_ms")).alias("start"), time_string(F.col("end_ms")).alias("end"), F.array_join("texts", "\n").alias("body"))
+    return full.select("video_id", (F.row_number().over(w) - 1).cast("long").alias("cue_id"), time_string(F.col("start_ms")).alias("start"), time_string(F.col("end_ms")).alias("end"), F.array_join("texts", "\n").alias("body"))
 
 
 def document(found: DataFrame) -> DataFrame:

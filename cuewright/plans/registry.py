@@ -53,7 +53,7 @@ def flat(segs: DataFrame) -> DataFrame:
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     own = G.box(F.col("l_partkey") % 600, F.col("l_suppkey") % 300, F.col("l_quantity") + 8, F.col("l_linenumber") * 4 + 8)
-    return read(spark, sf, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).alias("region_idx"), own.alias("box"))
+    return read(spark, sf, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).cast("long").alias("region_idx"), own.alias("box"))
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,7 +309,7 @@ def ctc_greedy(spark, sf):
 @query("with p as (select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as idx from embeddings), r as (select *, row_number() over (partition by vec_id order by e desc, idx) as rank from p) select vec_id, idx, rank from r where rank <= 5")
 def topk_symbols(spark, sf):
     rows = read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "e"))
-    return ctc.top_k(rows, ["vec_id"], "e").select("vec_id", F.col("idx").cast("long").alias("idx"), "rank")
+    return ctc.top_k(rows, ["vec_id"], "e").select("vec_id", F.col("idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
