@@ -232,3 +232,19 @@ def test_pipeline_keeps_columns_and_drops_copies(spark, docs):
         kept = stage(spark, kept, SF)
         assert kept.columns == docs.columns
     assert 0 < kept.count() < docs.count()
+
+
+def test_grams_and_scores_do_not_depend_on_the_batch():
+    words, buckets = ["a", "été", "wörter", "x" * 5000, "日本"], 97
+    together = list(langid.grams(words, buckets))
+    for n, (found, starts) in zip(langid.ORDERS, together, strict=True):
+        for w, start in zip(words, starts, strict=True):
+            alone = found[start : start + len(w) + 2]
+            assert (alone == next(x for i, x in enumerate(langid.grams([w], buckets)) if langid.ORDERS[i] == n)[0]).all()
+            assert (alone < buckets).sum() == max(0, len(w) + 3 - n)
+    logs = [[-1.0 - i % 7, -2.0 - i % 5] for i in range(buckets)] + [[0.0, 0.0]]
+    model = langid.Model(["de", "en"], langid.np.array(logs, "f4"), {"de": {"latin"}, "en": {"latin", "han"}})
+    for w, row in zip(words, model.scores(words), strict=True):
+        own = [sum(logs[b][k] for found, _ in langid.grams([w], buckets) for b in found) for k in (0, 1)]
+        want = own if w != "日本" else [max(own) + langid.OTHER_SCRIPT, own[1]]
+        assert [float(x) for x in row] == pytest.approx(want, rel=1e-4)
