@@ -567,3 +567,30 @@ def recogniser_stub(spark, sf):
     steps = found.select("vec_id", F.posexplode(F.arrays_zip("probs", "symbols")).alias("step", "s"))
     each = steps.select("vec_id", "step", F.posexplode(F.arrays_zip("s.probs", "s.symbols")).alias("rank", "r"))
     return each.select("vec_id", F.col("step").cast("long").alias("step"), (F.col("rank") + 1).cast("long").alias("rank"), F.col("r.symbols").cast("long").alias("symbol"), F.round(F.col("r.probs").cast("double"), 6).alias("prob"))
+
+
+@query("with " + BOXES + " select l_orderkey, region_idx as src, region_idx as dst from b where not x * 40 / 6144.0::double >= 0.7::double")
+def dirty_edges(spark, sf):
+    """Edges that are left, with the boxes' places as differences."""
+    b = boxes(spark, sf).select("l_orderkey", F.col("region_idx").alias("src"), F.col("region_idx").alias("dst"), (F.col("box.x") * 40).alias("absdiff"))
+    return regions.clean_edges(b.drop("absdiff"), b, ["l_orderkey"], F.lit(64))
+
+
+@query("""with t as (select p_partkey // 3 as g, p_partkey % 3 as i, p_name as x from part), n as (select g from t group by 1 having count(*) = 3),
+c as (select a.g, a.i, b.i as j, cast(trunc((1.0::float - cast(length(a.x) + length(b.x) - levenshtein(a.x, b.x) as float) / cast(length(a.x) + length(b.x) as float)) * 1000.0::float) as int) as cost from t a join t b on a.g + 1 = b.g where a.g in (from n) and b.g in (from n)),
+p as (select * from (values (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) v(a, b, c))
+select x.g as segment, cast(min(x.cost + y.cost + z.cost) as bigint) as cost from p join c x on x.i = 0 and x.j = p.a join c y on y.g = x.g and y.i = 1 and y.j = p.b join c z on z.g = x.g and z.i = 2 and z.j = p.c group by 1""")
+def line_match(spark, sf):
+    """The least cost of matching the lines of each segment of three with those of
+    the next; segments of other sizes aren't matched."""
+
+    @F.pandas_udf("long")
+    def least(a: pd.Series, b: pd.Series) -> pd.Series:
+        def of(x, y):
+            return sum(int((np.float32(1) - S._ratio(x[i], y[j])) * np.float32(1000)) for i, j in enumerate(S.match_lines(x, y)))
+
+        return pd.Series([of(list(x), list(y)) for x, y in zip(a, b, strict=True)], index=a.index)
+
+    rows = read(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 3).alias("segment")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda r: r["p_name"]).alias("a"))
+    later = rows.select((F.col("segment") - 1).alias("segment"), F.col("a").alias("b"))
+    return rows.join(later, "segment").where((F.size("a") == 3) & (F.size("b") == 3)).select("segment", least("a", "b").alias("cost"))

@@ -14,7 +14,7 @@ from cuewright.operators import ctc, models, regions
 from cuewright.operators import segments as S
 from cuewright.operators.assign import assign
 from cuewright.plans import registry
-from cuewright.sources import flv, mp4, tables
+from cuewright.sources import flv, jobs, mp4, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -171,3 +171,11 @@ def test_models_in_batches_of_one_shape(spark):
     best = models.recognise(frames, ["id"], lambda: lambda x: (x[:, 0], (x[:, 0] + 1).astype(int)), 16)
     assert {r.id: r.symbols[0][0] for r in best.collect()} == {i: i + 1 for i in range(11)}
     assert models.detect(frames.limit(0), ["id"], load, 4).collect() == []
+
+
+def test_jobs_are_tried_again(spark, tmp_path):
+    rows = [(1, "exit 0"), (2, "echo no >&2; exit 3"), (3, "exit 9"), (4, f"test -e {tmp_path}/x || (touch {tmp_path}/x; exit 1)")]
+    table = spark.createDataFrame(rows, "job int, script string")
+    done = jobs.run(table, "job", lambda r: ["sh", "-c", r["script"]], fatal=(9,))
+    assert {r.job: (r.status, r.tries, r.code, r.message) for r in done.collect()} == {1: ("Done", 1, 0, ""), 2: ("Error", 3, 3, "no"), 3: ("Error", 1, 9, ""), 4: ("Done", 2, 0, "")}
+    assert [(r.status, r.code) for r in jobs.run(table.limit(1), "job", lambda r: ["/no/such/program"]).collect()] == [("Error", None)]
