@@ -5,11 +5,14 @@ their presentation (tag, class, id). Two entropies weigh it: of the sequences of
 children it has over the host's pages (presentation), and of the texts at its
 leaves over the pages (content); what looks the same everywhere has low
 entropy and little importance. The importance of an element with children
-combines its own presentation's with its children's. Branches of low importance
-are removed from each page, and what is left gives its main text.
-
-A host's tree is kept as counts of (host, node, feature), pre-aggregated by each
-task, so that no task gets all pages of a large host. Where a host has fewer than
+combines its own presentation's with its children's, own text being a child, by
+DECAY to the power of its presentations. A page's element is removed if it and
+all that has text in it are of low importance; b, i, em, strong and br stay with
+the line they are in. What is left gives the page's main text. Pages count once by
+their text outside of boilerplate, so copies of a page don't make it boilerplate.
+
+A host's tree is kept as counts of (host, node, feature), so that no task gets all
+pages of a large host; its nodes meet in one task. Where a host has fewer than
 MIN_PAGES pages its tree tells nothing, and the elements' own meaning decides:
 navigation, headers of a page, footers, asides, forms, scripts, styles and
 elements whose class, id or role names such a part are removed for every host.
@@ -25,8 +28,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -46,8 +49,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style noscript template iframe textarea svg math canvas object head title select button".split())
 BOILER = frozenset("nav footer aside form menu dialog".split())
-#: Elements that hold prose: copies of a page on one host don't make them boilerplate.
-PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong br".split())
+#: Elements that stay with the line of text they are in.
+FORMAT = frozenset("b i em strong br".split())
+#: What a node counts: pages, sequences of children, pages with own text, texts.
+SEEN, LOOKS, TEXTED, TEXTS = range(4)
+#: Stands for an element's own text below its path.
+OWN_TEXT = "/#text"
 CLOSES_P = BLOCK - {"br", "html", "head", "body", "title", "option", "caption", "legend", "summary", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menus?|breadcrumbs?|site-?header|page-?header|masthead|footer|foot|sidebars?|side|aside|widgets?|related|recommend(?:ed|ations)?|comments?|discussion|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|copyright|legal|disclaimer|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
@@ -130,7 +137,7 @@ def look(node: Node) -> str:
     """Presentation of an element: its tag, class and id without numbers."""
     a = named(node)
     extra = " ".join(x for x in (a.get("class", ""), a.get("id", "")) if x)
-    return f"{node.tag}.{re.sub(r'[0-9]+', '', extra)}" if extra else node.tag
+    return f"{node.tag}.{re.sub(r'[0-9]+', '', extra).replace('/', '|')}" if extra else node.tag
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
@@ -146,6 +153,11 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return node.tag not in ("article", "main", "p", "h1", "b", "i", "em", "strong") and bool(NAMED.search(a.get("class", "")) or NAMED.search(a.get("id", "")))
 
 
+def meaningless(node: Node, inside: bool) -> bool:
+    """``boilerplate``, but an outermost article is taken as it is."""
+    return (inside or node.tag not in ("article", "main")) and boilerplate(node, inside)
+
+
 def clean(text: str) -> str:
     return re.sub(r"\s+", " ", unescape(text)).strip()
 
@@ -156,38 +168,73 @@ def code(text: str) -> int:
     return (zlib.crc32(data) << 31) ^ zlib.adler32(data) ^ (len(data) << 8)
 
 
-def features(root: Node) -> Iterator[tuple[str, int, bool]]:
-    """(path, feature, whether of content) of a page, each once: the children of
-    every element, and the text of every element that has text of its own."""
-    seen: set = set()
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        inner = [x for x in node.children if isinstance(x, Node)]
-        todo += inner
-        text = clean(" ".join(x for x in node.children if isinstance(x, str)))
-        made = [(node.path, code(">".join(dict.fromkeys(x.path for x in inner))), False)] if inner else []
-        if text:
-            made.append((node.path, code(text), True))
-        for x in made:
-            if x not in seen:
-                seen.add(x)
-                yield x
-
-
-def entropy(counts: list[int], pages: int) -> float:
-    """In 0 to 1: over ``pages`` equal parts is 1."""
-    total = sum(counts)
-    return -sum(c / total * math.log(c / total) for c in counts) / math.log(pages) if pages > 1 and total else 1.0
+def own_text(node: Node) -> str:
+    return clean(" ".join(x for x in node.children if isinstance(x, str)))
 
 
-def kept(node: Node, importance: dict[str, float], inside: bool = False) -> bool:
-    return not boilerplate(node, inside) and (node.tag in PROSE or importance.get(node.path, 1.0) >= MIN_IMPORTANCE)
+def features(root: Node) -> tuple[int, set[tuple[str, int, int]]]:
+    """A digest of the page's text, and its features outside of boilerplate as
+    (path, kind, feature): the children of every element, and the text of every
+    element that has text of its own."""
+    made: set = set()
+    digest = blake2b(digest_size=8)
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
+        inner = [x for x in node.children if isinstance(x, Node)]
+        todo += [(x, inside) for x in reversed(inner) if not meaningless(x, inside)]
+        made.add((node.path, SEEN, 0))
+        if inner:
+            made.add((node.path, LOOKS, code(">".join(dict.fromkeys(x.path for x in inner)))))
+        if text := own_text(node):
+            made |= {(node.path, TEXTED, 0), (node.path, TEXTS, code(text))}
+            digest.update(text.encode("utf-8", "surrogatepass") + b"\n")
+    return int.from_bytes(digest.digest(), "big", signed=True), made
+
+
+def removed(root: Node, importance: dict[str, float]) -> tuple[set[int], set[int]]:
+    """ids of the page's elements that are removed, and of those that only lose
+    their own text. Elements without any text don't matter."""
+    gone: set[int] = set()
+    bare: set[int] = set()
+    nodes: list[tuple[Node, int, bool]] = []
+    todo = [(root, -1, False)]
+    while todo:
+        node, up, inside = todo.pop()
+        if meaningless(node, inside):
+            gone.add(id(node))
+            continue
+        inside = inside or node.tag in ("article", "main")
+        todo += [(x, len(nodes), inside) for x in reversed(node.children) if isinstance(x, Node)]
+        nodes.append((node, up, inside))
+    own = [any(isinstance(x, str) and x.strip() for x in node.children) for node, _, _ in nodes]
+    text, telling, blocks = own[:], [False] * len(nodes), [False] * len(nodes)
+    in_line: dict[int, list[int]] = {}
+    low = lambda path: importance.get(path, 1.0) < MIN_IMPORTANCE
+    for i in range(len(nodes) - 1, -1, -1):  # children before parents
+        node, up, _ = nodes[i]
+        if text[i] and not telling[i]:
+            telling[i] = not low(node.path) or own[i] and not low(node.path + OWN_TEXT)
+        if text[i] and not telling[i]:
+            if node.tag in FORMAT and own[up]:
+                in_line.setdefault(up, []).append(id(node))
+            else:
+                gone.add(id(node))
+        elif own[i] and blocks[i] and low(node.path + OWN_TEXT):
+            bare.add(id(node))  # beside blocks, not in a line with what is kept
+            gone.update(in_line.get(i, ()))
+        if up >= 0:
+            text[up] |= text[i]
+            telling[up] |= telling[i]
+            blocks[up] |= telling[i] and node.tag in BLOCK
+    return gone, bare
 
 
 def main_text(html: str, importance: dict[str, float]) -> str:
     """Blocks of the branches that are kept; of the articles where there are any."""
     root = parse(html)
+    gone, bare = removed(root, importance)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -200,14 +247,15 @@ def main_text(html: str, importance: dict[str, float]) -> str:
         out, todo = [], [node]
         while todo:
             x = todo.pop()
+            if id(x) in gone:
+                continue
             if x.tag in ("article", "main"):
                 out.append(x)
-            elif not x.tag or kept(x, importance):
+            else:
                 todo += [y for y in reversed(x.children) if isinstance(y, Node)]
         return out
 
     for top in articles(root) or [root]:
-        inside = bool(top.tag)
         todo: list = [top]
         while todo:
             x = todo.pop()
@@ -215,50 +263,87 @@ def main_text(html: str, importance: dict[str, float]) -> str:
                 end()
             elif isinstance(x, str):
                 line.append(x)
-            elif x is top or kept(x, importance, inside):
+            elif id(x) not in gone:
                 block = x.tag in BLOCK or not x.tag
                 if block:
                     end()
                     todo.append(None)
-                todo += reversed(x.children)
+                todo += [" " if isinstance(y, str) else y for y in reversed(x.children)] if id(x) in bare else reversed(x.children)
         end()
     return "\n".join(blocks)
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, content, feature, n): pages of the host with the feature.
-    Each task sums its own counts first, so a host's pages meet as sums."""
+    """(host, path, kind, feature, n): page texts of the host with the feature.
+    Rows of a feature meet as sums."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
+        rows: list = []
 
         def out() -> pd.DataFrame:
-            made = pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["host", "path", "content", "feature", "n"])
-            sums.clear()
+            made = pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "page"])
+            rows.clear()
             return made
 
         for batch in batches:
             for host, html in zip(batch["host"], batch["html"], strict=True):
-                root = parse(html or "")
-                sums.update((host, path, content, feature) for path, feature, content in features(root))
-                sums[host, "", False, -1] += 1  # pages of the host
-                if len(sums) > 200_000:
+                page, found = features(parse(html or ""))
+                rows.extend((host, path, kind, feature, page) for path, kind, feature in found)
+                if len(rows) > 100_000:
                     yield out()
         yield out()
 
-    made = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(counted, "host string, path string, content boolean, feature long, n long")
-    return made.groupBy("host", "path", "content", "feature").agg(F.sum("n").alias("n"))
+    made = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(counted, "host string, path string, kind int, feature long, page long")
+    return made.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
 
 
 def low_importance(trees: DataFrame, min_pages: int = MIN_PAGES, least: float = MIN_IMPORTANCE) -> DataFrame:
-    """(host, path, importance) of nodes below ``least`` that min_pages or more
-    pages have: entropy to the base of the number of pages with the node, which
-    a text seen on one page only raises by its share."""
-    w = trees.where("feature <> -1").groupBy("host", "path", "content").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("kinds"))
-    found = w.where(F.col("m") >= min_pages).withColumn("h", F.greatest(F.lit(0.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")))
-    # a node is as important as the more telling of its looks and texts
-    node = found.groupBy("host", "path").agg(F.max("h").alias("own"), F.max(F.col("content").cast("int")).alias("leaf"))
-    return node.where((F.col("leaf") == 1) & (F.col("own") < least)).select("host", "path", F.col("own").alias("importance"))
+    """(host, path, importance) of nodes, and of the own texts of nodes, below
+    ``least``. Those that fewer than min_pages page texts of the host have are
+    important. Entropies are to the base of the number of pages with the node:
+    one less the mean log of how many pages share a look or text."""
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
+    n, nlogn = F.col("n"), F.col("n") * F.log("n")
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    nodes = trees.groupBy("host", "path").agg(of(SEEN, n).alias("pages"), of(LOOKS, F.lit(1)).alias("kinds"), of(LOOKS, n).alias("looks"), of(LOOKS, nlogn).alias("looks_log"), of(TEXTED, n).alias("texted"), of(TEXTS, n).alias("texts"), of(TEXTS, nlogn).alias("texts_log"))
+    # of nodes that few pages have, their parents only get to know how many
+    many = F.col("pages") >= min_pages
+    known = nodes.select(F.when(many, F.col("path")).otherwise(parent).alias("path"), "host", many.alias("many"), *[F.when(many, F.col(c)).otherwise(F.lit(0)).alias(c) for c in nodes.columns[3:]], F.when(many, F.col("pages")).otherwise(0).alias("pages"), F.when(many | (F.col("kinds") + F.col("texted") == 0), 0).otherwise(F.col("pages")).alias("rare"))
+    rows = known.groupBy("host", "path").agg(F.max("many").alias("many"), *[F.sum(c).alias(c) for c in ("pages", "rare", *nodes.columns[3:])]).where("many").drop("many")
+    return rows.groupBy("host").applyInPandas(lambda frame: composed(frame, min_pages, least), "host string, path string, importance double")
+
+
+def entropy(nlogn: float, total: int, pages: int) -> float:
+    """Of ``total`` features of a node with sums n log n: 0 if all are the same
+    on all of its pages, 1 if each is on one page only."""
+    return max(0.0, 1.0 - nlogn / total / math.log(pages)) if pages > 1 and total else 1.0
+
+
+def composed(frame: pd.DataFrame, min_pages: int, least: float) -> pd.DataFrame:
+    """Importances of the nodes of one host's tree, deepest first."""
+    out: list[tuple[str, str, float]] = []
+    below: dict[str, list[float]] = {}  # by path: sums of weights and of weighted importances of its children
+    for r in sorted(frame.itertuples(index=False), key=lambda r: -r.path.count("/")):
+        weight, total = below.pop(r.path, (0.0, 0.0))
+        weight, total = weight + r.rare, total + r.rare
+        if r.texted:
+            text = entropy(r.texts_log, r.texts, r.texted) if r.texted >= min_pages else 1.0
+            weight, total = weight + r.texted, total + r.texted * text
+            if text < least:
+                out.append((r.host, r.path + OWN_TEXT, text))
+        if not weight:
+            continue  # nothing with text below
+        inner = total / weight
+        if r.kinds:
+            share = DECAY**r.kinds
+            inner = (1 - share) * entropy(r.looks_log, r.looks, r.pages) + share * inner
+        if inner < least:
+            out.append((r.host, r.path, inner))
+        if r.path:
+            up = below.setdefault(r.path.rpartition("/")[0], [0.0, 0.0])
+            up[0] += r.pages
+            up[1] += r.pages * inner
+    return pd.DataFrame(out, columns=["host", "path", "importance"])
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -100,6 +100,22 @@ def test_site_style_tree_removes_what_a_host_repeats(spark):
     assert got[3] == "Own text 3" and got[9] == "Same on all pages\nOwn text 9" and got[10] == ""
 
 
+def test_site_style_tree_weighs_branches_and_distinct_pages(spark):
+    menu = "".join(f"<li><a href=/{x}>Part {x}</a></li>" for x in "abcdef")
+    page = lambda i: f"<body><div class=x><p>Same <b>notice</b></p></div><div class=y><ul>{menu}</ul></div><section><h2>Story</h2><p><b>Note:</b> own text {i}</p><p>More of {i}</p></section>Same end</body>"
+    # one host with pages enough, one page under eight addresses of another, too few pages of a third
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(6)] + [(10 + i, f"http://copies.org/{i}", page(10)) for i in range(8)] + [(20 + i, f"http://few.org/{i}", page(i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmlmain.extract(pages).collect()}
+    whole = lambda i: "\n".join(["Same notice", *[f"Part {x}" for x in "abcdef"], "Story", f"Note: own text {i}", f"More of {i}", "Same end"])
+    assert all(got[i] == f"Note: own text {i}\nMore of {i}" for i in range(6))
+    assert all(got[10 + i] == whole(10) for i in range(8)) and all(got[20 + i] == whole(i) for i in range(3))
+    low = {r.path: r.importance for r in htmlmain.low_importance(htmlmain.style_trees(pages.where("page_id < 6")), least=2.0).collect()}
+    text, story = low["/body/section/p"], low["/body/section"]
+    assert text == pytest.approx(0.1 * 0 + 0.9 * (1 + 0) / 2) and low["/body/div.x"] == 0 and low["/body/section/p/#text"] == 1
+    assert story == pytest.approx(0.9 * (low["/body/section/h2"] + text) / 2) and low["/body"] == pytest.approx(0.9 * story / 4)
+
+
 def test_neardup_against_all_pairs(docs):
     rows = docs.collect()
     sets = {}
