@@ -12,10 +12,13 @@ the line they are in. What is left gives the page's main text. Pages count once
 their text outside of boilerplate, so copies of a page don't make it boilerplate.
 
 A host's tree is kept as counts of (host, node, feature), so that no task gets all
-pages of a large host; its nodes meet in one task. Where a host has fewer than
-MIN_PAGES pages its tree tells nothing, and the elements' own meaning decides:
-navigation, headers of a page, footers, asides, forms, scripts, styles and
-elements whose class, id or role names such a part are removed for every host.
+pages of a large host; its nodes meet in one task. Navigation, headers of a page,
+footers, asides, forms, scripts, styles and what has the role of such a part are
+removed for every host. A class or id that names such a part (NAMED) multiplies the
+importances of its branch by KEYWORD. Where fewer than MIN_PAGES page texts of a host
+have the element its tree tells nothing, and the name decides. A branch with over
+half of the page's text, or of that of its articles, isn't judged by its name, and
+where names would leave no text none count.
 
 Cases: null or empty html, or no content: empty text. Null url or no host: one
 host of its own, the empty name. Null page_id: kept. Repeated rows: one result
@@ -33,10 +36,12 @@ from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import stored, table
+from .common import stored, table, trim
 from .urlfilter import host_of
 
 MIN_PAGES = 4
@@ -44,6 +49,8 @@ MIN_PAGES = 4
 MIN_IMPORTANCE = 0.25
 #: Weight of an element's own presentation against its children's importance.
 DECAY = 0.9
+#: What a name of boilerplate leaves of the importance of an element and of what is in it.
+KEYWORD = 0.5
 #: HTML's void, block, raw text and boilerplate elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -51,8 +58,8 @@ RAW = frozenset("script style noscript template iframe textarea svg math canvas
 BOILER = frozenset("nav footer aside form menu dialog".split())
 #: Elements that stay with the line of text they are in.
 FORMAT = frozenset("b i em strong br".split())
-#: What a node counts: pages, sequences of children, pages with own text, texts.
-SEEN, LOOKS, TEXTED, TEXTS = range(4)
+#: What a node counts: pages, sequences of children, pages with own text, texts, pages where its name is of boilerplate.
+SEEN, LOOKS, TEXTED, TEXTS, NAMES = range(5)
 #: Stands for an element's own text below its path.
 OWN_TEXT = "/#text"
 CLOSES_P = BLOCK - {"br", "html", "head", "body", "title", "option", "caption", "legend", "summary", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -148,9 +155,15 @@ def boilerplate(node: Node, inside: bool) -> bool:
     if not node.attrs or node.tag in ("html", "body"):
         return False
     a = named(node)
-    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-        return True
-    return node.tag not in ("article", "main", "p", "h1", "b", "i", "em", "strong") and bool(NAMED.search(a.get("class", "")) or NAMED.search(a.get("id", "")))
+    return a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", "")
+
+
+def suspect(node: Node) -> bool:
+    """Whether its class or id names a part that is no content."""
+    if not node.attrs or node.tag in ("", "html", "body", "article", "main", "p", "h1", "b", "i", "em", "strong"):
+        return False
+    a = named(node)
+    return bool(NAMED.search(a.get("class", "")) or NAMED.search(a.get("id", "")))
 
 
 def meaningless(node: Node, inside: bool) -> bool:
@@ -173,29 +186,34 @@ def own_text(node: Node) -> str:
 
 
 def features(root: Node) -> tuple[int, set[tuple[str, int, int]]]:
-    """A digest of the page's text, and its features outside of boilerplate as
+    """A digest of the page's text but for what names of boilerplate drop, and its features outside of boilerplate as
     (path, kind, feature): the children of every element, and the text of every
     element that has text of its own."""
     made: set = set()
     digest = blake2b(digest_size=8)
-    todo = [(root, False)]
+    gone, _ = removed(root, {})
+    todo = [(root, False, True)]
     while todo:
-        node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
+        node, inside, counts = todo.pop()
+        inside, counts = inside or node.tag in ("article", "main"), counts and id(node) not in gone
         inner = [x for x in node.children if isinstance(x, Node)]
-        todo += [(x, inside) for x in reversed(inner) if not meaningless(x, inside)]
+        todo += [(x, inside, counts) for x in reversed(inner) if not meaningless(x, inside)]
         made.add((node.path, SEEN, 0))
+        if suspect(node):
+            made.add((node.path, NAMES, 0))
         if inner:
             made.add((node.path, LOOKS, code(">".join(dict.fromkeys(x.path for x in inner)))))
         if text := own_text(node):
             made |= {(node.path, TEXTED, 0), (node.path, TEXTS, code(text))}
-            digest.update(text.encode("utf-8", "surrogatepass") + b"\n")
+            if counts:
+                digest.update(text.encode("utf-8", "surrogatepass") + b"\n")
     return int.from_bytes(digest.digest(), "big", signed=True), made
 
 
-def removed(root: Node, importance: dict[str, float]) -> tuple[set[int], set[int]]:
+def removed(root: Node, importance: dict[str, float], names: bool = True) -> tuple[set[int], set[int]]:
     """ids of the page's elements that are removed, and of those that only lose
-    their own text. Elements without any text don't matter."""
+    their own text. Elements without any text don't matter. ``names``: whether
+    names of boilerplate count."""
     gone: set[int] = set()
     bare: set[int] = set()
     nodes: list[tuple[Node, int, bool]] = []
@@ -208,20 +226,29 @@ def removed(root: Node, importance: dict[str, float]) -> tuple[set[int], set[int
         inside = inside or node.tag in ("article", "main")
         todo += [(x, len(nodes), inside) for x in reversed(node.children) if isinstance(x, Node)]
         nodes.append((node, up, inside))
-    own = [any(isinstance(x, str) and x.strip() for x in node.children) for node, _, _ in nodes]
+    chars = [sum(len(x.strip()) for x in node.children if isinstance(x, str)) for node, _, _ in nodes]
+    own, arts = [n > 0 for n in chars], [n if nodes[i][2] else 0 for i, n in enumerate(chars)]
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i][1]] += chars[i]
+        arts[nodes[i][1]] += arts[i]
+    scale = [1.0] * len(nodes)  # 0: by its name alone
+    for i, (node, up, _) in enumerate(nodes[1:], 1):
+        scale[i] = scale[up]
+        if names and scale[i] and suspect(node) and 2 * chars[i] <= chars[0] and (not arts[0] or 2 * arts[i] <= arts[0]):
+            scale[i] = KEYWORD if node.path in importance else 0.0
     text, telling, blocks = own[:], [False] * len(nodes), [False] * len(nodes)
     in_line: dict[int, list[int]] = {}
-    low = lambda path: importance.get(path, 1.0) < MIN_IMPORTANCE
+    low = lambda i, path: importance.get(path, 1.0) * scale[i] < MIN_IMPORTANCE
     for i in range(len(nodes) - 1, -1, -1):  # children before parents
         node, up, _ = nodes[i]
         if text[i] and not telling[i]:
-            telling[i] = not low(node.path) or own[i] and not low(node.path + OWN_TEXT)
+            telling[i] = not low(i, node.path) or own[i] and not low(i, node.path + OWN_TEXT)
         if text[i] and not telling[i]:
             if node.tag in FORMAT and own[up]:
                 in_line.setdefault(up, []).append(id(node))
             else:
                 gone.add(id(node))
-        elif own[i] and blocks[i] and low(node.path + OWN_TEXT):
+        elif own[i] and blocks[i] and low(i, node.path + OWN_TEXT):
             bare.add(id(node))  # beside blocks, not in a line with what is kept
             gone.update(in_line.get(i, ()))
         if up >= 0:
@@ -234,7 +261,10 @@ def removed(root: Node, importance: dict[str, float]) -> tuple[set[int], set[int
 def main_text(html: str, importance: dict[str, float]) -> str:
     """Blocks of the branches that are kept; of the articles where there are any."""
     root = parse(html)
-    gone, bare = removed(root, importance)
+    return kept_text(root, *removed(root, importance)) or kept_text(root, *removed(root, importance, False))
+
+
+def kept_text(root: Node, gone: set[int], bare: set[int]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -277,35 +307,39 @@ def style_trees(pages: DataFrame) -> DataFrame:
     """(host, path, kind, feature, n): page texts of the host with the feature.
     Rows of a feature meet as sums."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
+        schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("page", pa.int64())])
 
-        def out() -> pd.DataFrame:
-            made = pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "page"])
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
             rows.clear()
             return made
 
         for batch in batches:
             for host, html in zip(batch["host"], batch["html"], strict=True):
-                page, found = features(parse(html or ""))
-                rows.extend((host, path, kind, feature, page) for path, kind, feature in found)
-                if len(rows) > 100_000:
+                page, found = features(parse(html.as_py() or ""))
+                name = host.as_py()
+                rows.extend((name, path, kind, feature, page) for path, kind, feature in found)
+                if len(rows) > 20_000:
                     yield out()
-        yield out()
+            if rows:
+                yield out()
+            trim()
 
-    made = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(counted, "host string, path string, kind int, feature long, page long")
+    made = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(counted, "host string, path string, kind int, feature long, page long")
     return made.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
 
 
 def low_importance(trees: DataFrame, min_pages: int = MIN_PAGES, least: float = MIN_IMPORTANCE) -> DataFrame:
     """(host, path, importance) of nodes, and of the own texts of nodes, below
-    ``least``. Those that fewer than min_pages page texts of the host have are
+    ``least`` / KEYWORD, and of nodes with a name of boilerplate. Those that fewer than min_pages page texts of the host have are
     important. Entropies are to the base of the number of pages with the node:
     one less the mean log of how many pages share a look or text."""
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     n, nlogn = F.col("n"), F.col("n") * F.log("n")
     parent = F.regexp_replace("path", "/[^/]*$", "")
-    nodes = trees.groupBy("host", "path").agg(of(SEEN, n).alias("pages"), of(LOOKS, F.lit(1)).alias("kinds"), of(LOOKS, n).alias("looks"), of(LOOKS, nlogn).alias("looks_log"), of(TEXTED, n).alias("texted"), of(TEXTS, n).alias("texts"), of(TEXTS, nlogn).alias("texts_log"))
+    nodes = trees.groupBy("host", "path").agg(of(SEEN, n).alias("pages"), of(LOOKS, F.lit(1)).alias("kinds"), of(LOOKS, n).alias("looks"), of(LOOKS, nlogn).alias("looks_log"), of(TEXTED, n).alias("texted"), of(TEXTS, n).alias("texts"), of(TEXTS, nlogn).alias("texts_log"), of(NAMES, n).alias("named"))
     # of nodes that few pages have, their parents only get to know how many
     many = F.col("pages") >= min_pages
     known = nodes.select(F.when(many, F.col("path")).otherwise(parent).alias("path"), "host", many.alias("many"), *[F.when(many, F.col(c)).otherwise(F.lit(0)).alias(c) for c in nodes.columns[3:]], F.when(many, F.col("pages")).otherwise(0).alias("pages"), F.when(many | (F.col("kinds") + F.col("texted") == 0), 0).otherwise(F.col("pages")).alias("rare"))
@@ -329,7 +363,7 @@ def composed(frame: pd.DataFrame, min_pages: int, least: float) -> pd.DataFrame:
         if r.texted:
             text = entropy(r.texts_log, r.texts, r.texted) if r.texted >= min_pages else 1.0
             weight, total = weight + r.texted, total + r.texted * text
-            if text < least:
+            if text < least / KEYWORD:
                 out.append((r.host, r.path + OWN_TEXT, text))
         if not weight:
             continue  # nothing with text below
@@ -337,7 +371,7 @@ def composed(frame: pd.DataFrame, min_pages: int, least: float) -> pd.DataFrame:
         if r.kinds:
             share = DECAY**r.kinds
             inner = (1 - share) * entropy(r.looks_log, r.looks, r.pages) + share * inner
-        if inner < least:
+        if inner < least / KEYWORD or r.named:
             out.append((r.host, r.path, inner))
         if r.path:
             up = below.setdefault(r.path.rpartition("/")[0], [0.0, 0.0])
@@ -353,12 +387,17 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     lists = low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("low"))
     joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(lists, "host", "left")
 
-    @F.pandas_udf("string")
-    def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, lows in batches:
-            yield pd.Series([main_text(h, dict(x) if x is not None else {}) if h else "" for h, x in zip(htmls, lows, strict=True)], index=htmls.index, dtype=object)
+    kinds = [pages.schema["page_id"], pages.schema["url"], StructField("text", StringType())]
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                found = [main_text(h, dict(x.as_py() or ())) if (h := html.as_py()) else "" for html, x in zip(batch["html"], batch["low"], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(found, pa.string())], names=["page_id", "url", "text"])
+            trim()
 
-    return joined.select("page_id", "url", text_of("html", "low").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", "html", "low").mapInArrow(texts, StructType(kinds)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
