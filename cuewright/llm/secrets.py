@@ -2,8 +2,9 @@
 DataFrame functions only.
 
 Known shapes are the kinds assign, access and hex. Beside them, each maximal run
-of 20 or more characters of an encoding's alphabet is a candidate: its encoding
-is inferred (hex, base 32, 36, 62, 64, 64 for urls), and three tests of
+of 20 or more characters of an encoding's alphabet is a candidate, so that a key
+in a path is judged alone and with what stands before it; its encoding is the
+least that has it (hex, base 32, 36, 62, 64, 64 for urls), and three tests of
 uniformly random symbols are taken of it: chi-squared over the alphabet, runs
 about the alphabet's middle, and lag-1 serial correlation, combined by Fisher's
 method (``p_random``). ``p_text`` is the chance that a text-like string of that
@@ -14,7 +15,8 @@ procedure works on counts of p-values in fixed bins, rounded up.
 
 Cases: null or empty text: no spans, counts 0. Null doc_id: kept. Repeated rows:
 one result row each. Empty table: empty result. Spans of different kinds may
-overlap; spans of kind random that touch a known shape aren't listed again.
+overlap; spans of kind random that touch a known shape aren't listed again, nor
+those within a longer one, while those of two encodings may overlap in part.
 Columns other than doc_id and text are ignored, or handed on by redact().
 """
 
@@ -30,7 +32,8 @@ from .common import let, table
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: What holds the candidates: runs of the symbols of all encodings.
+HOLDER = "[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 #: encoding's pattern and alphabet, in the order they are tried.
 ENCODINGS = (
@@ -43,6 +46,8 @@ ENCODINGS = (
     ("^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+#: Candidates of each encoding.
+CANDIDATES = tuple(pattern.removeprefix("^").removesuffix("+$") + "{20,}={0,2}" for pattern, _ in ENCODINGS)
 #: Chance that two symbols of a text-like string are equal; of hex digits.
 TEXT_REPEAT, HEX_REPEAT = 0.065, 0.12
 FDR = 0.01
@@ -130,12 +135,22 @@ def _mixed(t: Column) -> Column:
     return (t.rlike("[0-9]") & t.rlike("[A-Za-z]")) | (t.rlike("[A-Z].*[A-Z]") & t.rlike("[a-z].*[a-z]"))
 
 
+def candidates(text: Column) -> Column:
+    """Spans of the maximal runs of each encoding's alphabet, each once."""
+
+    def inner(run: Column) -> Column:
+        found = F.array_distinct(F.concat(*[spans_of(run["token"], pattern, 3, _mixed) for pattern in CANDIDATES]))
+        return F.transform(found, lambda c: F.struct((run["start"] + c["start"]).alias("start"), c["kind"].alias("kind"), (run["start"] + c["end"]).alias("end"), c["token"].alias("token")))
+
+    return F.flatten(F.transform(spans_of(text, HOLDER, 3, _mixed), inner))
+
+
 def scanned(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text as __t, known spans as __base, candidates with p-values as __cand."""
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8
     known = docs.select("doc_id", *extra, text.alias("__t"))
-    known = known.select("*", F.array_sort(F.concat(spans_of(F.col("__t"), ASSIGN, 0, value), spans_of(F.col("__t"), ACCESS, 1), spans_of(F.col("__t"), HEX, 2))).alias("__base"), spans_of(F.col("__t"), CANDIDATE, 3, _mixed).alias("__all"))
+    known = known.select("*", F.array_sort(F.concat(spans_of(F.col("__t"), ASSIGN, 0, value), spans_of(F.col("__t"), ACCESS, 1), spans_of(F.col("__t"), HEX, 2))).alias("__base"), candidates(F.col("__t")).alias("__all"))
     free = let(F.col("__base"), lambda base: F.filter("__all", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     judged = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["token"].alias("token"), battery(c["token"]).alias("p")))
     return known.select("doc_id", *extra, "__t", "__base", F.when(F.size("__all") > 0, judged).alias("__cand"))
@@ -171,8 +186,12 @@ def found(docs: DataFrame, extra: tuple[str, ...] = (), fdr: float = FDR, alpha:
             ok = ok | ((length_class(c["p"]["n"]) == cls) & (bin_of(c["p"]["p_text"]) >= least))
         return c["p"].isNotNull() & (c["p"]["p_random"] >= alpha) & ok
 
+    def outer(spans: Column) -> Column:
+        holds = lambda x, y: (x["start"] <= y["start"]) & (y["end"] <= x["end"]) & (x["end"] - x["start"] > y["end"] - y["start"])
+        return F.filter(spans, lambda y: ~F.exists(spans, lambda x: holds(x, y)))
+
     drop = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    more = F.when(F.col("__cand").isNull(), F.array().cast("array<struct<start:long,kind:int,end:long>>")).otherwise(drop(F.filter("__cand", secret)))
+    more = F.when(F.col("__cand").isNull(), F.array().cast("array<struct<start:long,kind:int,end:long>>")).otherwise(drop(let(F.filter("__cand", secret), outer)))
     return cands.select("doc_id", *extra, "__t", F.array_sort(F.concat(drop(F.col("__base")), more)).alias("__spans"))
 
 

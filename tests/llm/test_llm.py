@@ -229,6 +229,25 @@ def test_secrets_against_brute_force(spark):
     assert "hunter2" not in clean.text and clean.n_chars == len(clean.text)
 
 
+def test_secrets_judge_every_run_of_an_encoding(spark):
+    key, other = "Vx6zB23pc1umDh2VjXqkzudSa9QwLkE0rTyUiOp7", "q8Zr2LmXw5Tn0VbYc7HdKs4GfJp1QeAu9RiO3WtB"
+    texts = [f"see https://host/my-app/dl/{key} now", f"é /a_b/{key}+{other}-x/", f"https://host/dl/{key}", f"id={other}_part/of+some-longer/path_to/file-name==", "0123456789ABCDEF0123xyz/ABCDEFGHIJKLMNOP234567_0", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cands = {r.doc_id: r for r in secrets.scanned(df).collect()}
+    for i, t in enumerate(texts):
+        want = set()
+        for symbols in ("0-9a-f", "0-9A-F", "A-Z2-7", "0-9a-z", "0-9A-Z", "0-9A-Za-z", "0-9A-Za-z+/", "0-9A-Za-z_-"):
+            for m in re.finditer(f"(?a)[{symbols}]{{20,}}={{0,2}}", t or ""):
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) or re.search("[A-Z].*[A-Z]", m[0]) and re.search("[a-z].*[a-z]", m[0]):
+                    want.add((m.start(), m.end(), m[0]))
+        got = [(c.start, c.end, c.token) for c in cands[i]["__cand"] or ()]
+        assert len(got) == len(set(got)) and set(got) == want and all(c.p is not None for c in cands[i]["__cand"] or ())
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert not any(x in clean[i] for i in range(4) for x in (key, other)) and clean[5] is None
+    spans = {r.doc_id: r for r in secrets.digests(secrets.found(df)).collect()}
+    assert spans[0].n_random >= 1 and all(s.startswith("random:") for s in spans[0].spans.split(","))
+
+
 RUNS = {
     "katz": lambda d: katz.train_and_score(d, F.lit(False))[0],
     "neardup": neardup.near_duplicates,
