@@ -3,11 +3,13 @@
 Words are runs of characters other than white space, lower-cased; a document is
 the set of its five-word shingles (its whole text where it has one to four
 words). Texts of equal words are one node, found by an aggregate. Nodes that
-agree on a band are candidates: each is tied to the least node of its bucket, so
-a bucket of n makes n - 1 ties, and the connected ties make clusters. Within a
-cluster all pairs are compared on their whole shingle sets, by blocks of BLOCK
-nodes: a task gets two blocks at most, however large the cluster, and returns
-the count of links and the least linked node of each, never the pairs.
+agree on a band are candidates and are compared on their whole shingle sets. To
+that end a node goes to a cell of its home, the largest of its buckets (small ones
+share their largest neighbour's), and two cells are compared if some bucket has nodes of both their homes: a task gets two
+cells of bounded texts and words, however large a bucket, and a chain of small
+buckets costs its links, not the square of its length. A task returns the count
+of links and the least connected node of each, never the pairs; classes are the
+components of these ties.
 
 Bands and rows: the most rows for which MAX_HASHES hashes reach the target
 recall at the threshold (20 bands of 5 rows; 0.9996 at similarity 0.8, over
@@ -36,7 +38,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 128
-BLOCK = 256
+#: Texts and words of a cell, about.
+BLOCK, BLOCK_WORDS = 256, 1 << 20
 #: Numbers that numpy handles at once.
 CHUNK = 1 << 20
 LEAST = -(1 << 63)
@@ -79,7 +82,7 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signer(bands: int, rows: int, size: int):
-    """A mapInArrow function: (did, key, h) to (did, key, bands)."""
+    """A mapInArrow function: (did, key, h) to (did, key, n_words, bands)."""
     a, b = _coefficients(bands * rows)
 
     def sign(sets: list[np.ndarray]) -> np.ndarray:
@@ -111,7 +114,7 @@ def signer(bands: int, rows: int, size: int):
                 out.append(sign(held))
             got = np.concatenate(out) if out else np.empty((0, bands), np.int64)
             made = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, bands, dtype=np.int32)), pa.array(got.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["did", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int32)), made], ["did", "key", "n_words", "bands"])
 
     return run
 
@@ -128,6 +131,16 @@ def hashed(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
+def starred(edges: DataFrame) -> DataFrame:
+    """Ties (a, b) that connect what ``edges`` (key, hub) connect: one from each
+    key to the least of its hubs, and the distinct ones among hubs. A large group
+    has about as many as members, however many hubs each is tied to."""
+    known = edges.groupBy("key").agg(F.min(F.least("key", "hub")).alias("least"), F.collect_set("hub").alias("hubs"))
+    own = known.select(F.col("key").alias("a"), F.col("least").alias("b"))
+    hubs = known.select(F.explode("hubs").alias("a"), F.col("least").alias("b")).distinct()
+    return own.union(hubs).where("a != b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node that each node of ``edges`` (a, b) is
     connected with. Labels spread along the edges and jump to their labels'
@@ -172,14 +185,15 @@ def _linked(sets: list[np.ndarray], cross: np.ndarray | None, threshold: float)
 
 
 def verifier(threshold: float, size: int):
-    """A mapInArrow function over rows sorted by (comp, i, j): (comp, i, j, block,
-    key, n, h) to (key, links, hub)."""
+    """A mapInArrow function over rows sorted by (i, j): (i, j, cell, key, n, h)
+    to (key, links, hub): the rows that a text is linked with, and the least key
+    of those that it is connected with in this pair of cells."""
 
     def judged(rows: list) -> list[tuple[bytes, int, bytes]]:
-        rows = list({r[4]: r for r in rows}.values())  # a repeated row comes twice
-        keys, counts = [r[4] for r in rows], np.array([r[5] for r in rows])
-        two = rows[0][1] != rows[0][2]
-        linked = _linked([np.unique(shingles(r[6], size)) for r in rows], np.array([r[3] for r in rows]) if two else None, threshold)
+        rows = list({r[3]: r for r in rows}.values())  # a repeated row comes twice
+        keys, counts = [r[3] for r in rows], np.array([r[4] for r in rows])
+        two = rows[0][0] != rows[0][1]
+        linked = _linked([np.unique(shingles(r[5], size)) for r in rows], np.array([r[2] for r in rows]) if two else None, threshold)
         hub = np.empty(len(rows), object)
         order = sorted(range(len(rows)), key=keys.__getitem__)
         for i in order:
@@ -190,7 +204,7 @@ def verifier(threshold: float, size: int):
                         if hub[j] is None:
                             hub[j] = keys[i]
                             todo.append(j)
-        return [(keys[i], int(counts[linked[i]].sum()), hub[i]) for i in range(len(rows))]
+        return [(keys[i], int(counts[linked[i]].sum()), hub[i]) for i in range(len(rows)) if linked[i].any()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["key", "links", "hub"])
@@ -199,9 +213,9 @@ def verifier(threshold: float, size: int):
         for batch in batches:
             *plain, lists = batch.columns
             values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-            for i, (comp, *rest) in enumerate(zip(*(c.to_pylist() for c in plain), strict=True)):
-                row = (comp, *rest, values[offsets[i] : offsets[i + 1]].copy())
-                if held and held[0][:3] != row[:3]:
+            for i, (first, *rest) in enumerate(zip(*(c.to_pylist() for c in plain), strict=True)):
+                row = (first, *rest, values[offsets[i] : offsets[i + 1]].copy())
+                if held and held[0][:2] != row[:2]:
                     out += judged(held)
                     held = []
                 held.append(row)
@@ -216,52 +230,78 @@ def verifier(threshold: float, size: int):
     return run
 
 
-def classes(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row for each text of equal words: key, rep (the least did), n (rows),
-    hub (the least key linked with it, perhaps by others) and links (rows that
-    it's linked with, copies included)."""
+def signed(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
+    """(did, key, bands) of each row with a word, stored."""
     bands, rows = bands_rows(threshold, recall)
     known = keyed(docs.select("doc_id", "text").where(WORDED_SQL))
-    signed = known.select("did", "key", hashed(F.col("__w")).alias("h")).mapInArrow(signer(bands, rows, size), "did long, key binary, bands array<long>")
-    nodes = stored(signed.groupBy("key").agg(F.min("did").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
+    made = known.select("did", "key", hashed(F.col("__w")).alias("h")).mapInArrow(signer(bands, rows, size), "did long, key binary, n_words int, bands array<long>")
+    return stored(made, "signed")
+
+
+def cells(nodes: DataFrame, block: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """(key, home, cell, rep, n) of each text that shares a band with another,
+    and (home, partners: arrays of other and parts). A text's home is the largest
+    of its buckets, by its least key; a home of fewer than ``block`` texts moves
+    into its largest neighbour's. A home has cells of about ``block`` texts and
+    ``block_words`` words. Homes are partners if some bucket has texts of both."""
     each = nodes.select("key", F.explode("bands").alias("band"))
-    buckets = each.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    ties = each.join(buckets, "band").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(ties)
-    sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    member = clusters.join(sizes, "comp").join(nodes.select(F.col("key").alias("node"), "rep", "n"), "node")
-    member = member.select("comp", "parts", F.col("node").alias("key"), "rep", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
-    texts = keyed(docs.select("doc_id", "text").where(WORDED_SQL)).select(F.col("did").alias("rep"), "key", "__w")
-    texts = texts.join(member, ["rep", "key"]).select("comp", "parts", "block", "key", "n", hashed(F.col("__w")).alias("h"))
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h")
-    checked = stored(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(verifier(threshold, size), "key binary, links long, hub binary"), "links")
-    total = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("hub").alias("hub"), F.count("*").alias("tasks"))
-    # clusters of one block are done; the others' parts are connected
-    many = checked.join(member.where("parts > 1").select("key"), "key").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    joined = components(many).withColumnRenamed("node", "key") if many.limit(1).count() else None
-    found = nodes.select("key", "rep", "n").join(total.drop("tasks"), "key", "left")
-    if joined is not None:
-        found = found.join(joined, "key", "left").withColumn("hub", F.coalesce("comp", "hub")).drop("comp")
-    return found.select("key", "rep", "n", F.coalesce("hub", "key").alias("hub"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("links"))
-
-
-def named(found: DataFrame) -> DataFrame:
-    """key, links, and the (did, key) that stands for its class."""
-    heads = found.groupBy("hub").agg(F.min(F.struct("rep", "key")).alias("head"))
-    return found.join(heads, "hub").select("key", "links", "rep", "head")
+    buckets = each.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    of = each.join(buckets, "band").groupBy("key").agg(F.collect_set(F.struct("c", "hub")).alias("b"))  # at most one a band
+    placed = stored(of.select("key", F.array_max("b")["hub"].alias("first"), F.array_distinct(F.transform("b", lambda x: x["hub"])).alias("hubs")), "placed")
+
+    def neighbours(of: DataFrame) -> DataFrame:
+        there = of.select(F.explode("hubs").alias("hub"), "home").distinct()
+        return there.join(there.withColumnRenamed("home", "other"), "hub").select("home", "other").distinct()
+
+    texts = placed.groupBy("first").agg(F.count("*").alias("c"))
+    near = neighbours(placed.withColumnRenamed("first", "home")).join(texts.select(F.col("first").alias("other"), "c"), "other")
+    largest = near.groupBy(F.col("home").alias("first")).agg(F.max(F.struct("c", "other"))["other"].alias("largest"))
+    moved = texts.join(largest, "first").select("first", F.when(F.col("c") < block, F.col("largest")).otherwise(F.col("first")).alias("home"))
+    settled = stored(placed.join(moved, "first").select("key", "home", "hubs"), "settled")
+    member = settled.select("key", "home").join(nodes.select("key", "rep", "n", "n_words"), "key")
+    homes = member.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_words") / block_words)).cast("int").alias("parts"))
+    homes = stored(homes, "homes")
+    partners = neighbours(settled).join(homes.select(F.col("home").alias("other"), "parts"), "other").groupBy("home").agg(F.collect_list(F.struct("other", "parts")).alias("partners"))
+    cell = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    return member.join(homes, "home").select("key", "home", cell.alias("cell"), "rep", "n"), partners
+
+
+def classes(docs: DataFrame, rows: DataFrame | None = None, *, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row for each text of equal words: key, links (rows that it's linked
+    with, copies included), rep (its least did) and the (rep, key) that stands for
+    its class, as head. ``rows``: signed(docs)."""
+    rows = signed(docs, threshold=threshold, recall=recall, size=size) if rows is None else rows
+    nodes = stored(rows.groupBy("key").agg(F.min("did").alias("rep"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "nodes")
+    member, partners = cells(nodes, block, block_words)
+    # the texts themselves travel, not their hashes: only those of members are hashed
+    texts = keyed(docs.select("doc_id", "text").where(WORDED_SQL)).select(F.col("did").alias("rep"), "key", "text")
+    texts = texts.join(member, ["rep", "key"]).join(partners, "home")
+    dealt = texts.select("cell", "key", "n", "text", F.explode("partners").alias("p")).select("cell", "key", "n", "text", "p.other", F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("at"))
+    other = F.xxhash64("other", "at")
+    dealt = dealt.select(F.least("cell", other).alias("i"), F.greatest("cell", other).alias("j"), "cell", "key", "n", hashed(words(F.lower("text"))).alias("h"))
+    checked = stored(dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(verifier(threshold, size), "key binary, links long, hub binary"), "links")
+    comps = components(starred(checked.select("key", "hub")))
+    total = checked.groupBy("key").agg(F.sum("links").alias("links")).join(comps.withColumnRenamed("node", "key"), "key").join(nodes.select("key", "rep"), "key")
+    heads = total.groupBy("comp").agg(F.min(F.struct("rep", "key")).alias("head"))
+    known = stored(total.join(heads, "comp").select("key", "links", "head"), "heads")
+    own = F.struct("rep", "key")
+    return nodes.select("key", "rep", "n").join(known, "key", "left").select("key", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("links"), "rep", F.coalesce("head", own).alias("head"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and n_links of each row."""
-    found = stored(named(classes(docs, **options)), "classes").select("key", "links", F.col("head.rep").alias("head"))
-    rows = keyed(docs.select("doc_id", "text")).select("doc_id", "did", "key", "text")
-    joined = rows.where(WORDED_SQL).join(found, "key").drop("text").union(rows.where(f"not ({WORDED_SQL})").select("key", "doc_id", "did", F.lit(0).cast("long"), F.col("did")))
-    return joined.select("doc_id", F.when(F.col("head") != LEAST, F.col("head")).alias("class_id"), F.col("links").alias("n_links"))
+    of = {k: v for k, v in options.items() if k in ("threshold", "recall", "size")}
+    rows = signed(docs, **of)
+    found = stored(classes(docs, rows, **options), "classes").select("key", "links", F.col("head.rep").alias("head"))
+    named = rows.select("did", "key").join(found, "key").select("did", "links", "head")
+    alone = docs.where(f"not ({WORDED_SQL})").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), F.lit(0).cast("long").alias("links"))
+    known = lambda c: F.when(F.col(c) != LEAST, F.col(c))
+    return named.union(alone.withColumn("head", F.col("did"))).select(known("did").alias("doc_id"), known("head").alias("class_id"), F.col("links").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, and all without a word; columns as given."""
-    found = stored(named(classes(docs, **options)), "classes")
+    found = stored(classes(docs, **options), "classes")
     heads = found.where((F.col("rep") == F.col("head.rep")) & (F.col("key") == F.col("head.key"))).select(F.col("rep").alias("did"), "key")
     rows = keyed(docs).drop("__w")
     once = rows.where(WORDED_SQL).join(heads, ["did", "key"]).dropDuplicates(["did", "key"]).select(*docs.columns)
