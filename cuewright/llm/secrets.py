@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, stored, table
 
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
@@ -55,26 +55,54 @@ ALPHA = 0.001
 #: Bins of p_text a factor of e.
 BINS = 20
 MASK = "[SECRET]"
+SPAN = "struct<start:long,kind:int,end:long,token:string>"
+#: Code points of a text, and items of an array, that are handled at once.
+BLOCK, WALK = 4096, 512
+
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK code points."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def walk(items: Column, state: Column, kind: str, step) -> Column:
+    """What one pass over an array emits: ``step(state, item)`` is the new state
+    and an array of a ``kind`` each. Outputs are gathered by blocks, so that the
+    time is in proportion to the items."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(part: Column, state: Column) -> Column:
+        def put(a: Column, x: Column) -> Column:
+            new, out = step(a["s"], x)
+            return F.struct(new.alias("s"), F.concat(a["out"], out).alias("out"))
+
+        return F.aggregate(part, F.struct(state.alias("s"), none.alias("out")), put)
+
+    def many(items: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WALK).cast("int")), lambda i: F.slice(items, i * WALK + 1, WALK))
+        put = lambda a, part: let(one(part, a["s"]), lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out")))
+        return F.aggregate(parts, F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), put, lambda a: F.flatten(a["out"]))
+
+    return let(items, lambda items: F.when(F.size(items) <= WALK, one(items, state)["out"]).otherwise(many(items)))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep, shape) -> Column:
     """Spans of the leftmost non-overlapping matches that ``keep`` holds of.
     What stands between matches gives their places in code points."""
-    none = F.array().cast("array<struct<start:long,kind:int,end:long,token:string>>")
     n = F.size(shape)
     pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, n), shape, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("token"))
-        return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+        return end, F.when(keep(x["hit"]), F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return walk(pairs, F.lit(0).cast("long"), SPAN, step)
 
 
 def spans_of(text: Column, pattern: str, kind: int, keep=lambda hit: F.lit(True)) -> Column:
-    none = F.array().cast("array<struct<start:long,kind:int,end:long,token:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     return F.when(text.rlike(pattern), _spans(text, pattern, kind, keep, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).otherwise(none)
 
 
@@ -86,32 +114,42 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct of p_random and p_text of one candidate."""
+    """Struct of p_random, p_text and n of one candidate, in time linear in its
+    length: sums of one pass, and a count for each symbol of the alphabet."""
 
     def of(base: Column, alphabet: Column) -> Column:
-        k, n = F.length(alphabet).cast("double"), F.length(base).cast("double")
-        symbols = F.filter(F.split(base, ""), lambda c: c != "")
-        return let(F.struct(base.alias("t"), symbols.alias("c"), F.transform(symbols, lambda c: (F.instr(alphabet, c) - 1).cast("double")).alias("x"), n.alias("n"), k.alias("k")), counted)
+        return let(F.struct(base.alias("t"), alphabet.alias("a"), F.length(base).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")), counted)
+
+    def symbols(text: Column) -> Column:
+        return F.filter(F.split(text, ""), lambda c: c != "")
 
     def counted(s: Column) -> Column:
-        n, k = s["n"], s["k"]
-        zero = F.lit(0.0)
-        square = F.aggregate(s["c"], zero, lambda a, c: a + n - F.length(F.replace(s["t"], c, F.lit(""))))
-        mean = F.aggregate(s["x"], zero, lambda a, x: a + x) / n
-        upper = F.aggregate(s["x"], zero, lambda a, x: a + F.when(x * 2 >= k, 1.0).otherwise(0.0))
-        m = F.size(s["x"]) - 1
-        pairs = F.zip_with(F.slice(s["x"], 1, m), F.slice(s["x"], 2, m), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        turns = F.aggregate(pairs, F.lit(1.0), lambda a, p: a + F.when((p["a"] * 2 >= k) != (p["b"] * 2 >= k), 1.0).otherwise(0.0))
-        return let(F.struct(n.alias("n"), k.alias("k"), (square * k / n - n).alias("chi"), mean.alias("m"), upper.alias("u"), turns.alias("r"), s["x"].alias("x"), pairs.alias("p")), tested)
+        n, k, zero = s["n"], s["k"], F.lit(0.0)
+        each = F.when(n > 4 * k, symbols(s["a"])).otherwise(F.array_distinct(symbols(s["t"])))
+        square = F.aggregate(each, zero, lambda a, c: let(n - F.length(F.replace(s["t"], c, F.lit(""))), lambda m: a + m * m))
+        # numbers of symbols from 0: last, sum, sum of squares and of products of neighbours, how many in the upper half, runs
+        start = F.struct(F.lit(-1.0).alias("last"), *[zero.alias(c) for c in ("x", "xx", "xy", "up", "runs")])
+
+        def step(a: Column, x: Column) -> Column:
+            up = F.when(x * 2 >= k, 1.0).otherwise(0.0)
+            new = (a["last"] < 0) | ((a["last"] * 2 >= k) != (x * 2 >= k))
+            near = F.when(a["last"] < 0, zero).otherwise(a["last"] * x)
+            return F.struct(x.alias("last"), (a["x"] + x).alias("x"), (a["xx"] + x * x).alias("xx"), (a["xy"] + near).alias("xy"), (a["up"] + up).alias("up"), (a["runs"] + F.when(new, 1.0).otherwise(0.0)).alias("runs"))
+
+        numbers = lambda block: F.transform(symbols(block), lambda c: (F.instr(s["a"], c) - 1).cast("double"))
+        sums = F.aggregate(blocks(s["t"]), start, lambda a, block: F.aggregate(numbers(block), a, step))
+        first = (F.instr(s["a"], F.substring(s["t"], 1, 1)) - 1).cast("double")
+        return let(F.struct(n.alias("n"), k.alias("k"), (square * k / n - n).alias("chi"), first.alias("first"), sums.alias("s")), tested)
 
     def tested(s: Column) -> Column:
-        n, k, df, zero = s["n"], s["k"], s["k"] - 1, F.lit(0.0)
-        z1 = (F.pow(F.greatest(s["chi"], zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        mu = 2 * s["u"] * (n - s["u"]) / n + 1
-        z2 = let(mu, lambda m: let((m - 1) * (m - 2) / (n - 1), lambda v: F.when(v > 0, (s["r"] - m) / F.sqrt(F.greatest(v, F.lit(1e-9)))).otherwise(9.0)))
-        spread = F.aggregate(s["x"], zero, lambda a, x: a + (x - s["m"]) * (x - s["m"]))
-        along = F.aggregate(s["p"], zero, lambda a, p: a + (p["a"] - s["m"]) * (p["b"] - s["m"]))
-        z3 = let(spread, lambda v: F.when(v > 0, (along / F.greatest(v, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(9.0))
+        n, k, df, sums = s["n"], s["k"], s["k"] - 1, s["s"]
+        mean = sums["x"] / n
+        z1 = (F.pow(F.greatest(s["chi"], F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        mu = 2 * sums["up"] * (n - sums["up"]) / n + 1
+        z2 = let(mu, lambda m: let((m - 1) * (m - 2) / (n - 1), lambda v: F.when(v > 0, (sums["runs"] - m) / F.sqrt(F.greatest(v, F.lit(1e-9)))).otherwise(9.0)))
+        spread = sums["xx"] - n * mean * mean
+        along = sums["xy"] - mean * (2 * sums["x"] - s["first"] - sums["last"]) + (n - 1) * mean * mean
+        z3 = let(spread, lambda v: F.when(v > 1e-6, (along / F.greatest(v, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(9.0))
         excess = F.when(k == 16, 16 * HEX_REPEAT - 1).otherwise(k * TEXT_REPEAT - 1)
         z4 = let(excess, lambda e: (df + (n - 1) * e - s["chi"]) / F.sqrt(2 * df + 4 * n * e))
         # upper tails of: chi-squared, both sides of runs, both sides of correlation, text
@@ -145,15 +183,47 @@ def candidates(text: Column) -> Column:
     return F.flatten(F.transform(spans_of(text, HOLDER, 3, _mixed), inner))
 
 
+def free_of(base: Column, spans: Column) -> Column:
+    """``spans`` that overlap none of ``base`` (kinds below 3): a pass from the
+    left against the furthest end, one from the right against the nearest start."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def left(end: Column, x: Column) -> tuple[Column, Column]:
+        known = x["kind"] < 3
+        return F.when(known, F.greatest(end, x["end"])).otherwise(end), F.when(known | (x["start"] >= end), F.array(x)).otherwise(none)
+
+    def right(start: Column, x: Column) -> tuple[Column, Column]:
+        known = x["kind"] < 3
+        return F.when(known, x["start"]).otherwise(start), F.when(~known & (x["end"] <= start), F.array(x)).otherwise(none)
+
+    ahead = walk(F.sort_array(F.concat(base, spans)), F.lit(0).cast("long"), SPAN, left)
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(walk(F.reverse(ahead), F.lit((1 << 63) - 1), SPAN, right))
+
+
+def longest(spans: Column) -> Column:
+    """``spans`` (of start, end) that don't lie within another."""
+    kind = "struct<start:long,kind:int,end:long>"
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        span = F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), (-x["back"]).alias("end"))
+        return F.greatest(end, -x["back"]), F.when(-x["back"] > end, F.array(span)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return walk(F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back")))), F.lit(-1).cast("long"), kind, step)
+
+
 def scanned(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text as __t, known spans as __base, candidates with p-values as __cand."""
+    """doc_id, ``extra``, known spans as __base, candidates with p-values as __cand
+    (null where there are none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8
     known = docs.select("doc_id", *extra, text.alias("__t"))
     known = known.select("*", F.array_sort(F.concat(spans_of(F.col("__t"), ASSIGN, 0, value), spans_of(F.col("__t"), ACCESS, 1), spans_of(F.col("__t"), HEX, 2))).alias("__base"), candidates(F.col("__t")).alias("__all"))
-    free = let(F.col("__base"), lambda base: F.filter("__all", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    judged = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["token"].alias("token"), battery(c["token"]).alias("p")))
-    return known.select("doc_id", *extra, "__t", "__base", F.when(F.size("__all") > 0, judged).alias("__cand"))
+    judged = F.transform(free_of(F.col("__base"), F.col("__all")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), battery(c["token"]).alias("p")))
+    return known.select("doc_id", *extra, plain(F.col("__base")).alias("__base"), F.when(F.size("__all") > 0, judged).alias("__cand"))
+
+
+def plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
 def length_class(n: Column) -> Column:
@@ -176,9 +246,12 @@ def cuts(cands: DataFrame, fdr: float = FDR) -> dict[int, int]:
 
 
 def found(docs: DataFrame, extra: tuple[str, ...] = (), fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, ``extra``, __t, and all spans as __spans, sorted by start and kind."""
-    cands = scanned(docs, extra)
-    limits = sorted(cuts(scanned(docs), fdr).items())
+    """doc_id, ``extra``, and all spans as __spans, sorted by start and kind. The
+    scan of the texts is stored, so that the thresholds and what they select are
+    of the same p-values."""
+    slim = F.transform("__cand", lambda c: c.dropFields("token"))
+    cands = stored(scanned(docs, extra).withColumn("__cand", slim), "candidates")
+    limits = sorted(cuts(cands, fdr).items())
 
     def secret(c: Column) -> Column:
         ok = F.lit(False)
@@ -186,13 +259,8 @@ def found(docs: DataFrame, extra: tuple[str, ...] = (), fdr: float = FDR, alpha:
             ok = ok | ((length_class(c["p"]["n"]) == cls) & (bin_of(c["p"]["p_text"]) >= least))
         return c["p"].isNotNull() & (c["p"]["p_random"] >= alpha) & ok
 
-    def outer(spans: Column) -> Column:
-        holds = lambda x, y: (x["start"] <= y["start"]) & (y["end"] <= x["end"]) & (x["end"] - x["start"] > y["end"] - y["start"])
-        return F.filter(spans, lambda y: ~F.exists(spans, lambda x: holds(x, y)))
-
-    drop = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    more = F.when(F.col("__cand").isNull(), F.array().cast("array<struct<start:long,kind:int,end:long>>")).otherwise(drop(let(F.filter("__cand", secret), outer)))
-    return cands.select("doc_id", *extra, "__t", F.array_sort(F.concat(drop(F.col("__base")), more)).alias("__spans"))
+    more = F.when(F.col("__cand").isNull(), F.array().cast("array<struct<start:long,kind:int,end:long>>")).otherwise(longest(F.filter("__cand", secret)))
+    return cands.select("doc_id", *extra, F.array_sort(F.concat("__base", more)).alias("__spans"))
 
 
 def digests(spans: DataFrame) -> DataFrame:
@@ -210,13 +278,25 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     rest = tuple(c for c in docs.columns if c != "doc_id")
     spans = found(docs, rest)
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring("__t", (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
-        new = F.when(x["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), new.alias("out"))
+    def masked(text: Column) -> Column:
+        return let(F.struct(blocks(text).alias("b"), F.length(text).cast("long").alias("n")), lambda t: F.array_join(pieces(t), mask))
+
+    def pieces(t: Column) -> Column:
+        """What stands before, between and behind the spans."""
+
+        def cut(at: Column, end: Column) -> Column:
+            i, j = (F.floor(x / BLOCK).cast("int") for x in (at, end))
+            piece = lambda k, at, n: F.substring(F.coalesce(F.get(t["b"], k), F.lit("")), (at + 1).cast("int"), n.cast("int"))
+            far = F.concat(piece(i, at % BLOCK, F.lit(BLOCK)), F.array_join(F.slice(t["b"], i + 2, j - i - 1), ""), piece(j, F.lit(0), end % BLOCK))
+            return F.when(i == j, piece(i, at % BLOCK, end - at)).otherwise(far)
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(cut(at, x["start"]))).otherwise(F.array().cast("array<string>"))
+
+        last = F.struct(t["n"].alias("start"), F.lit(4).alias("kind"), t["n"].alias("end"))
+        return walk(F.array_append("__spans", last), F.lit(0).cast("long"), "string", step)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring("__t", (a["at"] + 1).cast("int"), F.length("__t"))))
+    clean = masked(F.col("text"))
     done = spans.withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
