@@ -4,7 +4,8 @@ Pages are written as gzip members, one a record, to archive files in the shared
 folder. The index sorts captures by reversed-host URL key, packs them into
 compressed blocks, and a sparse directory keeps each block's first key and place.
 A lookup binary-searches the directory, reads one block's byte range,
-binary-searches it, and reads one record's byte range.
+binary-searches it, and reads one record's byte range; fetch() does so for a table
+of keys.
 
 Files go through pyarrow's file systems, which must know the scheme of
 spark.checkpoint.dir. Each task attempt writes files of its own name and only
@@ -13,7 +14,7 @@ finished attempts are indexed, so a lost executor leaves at most unused files.
 Cases: null html: an empty payload. Null url: an empty target. Null page_id: its
 record carries none, and it is a revisit if any page has its payload. Equal
 payloads of MIN_REVISIT bytes or more are revisits of the least page_id. Repeated
-rows: one record each, all of the same type. Empty table: no files,
+rows: one record each, all of the same type; responses of a page share an id. Empty table: no files,
 empty result. Other columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,43 +39,56 @@ from .common import shared_path, stored, table, trim
 MIN_REVISIT = 0
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 256 << 20
-#: Index blocks that a task reads back, at least.
+#: Index blocks that a task reads back, about.
 READ_BLOCKS = 16
+UNSAFE = re.compile("[\x00-\x20\x7f]")
+#: Rows of payloads with copies that may be broadcast; more are joined by shuffles.
+MAX_BROADCAST_COPIES = 200_000
+#: Parts that the rows of one payload are dealt to in that join.
+SALTS = 32
 CAPTURES = "page_id long, url string, key string, file string, offset long, length long"
-DIRECTORY = "key string, file string, offset long, length long, n int"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+DIRECTORY = "key string, last string, file string, offset long, length long, n int"
 
 
 def url_key(url: str) -> str:
-    """The reversed-host key: com,example,www)/path?query."""
+    """The reversed-host key: com,example,www)/path?query, white space and
+    control characters escaped, as it is sorted, stored and searched."""
     rest = url.split("://", 1)[-1].split("#", 1)[0]
     cut = min((i for i in map(rest.find, "/?") if i >= 0), default=len(rest))
     host, path = rest[:cut].lower().rpartition("@")[2], rest[cut:] or "/"
     name, colon, port = host.partition(":")
-    return ",".join(reversed(name.split("."))) + colon + port + ")" + path
+    return UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", ",".join(reversed(name.split("."))) + colon + port + ")" + path)
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """Of a page's response, so that its revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member; a revisit has no payload of its own."""
+    digest = digest_of(payload)
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + payload if refers_to is None else http
     url = url.replace("\r", "%0D").replace("\n", "%0A")
     fields = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+        "WARC-Record-ID": record_id(page_id, digest) if refers_to is None else f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
         "WARC-Target-URI": url,
-        "WARC-Payload-Digest": f"sha1:{digest_of(payload)}",
+        "WARC-Payload-Digest": f"sha1:{digest}",
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": len(body),
         "X-Page-ID": "" if page_id is None else page_id,
     }
     if refers_to is not None:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers_to}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page-ID": refers_to}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     packer = zlib.compressobj(3, zlib.DEFLATED, 31)
     return packer.compress(head.encode() + body + b"\r\n\r\n") + packer.flush()
@@ -127,13 +142,18 @@ class Writer:
             self.out.close()
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, max_broadcast: int = MAX_BROADCAST_COPIES) -> DataFrame:
     """CAPTURES of the records written, stored."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
     first = rows.where(F.octet_length("html") >= min_revisit).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    copies = first.where("n > 1").drop("n")
-    known = rows.join(copies, "sha", "left").select("page_id", "url", "html", "first")
+    copies = stored(first.where("n > 1").drop("n"), "copies")
+    if copies.count() <= max_broadcast:
+        known = rows.join(F.broadcast(copies), "sha", "left")
+    else:  # the rows of a payload with many copies go to as many parts
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        known = salted.join(copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["sha", "salt"], "left")
+    known = known.select("page_id", "url", "html", "first")
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive = Writer(folder, "warc")
@@ -161,66 +181,111 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         def flush() -> None:
             if lines:
                 packed = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 3)
-                done.append((lines[0].split(" ", 1)[0], *index.write(packed), len(lines)))
+                done.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], *index.write(packed), len(lines)))
                 lines.clear()
 
         for batch in batches:
             for page_id, key, file, offset, length in batch.itertuples(index=False, name=None):
-                lines.append(f"{key.replace(' ', '%20').replace(chr(10), '%0A')} {'-' if pd.isna(page_id) else int(page_id)} {file} {offset} {length}")
+                lines.append(f"{key}\t{'-' if pd.isna(page_id) else int(page_id)}\t{file}\t{offset}\t{length}")
                 if len(lines) == block_lines:
                     flush()
         flush()
         index.close()
         yield pd.DataFrame(done, columns=[x.split()[0] for x in DIRECTORY.split(", ")])
 
-    ranged = captures.select("page_id", "key", "file", "offset", "length").repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+    ranged = captures.select("page_id", "key", "file", "offset", "length").repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     return stored(ranged.mapInPandas(written, DIRECTORY), "directory")
 
 
 def block_lines(store: Store, file: str, offset: int, length: int) -> list[list[str]]:
     lines = zlib.decompress(store.read(file, offset, length)).decode("utf-8", "surrogatepass").split("\n")
-    return [x.rsplit(" ", 4) for x in lines]
+    return [x.split("\t") for x in lines]
+
+
+class Index:
+    """Binary search in the directory and in its blocks; ``places``: (first key,
+    file, offset, length) of the blocks, sorted. The last block read is kept."""
+
+    def __init__(self, places: list[tuple[str, str, int, int]], store: Store | None = None) -> None:
+        self.places, self.store, self.at, self.lines, self.keys = places, store or Store(), -1, [], []
+
+    def find(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """Places of the records of a key."""
+        at = max(0, bisect.bisect_left(self.places, (key,)) - 1)
+        while at < len(self.places) and self.places[at][0] <= key:
+            if at != self.at:
+                self.at, self.lines = at, block_lines(self.store, *self.places[at][1:4])
+                self.keys = [x[0] for x in self.lines]
+            for x in self.lines[bisect.bisect_left(self.keys, key) : bisect.bisect_right(self.keys, key)]:
+                yield x[2], int(x[3]), int(x[4])
+            at += 1
 
 
 def lookup(directory: list[tuple[str, str, int, int]], url: str, store: Store | None = None) -> list[tuple[dict[str, str], bytes]]:
     """The records of a url; ``directory``: (key, file, offset, length) sorted."""
-    store, key = store or Store(), url_key(url).replace(" ", "%20").replace("\n", "%0A")
-    out = []
-    at = max(0, bisect.bisect_left(directory, (key,)) - 1)
-    while at < len(directory) and directory[at][0] <= key:
-        lines = block_lines(store, *directory[at][1:4])
-        keys = [x[0] for x in lines]
-        for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            out.append(parsed(store.read(x[2], int(x[3]), int(x[4])))[:2])
-        at += 1
-    return out
+    store = store or Store()
+    return [parsed(store.read(*place))[:2] for place in Index(directory, store).find(url_key(url))]
+
+
+def told(places: list[tuple[str, int, int]]) -> pd.DataFrame:
+    """RECORDS at some places, each archive opened once. A revisit's payload is
+    told by its header."""
+    store, out = Store(), []
+    for path, at, size in sorted(places):
+        fields, payload, length = parsed(store.read(path, at, size))
+        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if fields["WARC-Type"] == "response" and (len(payload), digest_of(payload)) != (length, digest):
+            raise ValueError(f"damaged record in {path} at {at}")
+        ids = [int(x) if (x := fields.get(k, "")) else None for k in ("X-Page-ID", "X-Refers-To-Page-ID")]
+        out.append((ids[0], length, digest, fields["WARC-Type"], ids[1]))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
+def fetch(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """RECORDS of the captures of ``keys`` (key). The sorted directory is cut into
+    ranges of READ_BLOCKS blocks or so; a key goes to the ranges that it may be in,
+    where a task binary-searches the range's directory, then the block, and reads
+    the byte ranges of the records."""
+    parts = max(1, directory.count() // READ_BLOCKS)
+    cut = directory.repartitionByRange(parts, "key", "file", "offset").withColumn("part", F.spark_partition_id())
+    ranges = stored(cut.groupBy("part").agg(F.min("key").alias("low"), F.max("last").alias("high"), F.array_sort(F.collect_list(F.struct("key", "file", "offset", "length"))).alias("places")), "ranges")
+    bounds = sorted(tuple(r) for r in ranges.select("low", "high", "part").collect())  # a row for READ_BLOCKS blocks of BLOCK_LINES captures
+    shared = directory.sparkSession.sparkContext.broadcast(bounds)
+
+    def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds = shared.value
+        highs = [high for _, high, _ in bounds]  # in order, as the ranges are
+        for batch in batches:
+            out = []
+            for key in batch["key"]:
+                at = bisect.bisect_left(highs, key)
+                while at < len(bounds) and bounds[at][0] <= key:
+                    out.append((bounds[at][2], key))
+                    at += 1
+            yield pd.DataFrame(out, columns=["part", "key"])
+
+    def read(asked: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        index = Index([(p["key"], p["file"], int(p["offset"]), int(p["length"])) for x in places["places"] for p in x])
+        out = told([place for key in sorted(asked["key"]) for place in index.find(key)])
+        trim()
+        return out
+
+    asked = keys.select("key").distinct().mapInPandas(located, "part int, key string")
+    return asked.groupBy("part").cogroup(ranges.select("part", "places").groupBy("part")).applyInPandas(read, RECORDS)
 
 
 def read_back(directory: DataFrame) -> DataFrame:
-    """Every record that the index has: page_id, payload_bytes, payload_digest,
-    record_type, refers_to. A revisit's payload is told by its header."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    """RECORDS of all that the index has, block by block."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, records = Store(), Store()
+        store = Store()
         for batch in batches:
-            for file, offset, length in batch.itertuples(index=False, name=None):
-                out = []
-                for _, _, path, at, size in sorted(block_lines(store, file, offset, length), key=lambda x: (x[2], int(x[3]))):
-                    fields, payload, told = parsed(records.read(path, int(at), int(size)))
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response" and (len(payload), digest_of(payload)) != (told, digest):
-                        raise ValueError(f"damaged record in {path} at {at}")
-                    ids = [int(x) if (x := fields.get(k, "")) else None for k in ("X-Page-ID", "X-Refers-To-Page-ID")]
-                    out.append((ids[0], told, digest, fields["WARC-Type"], ids[1]))
-                made = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+            for place in batch.itertuples(index=False, name=None):
+                yield told([(x[2], int(x[3]), int(x[4])) for x in block_lines(store, *place)])
                 trim()
 
-    # by number: the directory is small, and joined partitions would be one task
     parts = max(1, directory.count() // READ_BLOCKS)
-    spread = directory.select("file", "offset", "length").repartition(parts, "file", "offset")
-    return spread.mapInPandas(read, schema)
+    return directory.select("file", "offset", "length").repartition(parts, "file", "offset").mapInPandas(read, RECORDS)
 
 
 def archive(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +295,8 @@ def archive(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(archive(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))[1])
+    captures, directory = archive(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    return fetch(captures.select("key"), directory)
 
 
 OP7_SQL = r"""
