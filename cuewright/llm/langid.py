@@ -1,11 +1,13 @@
 """Language identification: script ranges narrow the candidates, then Viterbi
 over per-word scores with a switching penalty labels the spans of a text.
 
-Words are runs of letters, lower-cased. A word's score in a language is the sum
+Words are runs of letters and combining marks that start with a letter, lower-cased. A word's score in a language is the sum
 of smoothed log probabilities of its hashed character n-grams (1 to 4, with word
 ends), learned from labelled texts; a language that never used the word's script
 is no candidate. A document's language is the one with the most letters under
-the best path, ``score`` that share of its letters.
+the best path, ``score`` that share of its letters. A path runs over the whole
+text; of a long one only the states at the ends of its runs are kept, and each
+run is gone through again on the way back.
 
 Learning takes a bounded sample of labelled rows: the MAX_TRAIN first by a hash
 of doc_id; what the driver gathers is one row for each language and bucket.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +43,28 @@ PENALTY = 12.0
 OTHER_SCRIPT = -40.0
 #: Share of a language's letters from which a script counts as used.
 SCRIPT_SHARE = 0.02
-#: Words in a run of Viterbi, and words whose scores a worker remembers.
-RUN_WORDS, CACHE_WORDS = 1_000_000, 400_000
+#: Words times languages in a run of Viterbi, and of which a worker remembers the scores.
+RUN_CELLS, CACHE_CELLS = 4_000_000, 2_000_000
 #: Words scored at once, times languages.
 SCORED = 1 << 14
 #: An odd number of 64 bits that mixes code points.
 HASH = np.uint64(0x9E3779B97F4A7C15)
-LETTERS = re.compile(r"[^\W\d_]+")
+ASCII_LETTERS = re.compile("[A-Za-z]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: First code point of each range, and its script.
 RANGES = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x30000, "other"))
 _STARTS = [x for x, _ in RANGES]
 
 
+def places_of(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in (ASCII_LETTERS if text.isascii() else LETTERS).finditer(text)]
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (ASCII_LETTERS if text.isascii() else LETTERS).findall(text)
+
+
 def script_of(word: str) -> str:
     return RANGES[bisect.bisect_right(_STARTS, ord(word[0])) - 1][1]
 
@@ -113,7 +126,7 @@ class Model:
         return np.array(got, np.int32)
 
     def fresh(self) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) * len(self.langs) > CACHE_CELLS:
             self.known = {}
             self.rows = np.empty((1024, len(self.langs)), np.float32)
 
@@ -146,6 +159,33 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
     return out
 
 
+def long_path(scores, n: int, run: int, penalty: float = PENALTY) -> np.ndarray:
+    """viterbi() of one text of ``n`` words, ``run`` at a time; ``scores(lo, hi)``
+    are of a part of its words. The same path as in one run."""
+
+    def forward(best: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        back, own = np.empty(part.shape, np.int16), np.arange(part.shape[1], dtype=np.int16)
+        for t, row in enumerate(part):
+            top = best.argmax()
+            stay = best >= best[top] - penalty
+            back[t] = np.where(stay, own, top)
+            best = np.where(stay, best, best[top] - penalty) + row
+        return best, back
+
+    cuts = list(range(0, n, run))
+    states = [np.zeros(scores(0, 1).shape[1])]
+    for lo in cuts:
+        states.append(forward(states[-1], scores(lo, min(n, lo + run)))[0])
+    out = np.empty(n, np.int16)
+    label = int(states[-1].argmax())
+    for lo, best in zip(reversed(cuts), reversed(states[:-1]), strict=True):
+        back = forward(best, scores(lo, min(n, lo + run)))[1]
+        for t in range(len(back) - 1, -1, -1):
+            out[lo + t] = label
+            label = int(back[t, label])
+    return out
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
@@ -161,7 +201,7 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -
             for lang, texts in batch.groupby("lang")["text"]:
                 words: Counter = Counter()
                 for text in texts:
-                    words.update(LETTERS.findall(text.lower()))
+                    words.update(words_of(text))
                 sums, scripts = np.zeros(buckets, np.int64), Counter()
                 listed = list(words.items())
                 for i in range(0, len(listed), SCORED):
@@ -176,29 +216,32 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -
                 if made:
                     yield pd.DataFrame(made, columns=["lang", "kind", "bucket", "n"])
 
-    got = sample.mapInPandas(counted, "lang string, kind string, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in got})
+    # columns of numbers, at most one for each language and bucket or script
+    got = sample.mapInPandas(counted, "lang string, kind string, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else None
+    langs = sorted(names.dictionary.to_pylist()) if got.num_rows else []
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     sums, letters = np.zeros((buckets, len(langs))), {x: Counter() for x in langs}
-    for r in got:
-        if r["kind"]:
-            letters[r["lang"]][r["kind"]] += r["n"]
-        else:
-            sums[r["bucket"], langs.index(r["lang"])] = r["n"]
+    if got.num_rows:
+        place = np.array([langs.index(x) for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+        at, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+        sums[at[at >= 0], place[at >= 0]] = n[at >= 0]
+        for i in np.flatnonzero(at < 0):
+            letters[langs[place[i]]][got["kind"][int(i)].as_py()] += int(n[i])
     logs = np.log((sums + SMOOTHING) / (sums.sum(0) + SMOOTHING * buckets)).astype(np.float32)
     return Model(langs, np.r_[logs, np.zeros((1, len(langs)), np.float32)], {x: {s for s, c in letters[x].items() if c >= SCRIPT_SHARE * sum(letters[x].values())} for x in langs})
 
 
-def _runs(texts: list[str | None]) -> Iterator[list[tuple[int, list]]]:
-    """Texts with letters as (place, words with their places), RUN_WORDS at most
-    in a run but for a single longer text."""
+def _runs(texts: list[str | None], most: int) -> Iterator[list[tuple[int, list]]]:
+    """Texts with letters as (place, words), ``most`` words in a run at most but
+    for a single longer text."""
     held: list = []
     n = 0
     for i, text in enumerate(texts):
-        words = LETTERS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if words:
-            if held and n + len(words) > RUN_WORDS:
+            if held and n + len(words) > most:
                 yield held
                 held, n = [], 0
             held.append((i, words))
@@ -207,16 +250,24 @@ def _runs(texts: list[str | None]) -> Iterator[list[tuple[int, list]]]:
         yield held
 
 
-def labelled(model: Model, texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+def labelled(model: Model, texts: list[str | None], cells: int = RUN_CELLS) -> Iterator[tuple[int, list[str], np.ndarray]]:
     """(place, words, label of each word) of each text with letters."""
     if not model.langs:
         return
-    for run in _runs(texts):
+    most = max(1, cells // len(model.langs))
+
+    def scores(words: list[str]) -> np.ndarray:
         model.fresh()
-        words = [w for _, ws in run for w in ws]
-        ids = model.ids(words)
+        ids = model.ids(words)  # may grow the rows
+        return model.rows[ids]
+
+    for run in _runs(texts, most):
+        if len(run) == 1 and len(run[0][1]) > most:
+            (i, words), *_ = run
+            yield i, words, long_path(lambda lo, hi, ws=words: scores(ws[lo:hi]), len(words), most)
+            continue
         lengths = np.array([len(ws) for _, ws in run])
-        labels = viterbi(model.rows[ids], lengths)
+        labels = viterbi(scores([w for _, ws in run for w in ws]), lengths)
         for (i, ws), end, n in zip(run, np.cumsum(lengths), lengths, strict=True):
             yield i, ws, labels[end - n : end]
 
@@ -248,9 +299,9 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts, out = batch["text"].tolist(), []
             for i, words, labels in labelled(own, texts):
-                places = [m.span() for m in LETTERS.finditer(texts[i])]
+                places = places_of(texts[i])
                 if len(places) != len(words):  # lower-casing moved letters: places in the lowered text
-                    places = [m.span() for m in LETTERS.finditer(texts[i].lower())]
+                    places = places_of(texts[i].lower())
                 cuts = np.r_[0, np.flatnonzero(np.diff(labels)) + 1, len(words)]
                 out += [(batch["doc_id"].iloc[i], places[a][0], places[b - 1][1], own.langs[labels[a]]) for a, b in zip(cuts, cuts[1:])]
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "lang"])
