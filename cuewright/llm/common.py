@@ -19,11 +19,14 @@ WS = "[\\x20\\x09-\\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests)
-    a temporary folder is made and remembered in the session.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and the
+    session runs in one process (tests) a temporary folder is made and remembered
+    in the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cuewright.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cuewright-")
         spark.conf.set("cuewright.shared.dir", found)
     sc = spark.sparkContext
@@ -37,12 +40,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts
     lineage by files that outlive any executor."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
