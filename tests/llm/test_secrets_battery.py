@@ -1,40 +1,15 @@
 import math
 import random
 import time
-from collections import Counter
 
 import pytest
+from brute import battery
 
 from cuewright.llm import secrets
 
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
-def battery(token):
-    """The tests by their definitions, from the whole list of symbols."""
-    import re
-
-    base = token.rstrip("=")
-    letters = next(a for p, a in secrets.ENCODINGS if re.search(p, base))
-    x, k = [letters.index(c) for c in base], len(letters)
-    n, df = len(x), k - 1
-    chi = sum((c - n / k) ** 2 / (n / k) for c in Counter(x).values()) + (k - len(set(x))) * n / k
-    z1 = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    up = [2 * v >= k for v in x]
-    runs, u = 1 + sum(a != b for a, b in zip(up, up[1:])), sum(up)
-    mu = 2 * u * (n - u) / n + 1
-    var = (mu - 1) * (mu - 2) / (n - 1)
-    z2 = (runs - mu) / math.sqrt(var) if var > 0 else 9.0
-    m = sum(x) / n
-    spread = sum((v - m) ** 2 for v in x)
-    z3 = (sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread > 0 else 9.0
-    e = 16 * secrets.HEX_REPEAT - 1 if k == 16 else k * secrets.TEXT_REPEAT - 1
-    z4 = (df + (n - 1) * e - chi) / math.sqrt(2 * df + 4 * n * e)
-    tail = lambda z: max(1e-15, math.erfc(z / math.sqrt(2)) / 2)
-    half = -(math.log(tail(z1)) + math.log(min(1, 2 * tail(abs(z2)))) + math.log(min(1, 2 * tail(abs(z3)))))
-    return math.exp(-half) * (1 + half + half * half / 2), tail(z4), n
-
-
 def some_texts():
     made = random.Random(5)
     key = lambda letters, n: "".join(made.choice(letters) for _ in range(n))
