@@ -36,6 +36,48 @@ def chroma(code: Column) -> Column:
     return F.struct(F.when(code.endswith("10LE"), 10).when(code.endswith("12LE"), 12).otherwise(8).alias("bits"), F.when(deep, 2).otherwise(1).alias("bytes"), F.when(code.contains("444"), 2).otherwise(1).alias("planes"))
 
 
+#: Shares of red and blue in the luma of each standard.
+LUMA = {"BT601": (0.299, 0.114), "BT709": (0.2126, 0.0722), "BT2020": (0.2627, 0.0593), "FCC": (0.3, 0.11), "SMPTE240M": (0.212, 0.087)}
+
+
+def studio_rgb(y: Column, u: Column, v: Column, standard: str = "BT709", bits: int = 8) -> Column:
+    """YUV of limited range (luma 16 to 235 of 8 bits) to RGB bytes."""
+    kr, kb = LUMA[standard]
+    unit = float(1 << bits - 8)
+    luma, cb, cr = (y / unit - 16) * (255 / 219), (u / unit - 128) * (255 / 224), (v / unit - 128) * (255 / 224)
+    byte = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x + 0.5))).cast("int")
+    red, blue = luma + 2 * (1 - kr) * cr, luma + 2 * (1 - kb) * cb
+    green = luma - 2 * (1 - kr) * kr / (1 - kr - kb) * cr - 2 * (1 - kb) * kb / (1 - kr - kb) * cb
+    return F.struct(byte(red).alias("r"), byte(green).alias("g"), byte(blue).alias("b"))
+
+
+def interleaved(px: Column, planes: int = 3) -> Column:
+    """Planes one after the other to pixels, the last plane first (BGR of RGB)."""
+    n = (F.size(px) / planes).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.size(px) - 1), lambda i: F.get(px, (planes - 1 - i % planes) * n + F.floor(i / planes).cast("int")))
+
+
+def chroma_layout(code: Column) -> Column:
+    """Struct of a chroma format's share of rows in the chroma planes, and whether
+    it is NV12, the only one that frames may have."""
+    return F.struct(F.when(code.contains("444"), 1.0).when(code.contains("420"), 0.5).alias("rows"), (code == "YUV420").alias("nv12"))
+
+
+def only_nv12(code: Column) -> Column:
+    """The code, or an error that ends the query."""
+    return F.when(code == "YUV420", code).otherwise(F.raise_error(F.concat(F.lit("frames must be NV12, not "), code)))
+
+
+def preprocess(nv12: np.ndarray, width: int, height: int, side: int = 640) -> np.ndarray:
+    """(3, h, w) bytes of an NV12 frame: scaled so that its longer side is ``side``,
+    in RGB, blurred, filled with black to multiples of 32."""
+    r = np.float32(side) / np.float32(max(width, height))
+    w, h = (int(np.float32(r * np.float32(x)) + 0.5) for x in (width, height))
+    out = np.zeros((3, -(-h // 32) * 32, -(-w // 32) * 32), np.uint8)
+    out[:, :h, :w] = bilateral(nv12_to_rgb(nv12, width, height, w, h, w, h))
+    return out
+
+
 def nv12_to_rgb(nv12: np.ndarray, width: int, height: int, target_w: int, target_h: int, out_w: int, out_h: int) -> np.ndarray:
     """(3, out_h, out_w) bytes by nearest samples; black beyond the target."""
     luma, inter = nv12[: width * height].reshape(height, width), nv12[width * height :].reshape(height // 2, width // 2, 2)

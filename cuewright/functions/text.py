@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranges of the code points that comparisons ignore.
-IGNORED_RANGES = "0000 0009-000D 0020-002F 003A-0040 005B-0060 007B-007E 00A1 00A4 00B0 00B7 00BF 2014 2018-2019 201C-201D 2022 2025-2026 203B 2190-2194 25A0 25C6 25CA-25CB 25CF 3000-3002 3007-3011 3013-301B 303D 30A0 30FB FF01-FF0F FF1A-FF20 FF3B-FF40 FF5B-FF65 FF70 FF9F FFE0-FFE5 FFE8-FFEE"
-
-
-def ignored() -> str:
-    """The ignored characters in one string."""
-    out = ""
-    for part in IGNORED_RANGES.split():
-        lo, _, hi = part.partition("-")
-        out += "".join(map(chr, range(int(lo, 16), int(hi or lo, 16) + 1)))
-    return out
+#: Characters that comparisons ignore.
+IGNORED = "\0\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¤°·¿—‘’“”•‥…※←↑→↓↔■◆◊○●\u3000、。〇〈〉《》「」『』【】〓〔〕〖〗〘〙〚〛〽゠・！＂＃＄％＆＇（）＊＋，－．／：；＜＝＞？＠［＼］＾＿｀｛｜｝～｟｠｡｢｣､･ｰﾟ￠￡￢￣￤￥￨￩￪￫￬￭￮"
 
 
 def strip_ignored(text: Column) -> Column:
     """A string without its ignored characters."""
-    return F.translate(text, ignored(), "")
+    return F.translate(text, IGNORED, "")
 
 
 def significant_length(text: Column) -> Column:
@@ -59,3 +50,38 @@ def time_string(ms: Column) -> Column:
 def frame_ms(frame: Column, fps: Column | float) -> Column:
     """Milliseconds of a frame number, truncated."""
     return ((frame.cast("double") / fps) * F.lit(1000.0)).cast("long")
+
+
+def code_points(text: Column) -> Column:
+    """The numbers of a string's characters."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+
+
+def to_utf32(text: Column) -> Column:
+    """Four bytes for each character, highest first."""
+    return F.encode(text, "UTF-32")
+
+
+def from_utf32(data: Column) -> Column:
+    return F.decode(data, "UTF-32")
+
+
+def common_prefix(least: Column, greatest: Column) -> Column:
+    """The longest common start of two strings; of a group's least and greatest it
+    is that of all."""
+    n = F.least(F.length(least), F.length(greatest))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    differ = F.filter(places, lambda i: F.substring(least, i, F.lit(1)) != F.substring(greatest, i, F.lit(1)))
+    return F.substring(least, F.lit(1), F.coalesce(F.get(differ, F.lit(0)) - 1, n))
+
+
+def joined_name(least: Column, greatest: Column, extension: Column) -> Column:
+    """Name of the file that joins some: their common start, else "output"."""
+    start = F.regexp_replace(common_prefix(least, greatest), "[\\s_.-]+$", "")
+    return F.concat(F.when(start != "", start).otherwise("output"), F.lit("."), extension)
+
+
+def first_ignored(text: Column) -> Column:
+    """Place from 0 of the first ignored character; null if there is none."""
+    cut = F.substring_index(F.translate(text, IGNORED, " " * len(IGNORED)), " ", 1)
+    return F.when(F.length(cut) < F.length(text), F.length(cut))

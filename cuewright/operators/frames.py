@@ -48,3 +48,13 @@ def padded(rows: DataFrame, key: list[str], order: list[str], size: int) -> Data
     need = placed.groupBy(*key).agg(F.count("*").alias("n"))
     fill = need.where(F.col("n") % size != 0).select(*key, F.explode(F.sequence(F.col("n"), F.ceil(F.col("n") / size) * size - 1)).alias("slot"))
     return placed.unionByName(fill, allowMissingColumns=True).withColumn("batch", F.floor(F.col("slot") / size))
+
+
+def one_geometry(frames: DataFrame, video: list[str], order: str, columns: tuple[str, ...] = ("width", "height")) -> DataFrame:
+    """The frames; a change of ``columns`` within a video ends the query."""
+    w = Window.partitionBy(*video).orderBy(order)
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+    good = F.when(F.row_number().over(w) == 1, True).when(same, True).otherwise(F.raise_error(F.lit("frames of a video change their geometry")).cast("boolean"))
+    return frames.withColumn("__good", good).where("__good").drop("__good")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import geometry as G
+from cuewright.functions import pixels as P
 from cuewright.operators.assign import assign
 
 MIN_AREA, MIN_PEAK = 10, 0.99
@@ -22,29 +26,46 @@ def component_boxes(pixels: DataFrame, key: list[str], width: int, height: int,
 
 
 def _mergeable(a: tuple, b: tuple) -> bool:
-    (ax, ay, aw, ah), (bx, by, bw, bh) = sorted((a, b))
-    if ay <= by and ax + aw >= bx + bw and ay + ah >= by + bh or bx <= ax and by <= ay and bx + bw >= ax + aw and by + bh >= ay + ah:
+    """The rule of geometry.can_merge for numbers: ``a`` comes before ``b``, which
+    matters where both start at the same x."""
+    (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
+    if ax <= bx and ay <= by and ax + aw >= bx + bw and ay + ah >= by + bh or bx <= ax and by <= ay and bx + bw >= ax + aw and by + bh >= ay + ah:
         return True
     size = min(ah, bh)
     if abs(ay + ah // 2 - by - bh // 2) * 1.5 > size and (abs(ah - bh) > size or abs(ay - by) * 2 > size):
         return False
-    return abs(ax + aw - bx) <= size
+    return abs(ax + aw - bx if ax < bx else bx + bw - ax) <= size
+
+
+def united(n: int, pairs: Iterable[tuple[int, int]]) -> list[int]:
+    """The least member of the set that each of 0 to n - 1 is in."""
+    up = list(range(n))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
 
 
 def merged(boxes: list[tuple]) -> list[tuple]:
-    """Hulls of the connected mergeable boxes, by (y, x, width, height)."""
-    group = list(range(len(boxes)))
-    for i in range(len(boxes)):
-        for j in range(i):
-            if group[i] != group[j] and _mergeable(boxes[i], boxes[j]):
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
+    """Hulls of the connected mergeable boxes, by (y, x, width, height); boxes are
+    compared in this order too."""
+    order = lambda b: (b[1], b[0], b[2], b[3])
+    boxes = sorted(boxes, key=order)
+    groups: dict[int, list[tuple]] = {}
+    pairs = ((i, j) for j in range(len(boxes)) for i in range(j) if _mergeable(boxes[i], boxes[j]))
+    for box, g in zip(boxes, united(len(boxes), pairs), strict=True):
+        groups.setdefault(g, []).append(box)
     out = []
-    for g in set(group):
-        own = [b for b, x in zip(boxes, group, strict=True) if x == g]
+    for own in groups.values():
         x, y = min(b[0] for b in own), min(b[1] for b in own)
         out.append((x, y, max(b[0] + b[2] for b in own) - x, max(b[1] + b[3] for b in own) - y))
-    return sorted(out, key=lambda b: (b[1], b[0], b[2], b[3]))
+    return sorted(out, key=order)
 
 
 def merge_boxes(boxes: DataFrame, key: list[str], times: int = 2) -> DataFrame:
@@ -119,7 +140,8 @@ def tracks(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
             first[at] = first.get(before.get(at), at)
         return pd.DataFrame([(*values, *at, *start) for at, start in first.items()])
 
-    return regions.groupBy(*key).cogroup(edges.groupBy(*key)).applyInPandas(of, schema)
+    links = edges.select(*[F.col(c).alias(c) for c in (*key, "seq", "src", "dst")])  # new columns, should both come from one table
+    return regions.groupBy(*key).cogroup(links.groupBy(*key)).applyInPandas(of, schema)
 
 
 def carried(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
@@ -128,3 +150,44 @@ def carried(rows: DataFrame, key: list[str], order: str, value: str) -> DataFram
     return rows.withColumn("carried", F.last(value, ignorenulls=True).over(w))
 
 
+
+
+def region_ids(regions: DataFrame, batch: list[str], order: list[str]) -> DataFrame:
+    """Regions with a number from 0 in their batch, as ``region_id``. Either
+    direction of the lookup is a join with this table."""
+    w = Window.partitionBy(*batch).orderBy(*order)
+    return regions.withColumn("region_id", (F.row_number().over(w) - 1).cast("long"))
+
+
+def along_tracks(found: DataFrame, texts: DataFrame, key: list[str], default: str = "") -> DataFrame:
+    """tracks() with the text of each track's first region. ``texts``: (key, seq,
+    region_idx, text) of the regions that were read; ``default`` where it wasn't."""
+    first = texts.select(*key, F.col("seq").alias("first_seq"), F.col("region_idx").alias("first_region"), "text")
+    return found.join(first, [*key, "first_seq", "first_region"], "left").withColumn("text", F.coalesce("text", F.lit(default)))
+
+
+def region_strips(frames: DataFrame, regions: DataFrame, key: list[str], out_w: int, out_h: int = 32) -> DataFrame:
+    """(key, frame_id, region_idx, strip): each region cut from its frame (``px``:
+    bytes of ``planes`` planes of height x width) and scaled to out_h x out_w."""
+
+    @F.pandas_udf("binary")
+    def cut(px: pd.Series, planes: pd.Series, height: pd.Series, width: pd.Series, box: pd.DataFrame) -> pd.Series:
+        rows = zip(px, planes, height, width, box.itertuples(index=False), strict=True)
+        return pd.Series([P.region(np.frombuffer(x, np.uint8).reshape(n, h, w), b.x, b.y, b.width, b.height, out_w, out_h).tobytes() for x, n, h, w, b in rows], index=px.index)
+
+    joined = regions.select(*key, "frame_id", "region_idx", "box").join(frames.select(*key, "frame_id", "px", "planes", "height", "width"), [*key, "frame_id"])
+    return joined.select(*key, "frame_id", "region_idx", cut("px", "planes", "height", "width", "box").alias("strip"))
+
+
+def region_differences(strips: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, frame_id, src, dst, absdiff) of edges from region ``src`` of a frame to
+    ``dst`` of ``next_id``: the sum of their strips' absolute differences."""
+
+    @F.pandas_udf("long")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        of = lambda x: np.frombuffer(x, np.uint8).astype(np.int32)
+        return pd.Series([int(np.abs(of(x) - of(y)).sum()) for x, y in zip(a, b, strict=True)], index=a.index)
+
+    a = strips.select(*key, "frame_id", F.col("region_idx").alias("src"), F.col("strip").alias("a"))
+    b = strips.select(*key, F.col("frame_id").alias("next_id"), F.col("region_idx").alias("dst"), F.col("strip").alias("b"))
+    return edges.join(a, [*key, "frame_id", "src"]).join(b, [*key, "next_id", "dst"]).select(*key, "frame_id", "src", "dst", apart("a", "b").alias("absdiff"))

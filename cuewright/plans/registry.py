@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -13,9 +14,10 @@ from cuewright.functions import geometry as G
 from cuewright.functions import pixels as P
 from cuewright.functions import text as T
 from cuewright import streaming
-from cuewright.operators import ctc, frames, models, regions
+from cuewright.streaming import shared_path
+from cuewright.operators import ctc, frames, models, neighbors, regions
 from cuewright.operators import segments as S
-from cuewright.sources import flv, mp4, tables
+from cuewright.sources import flv, mp4, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,7 +215,19 @@ def box_scale(spark, sf):
     return boxes(spark, sf).select("l_orderkey", "region_idx", G.scale(F.col("box"), 0.75).alias("c")).select("l_orderkey", "region_idx", "c.*")
 
 
-@query()
+def merge_boxes_sql(source: str, out: str) -> str:
+    """CTEs that merge the mergeable boxes (k, x, y, w, h) of each k once."""
+    return f""", {out}n as (select *, row_number() over (partition by k order by y, x, w, h) as i from {source}),
+{out}p as (select a.k, a.i, c.i as j, a.x as ax, a.y as ay, a.w as aw, a.h as ah, c.x as cx, c.y as cy, c.w as cw, c.h as ch, least(a.h, c.h) as z from {out}n a join {out}n c on a.k = c.k and a.i < c.i),
+{out}m as (select k, i, j from {out}p where (ax <= cx and cx + cw <= ax + aw and ay <= cy and cy + ch <= ay + ah) or (cx <= ax and ax + aw <= cx + cw and cy <= ay and ay + ah <= cy + ch)
+  or (not (abs(ay + ah // 2 - cy - ch // 2) * 1.5 > z and (abs(ah - ch) > z or abs(ay - cy) * 2 > z)) and case when ax < cx then abs(ax + aw - cx) else abs(cx + cw - ax) end <= z)),
+{out}u as (select k, i, j from {out}m union all select k, j, i from {out}m),
+{out}r(k, i, j) as (select k, i, i from {out}n union select r.k, r.i, u.j from {out}r r join {out}u u on r.k = u.k and r.j = u.i),
+{out}g as (select k, i, min(j) as g from {out}r group by 1, 2),
+{out} as (select n.k, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h from {out}n n join {out}g g on n.k = g.k and n.i = g.i group by n.k, g.g)"""
+
+
+@query("with recursive " + BOXES + ", f as (select l_orderkey as k, x, y, w, h from b)" + merge_boxes_sql("f", "m1") + merge_boxes_sql("m1", "m2") + " select k as l_orderkey, cast(row_number() over (partition by k order by y, x, w, h) - 1 as int) as region_idx, x, y, w as width, h as height from m2")
 def merge_boxes(spark, sf):
     return regions.merge_boxes(boxes(spark, sf).select("l_orderkey", "box.*"), ["l_orderkey"])
 
@@ -231,7 +245,10 @@ def component_boxes(spark, sf):
     return regions.component_boxes(px, ["l_orderkey"], 300, 150, min_area=3).select("l_orderkey", "area", "box.*")
 
 
-@query()
+@query("""with recursive g as (select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as i from embeddings), c as (select vec_id, i from g where e > 0),
+r(vec_id, i, j) as (select vec_id, i, i from c union select r.vec_id, r.i, c.i from r join c on r.vec_id = c.vec_id and ((abs(r.j - c.i) = 1 and r.j // 8 = c.i // 8) or abs(r.j - c.i) = 8)),
+m as (select vec_id, i, min(j) as first from r group by 1, 2), n as (select vec_id, first, count(*) as n from m group by 1, 2), t as (select vec_id, cast(count(*) as int) as n, cast(max(n) as int) as largest from n group by 1)
+select e.vec_id, coalesce(n, 0) as n, coalesce(largest, 0) as largest from embeddings e left join t using (vec_id)""")
 def component_label(spark, sf):
     @F.pandas_udf("struct<n: int, largest: int>")
     def labelled(x: pd.Series) -> pd.DataFrame:
@@ -312,7 +329,10 @@ def topk_symbols(spark, sf):
     return ctc.top_k(rows, ["vec_id"], "e").select("vec_id", F.col("idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("with " + STEPS + """, c as (select vec_id, k, row_number() over (partition by vec_id order by k) as n from l where x > 0 and (b is null or b <> x)),
+g as (select c.vec_id, c.n, c.k - 1 - max(s.k) as gap from c left join s on c.vec_id = s.vec_id and s.k < c.k and s.x > 0 group by c.vec_id, c.n, c.k),
+w as (select vec_id, cast(coalesce(sum(gap) filter (where n > 1), 0) // max(n) as int) as width from g group by 1)
+select e.vec_id, w.width from embeddings e left join w using (vec_id)""")
 def space_width(spark, sf):
     return steps(spark, sf).select("vec_id", ctc.space_width(F.col("steps")).alias("width"))
 
@@ -355,7 +375,11 @@ def edit_ratio(spark, sf):
     return part.join(later, "p_partkey").select("p_partkey", F.round(T.edit_ratio(F.col("p_name"), F.col("b")).cast("double"), 5).alias("ratio"))
 
 
-IGNORED = "(select string_agg(chr(c::int), '') from (select unnest(range(case when l = 0 then 1 else l end, h + 1)) as c from (values " + ", ".join(f"({int(p.partition('-')[0], 16)}, {int(p.partition('-')[2] or p.partition('-')[0], 16)})" for p in T.IGNORED_RANGES.split()) + ") v(l, h)))"
+#: First and last code points of the ignored characters, for SQL.
+IGNORED = """(select string_agg(chr(c::int), '') from (select unnest(range(l, h + 1)) as c from (values
+  (9, 13), (32, 47), (58, 64), (91, 96), (123, 126), (161, 161), (164, 164), (176, 176), (183, 183), (191, 191), (8212, 8212), (8216, 8217), (8220, 8221), (8226, 8226), (8229, 8230),
+  (8251, 8251), (8592, 8596), (9632, 9632), (9670, 9670), (9674, 9675), (9679, 9679), (12288, 12290), (12295, 12305), (12307, 12315), (12349, 12349), (12448, 12448), (12539, 12539),
+  (65281, 65295), (65306, 65312), (65339, 65344), (65371, 65381), (65392, 65392), (65439, 65439), (65504, 65509), (65512, 65518)) v(l, h)))"""
 
 
 @query(f"select doc_id, length(translate(text, {IGNORED}, '')) as n_significant, md5(translate(text, {IGNORED}, '')) as digest from documents")
@@ -477,6 +501,31 @@ def stream_segments(spark, sf):
     return flat(streaming.run_to_files(streaming.segments(timed(source))))
 
 
+@query("with w as (select date_trunc('minute', ts) as minute, count(*) as frames from events group by 1) select minute, frames, frames / 60.0::double as rate from w where minute + interval 1 minute <= (select max(ts) - interval 10 minute from events)")
+def stream_rate(spark, sf):
+    """Frames a minute of a stream; minutes that late events may still change are open."""
+    source = streaming.file_stream(spark, f"{sf}/events.parque[t]", read(spark, sf, "events").schema)
+    found = streaming.run_to_files(streaming.per_minute(source.withColumn("ts", F.col("ts").cast("timestamp"))))
+    return found.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "frames", "rate")
+
+
+@query("with " + SEGMENTS + " " + FLAT + "s where a >= 0")
+def stream_late_segments(spark, sf):
+    """Segments of events that come in several batches, out of order: each batch
+    has the events of every fourth number, so a video's come in four passes."""
+    rows = events(spark, sf).withColumn("turn", F.pmod(F.xxhash64("time_ms"), F.lit(4)))
+    schema, folder = "video_id long, time_ms long, texts array<string>", shared_path(spark, "late-events")
+    for turn in range(4):
+        rows.where(F.col("turn") == turn).select("video_id", "time_ms", "texts").coalesce(1).write.mode("append").parquet(folder)
+    last = rows.agg(F.max("time_ms")).first()[0]
+    far = spark.createDataFrame([(-1, 3 * last + (k + 1) * 10**9, []) for k in range(2)], schema)
+    for k in range(2):  # events that tell that time has passed
+        far.where(F.col("time_ms") == 3 * last + (k + 1) * 10**9).coalesce(1).write.mode("append").parquet(folder)
+    source = streaming.file_stream(spark, folder, schema, latest_first=False)
+    found = streaming.run_to_files(streaming.late_segments(source, f"{(last + 10**8) // 1000} seconds"))
+    return flat(found.where("video_id >= 0"))
+
+
 @query("with " + BOXES + " select a.l_orderkey, a.region_idx as src, c.region_idx as dst, a.x <= c.x and c.x + c.w <= a.x + a.w and a.y <= c.y and c.y + c.h <= a.y + a.h as inside from b a join b c on a.l_orderkey = c.l_orderkey and a.region_idx <> c.region_idx")
 def box_contains(spark, sf):
     b = boxes(spark, sf)
@@ -594,3 +643,234 @@ def line_match(spark, sf):
     rows = read(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 3).alias("segment")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda r: r["p_name"]).alias("a"))
     later = rows.select((F.col("segment") - 1).alias("segment"), F.col("a").alias("b"))
     return rows.join(later, "segment").where((F.size("a") == 3) & (F.size("b") == 3)).select("segment", least("a", "b").alias("cost"))
+
+
+TRACKS = "f as (select l_orderkey % 500 as v, dense_rank() over (partition by l_orderkey % 500 order by l_orderkey) as seq, region_idx as r from (with " + BOXES + " select * from b)), l as (select *, case when lag(seq) over w = seq - 1 and (seq + r) % 3 <> 0 then 0 else 1 end as n from f window w as (partition by v, r order by seq)), t as (select *, sum(n) over (partition by v, r order by seq rows unbounded preceding) as k from l), k as (select *, first_value(seq) over (partition by v, r, k order by seq) as first_seq from t)"
+
+
+def linked_regions(spark, sf):
+    """Regions by video and frame, with edges to the region of the same number in
+    the next frame but for a third of them."""
+    b = boxes(spark, sf).select((F.col("l_orderkey") % 500).alias("video_id"), F.col("l_orderkey").alias("seq"), F.col("region_idx").cast("int").alias("region_idx"))
+    b = b.withColumn("seq", F.dense_rank().over(Window.partitionBy("video_id").orderBy("seq")).cast("long"))
+    w = Window.partitionBy("video_id", "region_idx").orderBy("seq")
+    linked = (F.lead("seq").over(w) == F.col("seq") + 1) & ((F.col("seq") + 1 + F.col("region_idx")) % 3 != 0)
+    edges = b.withColumn("next", linked).where("next").select("video_id", "seq", F.col("region_idx").alias("src"), F.col("region_idx").alias("dst"))
+    return b, edges
+
+
+@query("with " + TRACKS + " select v as video_id, seq, cast(r as int) as region_idx, first_seq, cast(r as int) as first_region from k")
+def track_chains(spark, sf):
+    return regions.tracks(*linked_regions(spark, sf), ["video_id"])
+
+
+@query("with " + TRACKS + " select v as video_id, seq, cast(r as int) as region_idx, case when (v + first_seq + r) % 5 = 0 then '' else 'text ' || (v + first_seq + r) end as text from k")
+def track_texts(spark, sf):
+    """The text of a region is that of the first of its track, if it was read."""
+    b, edges = linked_regions(spark, sf)
+    n = F.col("video_id") + F.col("seq") + F.col("region_idx")
+    texts = b.where(n % 5 != 0).withColumn("text", F.concat(F.lit("text "), n.cast("string")))
+    return regions.along_tracks(regions.tracks(b, edges, ["video_id"]), texts, ["video_id"]).select("video_id", "seq", "region_idx", "text")
+
+
+@query("with " + BOXES + " select l_orderkey, region_idx, row_number() over (partition by l_orderkey // 256 order by l_orderkey, region_idx) - 1 as region_id from b")
+def region_ids(spark, sf):
+    found = regions.region_ids(boxes(spark, sf).withColumn("batch_id", frames.batch_of(F.col("l_orderkey"))), ["batch_id"], ["l_orderkey", "region_idx"])
+    return found.select("l_orderkey", "region_idx", "region_id")
+
+
+BYTES8 = "y as (select vec_id, list_transform(embedding, lambda e: greatest(0, least(255, cast(floor((cast(e as double) + 1) * 127.5) as int)))) as b from embeddings)"
+STRIPS = "with " + BYTES8 + """, s as (select vec_id, i, j, b[(vec_id % 2 + i * 4 // 32) * 8 + vec_id % 3 + j * 5 // 40 + 1] as px from y, range(32) r(i), range(40) c(j)),
+d as (select a.vec_id, cast(sum(abs(a.px - c.px)) as bigint) as absdiff from s a join s c on a.vec_id + 1 = c.vec_id and a.i = c.i and a.j = c.j where a.vec_id // 256 = c.vec_id // 256 group by 1)"""
+
+
+def strip_edges(spark, sf):
+    """Regions of the embeddings as 8 x 8 frames, and edges to the next frame's."""
+    px = F.transform("embedding", P.from_unit)
+    found = read(spark, sf, "embeddings").select(frames.batch_of(F.col("vec_id")).alias("batch_id"), F.col("vec_id").alias("frame_id"), F.unhex(F.array_join(F.transform(px, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("px"), F.lit(1).alias("planes"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    regs = found.select("batch_id", "frame_id", F.lit(0).alias("region_idx"), G.box(F.col("frame_id") % 3, F.col("frame_id") % 2, F.lit(5), F.lit(4)).alias("box"))
+    edges = found.select("batch_id", "frame_id", F.lit(0).alias("src"), F.lit(0).alias("dst"), (F.col("frame_id") + 1).alias("next_id"))
+    return regions.region_differences(regions.region_strips(found, regs, ["batch_id"], 64), edges, ["batch_id"])
+
+
+@query(STRIPS + " select vec_id as frame_id, absdiff from d")
+def region_differences(spark, sf):
+    return strip_edges(spark, sf).select("frame_id", "absdiff")
+
+
+@query(STRIPS + " select vec_id as frame_id from d where absdiff / 6144.0::double < 5.0::double")
+def clean_regions(spark, sf):
+    """Edges of regions that look the same: their difference is below a threshold."""
+    found = strip_edges(spark, sf)
+    edges = found.select("batch_id", "frame_id", "src", "dst")
+    return regions.clean_edges(edges, found, ["batch_id", "frame_id"], F.lit(64), 5.0).select("frame_id")
+
+
+@query("with " + SAMPLES + " select track, row_number() over (partition by track order by part, seq) as sample, count as size from o")
+def merge_stsz(spark, sf):
+    return mp4.merge_sizes(samples(spark, sf).withColumnRenamed("count", "size"), ["track"])
+
+
+@query("with " + SEGMENTS + ", d as (select v, x, sum(b - a) as d from s where x is not null group by 1, 2) select v as video_id, cast(max(d) as bigint) as duration, first(x order by d desc, x) as text from d group by 1")
+def weighted_mode(spark, sf):
+    """What each video says for the longest time in all."""
+    each = S.segments(events(spark, sf)).where(F.size("texts") > 0).groupBy("video_id", F.col("texts")[0].alias("text")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("duration"))
+    w = Window.partitionBy("video_id").orderBy(F.desc("duration"), "text")
+    return each.withColumn("n", F.row_number().over(w)).where("n = 1").select("video_id", "duration", "text")
+
+
+def flv_files(spark, sf):
+    """(path, content): a file for each customer, with a tag for each order."""
+
+    def made(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("o_orderkey")
+        meta = flv.amf_write("onMetaData") + flv.amf_write({"duration": float(len(rows)), "orders": [float(x) for x in rows["o_orderkey"]]})
+        tags = [(18, 0, meta)] + [(9 if k % 2 else 8, i * 40 + 1, t.encode()) for i, (k, t) in enumerate(zip(rows["o_orderkey"], rows["o_orderpriority"], strict=True))]
+        return pd.DataFrame({"path": [str(key[0])], "content": [flv.write_tags(tags)]})
+
+    return read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").groupBy("o_custkey").applyInPandas(made, "path string, content binary")
+
+
+FLV = "with t as (select o_custkey, o_orderkey, o_orderpriority as x, row_number() over w as seq, lag(strlen(o_orderpriority) + 11) over w as b from orders window w as (partition by o_custkey order by o_orderkey))"
+
+
+@query(FLV + " select cast(o_custkey as varchar) as part, seq, case when o_orderkey % 2 = 1 then 9 else 8 end as data_type, (seq - 1) * 40 + 1 as ts, cast(strlen(x) as bigint) as body_size, x as body, cast(b as bigint) as prev_size from t")
+def flv_tags(spark, sf):
+    found = flv.tag_rows(flv_files(spark, sf)).where("data_type <> 18")
+    before = F.when(F.col("seq") > 1, F.col("prev_size").cast("long"))
+    return found.select("part", F.col("seq").cast("long").alias("seq"), "data_type", "ts", F.col("body_size").cast("long").alias("body_size"), F.decode("body", "UTF-8").alias("body"), before.alias("prev_size"))
+
+
+@query("with f as (select o_custkey, count(*) as n from orders group by 1) select o_custkey % 50 as job, cast(sum(n) + 1 as bigint) as n_tags, cast(sum(n * 40 - 39) as bigint) as last_ts from f group by 1")
+def flv_concat(spark, sf):
+    """The files of each fiftieth of the customers as one: script data, then all tags."""
+    files = flv_files(spark, sf).select((F.col("path").cast("long") % 50).alias("job"), F.col("path").cast("long").alias("part"), "content")
+    joined = flv.tag_rows(flv.join_all(files).select(F.col("job").cast("string").alias("path"), "content"))
+    return joined.groupBy(F.col("part").cast("long").alias("job")).agg(F.count("*").alias("n_tags"), F.max("ts").alias("last_ts"))
+
+
+@query("select cast(o_custkey as varchar) as part, cast(count(*) as double) as duration, cast(sum(o_orderkey) as double) as orders from orders group by 1")
+def amf_decode(spark, sf):
+    """The script data of each file."""
+
+    @F.pandas_udf("struct<duration: double, orders: double>")
+    def decoded(body: pd.Series) -> pd.DataFrame:
+        found = [flv.amf_read(bytes(b), flv.amf_read(bytes(b))[1])[0] for b in body]
+        return pd.DataFrame({"duration": [x["duration"] for x in found], "orders": [sum(x["orders"]) for x in found]}, index=body.index)
+
+    return flv.tag_rows(flv_files(spark, sf)).where("data_type = 18").select("part", decoded("body").alias("m")).select("part", "m.*")
+
+
+def mp4_files(spark, sf):
+    """(path, content): a file for each customer, with a sample for each order."""
+
+    def made(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("o_orderkey")
+        sizes = [(int(k % 90 + 10),) for k in rows["o_orderkey"]]
+        table = mp4.write_table("stsz", sizes) + mp4.write_table("stts", [(len(sizes), 40)]) + mp4.write_table("stco", [(1000,)])
+        head = struct.pack(">IIIII", 0, 0, 0, 1000, 40 * len(sizes)) + bytes(80)
+        trak = mp4.write_atom("trak", mp4.write_atom("mdia", mp4.write_atom("mdhd", head[:24]) + mp4.write_atom("minf", mp4.write_atom("stbl", table))))
+        data = mp4.write_atom("ftyp", b"isom") + mp4.write_atom("moov", mp4.write_atom("mvhd", head) + trak) + mp4.write_atom("mdat", bytes(sum(s for s, in sizes)))
+        return pd.DataFrame({"path": [str(key[0])], "content": [data]})
+
+    return read(spark, sf, "orders").select("o_custkey", "o_orderkey").groupBy("o_custkey").applyInPandas(made, "path string, content binary")
+
+
+@query("select cast(o_custkey as varchar) as file, row_number() over (partition by o_custkey order by o_orderkey) - 1 as sample, o_orderkey % 90 + 10 as size from orders")
+def mp4_samples(spark, sf):
+    found = mp4.sample_rows(mp4.atom_rows(mp4_files(spark, sf)), "stsz")
+    return found.select("file", "sample", F.col("values")[0].alias("size"))
+
+
+@query("with n as (select o_custkey, count(*) as n, sum(o_orderkey % 90 + 10) as s from orders group by 1), a as (select * from (values ('/ftyp', 12, 0, 0), ('/moov', 244, 4, 0), ('/moov/mvhd', 108, 0, 0), ('/moov/trak', 128, 4, 0), ('/moov/trak/mdia', 120, 4, 0), ('/moov/trak/mdia/mdhd', 32, 0, 0), ('/moov/trak/mdia/minf', 80, 4, 0), ('/moov/trak/mdia/minf/stbl', 72, 4, 0), ('/moov/trak/mdia/minf/stbl/stsz', 20, 4, 0), ('/moov/trak/mdia/minf/stbl/stts', 24, 0, 0), ('/moov/trak/mdia/minf/stbl/stco', 20, 0, 0), ('/mdat', 8, 0, 1)) v(path, size, per, media)) select cast(o_custkey as varchar) as file, path, cast(size + per * n + media * s as bigint) as size from n, a")
+def mp4_atoms(spark, sf):
+    return mp4.atom_rows(mp4_files(spark, sf)).select("file", "path", "size")
+
+
+@query("select doc_id, cast(length(text) as bigint) as n, cast(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) as bigint) as total, true as same from documents where length(text) > 0")
+def utf8_roundtrip(spark, sf):
+    points = T.code_points(F.col("text"))
+    wide = T.to_utf32(F.col("text"))
+    rows = read(spark, sf, "documents").where(F.length("text") > 0)
+    return rows.select("doc_id", F.floor(F.octet_length(wide) / 4).cast("long").alias("n"), F.aggregate(points, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (T.from_utf32(wide) == F.col("text")).alias("same"))
+
+
+@query("with q as (select vec_id, embedding::double[] as e from embeddings), p as (select a.vec_id as query, c.vec_id as neighbour, list_dot_product(a.e, c.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(c.e, c.e)) as s from q a join q c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id), r as (select *, row_number() over (partition by query order by s desc, neighbour) as rank from p) select query, neighbour, rank, round(s, 6) as similarity from r where rank <= 5")
+def top_neighbors(spark, sf):
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = neighbors.top_cosine(vectors, vectors.where("id % 100 = 0"))
+    return found.select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("with l as (select p_brand, min(p_name) as a, max(p_name) as b from part group by 1) select p_brand, cast((select count(*) from range(1, 200) t(i) where i <= least(length(a), length(b)) and substr(a, 1, i) = substr(b, 1, i)) as int) as n, substr(a, 1, (select count(*) from range(1, 200) t(i) where i <= least(length(a), length(b)) and substr(a, 1, i) = substr(b, 1, i))) as prefix from l")
+def common_prefix(spark, sf):
+    found = read(spark, sf, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"))
+    prefix = T.common_prefix(F.col("a"), F.col("b"))
+    return found.select("p_brand", F.length(prefix).alias("n"), prefix.alias("prefix"))
+
+
+@query(f"with f as (select doc_id, (select min(i) from range(1, 400) t(i) where strpos({IGNORED}, substr(text, i, 1)) > 0 and i <= length(text)) as p  from documents) select doc_id, cast(p - 1 as int) as place from f where p is not null")
+def first_ignored(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.first_ignored(F.col("text")).alias("place")).where("place < 399")
+
+
+@query("select event_id, row_number() over (order by event_id) as n from events where event_type in ('click', 'view')")
+def append_events(spark, sf):
+    """Events of two writers in one table, sorted once."""
+    rows = read(spark, sf, "events")
+    both = rows.where("event_type = 'click'").unionByName(rows.where("event_type = 'view'"))
+    return both.select("event_id", F.row_number().over(Window.orderBy("event_id")).cast("long").alias("n"))
+
+
+@query("with n as (select p_partkey, 'part' || p_partkey || ['.flv', '.F4V', '.mp4?sig=1', '.mkv', ''][p_size % 5 + 1] as name from part) select p_partkey, name, case when lower(name) like '%.flv' or lower(name) like '%.f4v' then 'flv' when name like '%.mp4?%' then 'mp4' else 'none' end as joined_as from n")
+def container_dispatch(spark, sf):
+    ends = F.get(F.array(*map(F.lit, [".flv", ".F4V", ".mp4?sig=1", ".mkv", ""])), F.col("p_size") % 5)
+    name = F.concat(F.lit("part"), F.col("p_partkey").cast("string"), ends)
+    return read(spark, sf, "part").select("p_partkey", name.alias("name")).select("*", tables.container(F.col("name")).alias("joined_as"))
+
+
+@query("with j as (select user_id, arg_max(event_type, event_id) as status from events where event_id % 3 <> 0 group by 1), u as (select user_id, event_type as status, event_id from events where event_id % 3 = 0 union all select user_id, status, -1 from j) select user_id, arg_max(status, event_id) as status from u group by 1")
+def job_upsert(spark, sf):
+    rows = read(spark, sf, "events").select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("at"))
+    base = tables.latest_status(rows.where("at % 3 <> 0"), "user_id", "at").withColumn("at", F.lit(-1).cast("long"))
+    return tables.upserted(base, rows.where("at % 3 = 0"), "user_id", "at").select("user_id", "status")
+
+
+@query("select event_id, 'Queuing' as status, cast(null as varchar) as worker_id from events where user_id % 10 = 3 and event_type not in ('error', 'purchase')")
+def job_requeue(spark, sf):
+    status = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "purchase", "Done").otherwise("Processing")
+    jobs = read(spark, sf, "events").select("event_id", status.alias("status"), F.concat(F.lit("w"), (F.col("user_id") % 10).cast("string")).alias("worker_id"))
+    return tables.requeued(jobs, "w3", F.lit(0)).select("event_id", "status", "worker_id")
+
+
+@query("select user_id, '{\"unique_id\":' || user_id || ',\"format\":\"vtt\",\"version\":7,\"content\":\"WEBVTT ' || count(*) || '\"}' as result from events group by 1")
+def job_results(spark, sf):
+    found = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return found.select("user_id", sinks.result(F.col("user_id"), F.concat(F.lit("WEBVTT "), F.col("n").cast("string"))).alias("result"))
+
+
+@query("""with y as (select l_orderkey, l_linenumber, cast(l_quantity * 5 as int) as y, cast(trunc(l_tax * 3000) as int) as u, cast(trunc(l_discount * 2500) as int) as v from lineitem),
+c as (select *, (y - 16) * (255::double / 219) as a, (u - 128) * (255::double / 224) as p, (v - 128) * (255::double / 224) as q from y)
+select l_orderkey, y, u, v, cast(greatest(0, least(255, floor(a + 1.5748::double * q + 0.5))) as int) as r, cast(greatest(0, least(255, floor(a - 1.5748::double * 0.2126 / 0.7152 * q - 1.8556::double * 0.0722 / 0.7152 * p + 0.5))) as int) as g, cast(greatest(0, least(255, floor(a + 1.8556::double * p + 0.5))) as int) as b from c""")
+def studio_rgb(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity") * 5).cast("int").alias("y"), (F.col("l_tax") * 3000).cast("int").alias("u"), (F.col("l_discount") * 2500).cast("int").alias("v"))
+    return rows.select("*", P.studio_rgb(F.col("y"), F.col("u"), F.col("v")).alias("c")).select("l_orderkey", "y", "u", "v", "c.*")
+
+
+@query("select vec_id, cast(i as bigint) as i, round(embedding[(2 - i % 3) * 16 + i // 3 + 1]::double, 6) as x from embeddings, range(48) t(i)")
+def planar_to_bgr(spark, sf):
+    found = read(spark, sf, "embeddings").select("vec_id", F.posexplode(P.interleaved(F.slice("embedding", 1, 48))).alias("i", "x"))
+    return found.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("with n as (select p_partkey, ['YUV420', 'YUV444', 'YUV420P10LE', 'YUV444P12LE'][p_size % 4 + 1] as code from part) select p_partkey, code, case when code like '%444%' then 1.0::double else 0.5::double end as rows, code = 'YUV420' as nv12 from n")
+def chroma_layout(spark, sf):
+    code = F.get(F.array(*map(F.lit, ["YUV420", "YUV444", "YUV420P10LE", "YUV444P12LE"])), F.col("p_size") % 4)
+    return read(spark, sf, "part").select("p_partkey", code.alias("code")).select("*", P.chroma_layout(F.col("code")).alias("c")).select("p_partkey", "code", "c.*")
+
+
+@query("select event_id, user_id from events where user_id % 2 = 0")
+def one_geometry(spark, sf):
+    """Frames of videos that keep their size; others would end the query."""
+    rows = read(spark, sf, "events").where("user_id % 2 = 0").select("event_id", "user_id", (F.col("user_id") * 8).alias("width"), F.lit(8).alias("height"))
+    return frames.one_geometry(rows, ["user_id"], "event_id").select("event_id", "user_id")

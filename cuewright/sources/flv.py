@@ -93,8 +93,8 @@ def write_tags(tags: list[tuple[int, int, bytes]]) -> bytes:
     return b"".join(out)
 
 
-def flv_tags(spark: SparkSession, path: str) -> DataFrame:
-    """One row a tag of the files under ``path``."""
+def tag_rows(files: DataFrame) -> DataFrame:
+    """One row a tag of (path, content)."""
 
     def of(batches):
         for batch in batches:
@@ -102,7 +102,12 @@ def flv_tags(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(part, i, k, ts, n, body, before) for i, (k, ts, n, body, before) in enumerate(read_tags(bytes(data)))]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in TAGS.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(of, TAGS)
+    return files.select("path", "content").mapInPandas(of, TAGS)
+
+
+def flv_tags(spark: SparkSession, path: str) -> DataFrame:
+    """One row a tag of the files under ``path``."""
+    return tag_rows(spark.read.format("binaryFile").load(path))
 
 
 def rebased(tags: DataFrame, part: str = "part", ts: str = "ts") -> DataFrame:
@@ -137,3 +142,8 @@ def join_files(files: list[bytes]) -> bytes:
             meta["duration"] = sum(m["duration"] for _, m in metas)
         tags.insert(0, (18, 0, amf_write(name) + amf_write(meta)))
     return write_tags(tags)
+
+
+def join_all(files: DataFrame) -> DataFrame:
+    """(job, content) of (job, part, content): each job's files as one."""
+    return files.groupBy("job").applyInPandas(lambda key, rows: pd.DataFrame({"job": [key[0]], "content": [join_files([bytes(x) for x in rows.sort_values("part")["content"]])]}), f"job {dict(files.dtypes)['job']}, content binary")

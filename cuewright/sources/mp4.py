@@ -37,8 +37,8 @@ def atoms(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> I
         at += size
 
 
-def mp4_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """One row an atom of the files under ``path``; each has one moov and one mdat."""
+def atom_rows(files: DataFrame) -> DataFrame:
+    """One row an atom of (path, content); each file has one moov and one mdat."""
 
     def of(batches):
         for batch in batches:
@@ -48,7 +48,23 @@ def mp4_atoms(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{file} hasn't one moov and one mdat")
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in ATOMS.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(of, ATOMS)
+    return files.select("path", "content").mapInPandas(of, ATOMS)
+
+
+def mp4_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """One row an atom of the files under ``path``."""
+    return atom_rows(spark.read.format("binaryFile").load(path))
+
+
+def sample_rows(found: DataFrame, kind: str) -> DataFrame:
+    """(file, path, sample from 0, values) of the sample tables of a kind."""
+
+    @F.pandas_udf("array<array<long>>")
+    def rows(body: pd.Series) -> pd.Series:
+        return pd.Series([[list(x) for x in sample_table(kind, bytes(b))] for b in body], index=body.index)
+
+    each = found.where(F.col("type") == kind).select("file", "path", F.posexplode(rows("body")).alias("sample", "values"))
+    return each.withColumn("sample", F.col("sample").cast("long"))
 
 
 def sample_table(kind: str, body: bytes) -> list[tuple[int, ...]]:
@@ -160,3 +176,58 @@ def merge_files(files: list[bytes]) -> bytes:
         head = write("", parsed[0])
         move = len(head) + 8
     return head + write_atom("mdat", data)
+
+
+def merge_sizes(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, sample, size): the parts' sizes one after the other, samples from 1."""
+    w = Window.partitionBy(*key).orderBy("part", "seq")
+    return rows.select(*key, F.row_number().over(w).cast("long").alias("sample"), "size")
+
+
+def details(kind: str, body: bytes) -> dict:
+    """Fields of an hdlr, vmhd, stsd, avc1 or avcC body."""
+    if kind == "hdlr":
+        return {"component": body[4:8].decode("latin-1"), "handler": body[8:12].decode("latin-1"), "name": body[24:].split(b"\0")[0].decode("utf-8", "replace")}
+    if kind == "vmhd":
+        mode, *colour = struct.unpack_from(">4H", body, 4)
+        return {"mode": mode, "colour": tuple(colour)}
+    if kind == "stsd":
+        entries, at = [], 8
+        for _ in range(struct.unpack_from(">I", body, 4)[0]):
+            size, name = struct.unpack_from(">I", body, at)[0], body[at + 4 : at + 8].decode("latin-1")
+            entries.append((name, body[at + 8 : at + size]))
+            at += size
+        return {"entries": entries}
+    if kind == "avc1":
+        width, height = struct.unpack_from(">2H", body, 24)
+        frames, depth = struct.unpack_from(">H", body, 40)[0], struct.unpack_from(">H", body, 74)[0]
+        return {"reference": struct.unpack_from(">H", body, 6)[0], "width": width, "height": height, "frames": frames, "depth": depth, "inner": [(k, b) for _, k, _, _, b in atoms(body, 78)]}
+    if kind == "avcC":
+        at, sets = 5, []
+        for mask in (0x1F, 0xFF):
+            n, at, own = body[at] & mask, at + 1, []
+            for _ in range(n):
+                size = struct.unpack_from(">H", body, at)[0]
+                own.append(body[at + 2 : at + 2 + size])
+                at += 2 + size
+            sets.append(own)
+        return {"profile": body[1], "level": body[3], "length_size": (body[4] & 3) + 1, "sps": sets[0], "pps": sets[1]}
+    raise ValueError(f"no details of {kind}")
+
+
+def annex_b(data: bytes, length_size: int, before: list[bytes] = ()) -> bytes:
+    """Units with lengths as units with start codes, ``before`` them some sets."""
+    out, at = [b"\0\0\0\1" + x for x in before], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + length_size], "big")
+        at += length_size
+        if at + size > len(data):
+            raise ValueError("a unit is cut off")
+        out.append(b"\0\0\0\1" + data[at : at + size])
+        at += size
+    return b"".join(out)
+
+
+def join_all(files: DataFrame) -> DataFrame:
+    """(job, content) of (job, part, content): each job's files as one."""
+    return files.groupBy("job").applyInPandas(lambda key, rows: pd.DataFrame({"job": [key[0]], "content": [merge_files([bytes(x) for x in rows.sort_values("part")["content"]])]}), f"job {dict(files.dtypes)['job']}, content binary")

@@ -44,3 +44,21 @@ def resolution(streams: DataFrame, video: str) -> DataFrame:
     """(video, pos, quality, url): the last stream of 360 lines, else the first."""
     low = F.split("quality", "p")[0] == "360"
     return streams.groupBy(video).agg(F.coalesce(F.max_by(F.when(low, F.col("url")), F.when(low, F.col("pos"))), F.min_by("url", "pos")).alias("url"))
+
+
+def container(name: Column) -> Column:
+    """How the parts of a download are joined, by the end of their name; other
+    ends are an error that isn't tried again."""
+    end = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
+    return F.when(end.isin("flv", "f4v"), "flv").when(end.isin("mp4", "m4v"), "mp4").otherwise("none")
+
+
+def upserted(jobs: DataFrame, updates: DataFrame, job: str, at: str) -> DataFrame:
+    """Jobs with the latest of their rows and updates, by ``at``."""
+    return latest_status(jobs.unionByName(updates), job, at)
+
+
+def requeued(jobs: DataFrame, worker: str, at: Column, status: str = "Queuing") -> DataFrame:
+    """Updates that give back what ``worker`` has reserved and not ended."""
+    held = jobs.where((F.col("worker_id") == worker) & ~F.col("status").isin("Done", "Error", status))
+    return held.withColumns({"status": F.lit(status), "worker_id": F.lit(None).cast("string"), "at": at})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,33 @@ def segments(events: DataFrame) -> DataFrame:
     return events.select("video_id", "time_ms", "texts").groupBy("video_id").applyInPandasWithState(_advance, SEGMENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def late_segments(events: DataFrame, late: str) -> DataFrame:
+    """segments() of events that may come out of order, by up to ``late``: a video's
+    events wait, sorted, until the watermark has passed them. An event that comes
+    when a later one is out is dropped."""
+    timed = events.select("video_id", "time_ms", "texts", F.timestamp_millis("time_ms").alias("ts")).withWatermark("ts", late)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, texts, times, waiting = state.get if state.exists else (0, [], [], [])
+        held = list(zip(times, map(list, waiting), strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                held += [(int(t), list(x)) for t, x in zip(rows["time_ms"], rows["texts"], strict=True) if t >= at]
+        held.sort()
+        passed, out = state.getCurrentWatermarkMs(), []
+        while held and held[0][0] < passed:
+            time_ms, now = held.pop(0)
+            out.append((key[0], at, time_ms, list(texts)))
+            at, texts = time_ms, now
+        state.update((at, list(texts), [t for t, _ in held], [x for _, x in held]))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0], passed) + 1)
+        yield pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "texts"])
+
+    state = STATE + ", times array<long>, waiting array<array<string>>"
+    return timed.groupBy("video_id").applyInPandasWithState(advance, SEGMENT, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that the source has now, as a table in memory."""
     query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
@@ -40,12 +67,21 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.table(name)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Only a session in
+    one process (tests) may leave that unset, and gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="cuewright-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def run_to_files(stream: DataFrame) -> DataFrame:
-    """All that the source has now, written as Parquet below spark.checkpoint.dir
-    (a temporary folder where that is unset, as in tests) and read again."""
+    """All that the source has now, written as Parquet and read again."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuewright-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -57,6 +93,18 @@ def per_minute(events: DataFrame, ts: str = "ts", late: str = "10 minutes") -> D
     return counts.select(F.col("window.start").alias("minute"), "frames", (F.col("frames") / 60).alias("rate"))
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    """Parquet files as a stream, ``max_files`` a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1, latest_first: bool = False) -> DataFrame:
+    """Parquet files as a stream, ``max_files`` a batch: what the source holds back
+    while a batch is worked on."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("latestFirst", latest_first).parquet(path)
+
+
+def poll(stream: DataFrame, run: Callable[[DataFrame], DataFrame], put: Callable[[DataFrame], None], checkpoint: str, seconds: int | None = None):
+    """Jobs of a stream, run batch by batch: ``put`` gets what ``run`` makes of each.
+    Looks for more every ``seconds``, or ends with what there is now."""
+
+    def batch(jobs: DataFrame, _: int) -> None:
+        put(run(jobs))
+
+    trigger = {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
