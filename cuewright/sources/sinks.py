@@ -16,7 +16,7 @@ FORMAT, VERSION = "vtt", 7
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """(video_id, vtt) as one text file a video, below video_id=..."""
-    text = F.regexp_replace("vtt", "\n$", "")  # the writer ends each value with a line feed
+    text = F.regexp_replace("vtt", "\n\\z", "")  # the writer ends each value with a line feed
     documents.select("video_id", text.alias("value")).write.partitionBy("video_id").text(path)
 
 
