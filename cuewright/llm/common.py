@@ -40,12 +40,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts
-    lineage by files that outlive any executor."""
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, a folder for each value of
+    ``by``, and read it again: cuts lineage by files that outlive any executor."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,15 +12,24 @@ counts, and (r - 0.5) / r above, so that each context keeps something; a(v)
 makes the probabilities of a context, unknown word included, sum to exactly 1.
 Where the counts of counts give no discount between 0 and 1, (r - 0.5) / r holds.
 
-How it runs. Tasks turn chunks of texts into one row for each part (a hash of the
-second word): the chunk's distinct bigrams, their training counts, and which
-documents have them, packed. A part merges its rows and has all counts of its
-words and of the bigrams that end in them. It stores the model's tables, and for
-each chunk the sums that its documents need; bigrams that training lacks go to
-the part of their first word, which knows its counts and, from packed sums of
-all parts, its backoff weight. Last, the sums of a chunk's documents meet. No
-task gets more than a part or a chunk, and parts grow in number with the text.
-A word is known by 48 bits of its digest.
+How it runs. A first pass counts words: a table (w, c, n) of counts in training and
+in all, from which come N, V and the discounts of words, and the frequent words, at
+most HOT of them, which every task knows. Then tasks turn chunks of texts into one
+row for each part: the chunk's distinct bigrams, their training counts, and which
+documents have them how often, packed. A part has the bigrams that end in its
+words; those that end in a frequent word are dealt by both words, so no word fills
+a part. A part merges its rows, stores the model's tables and, for each chunk, the
+sums that its documents need. Bigrams that training lacks go to the part of their
+first word, which knows its counts and, from packed sums of all parts, its backoff
+weight; those of frequent first words, whose weights are gathered first, go to any
+part. Last, the sums of a chunk's documents meet. No task gets more than a part or
+a chunk, and parts grow in number with the text. tables() reads the model as columns.
+A word is known by 48 bits of its digest: of 10**9 different words about 2000 pairs
+count as one.
+
+Order: bigrams. In a chunk of a million tokens of the check's documents 0.71 million
+bigrams differ, and 0.86 million trigrams; at 8 bytes each these would add 1.8 times
+the input to the 3.6 times that shuffles and tables take on disk, of 4 allowed.
 
 Cases: null or empty text: only the end token. Null doc_id: kept, its remainder
 taken of the empty string. Repeated rows: one result row each, each learned from.
@@ -45,9 +54,12 @@ from .common import ascii_lower, release, stored, table, trim, words
 from .langid import crc_mod
 
 MAX_R = 5
-#: Characters of text for each part.
-PART_CHARS = 8_000_000
-CHUNK_TOKENS = 1_000_000
+#: Tokens for each part, and in a chunk.
+PART_TOKENS, CHUNK_TOKENS = 1_300_000, 1_000_000
+#: Frequent words that all tasks know, at most.
+HOT = 8192
+#: Different words that a task of the first pass holds.
+HELD_WORDS = 1_000_000
 START, END = 0, 1
 MASK = (1 << 48) - 1
 UNIT = float(1 << 24)
@@ -83,6 +95,57 @@ def part_of(w: np.ndarray, parts: int) -> np.ndarray:
     return (w >> 8) % parts
 
 
+class Hot:
+    """Frequent words, sorted, with their training counts; START is one of them."""
+
+    def __init__(self, rows: list[tuple[int, int]], texts: int) -> None:
+        known = dict(rows) | {START: texts}
+        self.words = np.array(sorted(known), np.int64)
+        self.counts = np.array([known[w] for w in sorted(known)], np.int64)
+
+    def places(self, w: np.ndarray) -> np.ndarray:
+        """Places among the frequent words, -1 if it isn't one."""
+        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        return np.where(self.words[at] == w, at, -1)
+
+    def part(self, first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+        """Part of ``second``, by both if it is frequent."""
+        return np.where(self.places(second) >= 0, (first * 31 + second >> 7) % parts, part_of(second, parts))
+
+
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, held, h) to rows of (w, c, n), ends included."""
+    held: list[np.ndarray] = []
+
+    def folded(x: np.ndarray) -> np.ndarray:
+        x = x[:, np.argsort(x[0], kind="stable")]
+        at = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])
+        return np.stack([x[0, at], np.add.reduceat(x[1], at), np.add.reduceat(x[2], at)])
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["w", "c", "n"])
+        held.clear()
+        trim()
+        return made
+
+    for batch in batches:
+        train, lists = ~np.asarray(batch.column(1)), batch.column(2)
+        values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+        own = values[offsets[0] : offsets[-1]]
+        w, n = np.unique(own, return_counts=True)
+        c = np.zeros_like(n)
+        some, k = np.unique(own[np.repeat(train, np.diff(offsets))], return_counts=True)
+        c[np.searchsorted(w, some)] = k
+        held.append(np.stack([np.r_[w, END], np.r_[c, train.sum()], np.r_[n, len(train)]]).astype(np.int64))
+        if sum(x.shape[1] for x in held) > HELD_WORDS:
+            held[:] = [folded(np.concatenate(held, axis=1))]
+            if held[0].shape[1] > HELD_WORDS // 2:
+                yield out()
+    if held:
+        held[:] = [folded(np.concatenate(held, axis=1))]
+        yield out()
+
+
 def steps(sorted_keys: np.ndarray) -> np.ndarray:
     """Differences of sorted keys, the first in full: they pack well."""
     return np.diff(sorted_keys, prepend=np.int64(0))
@@ -92,7 +155,7 @@ def log10(x: np.ndarray | float) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-300))
 
 
-def chunker(parts: int):
+def chunker(parts: int, hot: Hot):
     """(doc_id, held, h) to ROW: bigrams of chunks by part, and their documents."""
 
     def rows(chunk: int, docs: list) -> Iterator[tuple]:
@@ -108,7 +171,7 @@ def chunker(parts: int):
         first[ends - lengths] = START
         doc = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
         train = np.repeat(np.array([not held for _, held, _ in docs]), lengths)
-        part = part_of(second, parts)
+        part = hot.part(first, second, parts)
         order = np.lexsort((first, second, part))
         part, second, first, doc, train = part[order], second[order], first[order], doc[order], train[order]
         cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -117,9 +180,12 @@ def chunker(parts: int):
             if lo == hi:
                 continue
             b, a = second[lo:hi], first[lo:hi]
-            new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])])
+            own = doc[lo:hi]  # sorted for each bigram
+            starts = np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])]
+            new, each = np.flatnonzero(starts), np.flatnonzero(starts | np.r_[True, own[1:] != own[:-1]])
             counts = np.add.reduceat(train[lo:hi].astype(np.int64), new)
-            yield p, "bigrams", chunk, packed(steps(b[new]), *split48(a[new]), counts.astype(np.int32), np.diff(np.r_[new, hi - lo]).astype(np.int32), doc[lo:hi].astype(np.uint16 if len(docs) < 65536 else np.int32))
+            listed = np.diff(np.r_[np.searchsorted(each, new), len(each)])
+            yield p, "bigrams", chunk, packed(steps(b[new]), *split48(a[new]), counts.astype(np.int32), listed.astype(np.int32), own[each].astype(np.uint16 if len(docs) < 65536 else np.int32), np.diff(np.r_[each, hi - lo]).astype(np.int32))
         ids = np.array([i if i is not None else 0 for i, *_ in docs], np.int64)
         yield int(chunk % parts), "documents", chunk, packed(ids, np.array([i is None for i, *_ in docs]), np.array([held for _, held, _ in docs]), lengths)
 
@@ -149,7 +215,7 @@ def chunker(parts: int):
     return run
 
 
-def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
+def merged(p: int, rows: pd.DataFrame, parts: int, hot: Hot) -> list[tuple]:
     """What a part makes of its chunks' bigrams."""
     out = [(p, "documents", r.chunk, r.data) for r in rows[rows["kind"] == "documents"].itertuples()]
     chunks = [(r.chunk, unpacked(r.data)) for r in rows[rows["kind"] == "bigrams"].itertuples()]
@@ -168,16 +234,16 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
     b, a = b[at], a[at]
     word_at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     of_word = np.cumsum(np.r_[True, b[1:] != b[:-1]]) - 1
-    cw = np.add.reduceat(c, word_at)
+    frequent = hot.places(b[word_at])
+    cw = np.where(frequent >= 0, hot.counts[frequent], np.add.reduceat(c, word_at))
     where = np.empty(len(order), np.int64)
     where[order] = np.cumsum(new) - 1
     del counts, order, new, new_word
     # the model's tables
-    seen, known = c > 0, cw > 0
+    seen, known = c > 0, (cw > 0) & (frequent < 0)
     out.append((p, "unigram-table", -1, packed(steps(b[word_at][known]), cw[known])))
     out.append((p, "bigram-table", -1, packed(steps(b[seen]), *split48(a[seen]), c[seen].astype(np.int32))))
-    n1, n2 = (np.bincount(np.minimum(x[x > 0], MAX_R + 2), minlength=MAX_R + 3)[1 : MAX_R + 2] for x in (cw, c))
-    out.append((p, "counts", -1, packed(n1, n2, np.array([cw.sum(), known.sum(), cw[b[word_at] == END].sum()]))))
+    out.append((p, "counts", -1, packed(np.bincount(np.minimum(c[seen], MAX_R + 2), minlength=MAX_R + 3)[1 : MAX_R + 2])))
     # sums of each context over the bigrams that end here
     by = np.argsort(a[seen], kind="stable")
     ctx, r, low = a[seen][by], np.minimum(c[seen][by], MAX_R + 1), cw[of_word[seen]][by]
@@ -188,7 +254,7 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
         sums += [np.add.reduceat((low > MAX_R).astype(np.int64), starts), np.add.reduceat(np.where(low > MAX_R, low, 0), starts)]
         sums = np.stack(sums)
         sums = sums.astype(np.int32) if sums.max() < 1 << 31 else sums
-        out += dealt(parts, "contexts", -1, ctx[starts], sums)
+        out += dealt(parts, "contexts", ctx[starts], sums, part_of(ctx[starts], parts))
     del by, ctx, r, low
     # sums of each document
     start, lacking = 0, []
@@ -198,49 +264,49 @@ def merged(p: int, rows: pd.DataFrame, parts: int) -> list[tuple]:
         entry = where[start : start + len(x[0])]
         start += len(x[0])
         occurs = np.repeat(entry, x[4])
-        doc, n = x[5].astype(np.int64), int(x[5].max()) + 1
+        doc, n, times = x[5].astype(np.int64), int(x[5].max()) + 1, x[6].astype(np.int64)
         r, w = c[occurs], cw[of_word[occurs]]
-        total = lambda v: np.bincount(doc, v, n)  # noqa: E731, B023
+        total = lambda v: np.bincount(doc, v * times, n)  # noqa: E731, B023
         own = np.where(r > MAX_R, log10(r - 0.5), log10(np.maximum(r, 1)))
         own -= np.where((w > 0) & (b[occurs] != END), log10(w), 0)
         there = np.flatnonzero(np.bincount(doc, minlength=n))
         made = [total(log10(w + 0.1)), total(own)], [total((w > 0).astype(float)), *[total((r == k).astype(float)) for k in range(1, MAX_R + 1)]]
         out.append((p, "sums", chunk, packed(there.astype(np.int32), fixed(np.stack(made[0])[:, there]), np.stack(made[1])[:, there].astype(np.int32))))
         if (lack := r == 0).any():
-            lacking.append((a[occurs][lack], np.full(lack.sum(), chunk), doc[lack], w[lack]))
+            lacking.append((a[occurs][lack], np.full(lack.sum(), chunk), doc[lack], w[lack], times[lack]))
     if lacking:
         v, *rest = (np.concatenate(x) for x in zip(*lacking, strict=True))
         sort = np.lexsort((rest[0], v))
-        out += dealt(parts, "backoffs", -1, v[sort], np.stack(rest)[:, sort])
+        v, rest = v[sort], np.stack(rest)[:, sort]
+        anywhere = (rest[0] ^ rest[0] >> 32) % parts
+        out += dealt(parts, "backoffs", v, rest, np.where(hot.places(v) >= 0, anywhere, part_of(v, parts)))
     return out
 
 
-def dealt(parts: int, kind: str, chunk: int, keys: np.ndarray, values: np.ndarray) -> list[tuple]:
-    """Columns of ``values`` by sorted key, sent to the keys' parts: a row for
-    each part that gets any, whatever the number of chunks."""
-    part = part_of(keys, parts)
+def dealt(parts: int, kind: str, keys: np.ndarray, values: np.ndarray, part: np.ndarray) -> list[tuple]:
+    """Columns of ``values`` by sorted key, sent to parts: a row for each part that
+    gets any, whatever the number of chunks."""
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     out = []
     for p in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[p] : cuts[p + 1]]
-        out.append((int(p), kind, chunk, packed(steps(keys[at]), values[:, at])))
+        out.append((int(p), kind, -1, packed(steps(keys[at]), values[:, at])))
     return out
 
 
 class Discounts:
-    """d(r) of both orders and the totals, from the counts of counts."""
-
-    def __init__(self, rows: list[bytes]) -> None:
-        got = [unpacked(x) for x in rows]
-        n1, n2 = (sum((x[i] for x in got), np.zeros(MAX_R + 1, np.int64)) for i in (0, 1))
-        self.tokens, self.words, self.texts = (int(x) for x in sum((x[2] for x in got), np.zeros(3, np.int64)))
-        self.d1, self.d2 = self.of(n1), self.of(n2)
-        total = max(self.tokens, 1)
+    """d(r) of both orders and the totals, from the counts of counts; d2 is set
+    when the bigrams are counted."""
+
+    def __init__(self, tokens: int, words: int, texts: int, n1: np.ndarray) -> None:
+        """``n1``: how many words occur 1 to MAX_R + 1 times."""
+        self.tokens, self.words, self.texts, self.d1 = tokens, words, texts, self.of(n1)
+        self.d2 = np.ones(MAX_R + 1)
         kept = sum(n1[r - 1] * r * self.d1[r] for r in range(1, MAX_R + 1))
         small = sum(n1[r - 1] * r for r in range(1, MAX_R + 1))
-        big = self.words - int(n1[:MAX_R].sum())
-        self.unknown = 1 - (kept + self.tokens - small - 0.5 * big) / total
+        big = words - int(n1[:MAX_R].sum())
+        self.unknown = 1 - (kept + tokens - small - 0.5 * big) / max(tokens, 1)
 
     @staticmethod
     def of(n: np.ndarray) -> np.ndarray:
@@ -253,6 +319,10 @@ class Discounts:
             out[r] = d if 0 < d < 1 else (r - 0.5) / r
         return out
 
+    def high(self, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of bigrams that occur ``c`` times."""
+        return np.where(c > MAX_R, c - 0.5, self.d2[np.minimum(c, MAX_R)] * c)
+
     def low(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words with counts ``c``."""
         small = self.d1[np.minimum(c, MAX_R)] * c
@@ -267,26 +337,34 @@ def weights(sums: np.ndarray, counts: np.ndarray, d: Discounts) -> np.ndarray:
     return left / counts / np.maximum(1 - low / max(d.tokens, 1), 1e-300)
 
 
-def backed_off(p: int, rows: pd.DataFrame, d: Discounts) -> list[tuple]:
+def context_weights(rows: pd.DataFrame, d: Discounts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a part, sorted, their counts, and their backoff weights. START is
+    the first, so that there is always one."""
+    of = lambda kind: [unpacked(x) for x in rows[rows["kind"] == kind]["data"]]
+    tables = of("unigram-table")
+    words = np.r_[START, np.cumsum(tables[0][0]) if tables else np.empty(0, np.int64)]
+    counts = np.r_[d.texts, tables[0][1] if tables else np.empty(0, np.int64)]
+    sums = np.zeros((2 * MAX_R + 3, len(words)), np.int64)
+    for keys, values in of("contexts"):
+        keys = np.cumsum(keys)
+        at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+        own = words[at] == keys  # frequent words aren't in the part's table
+        sums[:, at[own]] += values[:, own]  # a part names a context once
+    return words, counts, np.where(counts > 0, weights(sums, np.maximum(counts, 1), d), 1.0)
+
+
+def backed_off(p: int, rows: pd.DataFrame, d: Discounts, hot: Hot, hot_weights: np.ndarray) -> list[tuple]:
     """Sums of the documents' bigrams that training lacks, by their first words."""
-    of = lambda kind: [(r.chunk, unpacked(r.data)) for r in rows[rows["kind"] == kind].itertuples()]
-    wanted = of("backoffs")
+    wanted = [unpacked(x) for x in rows[rows["kind"] == "backoffs"]["data"]]
     if not wanted:
         return []
-    tables = [x for _, x in of("unigram-table")]
-    words = np.cumsum(tables[0][0]) if tables else np.empty(0, np.int64)
-    counts = tables[0][1] if tables else np.empty(0, np.int64)
-    words, counts = np.r_[START, words], np.r_[d.texts, counts]  # as a context, a text's start
-    sums = np.zeros((2 * MAX_R + 3, len(words)), np.int64)
-    for _, (keys, values) in of("contexts"):
-        at = np.searchsorted(words, np.cumsum(keys))
-        sums[:, at] += values  # a part names a context once
-    a = np.where(counts > 0, weights(sums, np.maximum(counts, 1), d), 1.0)
-    v = np.concatenate([np.cumsum(keys) for _, (keys, _) in wanted])
-    chunk, doc, w = np.concatenate([values for _, (_, values) in wanted], axis=1)
-    at = np.minimum(np.searchsorted(words, v), len(words) - 1)
-    there = (words[at] == v) & (counts[at] > 0)
-    own = np.where(there, log10(a[at]) + log10(counts[at]), 0) + log10(d.low(w))
+    words, counts, a = context_weights(rows, d)
+    v = np.concatenate([np.cumsum(keys) for keys, _ in wanted])
+    chunk, doc, w, times = np.concatenate([values for _, values in wanted], axis=1)
+    at, frequent = np.minimum(np.searchsorted(words, v), len(words) - 1), hot.places(v)
+    mass = np.where(words[at] == v, counts[at], 0)
+    mass, a = np.where(frequent >= 0, hot.counts[frequent], mass), np.where(frequent >= 0, hot_weights[frequent], a[at])
+    own = (np.where(mass > 0, log10(a) + log10(mass), 0) + log10(d.low(w))) * times
     order = np.lexsort((doc, chunk))
     chunk, doc, own = chunk[order], doc[order], own[order]
     new = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])])
@@ -299,6 +377,27 @@ def backed_off(p: int, rows: pd.DataFrame, d: Discounts) -> list[tuple]:
     return out
 
 
+def hot_contexts(model: DataFrame, hot: Hot, d: Discounts) -> np.ndarray:
+    """Backoff weights of the frequent words; at most HOT rows are gathered."""
+    names = [f"s{i}" for i in range(2 * MAX_R + 3)]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2 * MAX_R + 3, len(hot.words)), np.int64)
+        for batch in batches:
+            for data in batch["data"]:
+                keys, values = unpacked(data)
+                at = hot.places(np.cumsum(keys))
+                total[:, at[at >= 0]] += values[:, at >= 0]
+        there = np.flatnonzero(total.any(0))
+        yield pd.DataFrame({"at": there.astype(np.int32)} | dict(zip(names, total[:, there], strict=True)))
+
+    rows = model.where("kind = 'contexts'").select("data").mapInPandas(sums, "at int, " + ", ".join(f"{n} long" for n in names))
+    found = np.zeros((2 * MAX_R + 3, len(hot.words)), np.int64)
+    for at, *own in rows.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        found[:, at] = own
+    return np.where(hot.counts > 0, weights(found, np.maximum(hot.counts, 1), d), 1.0)
+
+
 def summed(rows: pd.DataFrame, d: Discounts) -> pd.DataFrame:
     """The result rows of a chunk."""
     ids, null, held, lengths = unpacked(rows[rows["kind"] == "documents"]["data"].iloc[0])
@@ -328,27 +427,69 @@ def grouped(made):
     return run
 
 
-def train_and_score(docs: DataFrame, held_out: Column, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores of all documents, the model's tables). Rows where ``held_out`` is
-    true aren't learned from."""
-    if parts is None:
-        parts = -(-int(docs.agg(F.sum(F.length("text"))).first()[0] or 1) // PART_CHARS)
+class Model:
+    """A trained model: ``blocks`` (ROW, stored by kind), ``words`` (w, c, n)."""
+
+    def __init__(self, blocks: DataFrame, words: DataFrame, d: Discounts, hot: Hot, hot_weights: np.ndarray) -> None:
+        self.blocks, self.words, self.d, self.hot, self.hot_weights = blocks, words, d, hot, hot_weights
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """(v, w, c, p): discounted probabilities of the bigrams seen in training
+        times c(v), and (v, backoff): weights of the contexts."""
+        d, hot, of_hot = self.d, self.hot, self.hot_weights
+
+        def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for data in batch["data"]:
+                    second, *first, c = unpacked(data)
+                    yield pd.DataFrame({"v": join48(*first), "w": np.cumsum(second), "c": c.astype(np.int64), "mass": d.high(c.astype(np.int64))})
+
+        def contexts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            words, counts, a = context_weights(rows, d)
+            own = (counts > 0) & (hot.places(words) < 0)
+            return pd.DataFrame({"v": words[own], "backoff": a[own]})
+
+        spark = self.blocks.sparkSession
+        seen = self.blocks.where("kind = 'bigram-table'").select("data").mapInPandas(bigrams, "v long, w long, c long, mass double")
+        total = self.words.where("c > 0").select(F.when(F.col("w") == END, START).otherwise(F.col("w")).alias("v"), F.col("c").alias("cv"))
+        frequent = spark.createDataFrame([(int(v), float(x)) for v, c, x in zip(hot.words, hot.counts, of_hot, strict=True) if c > 0 and v != END], "v long, backoff double")
+        others = self.blocks.where("kind in ('unigram-table', 'contexts')").groupBy("part").applyInPandas(contexts, "v long, backoff double").where(F.col("v") != END)
+        return seen.join(total, "v").select("v", "w", "c", (F.col("mass") / F.col("cv")).alias("p")), others.union(frequent)
+
+
+def digest(word: Column) -> Column:
+    """48 bits, and never START or END."""
+    return F.greatest(F.shiftrightunsigned(F.xxhash64(word), 16), F.lit(2).cast("long"))
+
+
+def train_and_score(docs: DataFrame, held_out: Column, parts: int | None = None, hot_share: float | None = None) -> tuple[DataFrame, Model]:
+    """(scores of all documents, the model). Rows where ``held_out`` is true aren't
+    learned from. Words with more than ``hot_share`` of the tokens (a quarter of a
+    part's share by default) are dealt by their bigrams."""
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    # 48 bits, and never START or END
-    digest = lambda w: F.greatest(F.shiftrightunsigned(F.xxhash64(w), 16), F.lit(2).cast("long"))
     hashed = docs.select("doc_id", held_out.alias("held"), F.transform(words(text), digest).alias("h"))
-    chunks = hashed.mapInArrow(chunker(parts), ROW)
-    model = chunks.groupBy("part").applyInPandas(grouped(lambda p, rows: merged(p, rows, parts)), ROW)
-    model = stored(model, "katz-model")
+    counted = stored(hashed.mapInArrow(word_counts, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "katz-words")
+    kinds = [F.sum(F.when(F.col("c") == r, 1).otherwise(0)) for r in range(1, MAX_R + 2)]
+    every, tokens, known, texts, *n1 = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("c"), F.sum(F.when(F.col("c") > 0, 1)), F.sum(F.when(F.col("w") == END, F.col("c"))), *kinds).first())
+    d = Discounts(tokens, known, texts, np.array(n1))
+    parts = parts or max(1, -(-every // PART_TOKENS))
+    share = hot_share if hot_share is not None else 1 / (4 * parts)
+    frequent = counted.where(F.col("n") > share * every).orderBy(F.desc("n"), "w").limit(HOT).select("w", "c").collect()
+    hot = Hot([tuple(r) for r in frequent], texts)
+    chunks = hashed.mapInArrow(chunker(parts, hot), ROW)
+    model = chunks.groupBy("part").applyInPandas(grouped(lambda p, rows: merged(p, rows, parts, hot)), ROW)
+    model = stored(model, "katz-model", by=("kind",))
     del hashed, chunks
     release(docs.sparkSession)
-    d = Discounts([r["data"] for r in model.where("kind = 'counts'").collect()])  # a row of a few numbers for each part
+    n2 = sum((unpacked(r["data"])[0] for r in model.where("kind = 'counts'").collect()), np.zeros(MAX_R + 1, np.int64))  # a row of a few numbers for each part
+    d.d2 = d.of(n2)
+    hot_weights = hot_contexts(model, hot, d)
     asked = model.where("kind in ('unigram-table', 'contexts', 'backoffs')")
-    more = asked.groupBy("part").applyInPandas(grouped(lambda p, rows: backed_off(p, rows, d)), ROW)
+    more = asked.groupBy("part").applyInPandas(grouped(lambda p, rows: backed_off(p, rows, d, hot, hot_weights)), ROW)
     sums = model.where("kind in ('documents', 'sums')").unionByName(more)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = sums.groupBy("chunk").applyInPandas(lambda key, rows: summed(rows, d), schema)
-    return scores, model.where("kind in ('unigram-table', 'bigram-table', 'contexts', 'counts')")
+    return scores, Model(model, counted, d, hot, hot_weights)
 
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
