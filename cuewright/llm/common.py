@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether the shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word definitions.
 WS = "[\\x20\\x09-\\x0D]"
 
@@ -42,23 +42,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, a folder for each value of
-    ``by``, and read it again: cuts lineage by files that outlive any executor."""
+    ``by``, and read it again: cuts lineage by files that outlive any executor.
+    Shuffle files of the write go when it ends, as nothing reads them again."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.options(**options).partitionBy(*by).parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to; else
-    they stay until the driver happens to collect its garbage. What the first
-    round frees may hold more, and files go in the background."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def trim() -> None:
     """Gives a worker's freed memory back to the machine; else it is kept for the
     next task, beside the executor's own."""

@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, release, stored, table, trim, words
+from .common import ascii_lower, stored, table, trim, words
 from .langid import crc_mod
 
 MAX_R = 5
@@ -477,15 +477,14 @@ def train_and_score(docs: DataFrame, held_out: Column, parts: int | None = None,
     frequent = counted.where(F.col("n") > share * every).orderBy(F.desc("n"), "w").limit(HOT).select("w", "c").collect()
     hot = Hot([tuple(r) for r in frequent], texts)
     chunks = hashed.mapInArrow(chunker(parts, hot), ROW)
-    model = chunks.groupBy("part").applyInPandas(grouped(lambda p, rows: merged(p, rows, parts, hot)), ROW)
+    # as many partitions as parts: a task gets few of them, however many there are
+    model = chunks.repartition(parts, "part").groupBy("part").applyInPandas(grouped(lambda p, rows: merged(p, rows, parts, hot)), ROW)
     model = stored(model, "katz-model", by=("kind",))
-    del hashed, chunks
-    release(docs.sparkSession)
     n2 = sum((unpacked(r["data"])[0] for r in model.where("kind = 'counts'").collect()), np.zeros(MAX_R + 1, np.int64))  # a row of a few numbers for each part
     d.d2 = d.of(n2)
     hot_weights = hot_contexts(model, hot, d)
     asked = model.where("kind in ('unigram-table', 'contexts', 'backoffs')")
-    more = asked.groupBy("part").applyInPandas(grouped(lambda p, rows: backed_off(p, rows, d, hot, hot_weights)), ROW)
+    more = asked.repartition(parts, "part").groupBy("part").applyInPandas(grouped(lambda p, rows: backed_off(p, rows, d, hot, hot_weights)), ROW)
     sums = model.where("kind in ('documents', 'sums')").unionByName(more)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = sums.groupBy("chunk").applyInPandas(lambda key, rows: summed(rows, d), schema)
