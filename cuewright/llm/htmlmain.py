@@ -14,15 +14,17 @@ their text outside of boilerplate, so copies of a page don't make it boilerplate
 A host's tree is kept as counts of (host, node, feature), so that no task gets all
 pages of a large host; its nodes meet in one task. Navigation, headers of a page,
 footers, asides, forms, scripts, styles and what has the role of such a part are
-removed for every host. A class or id that names such a part (NAMED) multiplies the
-importances of its branch by KEYWORD. Where fewer than MIN_PAGES page texts of a host
-have the element its tree tells nothing, and the name decides. A branch with over
-half of the page's text, or of that of its articles, isn't judged by its name, and
-where names would leave no text none count.
+removed for every host, and so is what a whole class or the id calls by the name of
+such a part, an advert, a notice or comments. A class or id that only has such a name
+in it (NAMED) multiplies the importances of its branch by KEYWORD. Where fewer than
+MIN_PAGES page texts of a host have the element its tree tells nothing, and the name
+decides. A branch with over half of the page's text, or of that of its articles,
+isn't judged by its name, and where names would leave no text none count.
 
 Cases: null or empty html, or no content: empty text. Null url or no host: one
 host of its own, the empty name. Null page_id: kept. Repeated rows: one result
-row each. Cut-off markup counts as closed at the end. Empty table: empty result.
+row each. Cut-off markup counts as closed at the end. Elements more than MAX_DEPTH
+levels deep are one node of the tree with their siblings. Empty table: empty result.
 Other columns are ignored.
 """
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -49,12 +52,14 @@ MIN_PAGES = 4
 MIN_IMPORTANCE = 0.25
 #: Weight of an element's own presentation against its children's importance.
 DECAY = 0.9
+#: Levels of elements that a tree tells apart.
+MAX_DEPTH = 200
 #: What a name of boilerplate leaves of the importance of an element and of what is in it.
 KEYWORD = 0.5
 #: HTML's void, block, raw text and boilerplate elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template iframe textarea svg math canvas object head title select button".split())
+RAW = frozenset("script style noscript template iframe textarea svg canvas object head title select button".split())
 BOILER = frozenset("nav footer aside form menu dialog".split())
 #: Elements that stay with the line of text they are in.
 FORMAT = frozenset("b i em strong br".split())
@@ -63,17 +68,19 @@ SEEN, LOOKS, TEXTED, TEXTS, NAMES = range(5)
 #: Stands for an element's own text below its path.
 OWN_TEXT = "/#text"
 CLOSES_P = BLOCK - {"br", "html", "head", "body", "title", "option", "caption", "legend", "summary", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menus?|breadcrumbs?|site-?header|page-?header|masthead|footer|foot|sidebars?|side|aside|widgets?|related|recommend(?:ed|ations)?|comments?|discussion|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|copyright|legal|disclaimer|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+NAMES_OF_PARTS = r"ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menus?|breadcrumbs?|site-?header|page-?header|masthead|footer|foot|sidebars?|side|aside|widgets?|related|recommend(?:ed|ations)?|comments?|discussion|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|copyright|legal|disclaimer|pagination|pager|toolbar|skip"
+NAMED = re.compile(rf"(?:^|[\s_-])(?:{NAMES_OF_PARTS})(?:$|[\s_-])", re.I)
+CALLED = re.compile(rf"(?:^|\s)(?:{NAMES_OF_PARTS}|comment-[0-9]+|cookie-(?:notice|banner|consent)|(?:ad|advert|promo|sponsor)-?(?:box|banner|slot|unit|block)|related-(?:posts|articles|links|stories)|site-(?:nav|footer|notice)|comments?-(?:list|section|area))(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "path", "tag")
+    __slots__ = ("attrs", "children", "depth", "path", "tag")
 
-    def __init__(self, tag: str, attrs: str, path: str) -> None:
-        self.tag, self.attrs, self.path = tag, attrs, path
+    def __init__(self, tag: str, attrs: str, path: str, depth: int = 0) -> None:
+        self.tag, self.attrs, self.path, self.depth = tag, attrs, path, depth
         self.children: list[Node | str] = []
 
 
@@ -81,11 +88,16 @@ def parse(html: str) -> Node:
     """The page's elements; unclosed ones end where their parent does."""
     root = Node("", "", "")
     stack, at = [root], 0
+    open_: Counter = Counter()  # elements of the stack by tag
 
     def add(text: str) -> None:
         if text:
             stack[-1].children.append(text)
 
+    def cut(at: int) -> None:
+        open_.subtract(x.tag for x in stack[at:])
+        del stack[at:]
+
     while m := TOKEN.search(html, at):
         add(html[at : m.start()])
         at = m.end()
@@ -93,17 +105,17 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            _close(stack, tag)
+        if tag in CLOSES_P or tag in SCOPES:
+            if any(open_[x] for x in SCOPES.get(tag, P_SCOPE)[0]) and (found := _close(stack, tag)):
+                cut(found)
         attrs = m[3].rstrip("/") if m[3] else ""
-        node = Node(tag, attrs, "")
-        node.path = f"{stack[-1].path}/{look(node)}"
-        stack[-1].children.append(node)
+        up = stack[-1]
+        node = Node(tag, attrs, "", up.depth + 1)
+        node.path = f"{up.path}/{look(node)}" if up.depth < MAX_DEPTH else f"{up.path}/*" if up.depth == MAX_DEPTH else up.path
+        up.children.append(node)
         if tag in ("script", "style", "textarea", "title", "iframe", "noscript") and not (tag == "noscript"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             if end is None:
@@ -114,6 +126,7 @@ def parse(html: str) -> Node:
                 at = end.end()
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     add(html[at:])
     return root
 
@@ -122,8 +135,12 @@ def parse(html: str) -> Node:
 SCOPES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    ends, until = SCOPES.get(tag, ({"p"}, {"table", "td", "th", "button"} | (BLOCK - {"p"})))
+P_SCOPE = ({"p"}, {"table", "td", "th", "button"} | (BLOCK - {"p"}))
+
+
+def _close(stack: list[Node], tag: str) -> int | None:
+    """Place of the outermost element that an opening tag ends."""
+    ends, until = SCOPES.get(tag, P_SCOPE)
     found = None
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in ends:
@@ -132,8 +149,7 @@ def _close(stack: list[Node], tag: str) -> None:
                 break
         elif stack[i].tag in until:
             break
-    if found is not None:
-        del stack[found:]
+    return found
 
 
 def named(node: Node) -> dict[str, str]:
@@ -158,12 +174,16 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", "")
 
 
-def suspect(node: Node) -> bool:
-    """Whether its class or id names a part that is no content."""
-    if not node.attrs or node.tag in ("", "html", "body", "article", "main", "p", "h1", "b", "i", "em", "strong"):
-        return False
+def suspect(node: Node) -> int:
+    """2 if a class or the id is the name of a part that is no content, 1 if there
+    is such a name in it, else 0."""
+    if not node.attrs or node.tag in ("", "html", "body", "h1", "b", "i", "em", "strong"):
+        return 0
     a = named(node)
-    return bool(NAMED.search(a.get("class", "")) or NAMED.search(a.get("id", "")))
+    names = (a.get("class", ""), a.get("id", ""))
+    if any(map(CALLED.search, names)):
+        return 2
+    return int(node.tag not in ("article", "main", "p") and any(map(NAMED.search, names)))
 
 
 def meaningless(node: Node, inside: bool) -> bool:
@@ -234,8 +254,8 @@ def removed(root: Node, importance: dict[str, float], names: bool = True) -> tup
     scale = [1.0] * len(nodes)  # 0: by its name alone
     for i, (node, up, _) in enumerate(nodes[1:], 1):
         scale[i] = scale[up]
-        if names and scale[i] and suspect(node) and 2 * chars[i] <= chars[0] and (not arts[0] or 2 * arts[i] <= arts[0]):
-            scale[i] = KEYWORD if node.path in importance else 0.0
+        if names and scale[i] and (said := suspect(node)) and 2 * chars[i] <= chars[0] and (not arts[0] or 2 * arts[i] <= arts[0]):
+            scale[i] = KEYWORD if said == 1 and node.path in importance else 0.0
     text, telling, blocks = own[:], [False] * len(nodes), [False] * len(nodes)
     in_line: dict[int, list[int]] = {}
     low = lambda i, path: importance.get(path, 1.0) * scale[i] < MIN_IMPORTANCE

@@ -119,12 +119,12 @@ def test_site_style_tree_weighs_branches_and_distinct_pages(spark):
 def test_names_of_boilerplate_only_lower_importance(spark):
     wrap = '<body><div class="layout has-sidebar"><section class="post comments-open"><p>Own text %s</p><p>and %s</p></section><div class=sidebar>%s</div></div></body>'
     page = lambda i: wrap % (i, i, "Same links")
-    some = lambda i: f"<body><p>{'Own text ' * 9}{i}</p><div class=promo>{'Buy it' if i % 2 else 'Sell it'}</div><div class=comments>Answer {i}</div><div class=side-a{i}>Rare {i}</div></body>"
+    some = lambda i: f"<body><p>{'Own text ' * 9}{i}</p><div class=promo>{'Buy it' if i % 2 else 'Sell it'}</div><div class=user-comments>Answer {i}</div><div class=comments>Reader {i} says</div><div class=side-a{i}>Rare {i}</div></body>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(6)] + [(10, "http://one.org/", wrap % (1, 2, "Links")), (11, "http://two.org/", '<div class="page with-nav"><article><div class="post comments-open"><p>All</p></div></article></div>')]
     rows += [(20 + i, f"http://some.org/{i}", some(i)) for i in range(10)] + [(40, "http://halves.org/", "<div class=side><p>left</p></div><div class=side><p>part</p></div>")]
     got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Own text {i}\nand {i}" for i in range(6)) and got[10] == "Own text 1\nand 2" and got[11] == "All" and got[40] == "left\npart"
-    # the tree finds answers and parts important; offers in two forms only are so without their name
+    # the tree finds answers and parts important; offers go, as do what is called comments and nothing else
     assert all(got[20 + i] == f"{'Own text ' * 9}{i}\nAnswer {i}" + f"\nRare {i}" for i in range(10))
 
 
