@@ -2,7 +2,8 @@
 scans and mixing, in this order.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is
-written as Parquet in the shared folder and read again for the next. All but the
+written as Parquet in the shared folder and read again for the next; what a stage
+has stored goes when its result is there. All but the
 last return the columns of documents. The first two and the third drop
 documents, the fourth masks secrets, the last samples documents by calibrated
 probabilities and adds topic, n_tokens, weight and keep_prob. Empty tables give
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuewright.llm import decontaminate, mixing, neardup, quality, secrets
-from cuewright.llm.common import stored
+from cuewright.llm.common import scratch, stored
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -25,12 +26,16 @@ STAGES = [
 ]
 
 
-#: Hashed features, MinHash and raking aren't expressed in SQL; brute-force tests stand in.
+#: Hashed features, MinHash and raking aren't expressed in SQL; tests/llm/test_pipeline.py has them by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept = made.pop()
+            made += [last] if last else []  # the stage before, as this one's rows are written
+        last = kept
     return docs
