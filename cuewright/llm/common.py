@@ -5,11 +5,16 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders made within scratch().
+MADE: ContextVar[list[str] | None] = ContextVar("MADE", default=None)
 #: Whether the shuffle files of a query are removed when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word definitions.
@@ -51,9 +56,30 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -
         df.write.options(**options).partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    if (made := MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the folders that stored() makes within, but for those that are
+    taken out of the list that this gives."""
+    made: list[str] = []
+    token = MADE.set(made)
+    try:
+        yield made
+    finally:
+        MADE.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+
+
 def trim() -> None:
     """Gives a worker's freed memory back to the machine; else it is kept for the
     next task, beside the executor's own."""
