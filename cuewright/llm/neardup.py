@@ -314,3 +314,30 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(docs)
+
+
+OP3_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), k as (
+  select doc_id, array_to_string(w, ' ') as t from d where len(w) > 0
+), n as (
+  select *, row_number() over (order by t) as i from (select array_to_string(w, ' ') as t, count(*) as c, min(doc_id) as rep, any_value(w) as w from d where len(w) > 0 group by 1)
+), s as (
+  select distinct i, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda p: array_to_string(w[p:p + 4], ' '))) as g from n
+), z as (
+  select i, count(*) as m from s group by 1
+), p as (
+  select a.i, b.i as j, count(*) as c from s a join s b on a.g = b.g and a.i <> b.i group by 1, 2
+), e as (
+  select p.i, p.j from p join z x on x.i = p.i join z y on y.i = p.j where p.c * 10 >= 8 * (x.m + y.m - p.c)
+), r(i, j) as (
+  select i, i from n union select r.i, e.j from r join e on r.j = e.i
+), h as (
+  select r.i, min(n.rep) as head from r join n on r.j = n.i group by 1
+), l as (
+  select e.i, sum(n.c) as links from e join n on n.i = e.j group by 1
+)
+select k.doc_id, h.head as class_id, cast(coalesce(l.links, 0) + n.c - 1 as bigint) as n_links from k join n using (t) join h using (i) left join l using (i)
+union all select doc_id, doc_id, 0 from d where len(w) = 0
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op4_url_filter": urlfilter.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard": neardup.OP3_SQL, "op7_warc": warc.OP7_SQL, "op4_url_filter": urlfilter.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL}
