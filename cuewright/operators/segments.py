@@ -42,6 +42,8 @@ def _ratio(a: str, b: str) -> float:
 
 def match_lines(a: list[str], b: list[str], scale: float = 1000.0) -> list[int]:
     """For each line of ``a`` the line of ``b``, at the least cost of all."""
+    if len(a) == len(b) == 1:
+        return [0]
     return assign([[int((np.float32(1) - _ratio(x, y)) * np.float32(scale)) for y in b] for x in a])
 
 
