@@ -30,14 +30,29 @@ def segments(events: DataFrame) -> DataFrame:
     return marked.select("video_id", F.explode(rows).alias("s")).where("s.start_ms is not null and s.end_ms is not null").select("video_id", "s.*")
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance, a column of the table at a time as bits of two numbers: where
+    it grows and where it falls by 1 from one place of ``a`` to the next."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    every, last, found = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    grows, falls = every, 0
+    for ch in b:
+        same = at.get(ch, 0)
+        level = ((same & grows) + grows ^ grows) | same | falls
+        up, down = falls | ~(level | grows) & every, grows & level
+        found += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        grows, falls = down | ~(same | falls | up) & every, up & (same | falls)
+    return found
+
+
 def _ratio(a: str, b: str) -> float:
-    d = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        last, d[0] = d[0], i
-        for j, y in enumerate(b, 1):
-            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
     n = np.float32(len(a) + len(b))
-    return np.float32(n - np.float32(d[-1])) / n if n else np.float32("nan")
+    return np.float32(n - np.float32(distance(a, b))) / n if n else np.float32("nan")
 
 
 def match_lines(a: list[str], b: list[str], scale: float = 1000.0) -> list[int]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuewright import cli, streaming
 from cuewright.functions import pixels as P
 from cuewright.functions import text as T
-from cuewright.operators import ctc, frames, neighbors, regions
+from cuewright.operators import ctc, frames, neighbors, regions, segments
 from cuewright.sources import flv, mp4, packets, sinks, tables
 
 
@@ -179,3 +179,15 @@ def test_requeue_and_upsert(spark):
     back = tables.requeued(jobs, "w1", F.lit(9))
     got = {r.job: (r.status, r.worker_id) for r in tables.upserted(jobs, back, "job", "at").collect()}
     assert got == {"a": ("Queuing", None), "b": ("Done", "w1"), "c": ("Processing", "w2")}
+
+
+def test_distance_against_its_table():
+    made = np.random.default_rng(11)
+    for _ in range(400):
+        a, b = ("".join(made.choice(list("abé"), made.integers(0, 12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert segments.distance(a, b) == row[-1]
