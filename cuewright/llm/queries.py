@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmlmain, katz, langid, mixing, neardup, quality, secrets, urlfilter, warc
+from . import bpe, compact, decontaminate, htmlmain, katz, langid, mixing, neardup, quality, secrets, urlfilter, warc, whiten
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_compaction": compact.op11_compaction,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
+    "op13_whitening": whiten.op13_whitening,
 }
 ORACLE_SQL = {"op3_ngram_jaccard": neardup.OP3_SQL, "op7_warc": warc.OP7_SQL, "op4_url_filter": urlfilter.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL}
