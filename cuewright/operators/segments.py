@@ -1,13 +1,17 @@
-"""Interval operators: events to segments, merged islands, cues."""
+"""Interval operators: events to segments, merged islands, cues.
+
+A video is a task's work, unless its events went through wide(): then its rows stay
+in ranges of time through all operators of single lines, and many tasks share them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import edit_ratio, filtered_lines, time_string
+from cuewright.operators import ranges
 from cuewright.operators.assign import assign
 
 SEGMENT = "video_id long, start_ms long, end_ms long, texts array<string>"
@@ -21,13 +25,26 @@ def with_end(events: DataFrame, extra_ms: int = 60_000) -> DataFrame:
     return events.unionByName(last.withColumn("texts", F.array().cast("array<string>")))
 
 
+def _order(*columns: str) -> list:
+    return [*columns, F.array_join("texts", "\n")]
+
+
+def wide(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """Events in ranges of time, so that a long video is the work of many tasks."""
+    return ranges.cut(events.select("video_id", "time_ms", "texts"), ["video_id"], _order("time_ms"), parts)
+
+
+def _kept(rows: DataFrame) -> list[str]:
+    return [ranges.RANGE] * ranges.is_cut(rows)
+
+
 def segments(events: DataFrame) -> DataFrame:
     """[t, next t) with the texts of t, and an empty one from 0 to the first."""
-    w = Window.partitionBy("video_id").orderBy("time_ms", F.array_join("texts", "\n"))
-    marked = events.select("video_id", "time_ms", "texts", F.lead("time_ms").over(w).alias("end_ms"), F.row_number().over(w).alias("n"))
+    own = ["video_id", *_kept(events)]
+    marked = ranges.beside(events.select(*own, "time_ms", "texts"), ["video_id"], _order("time_ms"), {"before": F.lit(1)}, {"end_ms": F.col("time_ms")})
     none = F.array().cast("array<string>")
-    rows = F.array(F.struct(F.when(F.col("n") == 1, F.lit(0).cast("long")).alias("start_ms"), F.col("time_ms").alias("end_ms"), none.alias("texts")), F.struct(F.col("time_ms").alias("start_ms"), "end_ms", "texts"))
-    return marked.select("video_id", F.explode(rows).alias("s")).where("s.start_ms is not null and s.end_ms is not null").select("video_id", "s.*")
+    rows = F.array(F.struct(F.when(F.col("before").isNull(), F.lit(0).cast("long")).alias("start_ms"), F.col("time_ms").alias("end_ms"), none.alias("texts")), F.struct(F.col("time_ms").alias("start_ms"), "end_ms", "texts"))
+    return marked.select(*own, F.explode(rows).alias("s")).where("s.start_ms is not null and s.end_ms is not null").select(*own, "s.*")
 
 
 def distance(a: str, b: str) -> int:
@@ -86,10 +103,10 @@ def mergeable(a: Column, b: Column, threshold: float = THRESHOLD, lines: bool =
 
 def islands(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) -> DataFrame:
     """Segments with the number of the run of mergeable neighbours that each is in."""
-    w = Window.partitionBy("video_id").orderBy("start_ms", "end_ms")
-    marked = segs.withColumn("filtered", filtered_lines(F.col("texts"))).withColumn("before", F.lag("filtered").over(w))
+    order = _order("start_ms", "end_ms")
+    marked = ranges.beside(segs.withColumn("filtered", filtered_lines(F.col("texts"))), ["video_id"], order, {"before": F.col("filtered")})
     flagged = marked.withColumn("new", F.when(F.col("before").isNull(), 1).otherwise((~mergeable(F.col("before"), F.col("filtered"), threshold, lines)).cast("int")))
-    return flagged.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "new")
+    return ranges.running(flagged, ["video_id"], order, "island", F.col("new")).drop("before", "new")
 
 
 def _vote(rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,12 +133,12 @@ def merge(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) ->
     key = ["video_id", "island"]
     if lines:
         return found.groupBy(*key).applyInPandas(_vote, SEGMENT)
-    text = F.get("texts", F.lit(0))
-    each = found.groupBy(*key, text.alias("t")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("d"), F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
-    best = F.max(F.when(F.col("t").isNotNull(), F.struct("d", F.transform(F.split("t", ""), lambda c: -F.ascii(c)).alias("o"), F.col("t"))))
-    voted = each.groupBy(*key).agg(F.min("a").alias("start_ms"), F.max("b").alias("end_ms"), best.alias("v"))
-    texts = F.when(F.col("v").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("v.d") > 0, F.col("v.t")).otherwise("")))
-    return voted.select("video_id", "start_ms", "end_ms", texts.alias("texts"))
+    text, first = F.get("texts", F.lit(0)), [F.min(c).alias(c) for c in _kept(segs)]
+    each = found.groupBy(*key, text.alias("t")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("d"), F.min("start_ms").alias("a"), F.max("end_ms").alias("b"), *first)
+    best = F.min(F.when(F.col("t").isNotNull(), F.struct((-F.col("d")).alias("d"), "t")))
+    voted = each.groupBy(*key).agg(F.min("a").alias("start_ms"), F.max("b").alias("end_ms"), best.alias("v"), *first)
+    texts = F.when(F.col("v").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("v.d") < 0, F.col("v.t")).otherwise("")))
+    return voted.select("video_id", *_kept(segs), "start_ms", "end_ms", texts.alias("texts"))
 
 
 def long_enough(segs: DataFrame, least_ms: int = MIN_DURATION) -> DataFrame:
@@ -135,9 +152,8 @@ def merge_twice(segs: DataFrame, threshold: float = THRESHOLD, least_ms: int = M
 
 def cues(segs: DataFrame) -> DataFrame:
     """Numbered from 0 in each video; empty segments take no number."""
-    w = Window.partitionBy("video_id").orderBy("start_ms", "end_ms")
-    full = segs.where(F.size("texts") > 0)
-    return full.select("video_id", (F.row_number().over(w) - 1).cast("long").alias("cue_id"), time_string(F.col("start_ms")).alias("start"), time_string(F.col("end_ms")).alias("end"), F.array_join("texts", "\n").alias("body"))
+    full = ranges.running(segs.where(F.size("texts") > 0), ["video_id"], _order("start_ms", "end_ms"), "cue_id", F.lit(1), so_far=False)
+    return full.select("video_id", F.col("cue_id").cast("long").alias("cue_id"), time_string(F.col("start_ms")).alias("start"), time_string(F.col("end_ms")).alias("end"), F.array_join("texts", "\n").alias("body"))
 
 
 def document(found: DataFrame) -> DataFrame:
