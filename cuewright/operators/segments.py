@@ -79,15 +79,14 @@ def match_lines(a: list[str], b: list[str], scale: float = 1000.0) -> list[int]:
     return assign([[int((np.float32(1) - _ratio(x, y)) * np.float32(scale)) for y in b] for x in a])
 
 
+def alike(a: list[str], b: list[str], least: float = THRESHOLD) -> bool:
+    """Whether texts have as many lines, each at least so like the one it matches."""
+    return len(a) == len(b) and all(_ratio(a[i], b[j]) >= np.float32(least) for i, j in enumerate(match_lines(a, b)))
+
+
 def _lines_merge(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    out = []
-    for x, y, t in zip(a, b, least, strict=True):
-        if x is None or y is None:  # the first segment has none before it
-            out.append(False)
-            continue
-        x, y = list(x), list(y)
-        out.append(len(x) == len(y) and all(_ratio(x[i], y[j]) >= np.float32(t) for i, j in enumerate(match_lines(x, y))))
-    return pd.Series(out, index=a.index)
+    # the first segment has none before it
+    return pd.Series([x is not None and y is not None and alike(list(x), list(y), t) for x, y, t in zip(a, b, least, strict=True)], index=a.index)
 
 
 def mergeable(a: Column, b: Column, threshold: float = THRESHOLD, lines: bool = True) -> Column:
@@ -109,21 +108,30 @@ def islands(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) -
     return ranges.running(flagged, ["video_id"], order, "island", F.col("new")).drop("before", "new")
 
 
+def voted(n: int, said: list[tuple[int, str, int]]) -> list[str]:
+    """What each of ``n`` lines said longest, of (line, text, time); ties: the least
+    text, no time: an empty one."""
+    sums: list[dict[str, int]] = [{} for _ in range(n)]
+    for line, text, ms in said:
+        sums[line][text] = sums[line].get(text, 0) + ms
+    best = [max(x.values(), default=0) for x in sums]
+    return [min(t for t, d in x.items() if d == b) if b > 0 else "" for x, b in zip(sums, best, strict=True)]
+
+
 def _vote(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["start_ms", "end_ms"])
     texts, filtered = [list(x) for x in rows["texts"]], [list(x) for x in rows["filtered"]]
     durations = (rows["end_ms"] - rows["start_ms"]).tolist()
     steps = [match_lines(a, b) for a, b in zip(filtered, filtered[1:])]
-    out = []
+    said = []
     for line in range(len(texts[0])):
-        sums, at = {texts[0][line]: durations[0]}, line
+        at = line
+        said.append((line, texts[0][line], durations[0]))
         for i, step in enumerate(steps, 1):
             at = step[at] if at < len(step) else at
             if at < len(texts[i]):
-                sums[texts[i][at]] = sums.get(texts[i][at], 0) + durations[i]
-        best = max(sums.values())
-        out.append(min(t for t, d in sums.items() if d == best) if best > 0 else "")
-    return pd.DataFrame({"video_id": [rows["video_id"].iloc[0]], "start_ms": [rows["start_ms"].iloc[0]], "end_ms": [rows["end_ms"].iloc[-1]], "texts": [out]})
+                said.append((line, texts[i][at], durations[i]))
+    return pd.DataFrame({"video_id": [rows["video_id"].iloc[0]], "start_ms": [rows["start_ms"].iloc[0]], "end_ms": [rows["end_ms"].iloc[-1]], "texts": [voted(len(texts[0]), said)]})
 
 
 def merge(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) -> DataFrame:

@@ -78,12 +78,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_files(stream: DataFrame) -> DataFrame:
-    """All that the source has now, written as Parquet and read again."""
+def run_to_files(stream: DataFrame, path: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """All that the source has now, written as Parquet and read again. A ``path`` of
+    an earlier run goes on where it ended. ``conf`` holds while the query starts."""
     spark = stream.sparkSession
-    path = shared_path(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    path = path or shared_path(spark, "stream")
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
