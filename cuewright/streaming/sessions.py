@@ -69,7 +69,8 @@ class Islands(StatefulProcessor):
         return pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "texts"])
 
     def run(self, key: tuple, events: list[tuple], out: list[tuple]) -> None:
-        at, texts, filtered = self.open.get() if self.open.exists() else (0, [], [])
+        live = self.open.exists()
+        at, texts, filtered = self.open.get() if live else (0, [], [])
         island = self.island.get() if self.island.exists() else None
         new: list[tuple] = []  # what the island's lines said in this call
 
@@ -84,21 +85,31 @@ class Islands(StatefulProcessor):
                 new.clear()
                 island = None
 
-        for time_ms, after, after_filtered, ends in events:
-            texts, filtered = list(texts), list(filtered)
-            if island and alike(list(island[2]), filtered, self.threshold):
-                step = match_lines(list(island[2]), filtered)
+        def closed(time_ms: int) -> None:
+            """The open segment ends."""
+            nonlocal island
+            own, own_filtered = list(texts), list(filtered)
+            if island and alike(list(island[2]), own_filtered, self.threshold):
+                step = match_lines(list(island[2]), own_filtered)
                 places = [step[p] if p < len(step) else p for p in island[3]]
-                island = (island[0], time_ms, filtered, places, island[4])
+                island = (island[0], time_ms, own_filtered, places, island[4])
             else:
                 end()
-                places = list(range(len(texts)))
-                island = (at, time_ms, filtered, places, 0)
-            new += [(line, texts[p], time_ms - at) for line, p in enumerate(places) if p < len(texts)]
-            at, texts, filtered = time_ms, after, after_filtered
+                places = list(range(len(own)))
+                island = (at, time_ms, own_filtered, places, 0)
+            new.extend((line, own[p], time_ms - at) for line, p in enumerate(places) if p < len(own))
+
+        for time_ms, after, after_filtered, ends in events:
+            if live and self.idle_ms is not None and time_ms - at > self.idle_ms:
+                closed(at + self.idle_ms)
+                end()
+                at, texts, filtered = 0, [], []
+            closed(time_ms)
+            at, texts, filtered, live = time_ms, after, after_filtered, not ends
             if ends:
                 end()
-        if events[-1][3]:
+                at, texts, filtered = 0, [], []
+        if not live:
             self.open.clear()
             self.island.clear()
             return
@@ -119,7 +130,8 @@ class Islands(StatefulProcessor):
 def islands(events: DataFrame, late: str, threshold: float = THRESHOLD, idle_ms: int | None = None) -> DataFrame:
     """(video_id, time_ms, texts) as a stream to merged segments, each when its
     island is over: by an event that says something else, by an end event (null
-    texts), or, with ``idle_ms``, once the watermark is so far past the last event.
+    texts), or, with ``idle_ms``, when a video has no event for so long: its last
+    segment ends so long after the last event. After either, a video starts anew at 0.
 
     Events may come out of order by up to ``late``; later ones are dropped. Start the
     stream with CONF set.
