@@ -14,7 +14,7 @@ ATOMS = "file string, path string, type string, offset long, size long, body bin
 CONTAINERS = frozenset("moov trak mdia minf dinf stbl edts".split())
 LAZY = frozenset(("mdat",))
 #: Struct formats of the rows of each sample table.
-SAMPLE_TABLES = {"stts": (">II", ("count", "duration")), "stss": (">I", ("sample",)), "stsc": (">III", ("first_chunk", "samples", "desc")), "stco": (">I", ("offset",)), "ctts": (">II", ("count", "offset"))}
+SAMPLE_TABLES = {"stts": (">II", ("count", "duration")), "stss": (">I", ("sample",)), "stsc": (">III", ("first_chunk", "samples", "desc")), "stco": (">I", ("offset",)), "co64": (">Q", ("offset",)), "ctts": (">II", ("count", "offset"))}
 
 
 def atoms(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, str, int, int, bytes | None]]:
@@ -37,6 +37,23 @@ def atoms(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> I
         at += size
 
 
+def head_atoms(file) -> Iterator[tuple[str, str, int, int, bytes | None]]:
+    """atoms() of an open file whose media data isn't read."""
+    at, end = 0, file.size()
+    while at + 8 <= end:
+        head = file.read_at(16, at)
+        size, kind = struct.unpack_from(">I", head)[0], head[4:8].decode("latin-1")
+        size = struct.unpack_from(">Q", head, 8)[0] if size == 1 else size or end - at
+        if size < 8 or at + size > end:
+            raise ValueError(f"atom {kind} at {at} is cut off")
+        if kind in LAZY:
+            yield f"/{kind}", kind, at, size, None
+        else:
+            for path, own, inner, n, body in atoms(file.read_at(size, at)):
+                yield path, own, at + inner, n, body
+        at += size
+
+
 def atom_rows(files: DataFrame) -> DataFrame:
     """One row an atom of (path, content); each file has one moov and one mdat."""
 
@@ -143,13 +160,14 @@ def merge_files(files: list[bytes]) -> bytes:
 
     def tables(i: int, move: int) -> None:
         rows = {k: [sample_table(k, b[k][i][4]) if i < len(b[k]) else [] for b in bodies] for k in (*SAMPLE_TABLES, "stsz")}
-        samples, chunks = ([len(x) for x in rows[k]] for k in ("stsz", "stco"))
+        samples, chunks = [len(x) for x in rows["stsz"]], [len(a) + len(b) for a, b in zip(rows["stco"], rows["co64"], strict=True)]
         made = {"stts": sum(rows["stts"], []), "ctts": sum(rows["ctts"], []), "stsz": sum(rows["stsz"], [])}
         if len({d for _, d in made["stts"]}) == 1:
             made["stts"] = [(sum(n for n, _ in made["stts"]), made["stts"][0][1])]
         made["stss"] = [(s + sum(samples[:p]),) for p, r in enumerate(rows["stss"]) for (s,) in r]
         made["stsc"] = [(c + sum(chunks[:p]), *rest) for p, r in enumerate(rows["stsc"]) for c, *rest in r]
-        made["stco"] = [(o - media[p][2] - 8 + starts[p] + move,) for p, r in enumerate(rows["stco"]) for (o,) in r]
+        for k in ("stco", "co64"):
+            made[k] = [(o - media[p][2] - 8 + starts[p] + move,) for p, r in enumerate(rows[k]) for (o,) in r]
         for k, r in made.items():
             if i < len(bodies[0][k]):
                 merged[bodies[0][k][i][2]] = write_table(k, r)
