@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuewright import streaming
 from cuewright.plans.registry import EPOCH, FLAT, flat, merge_sql, query, read, timed
+from cuewright.sources import queue
 from cuewright.streaming import sessions
 
 SLICES = 6
@@ -40,3 +41,19 @@ def numbered(events):
     """timed() with the event's number."""
     rows = timed(events.withColumn("user_id", F.struct("user_id", "event_id")))
     return rows.select(F.col("video_id.user_id").alias("video_id"), "time_ms", "texts", F.col("video_id.event_id").alias("k"))
+
+
+@query("with j as (select event_id, user_id, row_number() over (order by event_id) - 1 as i, count(*) over () as n from events where event_type = 'signup') select cast(event_id as varchar) as unique_id, 'user/' || user_id as url, cast(i // (n // 3 + 1) as bigint) as batch from j")
+def job_stream(spark, sf):
+    """Jobs of a queue, in three runs that each take up where the one before ended; the
+    second half is put into the queue after the first run."""
+    jobs = read(spark, sf, "events").where("event_type = 'signup'").select("event_id", F.col("event_id").alias("unique_id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("url"))
+    n, middle = jobs.agg(F.count("*"), F.percentile("event_id", F.lit(0.5))).first()
+    path = streaming.shared_path(spark, "jobs")
+    queue.enqueue(jobs.where(F.col("event_id") <= middle), f"{path}/queue", "0", "event_id")
+    for k in range(3):
+        found = queue.stream(spark, f"{path}/queue", f"{path}/log", limit=n // 3 + 1)
+        queue.serve(found, lambda rows: rows, f"{path}/done", f"{path}/log").awaitTermination()
+        if k == 0:
+            queue.enqueue(jobs.where(F.col("event_id") > middle), f"{path}/queue", "1", "event_id")
+    return spark.read.schema(queue.JOBS + ", batch long").parquet(f"{path}/done").select("unique_id", "url", "batch")
