@@ -142,6 +142,13 @@ class Writer:
             self.out.close()
 
 
+def numbered(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows of a schema whose longs may be null, none of them through a double."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    made = pd.DataFrame(rows, columns=list(names), dtype=object)
+    return made.assign(**{n: pd.array(made[n].tolist(), "Int64") for n, k in zip(names, kinds, strict=True) if k == "long"})
+
+
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, max_broadcast: int = MAX_BROADCAST_COPIES) -> DataFrame:
     """CAPTURES of the records written, stored."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -153,21 +160,20 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     else:  # the rows of a payload with many copies go to as many parts
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
         known = salted.join(copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["sha", "salt"], "left")
-    known = known.select("page_id", "url", "html", "first")
+    known = known.select(F.col("page_id").cast("string"), "url", "html", F.col("first").cast("string"))  # pandas has no long with nulls
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive = Writer(folder, "warc")
         done: list = []
         for batch in batches:
             for page_id, url, html, first in batch.itertuples(index=False, name=None):
-                page_id, first = (None if pd.isna(x) else int(x) for x in (page_id, first))
+                page_id, first = (None if x is None else int(x) for x in (page_id, first))
                 place = archive.write(record(page_id, url, html.encode("utf-8", "surrogatepass"), None if first == page_id else first))
                 done.append((page_id, url, url_key(url), *place))
             del batch
             trim()
         archive.close()  # before any capture is told of
-        made = pd.DataFrame(done, columns=[x.split()[0] for x in CAPTURES.split(", ")])
-        yield made.astype({"page_id": "Int64"})
+        yield numbered(done, CAPTURES)
 
     return stored(known.mapInPandas(written, CAPTURES), "captures")
 
@@ -186,7 +192,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
         for batch in batches:
             for page_id, key, file, offset, length in batch.itertuples(index=False, name=None):
-                lines.append(f"{key}\t{'-' if pd.isna(page_id) else int(page_id)}\t{file}\t{offset}\t{length}")
+                lines.append(f"{key}\t{'-' if page_id is None else page_id}\t{file}\t{offset}\t{length}")
                 if len(lines) == block_lines:
                     flush()
         flush()
@@ -194,6 +200,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         yield pd.DataFrame(done, columns=[x.split()[0] for x in DIRECTORY.split(", ")])
 
     ranged = captures.select("page_id", "key", "file", "offset", "length").repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
+    ranged = ranged.withColumn("page_id", F.col("page_id").cast("string"))
     return stored(ranged.mapInPandas(written, DIRECTORY), "directory")
 
 
@@ -238,7 +245,7 @@ def told(places: list[tuple[str, int, int]]) -> pd.DataFrame:
             raise ValueError(f"damaged record in {path} at {at}")
         ids = [int(x) if (x := fields.get(k, "")) else None for k in ("X-Page-ID", "X-Refers-To-Page-ID")]
         out.append((ids[0], length, digest, fields["WARC-Type"], ids[1]))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+    return numbered(out, RECORDS)
 
 
 def fetch(keys: DataFrame, directory: DataFrame) -> DataFrame:
