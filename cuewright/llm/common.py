@@ -92,6 +92,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The column that packed() keeps a user's other columns in.
+REST = "__rest"
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns that are there, and all others as fields of one, so that no
+    name of theirs meets one of an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*[c for c in needed if c in docs.columns], (F.struct(*rest) if rest else F.lit(0)).alias(REST))
+
+
+def unpacked(found: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``docs`` of rows that packed() made, in their order, and ``more``."""
+    inside = set(getattr(found.schema[REST].dataType, "names", []))
+    return found.select(*[F.col(REST).getField(c).alias(c) if c in inside else F.col(c) for c in docs.columns if c not in more], *more)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the
     body uses it."""

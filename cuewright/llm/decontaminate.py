@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import REST, ascii_lower, packed, stored, table, unpacked
 
 WINDOW = 10
 SLOP = 2
@@ -172,7 +172,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, max_broadcast: int = MAX_BRO
     """The documents without an exact match, all columns."""
     hit = stored(matches(build_index(docs), benchmark, max_broadcast=max_broadcast, **options).where(F.size("starts") > 0).select(*DOC).distinct(), "hit")
     hint = F.broadcast if hit.count() <= max_broadcast else (lambda df: df)
-    return keyed(docs).join(hint(hit), list(DOC), "left_anti").select(*docs.columns)
+    return unpacked(keyed(packed(docs, "doc_id", "text")).join(hint(hit), list(DOC), "left_anti").select("doc_id", "text", REST), docs)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

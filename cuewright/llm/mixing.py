@@ -9,7 +9,7 @@ number of a document comes from a digest of its id and text, so a rerun and
 another partitioning keep the same rows.
 
 The cells are one row for each combination of the three columns. Up to MAX_CELLS
-are raked on the driver; more as a table, by sums along each axis that are joined
+are raked on the driver; more, by the same bounds, as a table, by sums along each axis that are joined
 back, each round stored in the shared folder. Raking ends when no category misses
 its share by more than TOLERANCE, or after ROUNDS: targets that the cells can't
 meet (a category whose only cells are all of another's) never converge. What is
@@ -30,12 +30,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, stored, table
+from .common import WS, packed, stored, table, unpacked
 
-ROUNDS = 5_000
+#: Bounds of raking, for tables of any size.
+ROUNDS = 1_000
 TOLERANCE = 1e-9
-#: Rounds of the raking of a table, each a few small jobs.
-TABLE_ROUNDS = 100
 MAX_CELLS = 200_000
 #: Target shares are the tokens' shares to this power, scaled to 1: small categories gain.
 TEMPERATURE = 0.5
@@ -124,7 +123,7 @@ def raked_cells(cells: dict[tuple, float], targets: tuple[dict, ...] | None, rat
     return [(*k, max(1.0, v * scale), min(1.0, v * scale)) for k, v in lift.items()], missed(wanted, targets)
 
 
-def raked_table(rows: DataFrame, targets: tuple[dict, ...] | None, rate: float, rounds: int = TABLE_ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+def raked_table(rows: DataFrame, targets: tuple[dict, ...] | None, rate: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """The same of a table of cells (source, lang, topic, n) of any size."""
     spark = rows.sparkSession
     live = rows.where("n > 0").select(*AXES, F.col("n").cast("double").alias("n"), F.col("n").cast("double").alias("w"))
@@ -166,15 +165,17 @@ def raked_table(rows: DataFrame, targets: tuple[dict, ...] | None, rate: float,
 def mix(docs: DataFrame, *, targets: tuple[dict, ...] | None = None, topic: Column | None = None, rate: float = RATE, seed: str = "mix", max_cells: int = MAX_CELLS, columns: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or its ``columns``) with n_tokens, topic, weight (1, or how often
     a document that is kept for certain should count), keep_prob, kept and
-    residual. ``targets``: share wanted of each source, lang and topic; by default
+    residual, which take the place of columns of these names. ``targets``: share wanted of each source, lang and topic; by default
     tempered shares. What is learned of the texts is stored, so they are read once."""
     topic = topic_of(F.col("text")) if topic is None else topic
-    made = ("n_tokens", "topic", "weight", "keep_prob", "kept", "residual")
+    made = ("topic", "n_tokens", "weight", "keep_prob", "kept", "residual")
     digest = F.md5(F.concat_ws("\x00", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    columns = tuple(c for c in columns or docs.columns if c not in made)
-    known = docs.drop(*made).withColumns({"topic": topic, "n_tokens": tokens_of(F.col("text")), "__u": uniform})
-    known = stored(known.select(*columns, "topic", "n_tokens", "__u"), "known")
+    wanted = docs.select(*[f"`{c}`" for c in columns or docs.columns if c not in made])
+    own = ("doc_id", "text", "source", "lang")
+    every = docs.select(*[f"`{c}`" for c in dict.fromkeys((*own, *wanted.columns)) if c in docs.columns])
+    known = packed(every, *own).withColumns({"topic": topic, "n_tokens": tokens_of(F.col("text")), "__u": uniform})
+    known = stored(known.drop(*[c for c in ("doc_id", "text") if c not in wanted.columns]), "known")
     cells = stored(known.groupBy(*AXES).agg(F.sum("n_tokens").alias("n")), "cells")
     if cells.count() <= max_cells:
         rows, residual = raked_cells({tuple(r[:3]): float(r[3] or 0) for r in cells.collect()}, targets, rate)
@@ -184,7 +185,8 @@ def mix(docs: DataFrame, *, targets: tuple[dict, ...] | None = None, topic: Colu
     chances = chances.select(F.col("source").alias("__a"), F.col("lang").alias("__b"), F.col("topic").alias("__c"), "weight", "keep_prob")
     joined = known.join(chances, known.source.eqNullSafe(F.col("__a")) & known.lang.eqNullSafe(F.col("__b")) & known.topic.eqNullSafe(F.col("__c")), "left").drop("__a", "__b", "__c")
     chance = F.coalesce("keep_prob", F.lit(0.0))
-    return joined.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "keep_prob": chance, "kept": F.col("__u") < chance, "residual": F.lit(residual)}).drop("__u")
+    done = joined.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "keep_prob": chance, "kept": F.col("__u") < chance, "residual": F.lit(residual)})
+    return unpacked(done, wanted, *made)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

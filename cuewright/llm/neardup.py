@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, words
+from .common import REST, packed, shared_dir, stored, table, unpacked, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -303,9 +303,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, and all without a word; columns as given."""
     found = stored(classes(docs, **options), "classes")
     heads = found.where((F.col("rep") == F.col("head.rep")) & (F.col("key") == F.col("head.key"))).select(F.col("rep").alias("did"), "key")
-    rows = keyed(docs).drop("__w")
-    once = rows.where(WORDED_SQL).join(heads, ["did", "key"]).dropDuplicates(["did", "key"]).select(*docs.columns)
-    return once.union(rows.where(f"not ({WORDED_SQL})").select(*docs.columns))
+    rows = keyed(packed(docs, "doc_id", "text")).drop("__w")
+    once = rows.where(WORDED_SQL).join(heads, ["did", "key"]).dropDuplicates(["did", "key"]).select("doc_id", "text", REST)
+    return unpacked(once.union(rows.where(f"not ({WORDED_SQL})").select("doc_id", "text", REST)), docs)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

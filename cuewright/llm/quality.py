@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, literal_array, table, words
+from .common import REST, let, literal_array, packed, table, unpacked, words
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
@@ -142,5 +142,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the columns of documents."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality(docs, trusted_rows(spark, sf_dir), extra=rest).where("__m.kept").select(*docs.columns)
+    found = quality(packed(docs, "doc_id", "text"), trusted_rows(spark, sf_dir), extra=("text", REST)).where("__m.kept")
+    return unpacked(found.drop("__m"), docs)

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, packed, stored, table, unpacked
 
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
@@ -275,8 +275,8 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows with every span of text replaced by ``mask``; overlapping spans
     are masked once. n_chars, if there, follows the new text; rows without a
     span are unchanged."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    spans = found(docs, rest)
+    rows = packed(docs, "doc_id", "text", "n_chars")
+    spans = found(rows, tuple(rows.columns[1:]))
 
     def masked(text: Column) -> Column:
         return let(F.struct(blocks(text).alias("b"), F.length(text).cast("long").alias("n")), lambda t: F.array_join(pieces(t), mask))
@@ -300,7 +300,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     done = spans.withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return unpacked(done.drop("__spans"), docs)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,18 @@ def test_run_on_odd_and_empty_documents(spark, tmp_path):
         got = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
         # short texts and the one that repeats itself go, of the three equal ones one stays
         assert len(got) == len(set(got)) and set(got) <= {None, 4, 5, 7} and (name == "odd" or not got)
+
+
+#: Names that the stages use themselves.
+TAKEN = ["key", "did", "rep", "head", "kept_", "__t", "__base", "__cand", "__all", "__spans", "__k1", "__k2", "__m", "__u", "__a", "__b", "__c", "__w", "__rest", "term", "text_", "a.b", "residual_"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_hand_on_columns_of_any_name(spark, tmp_path, name, stage):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in TAKEN})
+    plain, found = (stage(spark, x, "/root/testdata/sf0.001") for x in (docs, more))
+    rows = found.collect()
+    assert rows and [c for c in found.columns if c not in plain.columns] == TAKEN
+    assert all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in TAKEN)
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
