@@ -40,6 +40,21 @@ def emitted(frames: DataFrame) -> DataFrame:
     return frames.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col("n_regions")) | (F.col("n_dirty") > 0)).drop("__b")
 
 
+def with_empty_batches(events: DataFrame, frames: DataFrame, time_ms: Column, emit: bool = False) -> DataFrame:
+    """(video_id, time_ms, texts) of events (video_id, batch_id, time_ms, texts) of
+    batches with regions. A batch without any says nothing, so the texts before it
+    stay; with ``emit`` it ends them by an event without texts at its first frame's
+    time. ``frames``: (video_id, batch_id, frame_id) of all frames, ``time_ms`` of
+    frame_id. Null videos are a video."""
+    own = events.select("video_id", "time_ms", "texts")
+    if not emit:
+        return own
+    spine = frames.groupBy("video_id", "batch_id").agg(F.min("frame_id").alias("frame_id"))
+    told = events.select(F.col("video_id").alias("v"), F.col("batch_id").alias("b")).distinct()
+    silent = spine.join(told, spine.video_id.eqNullSafe(told.v) & (spine.batch_id == told.b), "left_anti")
+    return own.unionByName(silent.select("video_id", time_ms.cast("long").alias("time_ms"), F.array().cast("array<string>").alias("texts")))
+
+
 def padded(rows: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
     """Slots of batches of ``size``: rows compacted in order, and null rows that
     fill the last batch of each key."""

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuewright.streaming import shared_path
+from cuewright.store import stored
 
 #: The column that cut() adds and the operators keep.
 RANGE = "__range"
@@ -25,12 +25,8 @@ RANGE = "__range"
 def cut(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
     """Rows with their range, stored in the shared folder: ranges come from a sample
     of the rows, and another run would draw another."""
-    spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartitionByRange(parts, *keys, *order).withColumn(RANGE, F.spark_partition_id())
-    path = shared_path(spark, "ranges")
-    found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(parts, *keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def is_cut(rows: DataFrame) -> bool:

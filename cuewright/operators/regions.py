@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import geometry as G
 from cuewright.functions import pixels as P
+from cuewright.operators import graphs
 from cuewright.operators.assign import assign
 
 MIN_AREA, MIN_PEAK = 10, 0.99
@@ -144,6 +145,18 @@ def tracks(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     return regions.groupBy(*key).cogroup(links.groupBy(*key)).applyInPandas(of, schema)
 
 
+def long_tracks(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """tracks() of videos of any length: chains are followed by pointers that double
+    their reach in each round, and no video is a task's work. Edges from regions that
+    aren't there are none."""
+    at = lambda seq, region: F.struct(*key, seq.cast("long").alias("seq"), region.cast("int").alias("region_idx"))
+    nodes = regions.select(at(F.col("seq"), F.col("region_idx")).alias("node"))
+    links = edges.select(at(F.col("seq") + 1, F.col("dst")).alias("node"), at(F.col("seq"), F.col("src")).alias("up"))
+    real = links.join(nodes.select(F.col("node").alias("up")), "up", "left_semi")
+    found = graphs.roots(nodes.join(real, "node", "left").select("node", F.coalesce("up", "node").alias("up")))
+    return found.select(*[F.col("node").getField(k).alias(k) for k in key], "node.seq", "node.region_idx", F.col("root.seq").alias("first_seq"), F.col("root.region_idx").alias("first_region"))
+
+
 def carried(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """``value`` where it is known, else the last known before it, as ``carried``."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
