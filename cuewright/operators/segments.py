@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cuewright.functions.text import edit_ratio, filtered_lines, time_string
 from cuewright.operators import ranges
 from cuewright.operators.assign import assign
+from cuewright.store import stored
 
 SEGMENT = "video_id long, start_ms long, end_ms long, texts array<string>"
 THRESHOLD = 0.8
@@ -73,10 +74,12 @@ def _ratio(a: str, b: str) -> float:
 
 
 def match_lines(a: list[str], b: list[str], scale: float = 1000.0) -> list[int]:
-    """For each line of ``a`` the line of ``b``, at the least cost of all."""
+    """For each line of ``a`` the line of ``b``, at the least cost of all; ties: the
+    first of such matchings in the order of their lines of ``b``."""
     if len(a) == len(b) == 1:
         return [0]
-    return assign([[int((np.float32(1) - _ratio(x, y)) * np.float32(scale)) for y in b] for x in a])
+    size = len(b) + 1
+    return assign([[int((np.float32(1) - _ratio(x, y)) * np.float32(scale)) * size ** (len(a) + 1) + j * size ** (len(a) - i) for j, y in enumerate(b)] for i, x in enumerate(a)])
 
 
 def alike(a: list[str], b: list[str], least: float = THRESHOLD) -> bool:
@@ -84,28 +87,36 @@ def alike(a: list[str], b: list[str], least: float = THRESHOLD) -> bool:
     return len(a) == len(b) and all(_ratio(a[i], b[j]) >= np.float32(least) for i, j in enumerate(match_lines(a, b)))
 
 
-def _lines_merge(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    # the first segment has none before it
-    return pd.Series([x is not None and y is not None and alike(list(x), list(y), t) for x, y, t in zip(a, b, least, strict=True)], index=a.index)
+def _steps(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    out = []
+    for x, y, t in zip(a, b, least, strict=True):
+        both = x is not None and y is not None and len(x) == len(y) > 1  # others aren't asked for
+        out.append(match_lines(list(x), list(y)) if both and alike(list(x), list(y), t) else None)
+    return pd.Series(out, index=a.index, dtype=object)
 
 
 def mergeable(a: Column, b: Column, threshold: float = THRESHOLD, lines: bool = True) -> Column:
-    """Whether neighbouring segments say the same: as many significant lines, each
-    matched pair at least ``threshold`` alike. ``lines`` False: for texts of one
-    line at most, without Python."""
-    least = F.lit(threshold).cast("float")
-    single = F.when(F.size(a) != F.size(b), False).when(F.size(a) == 0, True).otherwise(edit_ratio(F.get(a, F.lit(0)), F.get(b, F.lit(0))) >= least)
+    """The matching (place in ``b`` of each line of ``a``) of neighbouring segments that
+    say the same, else null: as many significant lines, each matched pair at least
+    ``threshold`` alike. ``lines`` False: for texts of one line at most, without
+    Python."""
+    least, same = F.lit(threshold).cast("float"), F.size(a) == F.size(b)
+    alone = edit_ratio(F.get(a, F.lit(0)), F.get(b, F.lit(0))) >= least
+    single = F.when(same & (F.size(a) == 0), F.array().cast("array<int>")).when(same & (F.size(a) == 1) & alone, F.array(F.lit(0)))
     if not lines:
-        return F.coalesce(single, F.lit(False))
-    return F.coalesce(F.when((F.size(a) <= 1) | (F.size(b) <= 1), single).otherwise(F.pandas_udf(_lines_merge, "boolean")(a, b, least)), F.lit(False))
+        return single
+    several = same & (F.size(a) > 1)
+    pairs = F.pandas_udf(_steps, "array<int>")(F.when(several, a), F.when(several, b), least)
+    return F.coalesce(single, pairs)
 
 
 def islands(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) -> DataFrame:
-    """Segments with the number of the run of mergeable neighbours that each is in."""
+    """Segments with the number of the run of mergeable neighbours that each is in, and
+    the step to each from the one before it in its run."""
     order = _order("start_ms", "end_ms")
     marked = ranges.beside(segs.withColumn("filtered", filtered_lines(F.col("texts"))), ["video_id"], order, {"before": F.col("filtered")})
-    flagged = marked.withColumn("new", F.when(F.col("before").isNull(), 1).otherwise((~mergeable(F.col("before"), F.col("filtered"), threshold, lines)).cast("int")))
-    return ranges.running(flagged, ["video_id"], order, "island", F.col("new")).drop("before", "new")
+    stepped = marked.withColumn("step", F.when(F.col("before").isNotNull(), mergeable(F.col("before"), F.col("filtered"), threshold, lines)))
+    return ranges.running(stepped, ["video_id"], order, "island", F.col("step").isNull().cast("int")).drop("before")
 
 
 def voted(n: int, said: list[tuple[int, str, int]]) -> list[str]:
@@ -118,35 +129,39 @@ def voted(n: int, said: list[tuple[int, str, int]]) -> list[str]:
     return [min(t for t, d in x.items() if d == b) if b > 0 else "" for x, b in zip(sums, best, strict=True)]
 
 
-def _vote(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["start_ms", "end_ms"])
-    texts, filtered = [list(x) for x in rows["texts"]], [list(x) for x in rows["filtered"]]
-    durations = (rows["end_ms"] - rows["start_ms"]).tolist()
-    steps = [match_lines(a, b) for a, b in zip(filtered, filtered[1:])]
-    said = []
-    for line in range(len(texts[0])):
-        at = line
-        said.append((line, texts[0][line], durations[0]))
-        for i, step in enumerate(steps, 1):
-            at = step[at] if at < len(step) else at
-            if at < len(texts[i]):
-                said.append((line, texts[i][at], durations[i]))
-    return pd.DataFrame({"video_id": [rows["video_id"].iloc[0]], "start_ms": [rows["start_ms"].iloc[0]], "end_ms": [rows["end_ms"].iloc[-1]], "texts": [voted(len(texts[0]), said)]})
-
-
 def merge(segs: DataFrame, threshold: float = THRESHOLD, lines: bool = True) -> DataFrame:
     """Each run as one segment from its start to its end; each tracked line says
-    what it said for the longest time in all (ties: the least text; no time: "")."""
+    what it said for the longest time in all (ties: the least text; no time: "").
+
+    A run's lines are those of its first segment. Where they go is the product of the
+    steps so far, of which only those that move a line are kept, a short list a run.
+    All else is sums, so a run of any length is shared by tasks."""
+    keep, key = _kept(segs), ["video_id", "island"]
     found = islands(segs, threshold, lines)
-    key = ["video_id", "island"]
-    if lines:
-        return found.groupBy(*key).applyInPandas(_vote, SEGMENT)
-    text, first = F.get("texts", F.lit(0)), [F.min(c).alias(c) for c in _kept(segs)]
-    each = found.groupBy(*key, text.alias("t")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("d"), F.min("start_ms").alias("a"), F.max("end_ms").alias("b"), *first)
-    best = F.min(F.when(F.col("t").isNotNull(), F.struct((-F.col("d")).alias("d"), "t")))
-    voted = each.groupBy(*key).agg(F.min("a").alias("start_ms"), F.max("b").alias("end_ms"), best.alias("v"), *first)
-    texts = F.when(F.col("v").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("v.d") < 0, F.col("v.t")).otherwise("")))
-    return voted.select("video_id", *_kept(segs), "start_ms", "end_ms", texts.alias("texts"))
+    hull = [F.min("start_ms").alias("a"), F.max("end_ms").alias("b"), *[F.min(c).alias(c) for c in keep]]
+    if not lines:
+        again = [F.min("a").alias("start_ms"), F.max("b").alias("end_ms"), *hull[2:]]
+        each = found.groupBy(*key, F.get("texts", F.lit(0)).alias("t")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("d"), *hull)
+        best = F.min(F.when(F.col("t").isNotNull(), F.struct((-F.col("d")).alias("d"), "t")))
+        texts = F.when(F.col("v").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("v.d") < 0, F.col("v.t")).otherwise("")))
+        return each.groupBy(*key).agg(*again, best.alias("v")).select("video_id", *keep, "start_ms", "end_ms", texts.alias("texts"))
+    place = F.struct("start_ms", "end_ms", F.array_join("texts", "\n").alias("text"))
+    found = stored(found.withColumn("at", place), "islands")  # lines are matched once
+    moves = F.col("step") != F.sequence(F.lit(0), F.size("step") - 1)
+    swaps = F.array_sort(F.collect_list(F.when((F.size("step") > 1) & moves, F.struct("at", "step"))))
+    runs = found.groupBy(*key).agg(F.min_by(F.size("texts"), "at").alias("n"), swaps.alias("swaps"), *hull)
+    named = runs.select(F.col("video_id").alias("v"), F.col("island").alias("i"), "n", "swaps")
+    known = found.join(named, found.video_id.eqNullSafe(named.v) & (found.island == named.i)).where("n > 0")
+    first = F.aggregate(F.filter("swaps", lambda x: x["at"] <= F.col("at")), F.col("line"), lambda p, x: F.coalesce(F.get(x["step"], p), p))
+    each = known.withColumn("line", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    said = each.select(*key, "line", F.get("texts", first).alias("t"), (F.col("end_ms") - F.col("start_ms")).alias("d")).where("t is not null")
+    sums = said.groupBy(*key, "line", "t").agg(F.sum("d").alias("d"))
+    best = sums.groupBy(*key, "line").agg(F.min(F.struct((-F.col("d")).alias("d"), "t")).alias("v"))
+    texts = best.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("line", F.when(F.col("v.d") < 0, F.col("v.t")).otherwise("").alias("t")))).alias("m"))
+    told = texts.select(F.col("video_id").alias("v"), F.col("island").alias("i"), "m")
+    whole = runs.drop("swaps").join(told, runs.video_id.eqNullSafe(told.v) & (runs.island == told.i), "left")
+    all_lines = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.col("m")[i], F.lit("")))
+    return whole.select("video_id", *keep, F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), F.when(F.col("n") > 0, all_lines).otherwise(F.array().cast("array<string>")).alias("texts"))
 
 
 def long_enough(segs: DataFrame, least_ms: int = MIN_DURATION) -> DataFrame:

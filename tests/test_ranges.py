@@ -59,3 +59,46 @@ def test_equal_times_of_prefixes(spark):
     segs = spark.createDataFrame(rows, S.SEGMENT)
     for lines in (True, False):
         assert [r.texts for r in S.merge(segs, lines=lines).collect()] == [["abcdefghij"]]
+
+
+def test_lines_that_change_places_along_an_island(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    words = [f"line number {w} of some length" for w in ("one", "two", "ten")]
+    rows = []
+    for v in range(6):
+        order = list(range(3))
+        for t in range(30):
+            if t % 4 == 0:
+                rng.shuffle(order)
+            rows.append((v, t * 10, [words[k] + "!" * rng.randrange(2) for k in order] if t % 13 else ["alone"]))
+    events = S.with_end(spark.createDataFrame(rows, "video_id long, time_ms long, texts array<string>"))
+
+    def plain(v):
+        own = sorted((t, x) for u, t, x in rows if u == v)
+        segs = [(0, own[0][0], [])] + [(t, n, x) for (t, x), (n, _) in zip(own, own[1:] + [(own[-1][0] + 60_000, [])])]
+        strip = lambda x: [s.replace(" ", "").replace("!", "") for s in x]
+        runs = [[segs[0]]]
+        for a, b in itertools.pairwise(segs):
+            runs[-1].append(b) if S.alike(strip(a[2]), strip(b[2])) else runs.append([b])
+        out = []
+        for run in runs:
+            said, places = [], list(range(len(run[0][2])))
+            for before, (a, b, x) in zip([run[0], *run], run):
+                step = S.match_lines(strip(before[2]), strip(x))
+                places = [step[p] for p in places]
+                said += [(k, x[p], b - a) for k, p in enumerate(places)]
+            out.append((v, run[0][0], run[-1][1], S.voted(len(places), said)))
+        return out
+
+    want = sorted(r for v in range(6) for r in plain(v))
+    for table in (events, S.wide(events, 5)):
+        found = S.merge(S.segments(table)).collect()
+        assert sorted((r.video_id, r.start_ms, r.end_ms, r.texts) for r in found) == want
+
+
+def test_equal_matchings_take_the_first(spark):
+    assert S.match_lines(["aa", "aa", "aa"], ["aa", "aa", "aa"]) == [0, 1, 2]
+    assert S.match_lines(["ab", "cd"], ["xx", "xx"]) == [0, 1]
