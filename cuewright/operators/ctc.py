@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +76,40 @@ def best_path(steps: list[list[tuple[str, float]]], bigrams: dict[tuple[str, str
     return min(paths.values())[1]
 
 
-def lattice_decode(rows: DataFrame, bigrams: dict[tuple[str, str], float]) -> DataFrame:
-    """(region, steps: array of arrays of ch and p) to (region, text)."""
-
-    def of(batches):
-        for batch in batches:
-            texts = [best_path([[(c["ch"], c["p"]) for c in step] for step in steps], bigrams) for steps in batch["steps"]]
-            yield pd.DataFrame({"region": batch["region"], "text": texts})
-
-    return rows.select("region", "steps").mapInPandas(of, "region long, text string")
+def lattice_decode(rows: DataFrame, bigrams: DataFrame | dict[tuple[str, str], float], blank: str = "", sure: float = 0.9) -> DataFrame:
+    """(region, steps: array of arrays of ch and p) to (region, text): best_path() as a
+    fold over the steps. ``bigrams``: (a, b, p); a region gets those of its own
+    characters by a join, so the table may be of any size. What is kept while folding
+    is one path for each last character. Null regions are a region; a null or empty
+    list of steps reads as an empty text."""
+    spark = rows.sparkSession
+    if isinstance(bigrams, dict):
+        bigrams = spark.createDataFrame([(a, b, float(p)) for (a, b), p in bigrams.items()], "a string, b string, p double")
+    cost = lambda p: -F.log(F.greatest(p, F.lit(1e-30)))
+    chars = F.array_distinct(F.flatten(F.transform("steps", lambda s: F.transform(s, lambda c: c["ch"]))))
+    own = rows.select("region", F.coalesce(chars, F.array().cast("array<string>")).alias("chars")).distinct()
+    known = own.select("region", "chars", F.explode("chars").alias("a")).join(bigrams.where("p > 0").select("a", "b", "p"), "a").where(F.array_contains("chars", F.col("b")))
+    pairs = known.select("region", F.struct(F.struct("a", "b").alias("k"), cost(F.col("p")).alias("c")).alias("e")).distinct()
+    costs = pairs.groupBy(F.col("region").alias("r")).agg(F.map_from_entries(F.collect_list("e")).alias("costs"))
+    both = rows.select("region", F.coalesce("steps", F.array().cast("array<array<struct<ch: string, p: double>>>")).alias("steps")).join(costs, F.col("region").eqNullSafe(F.col("r")), "left")
+
+    top = lambda s: F.get(s, F.lit(0))
+    heard = F.filter("steps", lambda s: ~((top(s)["ch"] == blank) & (top(s)["p"] >= sure)))
+    fresh = F.filter("heard", lambda s, i: (i == 0) | (top(s)["ch"] != top(F.get("heard", i - 1))["ch"]))
+    columns = F.transform(fresh, lambda s: F.when(top(s)["p"] >= sure, F.slice(s, 1, 1)).otherwise(s))
+
+    def on(path: Column, c: Column) -> Column:
+        pair = F.when(path["last"] == "", F.lit(0.0)).otherwise(F.coalesce(F.element_at(F.col("costs"), F.struct(path["last"].alias("a"), c["ch"].alias("b"))), F.lit(MISSING_COST)))
+        read = F.struct((path["cost"] + cost(c["p"]) + pair).alias("cost"), F.concat(path["text"], c["ch"]).alias("text"), c["ch"].alias("last"))
+        skip = F.struct((path["cost"] + 10 * cost(c["p"])).alias("cost"), path["text"].alias("text"), path["last"].alias("last"))
+        return F.when(c["ch"] == blank, skip).otherwise(read)
+
+    def step(paths: Column, column: Column) -> Column:
+        made = F.flatten(F.transform(paths, lambda p: F.transform(column, lambda c: on(p, c))))
+        # one array, so that its paths are made once for all last characters
+        best = lambda m: F.transform(F.array_distinct(F.transform(m, lambda x: x["last"])), lambda last: F.array_min(F.filter(m, lambda x: x["last"] == last)))
+        return F.transform(F.array(made), best)[0]
+
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit("").alias("text"), F.lit("").alias("last")))
+    found = both.withColumn("heard", heard).withColumn("columns", columns)
+    return found.select("region", F.aggregate("columns", start, step, lambda paths: F.array_min(paths)["text"]).alias("text"))

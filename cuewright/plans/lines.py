@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import text as T
 from cuewright.operators import segments as S
-from cuewright.plans.registry import SQL, flat, query, read
+from cuewright.plans.registry import IGNORED, SQL, flat, query, read
 
-#: The ignored characters as SQL, of the constant itself.
-IGNORED = " || ".join(f"chr({ord(c)})" for c in T.IGNORED if c != "\0")
 SIGNIFICANT = f"translate({{}}, {IGNORED}, '')"
 
 

@@ -15,7 +15,7 @@ from cuewright.functions import pixels as P
 from cuewright.functions import text as T
 from cuewright import streaming
 from cuewright.streaming import shared_path
-from cuewright.operators import ctc, frames, models, neighbors, regions
+from cuewright.operators import ctc, frames, models, neighbors, ranges, regions
 from cuewright.operators import segments as S
 from cuewright.sources import flv, mp4, sinks, tables
 
@@ -360,7 +360,18 @@ def bigram_cost(spark, sf):
     return found.select("p_partkey", "a", "b", F.round("cost", 6).alias("cost"))
 
 
-@query()
+LATTICE = """with recursive e as (select vec_id as region, k, c as i, ['', 'a', 'b', 'c'][c + 1] as ch, (cast(embedding[k * 4 + c + 1] + 1::float as float) / 2::float)::double as p from embeddings, range(16) t(k), range(4) u(c)),
+t as (select *, row_number() over (partition by region, k order by p desc, ch desc) as n from e), s as (select region, k, max(ch) filter (where n = 1) as ch, max(p) filter (where n = 1) as p from t group by 1, 2),
+h as (select *, lag(ch) over (partition by region order by k) as b from s where not (ch = '' and p >= 0.9)), c as (select region, k, p, row_number() over (partition by region order by k) as i from h where b is null or b <> ch),
+o as (select c.region, c.i, t.ch, t.p from c join t using (region, k) where t.n <= case when c.p >= 0.9 then 1 else 2 end),
+r(region, i, last, w) as (select distinct region, cast(0 as bigint), '', {'cost': 0::double, 'text': ''} from e union all
+  select region, i, last, min(w) from (select r.region, o.i, case when o.ch = '' then r.last else o.ch end as last, case when o.ch = '' then {'cost': r.w.cost + 10 * -ln(greatest(o.p, 1e-30::double)), 'text': r.w.text}
+    else {'cost': r.w.cost + -ln(greatest(o.p, 1e-30::double)) + case when r.last = '' then 0 when r.last || o.ch in ('ab', 'bc', 'ca') then -ln(0.5::double) else 10000000 end, 'text': r.w.text || o.ch} end as w
+    from r join o on o.region = r.region and o.i = r.i + 1) group by region, i, last)
+select region, min(w).text as text from r join (select region as g, max(i) as top from r group by 1) on g = region and top = i group by region"""
+
+
+@query(LATTICE)
 def lattice_decode(spark, sf):
     p = lambda k, i: F.struct(F.get(F.array(*map(F.lit, ["", "a", "b", "c"])), i).alias("ch"), ((F.get("embedding", k * 4 + i) + 1) / 2).cast("double").alias("p"))
     step = lambda k: F.reverse(F.array_sort(F.transform(F.array(*map(F.lit, range(4))), lambda i: F.struct(p(k, i)["p"].alias("q"), p(k, i).alias("c")))))
@@ -375,11 +386,8 @@ def edit_ratio(spark, sf):
     return part.join(later, "p_partkey").select("p_partkey", F.round(T.edit_ratio(F.col("p_name"), F.col("b")).cast("double"), 5).alias("ratio"))
 
 
-#: First and last code points of the ignored characters, for SQL.
-IGNORED = """(select string_agg(chr(c::int), '') from (select unnest(range(l, h + 1)) as c from (values
-  (9, 13), (32, 47), (58, 64), (91, 96), (123, 126), (161, 161), (164, 164), (176, 176), (183, 183), (191, 191), (8212, 8212), (8216, 8217), (8220, 8221), (8226, 8226), (8229, 8230),
-  (8251, 8251), (8592, 8596), (9632, 9632), (9670, 9670), (9674, 9675), (9679, 9679), (12288, 12290), (12295, 12305), (12307, 12315), (12349, 12349), (12448, 12448), (12539, 12539),
-  (65281, 65295), (65306, 65312), (65339, 65344), (65371, 65381), (65392, 65392), (65439, 65439), (65504, 65509), (65512, 65518)) v(l, h)))"""
+#: The ignored characters of the functions, as SQL; DuckDB's texts have no NUL.
+IGNORED = " || ".join(f"chr({ord(c)})" for c in T.IGNORED if c != "\0")
 
 
 @query(f"select doc_id, length(translate(text, {IGNORED}, '')) as n_significant, md5(translate(text, {IGNORED}, '')) as digest from documents")
@@ -802,24 +810,24 @@ def top_neighbors(spark, sf):
     return found.select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("with l as (select p_brand, min(p_name) as a, max(p_name) as b from part group by 1) select p_brand, cast((select count(*) from range(1, 200) t(i) where i <= least(length(a), length(b)) and substr(a, 1, i) = substr(b, 1, i)) as int) as n, substr(a, 1, (select count(*) from range(1, 200) t(i) where i <= least(length(a), length(b)) and substr(a, 1, i) = substr(b, 1, i))) as prefix from l")
+@query("with l as (select p_brand, min(p_name) as a, max(p_name) as b from part group by 1) select p_brand, cast(len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i))) as int) as n, substr(a, 1, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i)))) as prefix from l")
 def common_prefix(spark, sf):
     found = read(spark, sf, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"))
     prefix = T.common_prefix(F.col("a"), F.col("b"))
     return found.select("p_brand", F.length(prefix).alias("n"), prefix.alias("prefix"))
 
 
-@query(f"with f as (select doc_id, (select min(i) from range(1, 400) t(i) where strpos({IGNORED}, substr(text, i, 1)) > 0 and i <= length(text)) as p  from documents) select doc_id, cast(p - 1 as int) as place from f where p is not null")
+@query(f"with f as (select doc_id, strpos(translate(text, {IGNORED}, repeat(' ', length({IGNORED}))), ' ') as p from documents) select doc_id, cast(p - 1 as int) as place from f where p > 0")
 def first_ignored(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.first_ignored(F.col("text")).alias("place")).where("place < 399")
+    return read(spark, sf, "documents").select("doc_id", T.first_ignored(F.col("text")).alias("place")).where("place is not null")
 
 
 @query("select event_id, row_number() over (order by event_id) as n from events where event_type in ('click', 'view')")
 def append_events(spark, sf):
     """Events of two writers in one table, sorted once."""
     rows = read(spark, sf, "events")
-    both = rows.where("event_type = 'click'").unionByName(rows.where("event_type = 'view'"))
-    return both.select("event_id", F.row_number().over(Window.orderBy("event_id")).cast("long").alias("n"))
+    both = ranges.cut(rows.where("event_type = 'click'").unionByName(rows.where("event_type = 'view'")).select("event_id"), [], ["event_id"])
+    return ranges.running(both, [], ["event_id"], "n", F.lit(1)).select("event_id", F.col("n").cast("long").alias("n"))
 
 
 @query("with n as (select p_partkey, 'part' || p_partkey || ['.flv', '.F4V', '.mp4?sig=1', '.mkv', ''][p_size % 5 + 1] as name from part) select p_partkey, name, case when lower(name) like '%.flv' or lower(name) like '%.f4v' then 'flv' when name like '%.mp4?%' then 'mp4' else 'none' end as joined_as from n")
