@@ -3,8 +3,9 @@
 cut() deals rows to ranges of their order and stores them with the number of their
 range. Windows then run within each range, and what they need from the ranges before
 and after (the last row, the first, the sum so far) comes from a table of carries with
-a row for each range of a key. Rows that weren't cut go through plain windows, a key a
-task; the results are equal. Orders must tell all different rows apart.
+a row for each range of a key. As rows are read for both, each operator stores what it
+makes of cut rows; else plans would double with each. Rows that weren't cut go through
+plain windows, a key a task; the results are equal. Orders must tell all different rows apart.
 
 Null keys are a key of their own. An empty table has no ranges and gives no rows.
 """
@@ -63,7 +64,7 @@ def beside(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     marked = rows.withColumns(own | {"__top": F.lag(F.lit(1)).over(w).isNull(), "__end": F.lead(F.lit(1)).over(w).isNull()})
     joined = _carried(marked, carries, keys)
     filled = {n: F.when(F.col("__top"), F.col("__before")[n]).otherwise(F.col(n)) for n in before} | {n: F.when(F.col("__end"), F.col("__after")[n]).otherwise(F.col(n)) for n in after}
-    return joined.withColumns(filled).drop("__top", "__end", "__before", "__after")
+    return stored(joined.withColumns(filled).drop("__top", "__end", "__before", "__after"), "ranges")
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, value: Column, so_far: bool = True) -> DataFrame:
@@ -76,7 +77,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     across = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, RANGE).agg(F.sum(value).alias("__n"))
     carries = totals.select(*keys, RANGE, F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__carry"))
-    return _carried(rows.withColumn(name, own), carries, keys).withColumn(name, F.col(name) + F.col("__carry")).drop("__carry")
+    return stored(_carried(rows.withColumn(name, own), carries, keys).withColumn(name, F.col(name) + F.col("__carry")).drop("__carry"), "ranges")
 
 
 def last_known(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, value: Column) -> DataFrame:
@@ -88,4 +89,4 @@ def last_known(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     across = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*keys, RANGE).agg(F.max_by(value, F.when(value.isNotNull(), _place(order))).alias("__v"))
     carries = ends.select(*keys, RANGE, F.last("__v", ignorenulls=True).over(across).alias("__carry"))
-    return _carried(rows.withColumn(name, own), carries, keys).withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
+    return stored(_carried(rows.withColumn(name, own), carries, keys).withColumn(name, F.coalesce(name, "__carry")).drop("__carry"), "ranges")

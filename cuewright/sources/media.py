@@ -17,18 +17,19 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-import numpy as np
-import pandas as pd
-import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cuewright.sources import mp4
 from cuewright.sources.ranges import opened
 
+if TYPE_CHECKING:  # what plans a read is light: the driver runs one such process a plan
+    import numpy as np
+    import pandas as pd
+
 SPLIT = 64 << 20
 #: Bytes that are read at a time while walking.
 WINDOW, BLOCK = 64 << 10, 4 << 20
@@ -90,6 +91,10 @@ class Track:
 
 def tracks(file) -> list[Track]:
     """The tracks of an MP4 file, of its moov alone."""
+    import numpy as np
+
+    from cuewright.sources import mp4
+
     found = list(mp4.head_atoms(file))
     out = []
     for top in (x for x in found if x[1] == "trak"):
@@ -115,6 +120,8 @@ def tracks(file) -> list[Track]:
 
 
 def mp4_index(path: str, file, split: int) -> Iterator[tuple]:
+    import numpy as np
+
     for k, track in enumerate(tracks(file)):
         sums, first = np.cumsum(track.sizes), 0
         while first < len(sums):
@@ -132,6 +139,8 @@ def write_index(spark: SparkSession, path: str, index: str, split: int = SPLIT)
     named = files.select("path", F.when(kind.isin("flv", "f4v"), "flv").when(kind.isin("mp4", "m4v"), "mp4").alias("kind")).where("kind is not null")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             for path, kind in zip(batch["path"], batch["kind"], strict=True):
                 with opened(path) as file:
@@ -165,6 +174,8 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """One for each row of the index, of SPLIT bytes, that has what is asked for."""
+        import pyarrow.parquet as pq
+
         where, inner = fs.FileSystem.from_uri(self.index if ":" in self.index else f"file://{self.index}")
         out: list[InputPartition] = []
         for r in pq.read_table(inner, filesystem=where).to_pylist():
