@@ -14,12 +14,15 @@ their text outside of boilerplate, so copies of a page don't make it boilerplate
 A host's tree is kept as counts of (host, node, feature), so that no task gets all
 pages of a large host; its nodes meet in one task. Navigation, headers of a page,
 footers, asides, forms, scripts, styles and what has the role of such a part are
-removed for every host, and so is what a whole class or the id calls by the name of
-such a part, an advert, a notice or comments. A class or id that only has such a name
-in it (NAMED) multiplies the importances of its branch by KEYWORD. Where fewer than
-MIN_PAGES page texts of a host have the element its tree tells nothing, and the name
-decides. A branch with over half of the page's text, or of that of its articles,
-isn't judged by its name, and where names would leave no text none count.
+removed for every host, and so is what a class or the id calls such a part, an advert,
+a notice or comments: a name of PARTS alone or with words of PLACES around it, so
+user-comments, commentlist or top-ad, but not has-sidebar or related-work. Such a name
+decides alike on a host of any number of pages. A class or id that only has such a name
+in it (NAMED) multiplies the importances that a tree gives to its branch by KEYWORD.
+Where fewer than MIN_PAGES page texts of a host have an element its tree tells nothing
+of it. A branch with over half of the page's text, or of that of its articles, isn't
+judged by its name, but for comments, adverts and consent (SURE) that hold no h1, main
+or article of another name. Where names would leave no text none count.
 
 Cases: null or empty html, or no content: empty text. Null url or no host: one
 host of its own, the empty name. Null page_id: kept. Repeated rows: one result
@@ -63,14 +66,28 @@ RAW = frozenset("script style noscript template iframe textarea svg canvas objec
 BOILER = frozenset("nav footer aside form menu dialog".split())
 #: Elements that stay with the line of text they are in.
 FORMAT = frozenset("b i em strong br".split())
-#: What a node counts: pages, sequences of children, pages with own text, texts, pages where its name is of boilerplate.
-SEEN, LOOKS, TEXTED, TEXTS, NAMES = range(5)
+#: What a node counts: pages, sequences of children, pages with own text, texts.
+SEEN, LOOKS, TEXTED, TEXTS = range(4)
 #: Stands for an element's own text below its path.
 OWN_TEXT = "/#text"
 CLOSES_P = BLOCK - {"br", "html", "head", "body", "title", "option", "caption", "legend", "summary", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"}
-NAMES_OF_PARTS = r"ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menus?|breadcrumbs?|site-?header|page-?header|masthead|footer|foot|sidebars?|side|aside|widgets?|related|recommend(?:ed|ations)?|comments?|discussion|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|copyright|legal|disclaimer|pagination|pager|toolbar|skip"
-NAMED = re.compile(rf"(?:^|[\s_-])(?:{NAMES_OF_PARTS})(?:$|[\s_-])", re.I)
-CALLED = re.compile(rf"(?:^|\s)(?:{NAMES_OF_PARTS}|comment-[0-9]+|cookie-(?:notice|banner|consent)|(?:ad|advert|promo|sponsor)-?(?:box|banner|slot|unit|block)|related-(?:posts|articles|links|stories)|site-(?:nav|footer|notice)|comments?-(?:list|section|area))(?:$|\s)", re.I)
+#: Names of parts that are no content: of those that can't hold a page's article, and of others.
+SURE = "ad ads advert adverts advertisement advertisements adsense comment comments disqus replies cookie cookies consent gdpr".split()
+PARTS = [*SURE, *"alert alerts aside banner breadcrumb breadcrumbs copyright disclaimer discussion foot footer legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion promotions recommendation recommendations recommended related respond share sharing sidebar sidebars side signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()]
+#: Words that may stand beside such a name and leave its meaning.
+PLACES = "area article articles bar block body bottom box button buttons center column container content form frame global group header holder icons inline inner item items left link links list lists main message outer page panel placeholder post posts primary right row secondary section site slot sticky stories story text thread tools top unit user users wrap wrapper zone".split()
+
+
+def calling(parts: list[str]) -> re.Pattern[str]:
+    """Matches classes with a name of ``parts`` among names and places, joined by
+    hyphens, underscores or nothing. Groups don't give back, so that the time is linear."""
+    words = lambda names: "|".join(sorted(names, key=lambda x: (-len(x), x)))
+    others = words({*PARTS, *PLACES} - {*parts})
+    return re.compile(rf"(?<!\S)(?:(?>(?:{others})[-_]*)*+(?>{words(parts)})(?>[-_]*(?:{words({*PARTS, *PLACES})}|[0-9]+))*+|(?:site|page)[-_]?header)[-_]*(?!\S)", re.I)
+
+
+CALLED, SURELY = calling(PARTS), calling(SURE)
+NAMED = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(PARTS)})(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -175,14 +192,14 @@ def boilerplate(node: Node, inside: bool) -> bool:
 
 
 def suspect(node: Node) -> int:
-    """2 if a class or the id is the name of a part that is no content, 1 if there
-    is such a name in it, else 0."""
+    """3 and 2 if a class or the id is the name of a part that is no content, 3 for
+    SURE ones, 1 if there is such a name in it, else 0."""
     if not node.attrs or node.tag in ("", "html", "body", "h1", "b", "i", "em", "strong"):
         return 0
     a = named(node)
     names = (a.get("class", ""), a.get("id", ""))
     if any(map(CALLED.search, names)):
-        return 2
+        return 3 if any(map(SURELY.search, names)) else 2
     return int(node.tag not in ("article", "main", "p") and any(map(NAMED.search, names)))
 
 
@@ -219,8 +236,6 @@ def features(root: Node) -> tuple[int, set[tuple[str, int, int]]]:
         inner = [x for x in node.children if isinstance(x, Node)]
         todo += [(x, inside, counts) for x in reversed(inner) if not meaningless(x, inside)]
         made.add((node.path, SEEN, 0))
-        if suspect(node):
-            made.add((node.path, NAMES, 0))
         if inner:
             made.add((node.path, LOOKS, code(">".join(dict.fromkeys(x.path for x in inner)))))
         if text := own_text(node):
@@ -248,14 +263,17 @@ def removed(root: Node, importance: dict[str, float], names: bool = True) -> tup
         nodes.append((node, up, inside))
     chars = [sum(len(x.strip()) for x in node.children if isinstance(x, str)) for node, _, _ in nodes]
     own, arts = [n > 0 for n in chars], [n if nodes[i][2] else 0 for i, n in enumerate(chars)]
+    said = [suspect(node) if names else 0 for node, _, _ in nodes]
+    heads = [node.tag in ("h1", "main") or node.tag == "article" and said[i] < 2 for i, (node, _, _) in enumerate(nodes)]
     for i in range(len(nodes) - 1, 0, -1):
         chars[nodes[i][1]] += chars[i]
         arts[nodes[i][1]] += arts[i]
+        heads[nodes[i][1]] |= heads[i]
     scale = [1.0] * len(nodes)  # 0: by its name alone
-    for i, (node, up, _) in enumerate(nodes[1:], 1):
+    for i, (_, up, _) in enumerate(nodes[1:], 1):
         scale[i] = scale[up]
-        if names and scale[i] and (said := suspect(node)) and 2 * chars[i] <= chars[0] and (not arts[0] or 2 * arts[i] <= arts[0]):
-            scale[i] = KEYWORD if said == 1 and node.path in importance else 0.0
+        if said[i] and scale[i] and (said[i] == 3 and not heads[i] or 2 * chars[i] <= chars[0] and (not arts[0] or 2 * arts[i] <= arts[0])):
+            scale[i] = KEYWORD if said[i] == 1 else 0.0
     text, telling, blocks = own[:], [False] * len(nodes), [False] * len(nodes)
     in_line: dict[int, list[int]] = {}
     low = lambda i, path: importance.get(path, 1.0) * scale[i] < MIN_IMPORTANCE
@@ -353,13 +371,12 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
 def low_importance(trees: DataFrame, min_pages: int = MIN_PAGES, least: float = MIN_IMPORTANCE) -> DataFrame:
     """(host, path, importance) of nodes, and of the own texts of nodes, below
-    ``least`` / KEYWORD, and of nodes with a name of boilerplate. Those that fewer than min_pages page texts of the host have are
-    important. Entropies are to the base of the number of pages with the node:
+    ``least`` / KEYWORD. Those that fewer than min_pages page texts of the host have are important. Entropies are to the base of the number of pages with the node:
     one less the mean log of how many pages share a look or text."""
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     n, nlogn = F.col("n"), F.col("n") * F.log("n")
     parent = F.regexp_replace("path", "/[^/]*$", "")
-    nodes = trees.groupBy("host", "path").agg(of(SEEN, n).alias("pages"), of(LOOKS, F.lit(1)).alias("kinds"), of(LOOKS, n).alias("looks"), of(LOOKS, nlogn).alias("looks_log"), of(TEXTED, n).alias("texted"), of(TEXTS, n).alias("texts"), of(TEXTS, nlogn).alias("texts_log"), of(NAMES, n).alias("named"))
+    nodes = trees.groupBy("host", "path").agg(of(SEEN, n).alias("pages"), of(LOOKS, F.lit(1)).alias("kinds"), of(LOOKS, n).alias("looks"), of(LOOKS, nlogn).alias("looks_log"), of(TEXTED, n).alias("texted"), of(TEXTS, n).alias("texts"), of(TEXTS, nlogn).alias("texts_log"))
     # of nodes that few pages have, their parents only get to know how many
     many = F.col("pages") >= min_pages
     known = nodes.select(F.when(many, F.col("path")).otherwise(parent).alias("path"), "host", many.alias("many"), *[F.when(many, F.col(c)).otherwise(F.lit(0)).alias(c) for c in nodes.columns[3:]], F.when(many, F.col("pages")).otherwise(0).alias("pages"), F.when(many | (F.col("kinds") + F.col("texted") == 0), 0).otherwise(F.col("pages")).alias("rare"))
@@ -391,7 +408,7 @@ def composed(frame: pd.DataFrame, min_pages: int, least: float) -> pd.DataFrame:
         if r.kinds:
             share = DECAY**r.kinds
             inner = (1 - share) * entropy(r.looks_log, r.looks, r.pages) + share * inner
-        if inner < least / KEYWORD or r.named:
+        if inner < least / KEYWORD:
             out.append((r.host, r.path, inner))
         if r.path:
             up = below.setdefault(r.path.rpartition("/")[0], [0.0, 0.0])

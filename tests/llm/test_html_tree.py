@@ -13,6 +13,10 @@ CASES = {
     '<article><div class="legal"><p>Body about legal things that is most of it all</p></div><p>x</p></article>': "Body about legal things that is most of it all\nx",
     "<article><p>Let <math><mi>x</mi></math> be</p></article>": "Let x be",
     '<article><p>Story is long enough here</p><section class="comments"><p>Nice</p></section><div id="comment-12"><p>hm</p></div></article>': "Story is long enough here",
+    '<div><p>Story that is short</p></div><div class="user-comments"><p>One reader says much more than the story</p><article class="comment">So does another</article></div>': "Story that is short",
+    '<div><h1>Head</h1><p>Story of the page</p><ul class="commentlist"><li>x</ul><div id="cookie-bar">y</div><div class="box top-ad">z</div><p class="alert_box">w</p></div>': "Head\nStory of the page",
+    '<article><p>A story of some length</p><section class="related-work"><p>Part of it</p></section><p class="share-price">rose</p></article>': "A story of some length\nPart of it\nrose",
+    '<div class="comments"><h1>On comments</h1><p>All of the text</p></div><p>end</p>': "On comments\nAll of the text\nend",
     '<div class="layout has-sidebar"><div class="post comments-open"><p>All of it</p></div></div>': "All of it",
     "<article><header><h1>Head</h1></header><p>a&nbsp;b\n\tc &lt;d&gt; &#x1F600;</p><footer>f</footer><form>g</form><nav>n</nav><aside>s</aside></article>": "Head\na b c <d> 😀",
 }
@@ -33,6 +37,48 @@ def test_deep_and_long_pages():
     assert time.time() - start < 90
 
 
+def test_names_decide_alike_at_any_number_of_pages(spark):
+    parts = ["user-comments", "commentlist", "cookie-bar", "top-ad", "alert-box", "related-work"]
+    form = lambda host, i, name, tag: (i, f"http://{host}/{i}", f'<body><{tag}><p>Own story {host} {i} and more words</p></{tag}><{tag}><div class="{name}"><p>said {name} {i}</p></div></{tag}></body>')
+    rows = [form(f"{tag}{name}{n}.org", i, name, tag) for tag in ("div", "article") for name in parts for n in (1, 3, 4, 8) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in H.extract(df).collect():
+        assert ("said" in r.text) == ("related-work" in r.url) and "Own story" in r.text
+
+
+def test_text_of_small_hosts_against_the_definition(spark):
+    made = random.Random(9)
+
+    def page(i):
+        parts = ["<div class=x><p>Same notes</p></div>", f"<section class=s><h2>Story {i}</h2><p>own {i}</p></section>", "<ul class=m><li>One</li><li>Two</li></ul>", f"<div class=z><p>tail {i}</p><p>{'end' * (1 + i % 2)}</p></div>", "<div class=top-ad><p>Buy</p></div>"]
+        return "<body>" + "".join(x for x in parts if made.random() < 0.9) + "</body>"
+
+    pages = [(n * 100 + i, f"http://h{n}.org/", page(i)) for n in (1, 3, 4, 9, 25) for i in range(n)]
+    want, changed = {}, 0
+    for host in {url for _, url, _ in pages}:
+        own = [x for x in pages if x[1] == host]
+        weight = importances([html for *_, html in own], H.MIN_PAGES)
+        for page_id, _, html in own:
+            blocks, texts = [], []
+
+            def kept(node, below):
+                """Whether something in a branch is of importance; its blocks."""
+                if "top-ad" in node.attrs:
+                    return False, []
+                inner = [kept(x, weight) for x in node.children if isinstance(x, H.Node)]
+                found = any(k for k, _ in inner) or bool(H.own_text(node)) and weight.get(node.path, 1.0) >= H.MIN_IMPORTANCE
+                found = found or bool(sum((b for _, b in inner), [])) and weight.get(node.path, 1.0) >= H.MIN_IMPORTANCE
+                text = [H.own_text(node)] if H.own_text(node) else []
+                return found, (text + sum((b for k, b in inner if k), [])) if found else []
+
+            texts = kept(H.parse(html), weight)[1]
+            blocks = kept(H.parse(html), {})[1]
+            want[page_id] = "\n".join(texts)
+            changed += len(blocks) and "Same notes" in html and "Same notes" not in want[page_id]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and changed > 10
+
+
 def importances(pages, min_pages):
     """By the definition, from the pages themselves."""
     seen, looks, texts, known = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), [H.parse(html) for html in pages]
