@@ -4,14 +4,17 @@ DataFrame functions only.
 Known shapes are the kinds assign, access and hex. Beside them, each maximal run
 of 20 or more characters of an encoding's alphabet is a candidate, so that a key
 in a path is judged alone and with what stands before it; its encoding is the
-least that has it (hex, base 32, 36, 62, 64, 64 for urls), and three tests of
-uniformly random symbols are taken of it: chi-squared over the alphabet, runs
-about the alphabet's middle, and lag-1 serial correlation, combined by Fisher's
-method (``p_random``). ``p_text`` is the chance that a text-like string of that
-length and alphabet looks as uniform. A candidate is a secret if randomness
-isn't rejected and its ``p_text`` passes the Benjamini-Hochberg procedure over
-all candidates of its length class (powers of two) in the whole table; the
-procedure works on counts of p-values in fixed bins, rounded up.
+least that has it (digits, hex, letters of one case, base 32, 36, 62, 64, 64 for
+urls), and three tests of uniformly random symbols are taken of it: chi-squared
+over the alphabet, runs about the alphabet's middle, and lag-1 serial correlation,
+combined by Fisher's method (``p_random``). ``p_text`` is the chance that a
+text-like string of that length and alphabet looks as uniform: has as few equal
+pairs of symbols or, of letters of one case, as few of the COMMON letters. A
+candidate is a secret if randomness isn't rejected and its ``p_text`` passes the
+Benjamini-Hochberg procedure over all candidates of its encoding and length class
+(powers of two) in the whole table, prose among them; the procedure works on counts
+of p-values in fixed bins, rounded up. So short runs of a small alphabet, as 20
+digits, are judged but hardly ever told from text.
 
 Cases: null or empty text: no spans, counts 0. Null doc_id: kept. Repeated rows:
 one result row each. Empty table: empty result. Spans of different kinds may
@@ -37,8 +40,11 @@ HOLDER = "[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 #: encoding's pattern and alphabet, in the order they are tried.
 ENCODINGS = (
+    ("^[0-9]+$", "0123456789"),
     ("^[0-9a-f]+$", "0123456789abcdef"),
     ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -48,8 +54,12 @@ ENCODINGS = (
 )
 #: Candidates of each encoding.
 CANDIDATES = tuple(pattern.removeprefix("^").removesuffix("+$") + "{20,}={0,2}" for pattern, _ in ENCODINGS)
-#: Chance that two symbols of a text-like string are equal; of hex digits.
-TEXT_REPEAT, HEX_REPEAT = 0.065, 0.12
+#: Chance that two symbols of a text-like string are equal; of hex digits; of digits.
+TEXT_REPEAT, HEX_REPEAT, DIGIT_REPEAT = 0.065, 0.12, 0.16
+#: The most common letters of European languages.
+COMMON = "aeilnorstu"
+#: Their least share of a text in letters, and how much more it varies than by chance, as neighbours depend on each other.
+COMMON_SHARE, COMMON_SPREAD = 0.7, 1.3
 FDR = 0.01
 ALPHA = 0.001
 #: Bins of p_text a factor of e.
@@ -114,11 +124,12 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct of p_random, p_text and n of one candidate, in time linear in its
+    """Struct of p_random, p_text, n and number of encoding of one candidate, in time linear in its
     length: sums of one pass, and a count for each symbol of the alphabet."""
 
-    def of(base: Column, alphabet: Column) -> Column:
-        return let(F.struct(base.alias("t"), alphabet.alias("a"), F.length(base).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")), counted)
+    def of(base: Column, enc: Column) -> Column:
+        alphabet = F.get(F.array(*[F.lit(a) for _, a in ENCODINGS]), enc)
+        return let(F.struct(base.alias("t"), enc.alias("enc"), alphabet.alias("a"), F.length(base).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")), counted)
 
     def symbols(text: Column) -> Column:
         return F.filter(F.split(text, ""), lambda c: c != "")
@@ -139,7 +150,8 @@ def battery(token: Column) -> Column:
         numbers = lambda block: F.transform(symbols(block), lambda c: (F.instr(s["a"], c) - 1).cast("double"))
         sums = F.aggregate(blocks(s["t"]), start, lambda a, block: F.aggregate(numbers(block), a, step))
         first = (F.instr(s["a"], F.substring(s["t"], 1, 1)) - 1).cast("double")
-        return let(F.struct(n.alias("n"), k.alias("k"), (square * k / n - n).alias("chi"), first.alias("first"), sums.alias("s")), tested)
+        common = n - F.length(F.translate(s["t"], COMMON + COMMON.upper(), ""))
+        return let(F.struct(n.alias("n"), k.alias("k"), (square * k / n - n).alias("chi"), first.alias("first"), common.alias("common"), s["enc"].alias("enc"), sums.alias("s")), tested)
 
     def tested(s: Column) -> Column:
         n, k, df, sums = s["n"], s["k"], s["k"] - 1, s["s"]
@@ -150,37 +162,32 @@ def battery(token: Column) -> Column:
         spread = sums["xx"] - n * mean * mean
         along = sums["xy"] - mean * (2 * sums["x"] - s["first"] - sums["last"]) + (n - 1) * mean * mean
         z3 = let(spread, lambda v: F.when(v > 1e-6, (along / F.greatest(v, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(9.0))
-        excess = F.when(k == 16, 16 * HEX_REPEAT - 1).otherwise(k * TEXT_REPEAT - 1)
-        z4 = let(excess, lambda e: (df + (n - 1) * e - s["chi"]) / F.sqrt(2 * df + 4 * n * e))
+        excess = F.when(k == 10, 10 * DIGIT_REPEAT - 1).when(k == 16, 16 * HEX_REPEAT - 1).otherwise(k * TEXT_REPEAT - 1)
+        equal = let(excess, lambda e: (df + (n - 1) * e - s["chi"]) / F.sqrt(2 * df + 4 * n * e))
+        z4 = F.when(k == 26, (n * COMMON_SHARE - s["common"] - 0.5) / F.sqrt(n * (COMMON_SHARE * (1 - COMMON_SHARE) * COMMON_SPREAD))).otherwise(equal)
         # upper tails of: chi-squared, both sides of runs, both sides of correlation, text
         tails = F.transform(F.array(z1, F.abs(z2), F.abs(z3), z4), upper_tail)
         logs = lambda q: F.log(F.get(q, F.lit(0))) + F.log(F.least(F.lit(1.0), 2 * F.get(q, F.lit(1)))) + F.log(F.least(F.lit(1.0), 2 * F.get(q, F.lit(2))))
         fisher = lambda half: F.exp(-half) * (1 + half + half * half / 2)
-        return let(tails, lambda q: F.struct(let(-logs(q), fisher).alias("p_random"), F.get(q, F.lit(3)).alias("p_text"), n.cast("int").alias("n")))
+        return let(tails, lambda q: F.struct(let(-logs(q), fisher).alias("p_random"), F.get(q, F.lit(3)).alias("p_text"), n.cast("int").alias("n"), s["enc"].alias("enc")))
 
     def chosen(base: Column) -> Column:
-        first, *rest = ENCODINGS
-        alphabet = F.when(base.rlike(first[0]), F.lit(first[1]))
-        for pattern, letters in rest:
-            alphabet = alphabet.when(base.rlike(pattern), F.lit(letters))
-        return let(alphabet, lambda a: F.when(a.isNotNull(), of(base, a)))
+        enc = F.when(base.rlike(ENCODINGS[0][0]), F.lit(0))
+        for i, (pattern, _) in enumerate(ENCODINGS[1:], 1):
+            enc = enc.when(base.rlike(pattern), F.lit(i))
+        return let(enc, lambda e: F.when(e.isNotNull(), of(base, e)))
 
     return let(F.regexp_replace(token, "=+$", ""), chosen)
 
 
-def _mixed(t: Column) -> Column:
-    """What prose isn't: digits among letters, or capitals among small letters."""
-    return (t.rlike("[0-9]") & t.rlike("[A-Za-z]")) | (t.rlike("[A-Z].*[A-Z]") & t.rlike("[a-z].*[a-z]"))
-
-
 def candidates(text: Column) -> Column:
     """Spans of the maximal runs of each encoding's alphabet, each once."""
 
     def inner(run: Column) -> Column:
-        found = F.array_distinct(F.concat(*[spans_of(run["token"], pattern, 3, _mixed) for pattern in CANDIDATES]))
+        found = F.array_distinct(F.concat(*[spans_of(run["token"], pattern, 3) for pattern in CANDIDATES]))
         return F.transform(found, lambda c: F.struct((run["start"] + c["start"]).alias("start"), c["kind"].alias("kind"), (run["start"] + c["end"]).alias("end"), c["token"].alias("token")))
 
-    return F.flatten(F.transform(spans_of(text, HOLDER, 3, _mixed), inner))
+    return F.flatten(F.transform(spans_of(text, HOLDER, 3), inner))
 
 
 def free_of(base: Column, spans: Column) -> Column:
@@ -234,15 +241,15 @@ def bin_of(p: Column) -> Column:
     return F.floor(-F.log(p) * BINS).cast("int")
 
 
-def cuts(cands: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """By length class, the least bin that the procedure accepts. Of fixed size:
-    at most 9 classes, whose bins are at most 700."""
-    each = cands.where("__cand is not null").select(F.explode("__cand").alias("c")).where("c.p is not null").select(length_class(F.col("c.p.n")).alias("cls"), bin_of(F.col("c.p.p_text")).alias("bin"))
-    counts = each.groupBy("cls", "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("cls")
-    ranked = counts.select("cls", "bin", F.sum("n").over(w.orderBy(F.desc("bin"))).alias("upto"), F.sum("n").over(w).alias("m"))
-    passed = ranked.where(F.exp(-F.col("bin") / F.lit(float(BINS))) <= fdr * F.col("upto") / F.col("m")).groupBy("cls").agg(F.min("bin").alias("bin"))
-    return {r["cls"]: r["bin"] for r in passed.collect()}
+def cuts(cands: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
+    """By encoding and length class, the least bin that the procedure accepts. Of
+    fixed size: at most 9 classes of each encoding."""
+    each = cands.where("__cand is not null").select(F.explode("__cand").alias("c")).where("c.p is not null").select(F.col("c.p.enc").alias("enc"), length_class(F.col("c.p.n")).alias("cls"), bin_of(F.col("c.p.p_text")).alias("bin"))
+    counts = each.groupBy("enc", "cls", "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("enc", "cls")
+    ranked = counts.select("enc", "cls", "bin", F.sum("n").over(w.orderBy(F.desc("bin"))).alias("upto"), F.sum("n").over(w).alias("m"))
+    passed = ranked.where(F.exp(-F.col("bin") / F.lit(float(BINS))) <= fdr * F.col("upto") / F.col("m")).groupBy("enc", "cls").agg(F.min("bin").alias("bin"))
+    return {(r["enc"], r["cls"]): r["bin"] for r in passed.collect()}
 
 
 def found(docs: DataFrame, extra: tuple[str, ...] = (), fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
@@ -255,8 +262,8 @@ def found(docs: DataFrame, extra: tuple[str, ...] = (), fdr: float = FDR, alpha:
 
     def secret(c: Column) -> Column:
         ok = F.lit(False)
-        for cls, least in limits:
-            ok = ok | ((length_class(c["p"]["n"]) == cls) & (bin_of(c["p"]["p_text"]) >= least))
+        for (enc, cls), least in limits:
+            ok = ok | ((c["p"]["enc"] == enc) & (length_class(c["p"]["n"]) == cls) & (bin_of(c["p"]["p_text"]) >= least))
         return c["p"].isNotNull() & (c["p"]["p_random"] >= alpha) & ok
 
     more = F.when(F.col("__cand").isNull(), F.array().cast("array<struct<start:long,kind:int,end:long>>")).otherwise(longest(F.filter("__cand", secret)))

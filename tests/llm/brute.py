@@ -95,9 +95,9 @@ def without_benchmark(rows, items):
 
 
 def battery(token):
-    """(p_random, p_text, n) from the whole list of symbols."""
+    """(p_random, p_text, n, encoding) from the whole list of symbols."""
     base = token.rstrip("=")
-    letters = next(a for p, a in secrets.ENCODINGS if re.search(p, base))
+    enc, letters = next((i, a) for i, (p, a) in enumerate(secrets.ENCODINGS) if re.search(p, base))
     x, k = [letters.index(c) for c in base], len(letters)
     n, df = len(x), k - 1
     chi = sum((c - n / k) ** 2 / (n / k) for c in Counter(x).values()) + (k - len(set(x))) * n / k
@@ -110,11 +110,13 @@ def battery(token):
     m = sum(x) / n
     spread = sum((v - m) ** 2 for v in x)
     z3 = (sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread > 0 else 9.0
-    e = 16 * secrets.HEX_REPEAT - 1 if k == 16 else k * secrets.TEXT_REPEAT - 1
-    z4 = (df + (n - 1) * e - chi) / math.sqrt(2 * df + 4 * n * e)
+    e = k * {10: secrets.DIGIT_REPEAT, 16: secrets.HEX_REPEAT}.get(k, secrets.TEXT_REPEAT) - 1
+    share = secrets.COMMON_SHARE
+    common = sum(c in secrets.COMMON for c in base.lower())
+    z4 = (n * share - common - 0.5) / math.sqrt(n * share * (1 - share) * secrets.COMMON_SPREAD) if k == 26 else (df + (n - 1) * e - chi) / math.sqrt(2 * df + 4 * n * e)
     tail = lambda z: max(1e-15, math.erfc(z / math.sqrt(2)) / 2)
     half = -(math.log(tail(z1)) + math.log(min(1, 2 * tail(abs(z2)))) + math.log(min(1, 2 * tail(abs(z3)))))
-    return math.exp(-half) * (1 + half + half * half / 2), tail(z4), n
+    return math.exp(-half) * (1 + half + half * half / 2), tail(z4), n, enc
 
 
 def known_secrets(t):
@@ -132,21 +134,19 @@ def all_secrets(texts):
         own = set()
         for pattern, _ in secrets.ENCODINGS:
             for m in re.finditer("(?a)" + pattern.removeprefix("^").removesuffix("+$") + "{20,}={0,2}", t):
-                s = m[0]
-                mixed = re.search("[0-9]", s) and re.search("[A-Za-z]", s) or re.search("[A-Z].*[A-Z]", s) and re.search("[a-z].*[a-z]", s)
-                if mixed and not any(a < m.end() and m.start() < b for a, _, b in known):
-                    own.add((m.start(), m.end(), *battery(s)))
+                if not any(a < m.end() and m.start() < b for a, _, b in known):
+                    own.add((m.start(), m.end(), *battery(m[0])))
         cands.append(own)
     edge = lambda p: math.exp(-math.floor(-math.log(p) * secrets.BINS) / secrets.BINS)
-    group = lambda n: min(int(math.log2(n)), 12)
+    group = lambda n, enc: (enc, min(int(math.log2(n)), 12))
     by = {}
     for own in cands:
-        for _, _, _, p_text, n in own:
-            by.setdefault(group(n), []).append(edge(p_text))
+        for _, _, _, p_text, n, enc in own:
+            by.setdefault(group(n, enc), []).append(edge(p_text))
     limit = {c: max([p for p in ps if p <= secrets.FDR * sum(q <= p for q in ps) / len(ps)], default=-1.0) for c, ps in by.items()}
     out = []
     for known, own in zip(base, cands, strict=True):
-        good = [(a, b) for a, b, p, q, n in own if p >= secrets.ALPHA and edge(q) <= limit[group(n)]]
+        good = [(a, b) for a, b, p, q, n, enc in own if p >= secrets.ALPHA and edge(q) <= limit[group(n, enc)]]
         good = [(a, 3, b) for a, b in good if not any(x <= a and b <= y and y - x > b - a for x, y in good)]
         out.append(sorted(known + good))
     return out

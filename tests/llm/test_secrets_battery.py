@@ -3,7 +3,7 @@ import random
 import time
 
 import pytest
-from brute import battery
+from brute import all_secrets, battery
 
 from cuewright.llm import secrets
 
@@ -24,8 +24,8 @@ def test_battery_against_its_definition(spark):
     seen = 0
     for r in secrets.scanned(df).collect():
         for c in r["__cand"] or ():
-            p_random, p_text, n = battery(c.token)
-            assert c.p.n == n and c.p.p_random == pytest.approx(p_random, rel=1e-3, abs=1e-6) and c.p.p_text == pytest.approx(p_text, rel=1e-3, abs=1e-6)
+            p_random, p_text, n, enc = battery(c.token)
+            assert c.p.n == n and c.p.enc == enc and c.p.p_random == pytest.approx(p_random, rel=1e-3, abs=1e-6) and c.p.p_text == pytest.approx(p_text, rel=1e-3, abs=1e-6)
             seen += 1
     assert seen > 60
 
@@ -38,18 +38,38 @@ def test_false_discovery_control_against_sorted_p_values(spark):
     by: dict = {}
     for r in rows:
         for c in r["__cand"] or ():
-            by.setdefault(min(int(math.log2(c.p.n)), 12), []).append(edge(c.p.p_text))
+            by.setdefault((c.p.enc, min(int(math.log2(c.p.n)), 12)), []).append(edge(c.p.p_text))
     limit = {}
     for cls, ps in by.items():
         ps.sort()
         limit[cls] = max([p for i, p in enumerate(ps) if p <= secrets.FDR * sum(q <= p for q in ps) / len(ps)], default=-1.0)
     got = {r.doc_id: r["__spans"] for r in secrets.found(df).collect()}
     for r in rows:
-        cands = [c for c in r["__cand"] or () if c.p.p_random >= secrets.ALPHA and edge(c.p.p_text) <= limit[min(int(math.log2(c.p.n)), 12)]]
+        cands = [c for c in r["__cand"] or () if c.p.p_random >= secrets.ALPHA and edge(c.p.p_text) <= limit[c.p.enc, min(int(math.log2(c.p.n)), 12)]]
         want = {(c.start, c.end) for c in cands if not any(x.start <= c.start and c.end <= x.end and x.end - x.start > c.end - c.start for x in cands)}
         assert {(s.start, s.end) for s in got[r.doc_id] if s.kind == 3} == want
 
 
+def test_runs_of_one_case_and_of_digits(spark):
+    made = random.Random(11)
+    key = lambda letters, n: "".join(made.choice(letters) for _ in range(n))
+    # by the normal law and the share of prose in this family, 0.75 of 40 upper-case letters are found, 0.96 of 64, and no 24 digits
+    kinds = {"low40": (B64[26:52], 40), "up40": (B64[:26], 40), "low64": (B64[26:52], 64), "up64": (B64[:26], 64), "digits": (B64[52:62], 24)}
+    texts = [(f"{name} {i}", f"see {key(*kind)} there") for name, kind in kinds.items() for i in range(20)]
+    prose = "internationalisation donaudampfschiffahrtsgesellschaft antidisestablishmentarianism electroencefalografistas thequickbrownfoxjumpsoverthelazydogagain someverylongparametername_of_the_function path/to/some/place/in/the/tree well-known-and-often-used-phrase INTERNATIONALCONFERENCEONMACHINELEARNING MAX_NUMBER_OF_RETRIES_ALLOWED InternationalConferenceOnLearning".split()
+    texts += [("prose", f"a {x} b {x.upper()}") for x in prose for _ in range(20)]
+    texts += [("number", f"pi {'0' * 20} {'2024' * 6} {'1000000' * 4}")]
+    df = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "doc_id long, name string, text string")
+    got = {r.doc_id: [s for s in r["__spans"] if s.kind == 3] for r in secrets.found(df).collect()}
+    want = all_secrets([t for _, t in texts])
+    assert all([(s.start, s.kind, s.end) for s in got[i]] == [x for x in w if x[1] == 3] for i, w in enumerate(want))
+    hits = {name: sum(bool(got[i]) for i, (x, _) in enumerate(texts) if x.split()[0] == name) for name in [*kinds, "prose", "number"]}
+    assert hits["prose"] == hits["number"] == 0 and min(hits["low40"], hits["up40"]) >= 12 and min(hits["low64"], hits["up64"]) >= 18, hits
+    # the family counts the prose: 240 runs of upper-case letters, 140 of lower-case ones and more
+    counted = sum(c.p is not None for r in secrets.scanned(df).collect() for c in r["__cand"] or ())
+    assert counted > 500
+
+
 def test_long_runs_and_many_spans_take_linear_time(spark):
     made = random.Random(6)
     run = "".join(made.choices(B64, k=1_000_000))
