@@ -68,13 +68,13 @@ def only_nv12(code: Column) -> Column:
     return F.when(code == "YUV420", code).otherwise(F.raise_error(F.concat(F.lit("frames must be NV12, not "), code)))
 
 
-def preprocess(nv12: np.ndarray, width: int, height: int, side: int = 640) -> np.ndarray:
+def preprocess(nv12: np.ndarray, width: int, height: int, side: int = 640, kind: type = np.float32) -> np.ndarray:
     """(3, h, w) bytes of an NV12 frame: scaled so that its longer side is ``side``,
-    in RGB, blurred, filled with black to multiples of 32."""
+    in RGB, blurred (in numbers of ``kind``), filled with black to multiples of 32."""
     r = np.float32(side) / np.float32(max(width, height))
     w, h = (int(np.float32(r * np.float32(x)) + 0.5) for x in (width, height))
     out = np.zeros((3, -(-h // 32) * 32, -(-w // 32) * 32), np.uint8)
-    out[:, :h, :w] = bilateral(nv12_to_rgb(nv12, width, height, w, h, w, h))
+    out[:, :h, :w] = bilateral(nv12_to_rgb(nv12, width, height, w, h, w, h), kind=kind)
     return out
 
 
@@ -91,17 +91,17 @@ def nv12_to_rgb(nv12: np.ndarray, width: int, height: int, target_w: int, target
     return out
 
 
-def bilateral(img: np.ndarray, radius: int = 2, sigma_space: float = 80.0, sigma_colour: float = 80.0) -> np.ndarray:
+def bilateral(img: np.ndarray, radius: int = 2, sigma_space: float = 80.0, sigma_colour: float = 80.0, kind: type = np.float32) -> np.ndarray:
     """Edge-keeping blur of (3, h, w) bytes over a disc, borders mirrored."""
     _, h, w = img.shape
-    padded = np.pad(img.astype(np.float32), ((0, 0), (radius, radius), (radius, radius)), mode="reflect")
-    top, weight = np.zeros(img.shape, np.float32), np.zeros((h, w), np.float32)
+    padded = np.pad(img.astype(kind), ((0, 0), (radius, radius), (radius, radius)), mode="reflect")
+    top, weight = np.zeros(img.shape, kind), np.zeros((h, w), kind)
     for dy in range(-radius, radius + 1):
         for dx in range(-radius, radius + 1):
             if dx * dx + dy * dy <= radius * radius:
                 near = padded[:, radius + dy : radius + dy + h, radius + dx : radius + dx + w]
                 colour = np.abs(near - img).sum(0)
-                k = np.exp(-(dx * dx + dy * dy) / (2 * sigma_space**2) - colour**2 / (2 * sigma_colour**2)).astype(np.float32)
+                k = np.exp(-(dx * dx + dy * dy) / (2 * sigma_space**2) - colour**2 / (2 * sigma_colour**2)).astype(kind)
                 top += near * k
                 weight += k
     return (top / weight).astype(np.uint8)

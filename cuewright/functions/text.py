@@ -66,6 +66,15 @@ def from_utf32(data: Column) -> Column:
     return F.decode(data, "UTF-32")
 
 
+def utf16(text: Column) -> Column:
+    """Two bytes for each code unit, lowest first, without a mark."""
+    return F.encode(text, "UTF-16LE")
+
+
+def of_utf16(data: Column) -> Column:
+    return F.decode(data, "UTF-16LE")
+
+
 def common_prefix(least: Column, greatest: Column) -> Column:
     """The longest common start of two strings; of a group's least and greatest it
     is that of all."""
