@@ -10,7 +10,9 @@ text; of a long one only the states at the ends of its runs are kept, and each
 run is gone through again on the way back.
 
 Learning takes a bounded sample of labelled rows: the MAX_TRAIN first by a hash
-of doc_id; what the driver gathers is one row for each language and bucket.
+of doc_id; what the driver gathers and tasks get is one row for each language and
+bucket that the sample has. There may be any number of languages: where they have
+more than DENSE cells, the same scores are put together word by word.
 
 Cases: null text or one without a letter: ``und``, score 0, no span. Null
 doc_id: kept, its remainder taken of the empty string. Ties: the least language
@@ -24,6 +26,7 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 MAX_TRAIN = 20_000
-MAX_LANGUAGES = 500
 BUCKETS = 1 << 16
+#: Buckets times languages that a worker keeps as one table.
+DENSE = 500 * BUCKETS
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 PENALTY = 12.0
@@ -87,13 +91,35 @@ def grams(words: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray
         yield found, starts
 
 
+class Cells(NamedTuple):
+    """Log scores of languages in buckets: ``logs`` of the languages ``at``, from
+    ``starts`` on of each bucket; ``base`` of each language for what it never had."""
+
+    base: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    logs: np.ndarray
+
+    def table(self, each: np.ndarray) -> np.ndarray:
+        """Rows of buckets, in rising order; 0 for the one beyond the last."""
+        out = np.tile(self.base, (len(each), 1))
+        real = each[each < len(self.starts) - 1]
+        n = self.starts[real + 1] - self.starts[real]
+        cells = np.arange(n.sum()) + np.repeat(self.starts[real] - (n.cumsum() - n), n)
+        out[np.repeat(np.arange(len(real)), n), self.at[cells]] = self.logs[cells]
+        out[len(real) :] = 0
+        return out
+
+
 class Model:
-    def __init__(self, langs: list[str], logs: np.ndarray, scripts: dict[str, set[str]]) -> None:
-        """``logs``: buckets by languages, and a last row of zeros."""
+    def __init__(self, langs: list[str], logs: np.ndarray | Cells, scripts: dict[str, set[str]]) -> None:
+        """``logs``: buckets by languages, and a last row of zeros, or its cells."""
         self.langs, self.logs, self.scripts = langs, logs, scripts
         self.fits = np.array([[script in scripts[x] for x in langs] for _, script in RANGES], bool).reshape(len(RANGES), len(langs))
         self.known: dict[str, int] = {}
         self.rows = np.empty((1024, len(langs)), np.float32)
+        self.dense = None if isinstance(logs, Cells) else logs
+        self.buckets = len(logs.starts if isinstance(logs, Cells) else logs) - 1
 
     def __getstate__(self):
         return self.langs, self.logs, self.scripts
@@ -101,9 +127,18 @@ class Model:
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
+    def of_buckets(self, found: np.ndarray, most: int = DENSE) -> np.ndarray:
+        """Log scores of buckets by languages."""
+        if self.dense is None and self.buckets * len(self.langs) <= most:
+            self.dense = self.logs.table(np.arange(self.buckets + 1))
+        if self.dense is not None:
+            return self.dense[found]
+        each, places = np.unique(found, return_inverse=True)
+        return self.logs.table(each)[places]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Words by languages."""
-        out = sum(np.add.reduceat(self.logs[found], starts, axis=0) for found, starts in grams(words, len(self.logs) - 1))
+        out = sum(np.add.reduceat(self.of_buckets(found), starts, axis=0) for found, starts in grams(words, self.buckets))
         first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
         fits = self.fits[np.searchsorted(_STARTS, first, side="right") - 1]
         out = np.where(fits, out, out.max(1, keepdims=True) + OTHER_SCRIPT)
@@ -131,6 +166,11 @@ class Model:
             self.rows = np.empty((1024, len(self.langs)), np.float32)
 
 
+def labels_of(n: int) -> type:
+    """The kind of numbers that ``n`` labels take."""
+    return np.int16 if n < 1 << 15 else np.int32
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best label of each word; all texts of a run step together. ``scores``:
     words of the texts one after the other by labels."""
@@ -138,9 +178,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
-    back = np.empty(scores.shape, np.int16)
     n = scores.shape[1]
-    own = np.arange(n, dtype=np.int16)[None, :]
+    kind = labels_of(n)
+    back = np.empty(scores.shape, kind)
+    own = np.arange(n, dtype=kind)[None, :]
     best = np.zeros((len(lengths), n))
     for t, live in enumerate(active):
         at, v = starts[:live] + t, best[:live]
@@ -149,7 +190,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
         stay = v >= switched[:, None]
         back[at] = np.where(stay, own, top[:, None])
         best[:live] = np.where(stay, v, switched[:, None]) + scores[at]
-    out = np.empty(len(scores), np.int16)
+    out = np.empty(len(scores), kind)
     label = best.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         live = active[t]
@@ -164,7 +205,7 @@ def long_path(scores, n: int, run: int, penalty: float = PENALTY) -> np.ndarray:
     are of a part of its words. The same path as in one run."""
 
     def forward(best: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        back, own = np.empty(part.shape, np.int16), np.arange(part.shape[1], dtype=np.int16)
+        back, own = np.empty(part.shape, kind), np.arange(part.shape[1], dtype=kind)
         for t, row in enumerate(part):
             top = best.argmax()
             stay = best >= best[top] - penalty
@@ -174,9 +215,10 @@ def long_path(scores, n: int, run: int, penalty: float = PENALTY) -> np.ndarray:
 
     cuts = list(range(0, n, run))
     states = [np.zeros(scores(0, 1).shape[1])]
+    kind = labels_of(len(states[0]))
     for lo in cuts:
         states.append(forward(states[-1], scores(lo, min(n, lo + run)))[0])
-    out = np.empty(n, np.int16)
+    out = np.empty(n, kind)
     label = int(states[-1].argmax())
     for lo, best in zip(reversed(cuts), reversed(states[:-1]), strict=True):
         back = forward(best, scores(lo, min(n, lo + run)))[1]
@@ -220,17 +262,20 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -
     got = sample.mapInPandas(counted, "lang string, kind string, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else None
     langs = sorted(names.dictionary.to_pylist()) if got.num_rows else []
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    sums, letters = np.zeros((buckets, len(langs))), {x: Counter() for x in langs}
+    letters: dict[str, Counter] = {x: Counter() for x in langs}
+    at, place, n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     if got.num_rows:
-        place = np.array([langs.index(x) for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+        places = {x: i for i, x in enumerate(langs)}
+        place = np.array([places[x] for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
         at, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-        sums[at[at >= 0], place[at >= 0]] = n[at >= 0]
         for i in np.flatnonzero(at < 0):
             letters[langs[place[i]]][got["kind"][int(i)].as_py()] += int(n[i])
-    logs = np.log((sums + SMOOTHING) / (sums.sum(0) + SMOOTHING * buckets)).astype(np.float32)
-    return Model(langs, np.r_[logs, np.zeros((1, len(langs)), np.float32)], {x: {s for s, c in letters[x].items() if c >= SCRIPT_SHARE * sum(letters[x].values())} for x in langs})
+        order = np.lexsort((place, at))[np.count_nonzero(at < 0) :]
+        at, place, n = at[order], place[order], n[order].astype(float)
+    every = np.bincount(place, n, len(langs)) + SMOOTHING * buckets
+    logs = lambda x, of: np.log((x + SMOOTHING) / every[of]).astype(np.float32)
+    cells = Cells(logs(0.0, np.arange(len(langs))), np.searchsorted(at, np.arange(buckets + 1)), place.astype(np.int32), logs(n, place))
+    return Model(langs, cells, {x: {s for s, c in letters[x].items() if c >= SCRIPT_SHARE * sum(letters[x].values())} for x in langs})
 
 
 def _runs(texts: list[str | None], most: int) -> Iterator[list[tuple[int, list]]]:
