@@ -20,6 +20,21 @@ SEGMENTS = SLICED + ", s0 as (select v, t as a, lead(t) over (partition by v ord
 def stream_islands(spark, sf):
     """Merged islands of a stream of batches, one a slice of time. A quarter of the
     events comes a slice late, in time for the watermark; some come at last, too late."""
+    source, late = sliced(spark, sf)
+    found = streaming.run_to_files(sessions.islands(source, f"{late} milliseconds"), conf=sessions.CONF)
+    return flat(found.where("video_id >= 0"))
+
+
+@query("with " + SEGMENTS + " " + FLAT + "s")
+def stream_delayed_segments(spark, sf):
+    """Segments of the same stream, with the watermark's delay of some two slices."""
+    source, late = sliced(spark, sf)
+    found = streaming.run_to_files(sessions.segments(source, late), conf=sessions.CONF)
+    return flat(found.where("video_id >= 0"))
+
+
+def sliced(spark, sf):
+    """A stream of batches of events, and by how many ms they may be late."""
     rows = numbered(read(spark, sf, "events"))
     low, span = rows.agg(F.min("time_ms"), F.floor((F.max("time_ms") - F.min("time_ms")) / SLICES) + 1).first()
     rows = rows.withColumn("slice", F.floor((F.col("time_ms") - low) / span))
@@ -33,8 +48,7 @@ def stream_islands(spark, sf):
     for k in (1, 2):  # events that tell that time has passed
         spark.createDataFrame([(-1, low + (SLICES + 9) * span * k, [])], schema).write.mode("append").parquet(folder)
     source = streaming.file_stream(spark, folder, schema, max_files=4)
-    found = streaming.run_to_files(sessions.islands(source, f"{2 * span + 60_000} milliseconds"), conf=sessions.CONF)
-    return flat(found.where("video_id >= 0"))
+    return source, 2 * span + 60_000
 
 
 def numbered(events):

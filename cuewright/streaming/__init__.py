@@ -47,10 +47,11 @@ def late_segments(events: DataFrame, late: str) -> DataFrame:
                 held += [(int(t), list(x)) for t, x in zip(rows["time_ms"], rows["texts"], strict=True) if t >= at]
         held.sort()
         passed, out = state.getCurrentWatermarkMs(), []
-        while held and held[0][0] < passed:
-            time_ms, now = held.pop(0)
+        due = sum(t < passed for t, _ in held)
+        for time_ms, now in held[:due]:
             out.append((key[0], at, time_ms, list(texts)))
             at, texts = time_ms, now
+        held = held[due:]
         state.update((at, list(texts), [t for t, _ in held], [x for _, x in held]))
         if held:
             state.setTimeoutTimestamp(max(held[0][0], passed) + 1)

@@ -1,4 +1,5 @@
-"""Sessions by likeness: merged islands of segments, as their events come."""
+"""Segments of late events, and sessions by likeness: merged islands of segments, as
+their events come."""
 
 from __future__ import annotations
 
@@ -138,3 +139,58 @@ def islands(events: DataFrame, late: str, threshold: float = THRESHOLD, idle_ms:
     """
     timed = events.select("video_id", "time_ms", "texts", filtered_lines(F.col("texts")).alias("filtered"), F.timestamp_millis("time_ms").alias("ts"))
     return timed.withWatermark("ts", late).groupBy("video_id").transformWithStateInPandas(Islands(threshold, idle_ms), SEGMENT, "append", "eventTime")
+
+
+class Segments(StatefulProcessor):
+    """State of a video: the open segment, and the events that wait, by slices of time.
+    A batch reads and writes only the slices that it has events of; a timer closes a
+    slice when the watermark has passed its end."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice long", "times array<long>, texts array<array<string>>")
+        self.open = handle.getValueState("open", "at long, texts array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = self.open.get()[0] if self.open.exists() else 0
+        new: dict[int, list[tuple[int, list[str]]]] = {}
+        for batch in rows:
+            for time_ms, texts in zip(batch["time_ms"], batch["texts"], strict=True):
+                if time_ms >= at:  # else a later one is out
+                    new.setdefault(int(time_ms) // self.width, []).append((int(time_ms), [] if texts is None else list(texts)))
+        for place, events in new.items():
+            if self.waiting.containsKey((place,)):
+                times, texts = self.waiting.getValue((place,))
+                events += zip(map(int, times), map(list, texts), strict=True)
+            else:
+                self.handle.registerTimer((place + 1) * self.width)
+            self.waiting.updateValue((place,), ([t for t, _ in events], [x for _, x in events]))
+        yield pd.DataFrame([], columns=["video_id", "start_ms", "end_ms", "texts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        place = (expiredTimerInfo.getExpiryTimeInMs() // self.width - 1,)
+        at, texts = self.open.get() if self.open.exists() else (0, [])
+        out = []
+        for time_ms, now in sorted((int(t), list(x)) for t, x in zip(*self.waiting.getValue(place), strict=True)):
+            out.append((key[0], at, time_ms, list(texts)))
+            at, texts = time_ms, now
+        self.waiting.removeKey(place)
+        self.open.update((at, list(texts)))
+        yield pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "texts"])
+
+    def close(self) -> None:
+        pass
+
+
+def segments(events: DataFrame, late_ms: int, slices: int = 8) -> DataFrame:
+    """(video_id, time_ms, texts) as a stream to closed segments: each event closes the
+    one before it. Events may come out of order by up to ``late_ms``; later ones are
+    dropped. A segment is told when the watermark has passed its slice of time, a
+    ``slices``-th of ``late_ms``. Null texts are none; events of one time go by their
+    texts. Start the stream with CONF set.
+    """
+    timed = events.select("video_id", "time_ms", "texts", F.timestamp_millis("time_ms").alias("ts")).withWatermark("ts", f"{late_ms} milliseconds")
+    return timed.groupBy("video_id").transformWithStateInPandas(Segments(max(1, late_ms // slices)), SEGMENT, "append", "eventTime")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuewright import streaming
@@ -69,3 +70,31 @@ def test_no_events(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in")
     found = streaming.run_to_files(sessions.islands(streaming.file_stream(spark, f"file://{tmp_path}/in", SCHEMA), "1 second"), conf=sessions.CONF)
     assert found.where(F.lit(True)).collect() == []
+
+
+def test_segments_of_late_events_by_slices(spark, tmp_path):
+    """Events in any order within the delay, over restarts, equal the plain segments."""
+    made = np.random.default_rng(12)
+    schema, late = "video_id long, time_ms long, texts array<string>", 4000
+    times = [(v, int(t)) for v in range(3) for t in np.sort(made.integers(0, 40_000, 60))]
+    texts = {(v, t, i): [f"{v}-{t}-{i}"] for i, (v, t) in enumerate(times)}
+    batch = {k: int((k[1] + made.integers(0, 1500)) // 2000) for k in texts}
+    source = lambda: streaming.file_stream(spark, str(tmp_path / "in"), schema, max_files=9)
+    path = str(tmp_path / "run")
+    for n in range(max(batch.values()) + 1):
+        rows = [(v, t, texts[v, t, i]) for (v, t, i), b in batch.items() if b == n]
+        if n == 15:
+            rows.append((1, 100, ["too late"]))
+        spark.createDataFrame([rows[i] for i in made.permutation(len(rows))], schema).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        if n % 5 == 4:
+            streaming.run_to_files(sessions.segments(source(), late), path, sessions.CONF)
+    for k in (1, 2):
+        spark.createDataFrame([(9, 10**6 * k, [])], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        found = streaming.run_to_files(sessions.segments(source(), late), path, sessions.CONF)
+    want = []
+    for v in range(3):
+        at, said = 0, []
+        for t, x in sorted((t, x) for (w, t, _), x in texts.items() if w == v):
+            want.append((v, at, t, tuple(said)))
+            at, said = t, x
+    assert sorted((r.video_id, r.start_ms, r.end_ms, tuple(r.texts)) for r in found.where("video_id < 9").collect()) == sorted(want)
