@@ -35,11 +35,11 @@ def kept(key: str, load: Callable[[], Model]) -> Model:
 
 
 def shipped(spark: SparkSession, path: str, make: Callable[[str], Model]) -> Callable[[], Model]:
-    """``load`` of a file or folder of weights at any path that the driver can read:
-    executors fetch it once, ``make`` gets its local path. Another version of the
+    """``load`` of a file of weights at any path that the driver can read: executors
+    fetch it once, ``make`` gets its local path. Another version of the
     weights needs another file name, else Spark refuses it."""
-    spark.sparkContext.addFile(path, recursive=True)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
     return lambda: make(SparkFiles.get(name))
 
 

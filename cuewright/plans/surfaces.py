@@ -68,18 +68,18 @@ def shaped_models(spark, sf):
     path = shared_path(spark, "weights")
     counts = vectors.select(F.posexplode(F.slice("embedding", 1, 48)).alias("i", "e")).groupBy("i").agg(F.count_if(F.col("e") > 0).alias("n"))
     counts.orderBy("i").select(F.concat_ws(" ", "i", "n").alias("value")).coalesce(1).write.text(path)
+    file = spark.read.text(path).select("_metadata.file_path").first()[0]
     side = lambda *s: F.get(F.array(*map(F.lit, s)), (F.col("vec_id") % 3).cast("int"))
     images = vectors.select("vec_id", side(4, 2, 8).alias("height"), side(4, 8, 2).alias("width"), F.slice("embedding", 1, 48).alias("px"))
-    found = models.detect(images, ["vec_id", "height", "width"], models.shipped(spark, path, weighed))
+    found = models.detect(images, ["vec_id", "height", "width"], models.shipped(spark, file, weighed))
     each = found.select("vec_id", "height", "width", F.posexplode("text").alias("pos", "score"))
     return each.select("vec_id", "height", "width", F.col("pos").cast("long").alias("pos"), F.col("score").cast("double").alias("score"))
 
 
-def weighed(folder: str) -> models.Model:
+def weighed(path: str) -> models.Model:
     """A detector that weighs the three planes of every other pixel."""
-    rows = [line.split() for part in Path(folder).glob("part-*") for line in part.read_text().splitlines()]
     weights = np.zeros(48)
-    for i, n in rows:
+    for i, n in map(str.split, Path(path).read_text().splitlines()):
         weights[int(i)] = int(n)
 
     def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
