@@ -3,7 +3,7 @@
 Frames are rows with ``width``, ``height`` and the bytes of their ``surface``. A
 null surface gives a null; one of the wrong length ends the query, as does a layout
 that isn't known. Repeated rows and empty tables are taken as they are. Rows stay
-in their partitions: nothing is shuffled, and frames leave a task one by one.
+in their partitions: nothing is shuffled, and frames leave a task when HELD bytes are made.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from cuewright.functions import pixels as P
 from cuewright.functions import surfaces
 
+#: Bytes of frames that a task makes before it hands them on.
+HELD = 16 << 20
+
 
 def _each(frames: DataFrame, key: list[str], inputs: list[str], of: Callable, out: str) -> DataFrame:
     """key and the columns ``out`` that ``of`` makes of each frame."""
@@ -26,9 +29,14 @@ def _each(frames: DataFrame, key: list[str], inputs: list[str], of: Callable, ou
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, values in enumerate(batch[inputs].itertuples(index=False)):
-                made = (None,) * len(names) if values[-1] is None else of(*values)
-                yield batch[key].iloc[i : i + 1].assign(**{n: pd.Series([v], index=batch.index[i : i + 1], dtype=object) for n, v in zip(names, made, strict=True)})
+            rows, held, first = [], 0, 0
+            for i, values in enumerate(batch[inputs].itertuples(index=False), 1):
+                rows.append((None,) * len(names) if values[-1] is None else of(*values))
+                held += len(rows[-1][-1] or b"")
+                if held >= HELD or i == len(batch):
+                    made = {n: pd.Series(list(c), dtype=object) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
+                    yield batch[key].iloc[first:i].reset_index(drop=True).assign(**made)
+                    rows, held, first = [], 0, i
 
     return frames.select(*key, *[c for c in inputs if c not in key]).mapInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in key] + [out]))
 
