@@ -17,11 +17,13 @@ from cuewright.operators.assign import assign
 MIN_AREA, MIN_PEAK = 10, 0.99
 
 
-def component_boxes(pixels: DataFrame, key: list[str], width: int, height: int, min_area: int = MIN_AREA, min_peak: float = MIN_PEAK) -> DataFrame:
+def component_boxes(pixels: DataFrame, key: list[str], width: int, height: int, min_area: int = MIN_AREA, min_peak: float = MIN_PEAK, whole: bool = False) -> DataFrame:
     """(key, label, x, y, score) pixels to inflated and cropped boxes of the
-    components that are large and certain enough."""
+    components that are large and certain enough; those as large as the map only
+    if ``whole`` says so."""
     found = pixels.groupBy(*key, "label").agg(F.count("*").alias("area"), F.max("score").alias("peak"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    found = found.where((F.col("area") >= min_area) & (F.col("peak") >= F.lit(min_peak).cast("float")) & ~((F.col("w") == width) & (F.col("h") == height)))
+    fills = (F.col("w") == width) & (F.col("h") == height)
+    found = found.where((F.col("area") >= min_area) & (F.col("peak") >= F.lit(min_peak).cast("float")) & (F.lit(whole) | ~fills))
     own = G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     return found.select(*key, "label", "area", G.crop(G.inflate(own, F.col("area")), F.lit(2 * width), F.lit(2 * height)).alias("box"))
 
