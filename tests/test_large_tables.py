@@ -1,14 +1,17 @@
 """What only large tables or rare rows show."""
 
 from datetime import datetime
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from cuewright.functions import pixels as P
 from cuewright.operators import regions
+from cuewright.streaming import sessions
 
 
 def against_sql(spark, folder, name, table, rows):
@@ -53,3 +56,50 @@ def test_a_blur_in_doubles_does_not_depend_on_numpys_exp(monkeypatch):
     want = [P.bilateral(x, kind=np.float64) for x in images]
     monkeypatch.setattr(np, "exp", lambda x, f=np.exp: np.nextafter(f(x), 0) if np.ndim(x) else f(x))
     assert all((a == P.bilateral(x, kind=np.float64)).all() for a, x in zip(want, images, strict=True))
+
+
+class Held:
+    """A state of transformWithState, without Spark."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def state(self, name, *_):
+        return self.states.setdefault(name, State())
+
+    getMapState = getValueState = getListState = state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class State(dict):
+    def exists(self):
+        return bool(self)
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+    def get(self):
+        return self["own"]
+
+    def update(self, x):
+        self["own"] = x
+
+    put = update
+
+
+@pytest.mark.parametrize("kind", ["segments", "islands"])
+def test_videos_of_a_lane_share_a_state(kind):
+    """A batch of many videos reads and writes some states a lane, not some a video."""
+    made = sessions.Segments(100) if kind == "segments" else sessions.Islands(0.8, None, 100)
+    made.init(handle := Held())
+    rows = pd.DataFrame([(v, v == 0, t, [f"{v} at {t}"] * (v != 2), [f"{v}at{t}"] * (v != 2)) for v in range(40) for t in (70, 10, 180)], columns=["video_id", "unnamed", "time_ms", "texts", "filtered"])
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 200)
+    out = list(made.handleInputRows((5,), iter([rows]), clock))
+    assert len(handle.timers) <= 2 and sum(map(len, handle.states.values())) <= 2
+    for at in sorted(handle.timers):
+        out += made.handleExpiredTimer((5,), clock, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+    got = pd.concat(out)
+    spans = {v: list(zip(x["start_ms"], x["end_ms"])) for v, x in got.fillna({"video_id": -1}).groupby("video_id")}
+    whole = [(0, 10), (10, 70), (70, 180)]
+    assert set(spans) | {2} == {-1, *range(1, 40)} and all(x == (whole if kind == "segments" else whole[:2]) for v, x in spans.items() if v != 2)
