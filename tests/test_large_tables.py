@@ -102,4 +102,4 @@ def test_videos_of_a_lane_share_a_state(kind):
     got = pd.concat(out)
     spans = {v: list(zip(x["start_ms"], x["end_ms"])) for v, x in got.fillna({"video_id": -1}).groupby("video_id")}
     whole = [(0, 10), (10, 70), (70, 180)]
-    assert set(spans) | {2} == {-1, *range(1, 40)} and all(x == (whole if kind == "segments" else whole[:2]) for v, x in spans.items() if v != 2)
+    assert set(spans) | {2} == {-1, *range(1, 40)} and all(x == (whole if kind == "segments" else whole[:1]) for v, x in spans.items() if v != 2)
