@@ -47,27 +47,34 @@ def flv_of(rows: pd.DataFrame) -> bytes:
     return flv.write_tags(tags)
 
 
+def table(kind: str, rows: np.ndarray) -> bytes:
+    """mp4.write_table() of an array."""
+    return mp4.write_atom(kind, bytes(8 if kind == "stsz" else 4) + struct.pack(">I", len(rows)) + rows.astype(">u4").tobytes())
+
+
 def mp4_of(rows: pd.DataFrame) -> bytes:
     """A video track of the odd orders and a sound track of the even ones, ten samples
     a chunk, a sync sample every seventh."""
-    data, traks, keys = b"", [], rows["o_orderkey"].to_numpy()
-    lead = mp4.write_atom("ftyp", b"isom")
+    data, traks, keys, texts = [], [], rows["o_orderkey"].to_numpy(), rows["o_orderpriority"].to_numpy()
+    lead, held = mp4.write_atom("ftyp", b"isom"), 0
     for odd, name in ((1, b"vide"), (0, b"soun")):
-        own = [t.encode() for t in rows["o_orderpriority"][keys % 2 == odd]]
-        chunks = [own[i : i + 10] for i in range(0, len(own), 10)]
-        places = np.cumsum([0, *(sum(map(len, c)) for c in chunks)])[:-1] + len(lead) + 8 + len(data)
-        data += b"".join(own)
-        runs = [(1, 10, 1)] * (len(chunks) > (len(own) % 10 > 0)) + [(len(chunks), len(own) % 10, 1)] * (len(own) % 10 > 0)
-        steps = [(len(own), 40)] if odd else [(1, 20 + k % 3) for k in range(len(own))]
-        tables = [("stts", steps), ("stsc", runs), ("stsz", [(len(x),) for x in own]), ("stco", [(int(x),) for x in places])]
-        tables += [("stss", [(k + 1,) for k in range(0, len(own), 7)])] * odd
-        stbl = mp4.write_atom("stbl", b"".join(mp4.write_table(*t) for t in tables))
-        mdhd = struct.pack(">IIIII", 0, 0, 0, 1000, sum(n * d for n, d in steps)) + bytes(4)
+        own = texts[keys % 2 == odd]
+        data.append("".join(own).encode())
+        sizes = np.fromiter((len(t.encode()) for t in own), np.int64, len(own))
+        places = (np.cumsum(sizes) - sizes)[::10] + len(lead) + 8 + held
+        held += len(data[-1])
+        chunks, last = len(places), len(own) % 10
+        runs = [(1, 10, 1)] * (chunks > (last > 0)) + [(chunks, last, 1)] * (last > 0)
+        steps = np.array([[len(own), 40]]) if odd else np.stack([np.ones(len(own), np.int64), 20 + np.arange(len(own)) % 3], 1)
+        tables = [("stts", steps), ("stsc", np.array(runs, np.int64).reshape(-1, 3)), ("stsz", sizes), ("stco", places)]
+        tables += [("stss", np.arange(0, len(own), 7) + 1)] * odd
+        stbl = mp4.write_atom("stbl", b"".join(table(*t) for t in tables))
+        mdhd = struct.pack(">IIIII", 0, 0, 0, 1000, int((steps[:, 0] * steps[:, 1]).sum())) + bytes(4)
         hdlr = bytes(8) + name + bytes(13)
         mdia = mp4.write_atom("mdhd", mdhd) + mp4.write_atom("hdlr", hdlr) + mp4.write_atom("minf", stbl)
         traks.append(mp4.write_atom("trak", mp4.write_atom("tkhd", bytes(20) + struct.pack(">I", 40 * len(own)) + bytes(60)) + mp4.write_atom("mdia", mdia)))
     mvhd = struct.pack(">IIIII", 0, 0, 0, 1000, 40 * len(rows)) + bytes(80)
-    return lead + mp4.write_atom("mdat", data) + mp4.write_atom("moov", mp4.write_atom("mvhd", mvhd) + b"".join(traks))
+    return lead + mp4.write_atom("mdat", b"".join(data)) + mp4.write_atom("moov", mp4.write_atom("mvhd", mvhd) + b"".join(traks))
 
 
 PARTS = "o as (select o_custkey % 40 as part, o_orderkey as k, o_orderpriority as x, o_orderkey % 2 as odd, row_number() over (partition by o_custkey % 40 order by o_orderkey) - 1 as i, row_number() over (partition by o_custkey % 40, o_orderkey % 2 order by o_orderkey) - 1 as j from orders)"

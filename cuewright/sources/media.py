@@ -3,8 +3,10 @@
 write_index() walks the files' headers, a task for some files and none holding one, and
 writes a row for each SPLIT bytes of a file: where they start, which packets they have,
 of which stream and times. The source, option ``index``, has a partition for each such
-row that its options leave, and reads just its bytes: an FLV split is a run of
-whole tags, an MP4 split a run of samples of one track.
+run of such rows that its options leave, and reads just their bytes: an FLV split is a
+run of whole tags, an MP4 split a run of samples of one track. Option ``parts``: about
+how many partitions there are at most while none has over SPLIT bytes, as a partition
+reads the tables of its files once.
 
 Options ``streams`` (comma-joined), ``since`` and ``until`` (ms) are applied while
 reading, and splits without such packets are no partitions at all. They are options and
@@ -17,6 +19,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import TYPE_CHECKING
 
 from pyarrow import fs
@@ -99,7 +102,7 @@ def tracks(file) -> list[Track]:
     out = []
     for top in (x for x in found if x[1] == "trak"):
         own = {k: b for _, k, at, _, b in found if top[2] < at < top[2] + top[3] and b is not None}
-        table = {k: np.array(mp4.sample_table(k, own[k]) if k in own else [], np.int64) for k in ("stsz", "stsc", "stco", "co64", "stts", "ctts")}
+        table = {k: mp4.table_array(k, own[k]) if k in own else np.zeros(0, np.int64) for k in ("stsz", "stsc", "stco", "co64", "stts", "ctts")}
         sizes = table["stsz"].reshape(-1)
         chunks = np.concatenate([table["stco"].reshape(-1), table["co64"].reshape(-1)])
         if not len(table["stsc"]):
@@ -153,7 +156,14 @@ def write_index(spark: SparkSession, path: str, index: str, split: int = SPLIT)
 
 
 @dataclass
-class Split(InputPartition):
+class Run(InputPartition):
+    """Splits, in order of file and place, that a task reads."""
+
+    splits: list[Split]
+
+
+@dataclass
+class Split:
     path: str
     kind: str
     track: int | None
@@ -168,35 +178,52 @@ class Reader(DataSourceReader):
         streams, since, until = (options.get(k) for k in ("streams", "since", "until"))
         self.index, self.streams = options["index"], None if streams is None else {int(x) for x in streams.split(",") if x}
         self.low, self.high = (None if x is None else int(x) for x in (since, until))
+        self.parts = int(options["parts"]) if "parts" in options else None
 
     def wanted(self, stream: int, ts: int) -> bool:
         return (self.streams is None or stream in self.streams) and (self.low is None or ts >= self.low) and (self.high is None or ts <= self.high)
 
     def partitions(self) -> list[InputPartition]:
-        """One for each row of the index, of SPLIT bytes, that has what is asked for."""
+        """Runs of the rows of the index, of a split or SPLIT bytes, that have what is asked for."""
         import pyarrow.parquet as pq
 
         where, inner = fs.FileSystem.from_uri(self.index if ":" in self.index else f"file://{self.index}")
-        out: list[InputPartition] = []
+        out: list[Split] = []
         for r in pq.read_table(inner, filesystem=where).to_pylist():
             if (self.low is None or r["max_ts"] >= self.low) and (self.high is None or r["min_ts"] <= self.high) and (r["stream"] is None or self.streams is None or r["stream"] in self.streams):
                 out.append(Split(*(r[k] for k in ("path", "kind", "track", "start", "end", "first", "n"))))
-        return out or [Split("", "", None, 0, 0, 0, 0)]
-
-    def read(self, partition: Split) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with opened(partition.path) as file:
-            if partition.kind == "flv":
-                for i, (at, kind, ts, size, seen) in enumerate(tags(file, partition.start, partition.end)):
-                    if self.wanted(kind, ts):
-                        yield partition.path, partition.first + i, kind, ts, seen.get(at, size)
-                return
-            track, seen = tracks(file)[partition.track], Window(file, BLOCK)
-            for seq in range(partition.first, partition.first + partition.n):
-                ts = int(track.times[seq])
-                if self.wanted(track.stream, ts):
-                    yield partition.path, seq, track.stream, ts, seen.get(int(track.offsets[seq]), int(track.sizes[seq]))
+        if self.parts is None:
+            return [Run([x]) for x in out] or [Run([])]
+        out.sort(key=lambda x: (x.path, x.track or 0, x.first))
+        most = min(SPLIT, sum(x.end - x.start for x in out) // self.parts)
+        runs: list[Run] = []
+        held = 0
+        for x in out:
+            if not runs or held >= most:
+                runs.append(Run([]))
+                held = 0
+            runs[-1].splits.append(x)
+            held += x.end - x.start
+        return runs or [Run([])]
+
+    def read(self, partition: Run) -> Iterator[tuple]:
+        for path, splits in groupby(partition.splits, lambda x: x.path):
+            with opened(path) as file:
+                found, windows = None, {}
+                for split in splits:
+                    if split.kind == "flv":
+                        for i, (at, kind, ts, size, seen) in enumerate(tags(file, split.start, split.end, max(WINDOW, min(BLOCK, split.end - split.start)))):
+                            if self.wanted(kind, ts):
+                                yield path, split.first + i, kind, ts, seen.get(at, size)
+                        continue
+                    found = found or tracks(file)
+                    track, seen = found[split.track], windows.setdefault(split.track, Window(file, BLOCK))
+                    if self.streams is not None and track.stream not in self.streams:
+                        continue
+                    own = slice(split.first, split.first + split.n)
+                    for i, (ts, at, size) in enumerate(zip(track.times[own].tolist(), track.offsets[own].tolist(), track.sizes[own].tolist(), strict=True)):
+                        if self.wanted(track.stream, ts):
+                            yield path, split.first + i, track.stream, ts, seen.get(at, size)
 
 
 class MediaSource(DataSource):
@@ -215,5 +242,5 @@ def packets(spark: SparkSession, index: str, streams: Iterable[int] | None = Non
     """PACKETS of the files of an index: of some streams, and of times from ``since`` to
     ``until`` in ms."""
     spark.dataSource.register(MediaSource)
-    options = {"index": index, "streams": None if streams is None else ",".join(map(str, streams)), "since": since, "until": until}
+    options = {"index": index, "streams": None if streams is None else ",".join(map(str, streams)), "since": since, "until": until, "parts": spark.conf.get("spark.sql.shuffle.partitions")}
     return spark.read.format("media").options(**{k: v for k, v in options.items() if v is not None}).load()

@@ -11,6 +11,8 @@ import pytest
 import __spark_entry__ as entry
 from cuewright.functions import pixels as P
 from cuewright.operators import regions
+from cuewright.plans import media as made
+from cuewright.sources import media
 from cuewright.streaming import sessions
 
 
@@ -103,3 +105,20 @@ def test_videos_of_a_lane_share_a_state(kind):
     spans = {v: list(zip(x["start_ms"], x["end_ms"])) for v, x in got.fillna({"video_id": -1}).groupby("video_id")}
     whole = [(0, 10), (10, 70), (70, 180)]
     assert set(spans) | {2} == {-1, *range(1, 40)} and all(x == (whole if kind == "segments" else whole[:1]) for v, x in spans.items() if v != 2)
+
+
+def test_many_splits_are_few_partitions(spark, tmp_path, monkeypatch):
+    """Partitions don't grow with the splits of an index, and each reads a file's tables once."""
+    rows = pd.DataFrame({"o_orderkey": range(1, 401), "o_orderpriority": [f"text {i}" for i in range(400)]})
+    for name in "ab":
+        made.put(f"file://{tmp_path}/in/{name}.mp4", made.mp4_of(rows))
+    index = media.write_index(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/index", split=100)
+    splits = spark.read.parquet(index).count()
+    runs = media.Reader({"index": index, "parts": "4"}).partitions()
+    assert splits > 60 and len(runs) <= 5 and sum(len(r.splits) for r in runs) == splits
+    times, tracks = [], media.tracks
+    monkeypatch.setattr(media, "tracks", lambda file: times.append(1) or tracks(file))
+    got = [x for r in runs for x in media.Reader({"index": index, "parts": "4"}).read(r)]
+    assert len(times) <= len(runs) + 1 and len(got) == 800
+    assert sorted(x[4].decode() for x in got) == sorted([f"text {i}" for i in range(400)] * 2)
+    assert len(media.Reader({"index": index}).partitions()) == splits
