@@ -53,7 +53,7 @@ def heads(parts: DataFrame) -> DataFrame:
 
 def rows_of(kind: str, body: bytes) -> np.ndarray:
     """A table's rows as numbers, those of a constant sample size as well."""
-    return np.array(mp4.sample_table(kind, body), np.int64).reshape(-1, 1 if kind in ("stss", "stco", "co64", "stsz") else 3 if kind == "stsc" else 2)
+    return mp4.table_array(kind, body)
 
 
 def packed(kind: str, rows: np.ndarray) -> bytes:
