@@ -13,8 +13,11 @@ from cuewright.functions import geometry as G
 from cuewright.functions import pixels as P
 from cuewright.operators import graphs
 from cuewright.operators.assign import assign
+from cuewright.store import stored
 
 MIN_AREA, MIN_PEAK = 10, 0.99
+#: Frames of a video that a task follows at a time.
+BLOCK = 8192
 
 
 def component_boxes(pixels: DataFrame, key: list[str], width: int, height: int, min_area: int = MIN_AREA, min_peak: float = MIN_PEAK, whole: bool = False) -> DataFrame:
@@ -78,15 +81,19 @@ def merge_boxes(boxes: DataFrame, key: list[str], times: int = 2) -> DataFrame:
     def of(frames: pd.Series) -> pd.Series:
         out = []
         for rows in frames:
-            found = [(b["x"], b["y"], b["width"], b["height"]) for b in rows]
-            for _ in range(times):
+            numbers = rows.tolist()
+            found = list(zip(*[iter(numbers)] * 4, strict=True))
+            for _ in range(times if len(found) > 1 else 0):
                 found = merged(found)
-            out.append([dict(zip(("x", "y", "width", "height"), b, strict=True)) for b in found])
-        return pd.Series(out, index=frames.index)
+            out.append([n for b in found for n in b])
+        return pd.Series(out, index=frames.index, dtype=object)
 
-    found = F.pandas_udf(of, "array<struct<x: int, y: int, width: int, height: int>>")
-    lists = boxes.groupBy(*key).agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("__b"))
-    return lists.select(*key, F.posexplode(found("__b")).alias("region_idx", "b")).select(*key, "region_idx", "b.*")
+    found = F.pandas_udf(of, "array<int>")  # four numbers a box: structs would be a dict a box
+    lists = boxes.groupBy(*key).agg(F.flatten(F.collect_list(F.array(*[F.col(c).cast("int") for c in ("x", "y", "width", "height")]))).alias("__b"))
+    flat = lists.select(*key, found("__b").alias("__b"))
+    at = lambda i: F.get("__b", F.col("region_idx") * 4 + i)
+    numbered = flat.where(F.size("__b") > 0).select(*key, "__b", F.explode(F.sequence(F.lit(0), (F.size("__b") / 4).cast("int") - 1)).alias("region_idx"))
+    return numbered.select(*key, "region_idx", *[at(i).alias(c) for i, c in enumerate(("x", "y", "width", "height"))])
 
 
 def iou_pairs(boxes: DataFrame, key: list[str]) -> DataFrame:
@@ -103,15 +110,18 @@ def assignments(costs: DataFrame, key: list[str]) -> DataFrame:
     def of(frames: pd.Series) -> pd.Series:
         out = []
         for rows in frames:
-            cost = {(r["src"], r["dst"]): r["cost"] for r in rows}
+            numbers = iter(rows.tolist())
+            cost = {(a, b): c for a, b, c in zip(numbers, numbers, numbers, strict=True)}
             sources, targets = (sorted({k[i] for k in cost}) for i in (0, 1))
             found = assign([[cost[a, b] for b in targets] for a in sources])
-            out.append([{"src": sources[i], "dst": targets[j], "cost": cost[sources[i], targets[j]]} for i, j in enumerate(found) if j >= 0])
-        return pd.Series(out, index=frames.index)
+            out.append([n for i, j in enumerate(found) if j >= 0 for n in (sources[i], targets[j], cost[sources[i], targets[j]])])
+        return pd.Series(out, index=frames.index, dtype=object)
 
-    found = F.pandas_udf(of, "array<struct<src: int, dst: int, cost: int>>")
-    lists = costs.groupBy(*key).agg(F.collect_list(F.struct("src", "dst", "cost")).alias("__c"))
-    return lists.select(*key, F.explode(found("__c")).alias("e")).select(*key, "e.*")
+    found = F.pandas_udf(of, "array<int>")  # three numbers an edge: structs would be a dict an edge
+    lists = costs.groupBy(*key).agg(F.flatten(F.collect_list(F.array(*[F.col(c).cast("int") for c in ("src", "dst", "cost")]))).alias("__c"))
+    flat = lists.select(*key, found("__c").alias("__c"))
+    each = flat.where(F.size("__c") > 0).select(*key, "__c", F.explode(F.sequence(F.lit(0), (F.size("__c") / 3).cast("int") - 1)).alias("__i"))
+    return each.select(*key, *[F.get("__c", F.col("__i") * 3 + i).alias(c) for i, c in enumerate(("src", "dst", "cost"))])
 
 
 def unmatched(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
@@ -130,33 +140,47 @@ def region_width(width: Column, key: list[str], cap: int = 640) -> Column:
     return F.least(F.lit(cap), F.ceil(F.max(width).over(Window.partitionBy(*key)) / 32) * 32).cast("int")
 
 
-def tracks(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+def tracks(regions: DataFrame, edges: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """(key, seq, region_idx) with the track: (seq, region) of the chain's first.
-    ``edges``: seq, src, dst from a frame to the next. A batch is one group."""
+    ``edges``: seq, src, dst from a frame to the next; those from regions that aren't
+    there are none. ``block`` frames of a video are a group: chains are followed within
+    it, and only the ends of chains that reach a block's first frame are tied to the
+    block before, by pointers that double their reach in each round."""
     kinds = dict(regions.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", seq long, region_idx int, first_seq long, first_region int"
+    names = [f"`{k}` {kinds[k]}" for k in key]
+    schema = ", ".join(names) + ", seq long, region_idx int, first_seq long, first_region int"
 
     def of(values: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        before = {(s + 1, d): (s, x) for s, x, d in links[["seq", "src", "dst"]].itertuples(index=False)}
+        before = {(s + 1, d): (s, x) for s, x, d in zip(links["seq"].tolist(), links["src"].tolist(), links["dst"].tolist(), strict=True)}
         first: dict = {}
-        for at in sorted(rows[["seq", "region_idx"]].itertuples(index=False, name=None)):
+        for at in sorted(zip(rows["seq"].tolist(), rows["region_idx"].tolist(), strict=True)):
             first[at] = first.get(before.get(at), at)
-        return pd.DataFrame([(*values, *at, *start) for at, start in first.items()])
-
-    links = edges.select(*[F.col(c).alias(c) for c in (*key, "seq", "src", "dst")])  # new columns, should both come from one table
-    return regions.groupBy(*key).cogroup(links.groupBy(*key)).applyInPandas(of, schema)
+        made = {k: pd.Series([v] * len(first), dtype=object) for k, v in zip(key, values, strict=False)}
+        numbers = np.array([(*at, *start) for at, start in first.items()], np.int64).reshape(-1, 4)
+        return pd.DataFrame(made | dict(zip(("seq", "region_idx", "first_seq", "first_region"), numbers.T, strict=True)))
+
+    at = lambda seq: F.floor(seq / block).cast("long").alias("__block")
+    placed = regions.select(*key, F.col("seq").cast("long").alias("seq"), F.col("region_idx").cast("int").alias("region_idx"), at(F.col("seq")))
+    links = edges.select(*[F.col(c).alias(c) for c in (*key, "seq", "src", "dst")], at(F.col("seq") + 1))  # new columns, should both come from one table
+    inner = links.where(F.floor(F.col("seq") / block) == F.col("__block"))
+    grouped = [*key, "__block"]
+    found = stored(placed.groupBy(*grouped).cogroup(inner.groupBy(*grouped)).applyInPandas(of, schema), "tracks")
+
+    node = lambda seq, region: F.struct(*key, F.col(seq).cast("long").alias("seq"), F.col(region).cast("int").alias("region_idx"))
+    across = links.where(F.floor(F.col("seq") / block) < F.col("__block")).select(F.struct(*key, (F.col("seq") + 1).alias("seq"), F.col("dst").cast("int").alias("region_idx")).alias("node"), node("seq", "src").alias("from"))
+    last = found.where(F.pmod("seq", F.lit(block)) == block - 1).select(node("seq", "region_idx").alias("from"), node("first_seq", "first_region").alias("up"))
+    ties = across.join(last, "from").groupBy("node").agg(F.min("up").alias("up"))
+    starts = ties.select("node").union(ties.select("up")).distinct()
+    pointers = starts.join(ties, "node", "left").select("node", F.coalesce("up", "node").alias("up"))
+    roots = graphs.roots(pointers).where("node <> root")
+    whole = found.withColumn("node", node("first_seq", "first_region")).join(roots, "node", "left")
+    own = lambda name, field: F.coalesce(F.col("root").getField(field), F.col(name)).alias(name)
+    return whole.select(*key, "seq", "region_idx", own("first_seq", "seq"), own("first_region", "region_idx"))
 
 
 def long_tracks(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """tracks() of videos of any length: chains are followed by pointers that double
-    their reach in each round, and no video is a task's work. Edges from regions that
-    aren't there are none."""
-    at = lambda seq, region: F.struct(*key, seq.cast("long").alias("seq"), region.cast("int").alias("region_idx"))
-    nodes = regions.select(at(F.col("seq"), F.col("region_idx")).alias("node"))
-    links = edges.select(at(F.col("seq") + 1, F.col("dst")).alias("node"), at(F.col("seq"), F.col("src")).alias("up"))
-    real = links.join(nodes.select(F.col("node").alias("up")), "up", "left_semi")
-    found = graphs.roots(nodes.join(real, "node", "left").select("node", F.coalesce("up", "node").alias("up")))
-    return found.select(*[F.col("node").getField(k).alias(k) for k in key], "node.seq", "node.region_idx", F.col("root.seq").alias("first_seq"), F.col("root.region_idx").alias("first_region"))
+    """tracks() under the name that long videos' callers know; no video is a task's work."""
+    return tracks(regions, edges, key)
 
 
 def carried(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:

@@ -147,3 +147,22 @@ def test_tables_as_arrays_equal_rows():
         assert [tuple(x) for x in mp4.table_array(kind, body).tolist()] == mp4.sample_table(kind, body) == rows
     with pytest.raises(ValueError):
         mp4.table_array("stts", mp4.write_table("stts", [(1, 2)])[8:-1])
+
+
+def test_tracks_in_blocks_of_frames(spark):
+    """A block is some frames of a video: chains across any number of blocks are followed."""
+    rows = [(v, s, r) for v in (1, None) for s in range(-3, 21) for r in range(3) if (s, r) != (9, 2)]
+    edges = [(v, s, r, (r + 1) % 3) for v, s, r in rows if (s + r) % 7] + [(1, 9, 2, 0)]
+    b, e = spark.createDataFrame(rows, "v long, seq long, region_idx int"), spark.createDataFrame(edges, "v long, seq long, src int, dst int")
+    up = {(v, s + 1, d): (v, s, r) for v, s, r, d in edges if (v, s, r) in set(rows)}
+
+    def first(at):
+        while at in up:
+            at = up[at]
+        return at
+
+    want = {(*at, *first(at)[1:]) for at in rows}
+    for block in (3, 8192):
+        found = regions.tracks(b, e, ["v"], block)
+        assert sorted({tuple(r) for r in found.collect()} ^ want, key=repr) == [] and found.count() == len(rows)
+        assert found.dtypes == [("v", "bigint"), ("seq", "bigint"), ("region_idx", "int"), ("first_seq", "bigint"), ("first_region", "int")]
