@@ -33,32 +33,39 @@ def segments(events: DataFrame) -> DataFrame:
     return events.select("video_id", "time_ms", "texts").groupBy("video_id").applyInPandasWithState(_advance, SEGMENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def late_segments(events: DataFrame, late: str) -> DataFrame:
-    """segments() of events that may come out of order, by up to ``late``: a video's
-    events wait, sorted, until the watermark has passed them. An event that comes
-    when a later one is out is dropped."""
-    timed = events.select("video_id", "time_ms", "texts", F.timestamp_millis("time_ms").alias("ts")).withWatermark("ts", late)
+def late_segments(events: DataFrame, late: str, lanes: int = 512) -> DataFrame:
+    """segments() of events that may come out of order, by up to ``late``: events wait,
+    sorted, until the watermark has passed them. An event that comes when a later one
+    of its video is out is dropped. The videos of one of ``lanes`` share a state."""
+    name = [F.pmod(F.xxhash64("video_id"), F.lit(lanes)).cast("int").alias("lane"), F.coalesce("video_id", F.lit(0)).alias("video_id"), F.col("video_id").isNull().alias("unnamed")]
+    timed = events.select(*name, "time_ms", "texts", F.timestamp_millis("time_ms").alias("ts")).withWatermark("ts", late)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, texts, times, waiting = state.get if state.exists else (0, [], [], [])
-        held = list(zip(times, map(list, waiting), strict=True))
+        videos, at, texts, ids, times, waiting = state.get if state.exists else ([], [], [], [], [], [])
+        known = {v: (t, list(x)) for v, t, x in zip(videos, at, texts, strict=True)}
+        held = list(zip(times, map(list, waiting), ids, strict=True))
         if not state.hasTimedOut:
             for rows in batches:
-                held += [(int(t), list(x)) for t, x in zip(rows["time_ms"], rows["texts"], strict=True) if t >= at]
-        held.sort()
+                for v, none, t, x in zip(rows["video_id"], rows["unnamed"], rows["time_ms"], rows["texts"], strict=True):
+                    video = None if none else int(v)
+                    if t >= (known[video][0] if video in known else 0):
+                        held.append((int(t), list(x), video))
+        held.sort(key=lambda x: x[:2])
         passed, out = state.getCurrentWatermarkMs(), []
-        due = sum(t < passed for t, _ in held)
-        for time_ms, now in held[:due]:
-            out.append((key[0], at, time_ms, list(texts)))
-            at, texts = time_ms, now
+        due = sum(x[0] < passed for x in held)
+        for time_ms, now, video in held[:due]:
+            start, said = known.get(video, (0, []))
+            out.append((video, start, time_ms, said))
+            known[video] = (time_ms, now)
         held = held[due:]
-        state.update((at, list(texts), [t for t, _ in held], [x for _, x in held]))
+        state.update((list(known), [t for t, _ in known.values()], [x for _, x in known.values()], [v for *_, v in held], [t for t, *_ in held], [x for _, x, _ in held]))
         if held:
             state.setTimeoutTimestamp(max(held[0][0], passed) + 1)
-        yield pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "texts"])
+        found = pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "texts"])
+        yield found.assign(video_id=pd.array([r[0] for r in out], "Int64"))
 
-    state = STATE + ", times array<long>, waiting array<array<string>>"
-    return timed.groupBy("video_id").applyInPandasWithState(advance, SEGMENT, state, "append", GroupStateTimeout.EventTimeTimeout)
+    state = "videos array<long>, at array<long>, texts array<array<string>>, ids array<long>, times array<long>, waiting array<array<string>>"
+    return timed.groupBy("lane").applyInPandasWithState(advance, SEGMENT, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
