@@ -1,4 +1,5 @@
-"""Chains and components as joins: nothing of a graph is gathered in a task."""
+"""Chains and components as joins: nothing of a graph is gathered in a task, and no
+side of a join is sent to the driver to be broadcast, however small a round's is."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ def roots(pointers: DataFrame) -> DataFrame:
     there once, and ups are nodes. Empty: empty."""
     known = stored(pointers.select("node", "up", (F.col("node") == F.col("up")).alias("done")), "pointers")
     while known.where("not done").limit(1).count():
-        there = known.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("done").alias("arrived"))
+        there = known.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("done").alias("arrived")).hint("merge")
         moved = known.where("not done").join(there, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), F.col("arrived").alias("done"))
         known = stored(known.where("done").unionByName(moved), "pointers")
     return known.select("node", F.col("up").alias("root"))
@@ -31,7 +32,7 @@ def unions(pairs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     known = stored(nodes.select("node", F.col("node").alias("root")), "roots")
     while True:
-        of = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))  # noqa: B023, E731
+        of = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")).hint("merge")  # noqa: B023, E731
         across = edges.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b")
         low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
         end = F.when(F.col("root_a") > F.col("root_b"), F.col("a")).otherwise(F.col("b"))
@@ -39,6 +40,6 @@ def unions(pairs: DataFrame) -> DataFrame:
         offers = stored(offers, "offers")
         if not offers.limit(1).count():
             return known
-        taken = stored(known.join(offers, "node", "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("root")), "roots")
-        up = taken.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        taken = stored(known.join(offers.hint("merge"), "node", "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("root")), "roots")
+        up = taken.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge")
         known = stored(taken.join(up, "root").select("node", F.col("top").alias("root")), "roots")

@@ -66,13 +66,13 @@ def components(tiles: DataFrame, key: list[str]) -> DataFrame:
 
     def met(edge: str, other: str, row: int, column: int) -> DataFrame:
         after = found.select("image", (F.col("row") - row).alias("row"), (F.col("column") - column).alias("column"), F.col("t").getField(other).alias("there"))
-        both = found.select("image", "row", "column", F.col("t").getField(edge).alias("here")).join(after, ["image", "row", "column"])
+        both = found.select("image", "row", "column", F.col("t").getField(edge).alias("here")).join(after.hint("merge"), ["image", "row", "column"])
         near = both.select("image", F.explode(F.arrays_zip("here", "there")).alias("p")).where("p.here is not null and p.there is not null")
         return near.select(F.struct("image", F.col("p.here").alias("first")).alias("a"), F.struct("image", F.col("p.there").alias("first")).alias("b")).distinct()
 
     ties = graphs.unions(met("last_column", "left", 0, 1).union(met("last_row", "top", 1, 0)))
     parts = found.select("image", F.explode("t.parts").alias("p")).select(F.struct("image", "p.first").alias("node"), "p.*")
-    known = parts.join(ties, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = parts.join(ties.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = known.groupBy("root").agg(F.sum("area").alias("area"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.max("peak").alias("peak"))
     image = F.col("root.image")
     return whole.select(*[image.getField(k).alias(k) for k in key], F.col("root.first").alias("first"), "area", "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"), "peak")
