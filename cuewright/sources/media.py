@@ -34,6 +34,8 @@ if TYPE_CHECKING:  # what plans a read is light: the driver runs one such proces
     import pandas as pd
 
 SPLIT = 64 << 20
+#: Partitions that small splits aren't packed below.
+LEAST = 64
 #: Bytes that are read at a time while walking.
 WINDOW, BLOCK = 64 << 10, 4 << 20
 INDEX = "path string, kind string, track int, stream int, start long, end long, first long, n long, min_ts long, max_ts long"
@@ -242,5 +244,5 @@ def packets(spark: SparkSession, index: str, streams: Iterable[int] | None = Non
     """PACKETS of the files of an index: of some streams, and of times from ``since`` to
     ``until`` in ms."""
     spark.dataSource.register(MediaSource)
-    options = {"index": index, "streams": None if streams is None else ",".join(map(str, streams)), "since": since, "until": until, "parts": spark.conf.get("spark.sql.shuffle.partitions")}
+    options = {"index": index, "streams": None if streams is None else ",".join(map(str, streams)), "since": since, "until": until, "parts": max(LEAST, int(spark.conf.get("spark.sql.shuffle.partitions")))}
     return spark.read.format("media").options(**{k: v for k, v in options.items() if v is not None}).load()
