@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import geometry as G
 from cuewright.functions import pixels as P
 from cuewright.operators import graphs
-from cuewright.operators.assign import assign
+from cuewright.operators.assign import assign_all
 from cuewright.store import stored
 
 MIN_AREA, MIN_PEAK = 10, 0.99
 #: Frames of a video that a task follows at a time.
 BLOCK = 8192
+#: Pairs of boxes that are compared at a time, about.
+PAIRS = 1 << 20
+#: Rows of frames that a call gets, about; a larger frame comes whole.
+CALL = 1 << 17
+#: The cost of a pair of which none is known.
+UNKNOWN = 1 << 40
 
 
 def component_boxes(pixels: DataFrame, key: list[str], width: int, height: int, min_area: int = MIN_AREA, min_peak: float = MIN_PEAK, whole: bool = False) -> DataFrame:
@@ -31,16 +38,15 @@ def component_boxes(pixels: DataFrame, key: list[str], width: int, height: int,
     return found.select(*key, "label", "area", G.crop(G.inflate(own, F.col("area")), F.lit(2 * width), F.lit(2 * height)).alias("box"))
 
 
-def _mergeable(a: tuple, b: tuple) -> bool:
-    """The rule of geometry.can_merge for numbers: ``a`` comes before ``b``, which
-    matters where both start at the same x."""
+def _mergeable(a, b):
+    """The rule of geometry.can_merge for numbers or arrays of them: ``a`` comes before
+    ``b``, which matters where both start at the same x."""
     (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
-    if ax <= bx and ay <= by and ax + aw >= bx + bw and ay + ah >= by + bh or bx <= ax and by <= ay and bx + bw >= ax + aw and by + bh >= ay + ah:
-        return True
-    size = min(ah, bh)
-    if abs(ay + ah // 2 - by - bh // 2) * 1.5 > size and (abs(ah - bh) > size or abs(ay - by) * 2 > size):
-        return False
-    return abs(ax + aw - bx if ax < bx else bx + bw - ax) <= size
+    holds = (ax <= bx) & (ay <= by) & (ax + aw >= bx + bw) & (ay + ah >= by + bh)
+    lies = (bx <= ax) & (by <= ay) & (bx + bw >= ax + aw) & (by + bh >= ay + ah)
+    size = np.minimum(ah, bh)
+    uneven = (abs(ay + ah // 2 - by - bh // 2) * 1.5 > size) & ((abs(ah - bh) > size) | (abs(ay - by) * 2 > size))
+    return holds | lies | ~uneven & (np.where(ax < bx, abs(ax + aw - bx), abs(bx + bw - ax)) <= size)
 
 
 def united(n: int, pairs: Iterable[tuple[int, int]]) -> list[int]:
@@ -58,42 +64,99 @@ def united(n: int, pairs: Iterable[tuple[int, int]]) -> list[int]:
     return [root(i) for i in range(n)]
 
 
+def pairs_of(boxes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The mergeable pairs of boxes (x, y, width, height: a row each) of a frame; ``ends``:
+    where the frame of each box ends. About PAIRS are looked at at a time."""
+    later = ends - np.arange(len(ends)) - 1
+    sums = np.cumsum(later)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(sums, PAIRS + (sums[first - 1] if first else 0), "right")))
+        n = later[first:last]
+        a = np.repeat(np.arange(first, last), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        same = np.flatnonzero(_mergeable(boxes[:, a], boxes[:, b]))
+        yield from zip(a[same].tolist(), b[same].tolist(), strict=True)
+        first = last
+
+
+def merged_frames(boxes: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hulls (x, y, width, height: a row each) of the connected mergeable boxes of each
+    frame, and their frames, by (frame, y, x, width, height); boxes are compared in
+    this order too."""
+    order = lambda b, f: np.lexsort((b[3], b[2], b[0], b[1], f))
+    at = order(boxes, frame)
+    boxes, frame = boxes[:, at], frame[at]
+    of = np.array(united(len(frame), pairs_of(boxes, np.searchsorted(frame, frame, "right"))), np.int64)
+    if len(of):
+        at = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.diff(of[at], prepend=-1))
+        low, high = boxes[:2, at], (boxes[:2] + boxes[2:])[:, at]
+        low, high = np.minimum.reduceat(low, starts, 1), np.maximum.reduceat(high, starts, 1)
+        boxes, frame = np.concatenate([low, high - low]), frame[at][starts]
+    at = order(boxes, frame)
+    return boxes[:, at], frame[at]
+
+
 def merged(boxes: list[tuple]) -> list[tuple]:
-    """Hulls of the connected mergeable boxes, by (y, x, width, height); boxes are
-    compared in this order too."""
-    order = lambda b: (b[1], b[0], b[2], b[3])
-    boxes = sorted(boxes, key=order)
-    groups: dict[int, list[tuple]] = {}
-    pairs = ((i, j) for j in range(len(boxes)) for i in range(j) if _mergeable(boxes[i], boxes[j]))
-    for box, g in zip(boxes, united(len(boxes), pairs), strict=True):
-        groups.setdefault(g, []).append(box)
-    out = []
-    for own in groups.values():
-        x, y = min(b[0] for b in own), min(b[1] for b in own)
-        out.append((x, y, max(b[0] + b[2] for b in own) - x, max(b[1] + b[3] for b in own) - y))
-    return sorted(out, key=order)
+    """Hulls of the connected mergeable boxes of one frame, by (y, x, width, height)."""
+    found, _ = merged_frames(np.array(boxes, np.int64).reshape(-1, 4).T, np.zeros(len(boxes), np.int64))
+    return list(map(tuple, found.T.tolist()))
+
+
+def _frames(rows: DataFrame, key: list[str], names: list[str], made: list[str], of: Callable) -> DataFrame:
+    """(key, made: int each) of the whole numbers ``names`` of each frame. ``of`` gets the
+    rows of many whole frames and the frame of each, rising, and gives rows and their
+    frames; nulls are NaN. Partitions are sorted, so that no frame is a list or a group
+    of its own: both cost more than its rows."""
+    kinds = dict(rows.dtypes)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*names)) == 1
+    marked = rows.select(*key, *[F.col(c).cast("int").alias(c) for c in names]).select("*", first.alias("__first"))
+
+    def call(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        if len(table):
+            starts = table["__first"].to_numpy()
+            columns = [table[c].to_numpy() for c in names]
+            numbers = np.stack([c.astype(np.float64 if any(x.dtype.kind == "f" for x in columns) else np.int64) for c in columns], 1)
+            found, frame = of(numbers, np.cumsum(starts) - 1)
+            keys = table.select(key).take(pa.array(np.flatnonzero(starts)[frame]))
+            columns = [pa.array(c, from_pandas=True).cast(pa.int32()) for c in found.T]
+            yield from pa.Table.from_arrays([*keys.columns, *columns], names=[*key, *made]).to_batches(max_chunksize=1 << 16)
+
+    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("__first").to_numpy(zero_copy_only=False))
+            if n + batch.num_rows > CALL and len(starts):
+                yield from call([*held, batch.slice(0, starts[-1])])
+                batch, held, n = batch.slice(starts[-1]), [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield from call(held)
+
+    return marked.mapInArrow(calls, ", ".join([*[f"`{k}` {kinds[k]}" for k in key], *[f"{c} int" for c in made]]))
 
 
 def merge_boxes(boxes: DataFrame, key: list[str], times: int = 2) -> DataFrame:
     """(key, x, y, width, height): boxes of a line merged, ``times`` over. A
-    frame's boxes are one group, as many as a frame shows."""
-
-    def of(frames: pd.Series) -> pd.Series:
-        out = []
-        for rows in frames:
-            numbers = rows.tolist()
-            found = list(zip(*[iter(numbers)] * 4, strict=True))
-            for _ in range(times if len(found) > 1 else 0):
-                found = merged(found)
-            out.append([n for b in found for n in b])
-        return pd.Series(out, index=frames.index, dtype=object)
-
-    found = F.pandas_udf(of, "array<int>")  # four numbers a box: structs would be a dict a box
-    lists = boxes.groupBy(*key).agg(F.flatten(F.collect_list(F.array(*[F.col(c).cast("int") for c in ("x", "y", "width", "height")]))).alias("__b"))
-    flat = lists.select(*key, found("__b").alias("__b"))
-    at = lambda i: F.get("__b", F.col("region_idx") * 4 + i)
-    numbered = flat.where(F.size("__b") > 0).select(*key, "__b", F.explode(F.sequence(F.lit(0), (F.size("__b") / 4).cast("int") - 1)).alias("region_idx"))
-    return numbered.select(*key, "region_idx", *[at(i).alias(c) for i, c in enumerate(("x", "y", "width", "height"))])
+    frame's boxes are one group, as many as a frame shows; a call merges many frames."""
+
+    def found(rows: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alone = np.bincount(frame)[frame] < 2
+        own, of = rows[~alone].T, frame[~alone]
+        for _ in range(times):
+            own, of = merged_frames(own, of)
+        rows, frame = np.concatenate([rows[alone], own.T]), np.concatenate([frame[alone], of])
+        at = np.argsort(frame, kind="stable")
+        rows, frame = rows[at], frame[at]
+        number = np.arange(len(frame)) - np.searchsorted(frame, frame)
+        return np.concatenate([number[:, None], rows], 1), frame
+
+    names = ["x", "y", "width", "height"]
+    return _frames(boxes, key, names, ["region_idx", *names], found)
 
 
 def iou_pairs(boxes: DataFrame, key: list[str]) -> DataFrame:
@@ -104,24 +167,41 @@ def iou_pairs(boxes: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, "seq", "src", "dst", G.iou(F.col("a"), F.col("b")).alias("iou"))
 
 
+def edges_of(costs: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (src, dst, cost) of each frame at the least total cost, and their
+    frames, of the costs of all its pairs. Unknown costs are the highest."""
+    at = np.lexsort((costs[:, 1], costs[:, 0], frame))
+    costs, frame = costs[at], frame[at]
+    last = np.append(np.any(np.diff(costs[:, :2], axis=0), 1) | (np.diff(frame) > 0), True)[: len(frame)]
+    costs, frame = costs[last], frame[last]  # of pairs that are told twice one counts
+    if not len(frame):
+        return costs, frame
+    starts = np.flatnonzero(np.diff(frame, prepend=-1))
+    pairs = np.diff(np.append(starts, len(frame)))
+    sources = np.add.reduceat((np.diff(costs[:, 0], prepend=np.nan) != 0) | (np.diff(frame, prepend=-1) > 0), starts, dtype=np.int64)
+    if (pairs % sources).any():
+        raise ValueError("a pair of regions has no cost")
+    out, of = [], []
+    for rows, columns in sorted({*zip(sources.tolist(), (pairs // sources).tolist(), strict=True)}):
+        own = starts[(sources == rows) & (pairs == rows * columns)]
+        table = costs[own[:, None] + np.arange(rows * columns)].reshape(-1, rows, columns, 3)
+        if (table[..., 1] != table[:, :1, :, 1]).any():
+            raise ValueError("a pair of regions has no cost")
+        known = np.nan_to_num(table[..., 2], nan=UNKNOWN).astype(np.int64)
+        column = assign_all(known)
+        k, row = np.nonzero(column >= 0)
+        out.append(table[k, row, column[k, row]])
+        of.append(frame[own][k])
+    rows, frame = np.concatenate(out), np.concatenate(of)
+    at = np.argsort(frame, kind="stable")
+    return rows[at], frame[at]
+
+
 def assignments(costs: DataFrame, key: list[str]) -> DataFrame:
     """(key, src, dst, cost): one-to-one edges at the least total cost for each key."""
 
-    def of(frames: pd.Series) -> pd.Series:
-        out = []
-        for rows in frames:
-            numbers = iter(rows.tolist())
-            cost = {(a, b): c for a, b, c in zip(numbers, numbers, numbers, strict=True)}
-            sources, targets = (sorted({k[i] for k in cost}) for i in (0, 1))
-            found = assign([[cost[a, b] for b in targets] for a in sources])
-            out.append([n for i, j in enumerate(found) if j >= 0 for n in (sources[i], targets[j], cost[sources[i], targets[j]])])
-        return pd.Series(out, index=frames.index, dtype=object)
-
-    found = F.pandas_udf(of, "array<int>")  # three numbers an edge: structs would be a dict an edge
-    lists = costs.groupBy(*key).agg(F.flatten(F.collect_list(F.array(*[F.col(c).cast("int") for c in ("src", "dst", "cost")]))).alias("__c"))
-    flat = lists.select(*key, found("__c").alias("__c"))
-    each = flat.where(F.size("__c") > 0).select(*key, "__c", F.explode(F.sequence(F.lit(0), (F.size("__c") / 3).cast("int") - 1)).alias("__i"))
-    return each.select(*key, *[F.get("__c", F.col("__i") * 3 + i).alias(c) for i, c in enumerate(("src", "dst", "cost"))])
+    names = ["src", "dst", "cost"]
+    return _frames(costs, key, names, names, edges_of)
 
 
 def unmatched(regions: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
