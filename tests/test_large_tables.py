@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from cuewright.functions import pixels as P
 from cuewright.operators import regions
+from cuewright.operators.assign import assign, assign_all
 from cuewright.plans import media as made
 from cuewright.sources import flv, media, mp4
 from cuewright.streaming import sessions
@@ -169,3 +170,40 @@ def test_tracks_in_blocks_of_frames(spark):
         found = regions.tracks(b, e, ["v"], block)
         assert sorted({tuple(r) for r in found.collect()} ^ want, key=repr) == [] and found.count() == len(rows)
         assert found.dtypes == [("v", "bigint"), ("seq", "bigint"), ("region_idx", "int"), ("first_seq", "bigint"), ("first_region", "int")]
+
+
+def test_frames_come_many_a_call_and_whole(spark, monkeypatch):
+    """Frames over the borders of Arrow's batches and of calls, null keys, and a frame larger than a call."""
+    draw = np.random.default_rng(5)
+    boxes = [(k or None, *(int(x) for x in draw.integers(0, 90, 2)), *(int(x) for x in draw.integers(5, 40, 2))) for k in range(60) for _ in range(60 if k == 7 else k % 5)]
+    calls, merged_frames = [], regions.merged_frames
+    monkeypatch.setattr(regions, "merged_frames", lambda *a: calls.append(1) or merged_frames(*a))
+    rows = spark.createDataFrame(boxes, "k long, x int, y int, width int, height int").coalesce(1)
+    assert not [x for x in regions.merge_boxes(rows, ["k"])._jdf.queryExecution().executedPlan().toString().split("\n") if "collect_list" in x]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = regions.merge_boxes(rows, ["k"]).collect()
+        costs = [(k, a, b, int(draw.integers(0, 4))) for k in range(30) for a in range(k % 4 + 1) for b in range(k % 3 + 1)]
+        edges = regions.assignments(spark.createDataFrame(costs, "k int, src int, dst int, cost int"), ["k"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in {b[0] for b in boxes}:
+        found = [b[1:] for b in boxes if b[0] == k]
+        want += [(k, i, *b) for i, b in enumerate(regions.merged(regions.merged(found)))]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    want = []
+    for k in range(30):
+        table = [[next(c[3] for c in costs if c[:3] == (k, a, b)) for b in range(k % 3 + 1)] for a in range(k % 4 + 1)]
+        want += [(k, a, b, table[a][b]) for a, b in enumerate(assign(table)) if b >= 0]
+    assert sorted(map(tuple, edges)) == sorted(want)
+
+
+def test_assignments_of_many_frames_equal_those_of_each():
+    draw = np.random.default_rng(6)
+    for n, m in [(a, b) for a in range(1, 6) for b in range(1, 6)]:
+        for top in (2, 1000):
+            costs = draw.integers(0, top, (40, n, m))
+            assert assign_all(costs).tolist() == [assign(c) for c in costs.tolist()]
+    with pytest.raises(ValueError, match="has no cost"):
+        regions.edges_of(np.array([[0, 0, 1], [0, 1, 1], [1, 0, 1]]), np.zeros(3, np.int64))
