@@ -220,6 +220,12 @@ def region_width(width: Column, key: list[str], cap: int = 640) -> Column:
     return F.least(F.lit(cap), F.ceil(F.max(width).over(Window.partitionBy(*key)) / 32) * 32).cast("int")
 
 
+def parts(rows: DataFrame) -> int:
+    """Shuffle partitions. Named in a repartition they stay as many: else a few tasks get
+    all rows where these are packed well, and sort them in more memory than those take."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def tracks(regions: DataFrame, edges: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """(key, seq, region_idx) with the track: (seq, region) of the chain's first.
     ``edges``: seq, src, dst from a frame to the next; those from regions that aren't
@@ -244,7 +250,8 @@ def tracks(regions: DataFrame, edges: DataFrame, key: list[str], block: int = BL
     links = edges.select(*[F.col(c).alias(c) for c in (*key, "seq", "src", "dst")], at(F.col("seq") + 1))  # new columns, should both come from one table
     inner = links.where(F.floor(F.col("seq") / block) == F.col("__block"))
     grouped = [*key, "__block"]
-    found = stored(placed.groupBy(*grouped).cogroup(inner.groupBy(*grouped)).applyInPandas(of, schema), "tracks")
+    dealt = lambda df: df.repartition(parts(df), *grouped)
+    found = stored(dealt(placed).groupBy(*grouped).cogroup(dealt(inner).groupBy(*grouped)).applyInPandas(of, schema), "tracks")
 
     node = lambda seq, region: F.struct(*key, F.col(seq).cast("long").alias("seq"), F.col(region).cast("int").alias("region_idx"))
     across = links.where(F.floor(F.col("seq") / block) < F.col("__block")).select(F.struct(*key, (F.col("seq") + 1).alias("seq"), F.col("dst").cast("int").alias("region_idx")).alias("node"), node("seq", "src").alias("from"))

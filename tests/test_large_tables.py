@@ -207,3 +207,13 @@ def test_assignments_of_many_frames_equal_those_of_each():
             assert assign_all(costs).tolist() == [assign(c) for c in costs.tolist()]
     with pytest.raises(ValueError, match="has no cost"):
         regions.edges_of(np.array([[0, 0, 1], [0, 1, 1], [1, 0, 1]]), np.zeros(3, np.int64))
+
+
+def test_tracks_are_dealt_to_all_partitions(spark, monkeypatch):
+    """Few bytes of a shuffle may be many rows to sort: they aren't packed into one task."""
+    rows = spark.range(4000).selectExpr("id % 50 as v", "id div 50 as seq", "0 as region_idx").repartition(4)
+    links = rows.where("seq < 79").selectExpr("v", "seq", "0 as src", "0 as dst")
+    kept, stored = [], regions.stored
+    monkeypatch.setattr(regions, "stored", lambda df, name: kept.append(df) or stored(df, name))
+    assert regions.tracks(rows, links, ["v"]).where("first_seq = 0").count() == 4000
+    assert kept[0].rdd.getNumPartitions() == 4
