@@ -53,7 +53,8 @@ def centres(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE,
     points = stored(sampled(rows, sample, n, "fit"), "fit").select(array_to_vector("v").alias("features"))
     if not points.head(1):
         return np.zeros((0, 0))
-    found = np.stack(KMeans(k=cells, distanceMeasure="cosine", maxIter=rounds, seed=7).fit(points).clusterCenters())
+    # the solver of rows sends distances of all pairs of centres to the driver in each round
+    found = np.stack(KMeans(k=cells, distanceMeasure="cosine", maxIter=rounds, seed=7, solver="block").fit(points).clusterCenters())
     size = np.sqrt((found * found).sum(1, keepdims=True))
     return found[size[:, 0] > 0] / size[size > 0][:, None]
 

@@ -56,3 +56,11 @@ def test_query_against_the_exact_search(spark, sf):
     both = got.keys() & want.keys()
     print("recall", len(both) / len(want))
     assert len(got) == len(want) and len(both) >= 0.9 * len(want) and all(got[x] == pytest.approx(want[x]) for x in both)
+
+
+def test_centres_do_not_send_their_pairs_to_the_driver(spark, monkeypatch):
+    """Spark's solver of rows gathers the square of the number of centres in each round."""
+    asked, kmeans = [], cells.KMeans
+    monkeypatch.setattr(cells, "KMeans", lambda **x: asked.append(x) or kmeans(**x))
+    rows = spark.range(300).selectExpr("id", "array(cast(sin(id) as double), cast(cos(id) as double), 1.0D) as v")
+    assert len(cells.centres(rows, 9)) == 9 and asked[0]["solver"] == "block"
