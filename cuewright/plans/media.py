@@ -118,14 +118,10 @@ def mp4_merged_tables(spark, sf):
     out = shared_path(spark, "merged")
     merge_fourths(found, out)
     listed = spark.read.format("binaryFile").load(f"{out}/*.mp4").select("path")
-    tables = merging.measured(merging.heads(listed.select(part("path").alias("job"), F.lit(0).alias("part"), "path")))
-
-    @F.pandas_udf("long")
-    def total(kind: pd.Series, body: pd.Series) -> pd.Series:
-        return pd.Series([int(merging.rows_of(k, bytes(b))[:, 0].sum()) for k, b in zip(kind, body, strict=True)])
-
-    own = F.when(F.col("type") != "stco", total("type", "body"))
-    return tables.where("type <> 'stsc'").select(F.col("job").cast("long").alias("job"), (1 - F.col("track")).cast("long").alias("track"), "type", "n", own.alias("total"))
+    tables = merging.tables_of(merging.heads(listed.select(part("path").alias("job"), F.lit(0).alias("part"), "path")))
+    known = merging.measured(tables.where("type <> 'stsc'"), ["stss", "stsz", "stts"])
+    own = F.when(F.col("type") != "stco", F.coalesce("total", F.lit(0)))
+    return known.select(F.col("job").cast("long").alias("job"), (1 - F.col("track")).cast("long").alias("track"), "type", "n", own.alias("total"))
 
 
 def merge_fourths(found, out):

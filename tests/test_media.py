@@ -34,6 +34,25 @@ def test_merged_files_are_those_of_one_task(spark, tmp_path, monkeypatch):
     assert (tmp_path / "out/b.mp4").read_bytes() == mp4.merge_files(data[3:])
 
 
+def test_tables_are_read_and_moved_in_pieces(spark, tmp_path, monkeypatch):
+    """No task holds a table: heads leave its rows where they are, and ranges are of a few."""
+    monkeypatch.setattr(mp4_merge, "PIECE", 7)
+    data = [made.mp4_of(orders(list(range(1, 400 + i)))) for i in range(2)]
+    sized = lambda x: x.replace(mp4.write_table("stsz", [(3,)] * 3), mp4.write_atom("stsz", struct.pack(">III", 0, 3, 3) + bytes(12)))
+    data.append(sized(made.mp4_of(pd.DataFrame({"o_orderkey": range(6), "o_orderpriority": ["abc"] * 6}))))
+    for i, x in enumerate(data):
+        made.put(f"{tmp_path}/in/{i}.mp4", x)
+    parts = spark.createDataFrame([("a", i, f"file://{tmp_path}/in/{i}.mp4") for i in range(3)], "job string, part int, path string")
+    atoms = mp4_merge.heads(parts)
+    assert max(len(r.body or b"") for r in atoms.collect()) <= 100
+    tables = mp4_merge.measured(mp4_merge.tables_of(atoms), ["stsz", "stss"]).collect()
+    whole = {(i, kind, len(mp4.sample_table(kind, body)), sum(x[0] for x in mp4.sample_table(kind, body))) for i, x in enumerate(data) for _, kind, _, _, body in mp4.atoms(x) if kind in ("stsz", "stss")}
+    assert {(r.part, r.type, r.n, r.total) for r in tables if r.total is not None} == whole and len(tables) == 27
+    assert max(r.length for r in mp4_merge.ranges(parts).where("data is not null").collect()) <= 120
+    mp4_merge.merge(parts, f"file://{tmp_path}/out")
+    assert (tmp_path / "out/a.mp4").read_bytes() == mp4.merge_files(data)
+
+
 def test_no_parts_give_no_files_and_other_tracks_an_error(spark, tmp_path):
     put_files(tmp_path / "in", 1)
     parts = spark.createDataFrame([("a", 0, f"file://{tmp_path}/in/0.mp4"), ("a", 1, f"file://{tmp_path}/in/1.mp4")], "job string, part int, path string")
