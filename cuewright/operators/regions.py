@@ -21,6 +21,8 @@ MIN_AREA, MIN_PEAK = 10, 0.99
 BLOCK = 8192
 #: Pairs of boxes that are compared at a time, about.
 PAIRS = 1 << 20
+#: Numbers below it are compared as 32 bits.
+NARROW = 1 << 26
 #: Rows of frames that a call gets, about; a larger frame comes whole.
 CALL = 1 << 17
 #: The cost of a pair of which none is known.
@@ -45,7 +47,7 @@ def _mergeable(a, b):
     holds = (ax <= bx) & (ay <= by) & (ax + aw >= bx + bw) & (ay + ah >= by + bh)
     lies = (bx <= ax) & (by <= ay) & (bx + bw >= ax + aw) & (by + bh >= ay + ah)
     size = np.minimum(ah, bh)
-    uneven = (abs(ay + ah // 2 - by - bh // 2) * 1.5 > size) & ((abs(ah - bh) > size) | (abs(ay - by) * 2 > size))
+    uneven = (abs(ay + ah // 2 - by - bh // 2) * 3 > size * 2) & ((abs(ah - bh) > size) | (abs(ay - by) * 2 > size))
     return holds | lies | ~uneven & (np.where(ax < bx, abs(ax + aw - bx), abs(bx + bw - ax)) <= size)
 
 
@@ -64,37 +66,85 @@ def united(n: int, pairs: Iterable[tuple[int, int]]) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def pairs_of(boxes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The mergeable pairs of boxes (x, y, width, height: a row each) of a frame; ``ends``:
-    where the frame of each box ends. About PAIRS are looked at at a time."""
-    later = ends - np.arange(len(ends)) - 1
+def _level(a, b):
+    """Whether boxes (y, height) may be mergeable, wherever they lie from left to right."""
+    (ay, ah), (by, bh) = a, b
+    size = np.minimum(ah, bh)
+    uneven = (abs(ay + ah // 2 - by - bh // 2) * 3 > size * 2) & ((abs(ah - bh) > size) | (abs(ay - by) * 2 > size))
+    return ~uneven | (ay <= by) & (ay + ah >= by + bh) | (by <= ay) & (by + bh >= ay + ah)
+
+
+def pairs_of(boxes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mergeable pairs of boxes (x, y, width, height: a row each) of frames of
+    ``sizes`` boxes. About PAIRS are looked at at a time."""
+    if boxes.dtype.kind == "i" and boxes.size and -NARROW < boxes.min() and boxes.max() < NARROW:
+        boxes = boxes.astype(np.int32)
+    later = np.repeat(np.cumsum(sizes), sizes) - np.arange(boxes.shape[1]) - 1
     sums = np.cumsum(later)
-    first = 0
-    while first < len(ends):
+    first, out = 0, [np.zeros((2, 0), np.int64)]
+    while first < len(later):
         last = max(first + 1, int(np.searchsorted(sums, PAIRS + (sums[first - 1] if first else 0), "right")))
         n = later[first:last]
         a = np.repeat(np.arange(first, last), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        same = np.flatnonzero(_mergeable(boxes[:, a], boxes[:, b]))
-        yield from zip(a[same].tolist(), b[same].tolist(), strict=True)
+        near = np.flatnonzero(_level(boxes[1::2][:, a], boxes[1::2][:, b]))
+        a, b = a[near], b[near]
+        same = _mergeable(boxes[:, a], boxes[:, b])
+        out.append(np.stack([a[same], b[same]]))
         first = last
+    return tuple(np.concatenate(out, 1))
+
+
+def _ordered(boxes: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes and their frames by (frame, y, x, width, height); where all of a row are
+    few bits, they are sorted as one number."""
+    columns = [frame, boxes[1], boxes[0], boxes[2], boxes[3]]
+    if boxes.dtype.kind == "i" and len(frame):
+        low = [int(c.min()) for c in columns]
+        bits = [(int(c.max()) - least).bit_length() for c, least in zip(columns, low, strict=True)]
+        if sum(bits) < 63:
+            packed = np.zeros(len(frame), np.int64)
+            for c, least, n in zip(columns, low, bits, strict=True):
+                packed = packed << n | c - least
+            packed.sort()
+            for i in range(4, -1, -1):
+                columns[i] = (packed & (1 << bits[i]) - 1) + low[i]
+                packed >>= bits[i]
+            return np.stack([columns[2], columns[1], *columns[3:]]), columns[0]
+    at = np.lexsort(columns[::-1])
+    return boxes[:, at], frame[at]
+
 
+def _sizes(frame: np.ndarray) -> np.ndarray:
+    """The rows of each of some rising frames."""
+    return np.diff(np.append(np.flatnonzero(np.diff(frame, prepend=-1)), len(frame)))
 
-def merged_frames(boxes: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def merged_frames(boxes: np.ndarray, frame: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Hulls (x, y, width, height: a row each) of the connected mergeable boxes of each
-    frame, and their frames, by (frame, y, x, width, height); boxes are compared in
-    this order too."""
-    order = lambda b, f: np.lexsort((b[3], b[2], b[0], b[1], f))
-    at = order(boxes, frame)
-    boxes, frame = boxes[:, at], frame[at]
-    of = np.array(united(len(frame), pairs_of(boxes, np.searchsorted(frame, frame, "right"))), np.int64)
-    if len(of):
-        at = np.argsort(of, kind="stable")
-        starts = np.flatnonzero(np.diff(of[at], prepend=-1))
-        low, high = boxes[:2, at], (boxes[:2] + boxes[2:])[:, at]
-        low, high = np.minimum.reduceat(low, starts, 1), np.maximum.reduceat(high, starts, 1)
-        boxes, frame = np.concatenate([low, high - low]), frame[at][starts]
-    at = order(boxes, frame)
+    frame, ``times`` over, and their frames (from 0), by (frame, y, x, width, height);
+    boxes are compared in this order too. A frame of which none merge is done."""
+    boxes, frame = _ordered(boxes, frame)
+    a, b = pairs_of(boxes, _sizes(frame)) if times else ((), ())
+    if times and boxes.dtype.kind == "f" and not len(a):  # a box of unknown start has no known reach
+        return _ordered(np.concatenate([boxes[:2], boxes[:2] + boxes[2:] - boxes[:2]]), frame)
+    if not len(a):
+        return boxes, frame
+    told = np.zeros(int(frame[-1]) + 1, bool)
+    told[frame[a]] = True
+    changed = told[frame]
+    own, of, place = boxes[:, changed], frame[changed], np.cumsum(changed) - 1
+    group = np.array(united(len(of), zip(place[a].tolist(), place[b].tolist(), strict=True)), np.int64)
+    at = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[at], prepend=-1))
+    low, high = own[:2, at], (own[:2] + own[2:])[:, at]
+    low, high = np.minimum.reduceat(low, starts, 1), np.maximum.reduceat(high, starts, 1)
+    own, of = merged_frames(np.concatenate([low, high - low]), of[at][starts], times - 1)
+    rest, kept = boxes[:, ~changed], frame[~changed]
+    if boxes.dtype.kind == "f":
+        rest, kept = merged_frames(rest, kept)
+    boxes, frame = np.concatenate([rest, own], 1), np.concatenate([kept, of])
+    at = np.argsort(frame, kind="stable")
     return boxes[:, at], frame[at]
 
 
@@ -104,19 +154,23 @@ def merged(boxes: list[tuple]) -> list[tuple]:
     return list(map(tuple, found.T.tolist()))
 
 
-def _frames(rows: DataFrame, key: list[str], names: list[str], made: list[str], of: Callable) -> DataFrame:
+def _frames(rows: DataFrame, key: list[str], names: list[str], made: list[str], of: Callable, ordered: bool = True) -> DataFrame:
     """(key, made: int each) of the whole numbers ``names`` of each frame. ``of`` gets the
-    rows of many whole frames and the frame of each, rising, and gives rows and their
-    frames; nulls are NaN. Partitions are sorted, so that no frame is a list or a group
-    of its own: both cost more than its rows."""
+    rows of many whole frames, ``ordered`` by ``names`` or not, and the frame of each,
+    rising, and gives rows and their frames; nulls are NaN. Partitions are sorted, so that
+    no frame is a list or a group of its own: both cost more than its rows. Sorted by
+    whole numbers of a key alone, frames start where these change."""
     kinds = dict(rows.dtypes)
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*names)) == 1
-    marked = rows.select(*key, *[F.col(c).cast("int").alias(c) for c in names]).select("*", first.alias("__first"))
-
-    def call(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = rows.select(*key, *[F.col(c).cast("int").alias(c) for c in names])
+    if ordered or any(kinds[k] not in ("bigint", "int", "smallint", "tinyint") for k in key):
+        first = F.row_number().over(Window.partitionBy(*key).orderBy(*names)) == 1
+        marked, marks = whole.select("*", first.alias("__first")), []
+    else:
+        marked, marks = whole.repartition(parts(rows), *key).sortWithinPartitions(*key), key
+
+    def call(held: list[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         if len(table):
-            starts = table["__first"].to_numpy()
             columns = [table[c].to_numpy() for c in names]
             numbers = np.stack([c.astype(np.float64 if any(x.dtype.kind == "f" for x in columns) else np.int64) for c in columns], 1)
             found, frame = of(numbers, np.cumsum(starts) - 1)
@@ -124,18 +178,32 @@ def _frames(rows: DataFrame, key: list[str], names: list[str], made: list[str],
             columns = [pa.array(c, from_pandas=True).cast(pa.int32()) for c in found.T]
             yield from pa.Table.from_arrays([*keys.columns, *columns], names=[*key, *made]).to_batches(max_chunksize=1 << 16)
 
+    def firsts(batch: pa.RecordBatch, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Which rows are the first of a frame, and the last row's key."""
+        if not marks:
+            return batch.column("__first").to_numpy(zero_copy_only=False), None
+        found = [x.to_numpy(zero_copy_only=False).astype(np.int64) for c in map(batch.column, marks) for x in (c.fill_null(0), c.is_valid())]
+        own = np.stack(found)
+        starts = np.append(last is None or (own[:, 0] != last).any(), (own[:, 1:] != own[:, :-1]).any(0))
+        return starts, own[:, -1]
+
     def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        told: list[np.ndarray] = []
+        n, last = 0, None
         for batch in batches:
-            starts = np.flatnonzero(batch.column("__first").to_numpy(zero_copy_only=False))
+            if not batch.num_rows:
+                continue
+            own, last = firsts(batch, last)
+            starts = np.flatnonzero(own)
             if n + batch.num_rows > CALL and len(starts):
-                yield from call([*held, batch.slice(0, starts[-1])])
-                batch, held, n = batch.slice(starts[-1]), [], 0
+                yield from call([*held, batch.slice(0, starts[-1])], np.concatenate([*told, own[: starts[-1]]]))
+                batch, own, held, told, n = batch.slice(starts[-1]), own[starts[-1] :], [], [], 0
             held.append(batch)
+            told.append(own)
             n += batch.num_rows
         if held:
-            yield from call(held)
+            yield from call(held, np.concatenate(told))
 
     return marked.mapInArrow(calls, ", ".join([*[f"`{k}` {kinds[k]}" for k in key], *[f"{c} int" for c in made]]))
 
@@ -145,18 +213,13 @@ def merge_boxes(boxes: DataFrame, key: list[str], times: int = 2) -> DataFrame:
     frame's boxes are one group, as many as a frame shows; a call merges many frames."""
 
     def found(rows: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        alone = np.bincount(frame)[frame] < 2
-        own, of = rows[~alone].T, frame[~alone]
-        for _ in range(times):
-            own, of = merged_frames(own, of)
-        rows, frame = np.concatenate([rows[alone], own.T]), np.concatenate([frame[alone], of])
-        at = np.argsort(frame, kind="stable")
-        rows, frame = rows[at], frame[at]
-        number = np.arange(len(frame)) - np.searchsorted(frame, frame)
-        return np.concatenate([number[:, None], rows], 1), frame
+        own, frame = merged_frames(rows.T, frame, times)
+        sizes = _sizes(frame)
+        number = np.arange(len(frame)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.concatenate([number[None], own]).T, frame
 
     names = ["x", "y", "width", "height"]
-    return _frames(boxes, key, names, ["region_idx", *names], found)
+    return _frames(boxes, key, names, ["region_idx", *names], found, ordered=False)
 
 
 def iou_pairs(boxes: DataFrame, key: list[str]) -> DataFrame:

@@ -199,6 +199,23 @@ def test_frames_come_many_a_call_and_whole(spark, monkeypatch):
     assert sorted(map(tuple, edges)) == sorted(want)
 
 
+def test_frames_without_pairs_are_done_at_once(spark, monkeypatch):
+    """Only frames of which boxes merged are looked at again, and rows are sorted by their key alone."""
+    frames = [[(0, 0, 5, 5), (500, 200, 5, 5)]] * 50 + [[(0, 0, 20, 20), (500, 200, 5, 5), (1, 1, 5, 5)], [(1 << 30, 0, 9, 9), ((1 << 30) + 9, 1, 9, 9)], [(3, 3, 3, 3)]]
+    boxes, frame = np.array(sum(frames, []), np.int64).T, np.repeat(np.arange(53), [len(x) for x in frames])
+    seen, pairs_of = [], regions.pairs_of
+    monkeypatch.setattr(regions, "pairs_of", lambda b, sizes: seen.append(b.shape[1]) or pairs_of(b, sizes))
+    found, of = regions.merged_frames(boxes, frame, 2)
+    assert seen == [106, 3]
+    want = [(k, *b) for k, x in enumerate(frames) for b in regions.merged(regions.merged(x))]
+    assert list(zip(of.tolist(), *found.tolist(), strict=True)) == want and len(want) == 104
+    for kind, key in (("long", lambda k: k - 9 if k else None), ("string", str)):
+        rows = spark.createDataFrame([(key(k), *b) for k, x in enumerate(frames) for b in x], f"k {kind}, x int, y int, width int, height int").repartition(3)
+        merged = regions.merge_boxes(rows, ["k"])
+        assert ("Window" in merged._jdf.queryExecution().executedPlan().toString()) == (kind == "string")
+        assert sorted(((r.k, *r[2:]) for r in merged.collect()), key=repr) == sorted(((key(k), *b) for k, *b in want), key=repr)
+
+
 def test_assignments_of_many_frames_equal_those_of_each():
     draw = np.random.default_rng(6)
     for n, m in [(a, b) for a in range(1, 6) for b in range(1, 6)]:
